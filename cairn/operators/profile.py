@@ -232,8 +232,9 @@ def profile_table(df: DataFrame, table_name: str, fraction: float = 1.0, seed: i
     if dt:
         p = _profile(sample, dt, _micros)
         names = [s for s in stat_names if s != "std"]
+        # Datetime statistics are whole epoch microseconds.
         parts.append(p.selectExpr("column_name", f"stack({len(names)}, " + ", ".join(
-            f"'{s}', CAST({s} AS DOUBLE)" for s in names) + ") AS (statistic, value)"))
+            f"'{s}', round(CAST({s} AS DOUBLE), 0)" for s in names) + ") AS (statistic, value)"))
     if not num and not dt:
         t = profile_text(sample)
         parts.append(t.selectExpr("column_name", "stack(3, 'count', CAST(count AS DOUBLE), "

@@ -259,9 +259,9 @@ def conform_schema(df: DataFrame, columns: DataFrame, exact: bool = False
             else:
                 cast = src.cast("string")
         elif base == "TIMESTAMP_TZ" or base == "TIMESTAMP_LTZ":
-            cast = F.try_cast(src, "timestamp").cast("timestamp_ntz")
+            cast = src.try_cast("timestamp").cast("timestamp_ntz")
         else:
-            cast = F.try_cast(src, stype)
+            cast = src.try_cast(stype)
         casts.append(cast.alias(name))
         checks.append((name, "cast_failed", src.isNotNull() & cast.isNull()))
         if s["is_nullable"] == "NO":

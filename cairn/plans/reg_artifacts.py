@@ -75,13 +75,13 @@ def artifact_list(spark, sf):
 
 
 @register("artifact_all_tags", "A4", _INFO + """
-WHERE a.swarm_token = 'swarm2'
+WHERE a.swarm_token = 'swarm0'
   AND EXISTS (SELECT 1 FROM artifact_tags x WHERE x.artifact_id = a.artifact_id AND x.tag = 'even')
   AND EXISTS (SELECT 1 FROM artifact_tags x WHERE x.artifact_id = a.artifact_id AND x.tag = 'third')
 ORDER BY a.created_at DESC, a.artifact_id""", fixtures=["artifacts", "artifact_tags"])
 def artifact_all_tags(spark, sf):
     t = Tables(spark, sf)
-    return _info_cols(art.list_artifacts(t["artifacts"], t["artifact_tags"], "swarm2", tags_all=["even", "third"]))
+    return _info_cols(art.list_artifacts(t["artifacts"], t["artifact_tags"], "swarm0", tags_all=["even", "third"]))
 
 
 _OWNED_PATCH = ("(SELECT p.* FROM artifact_patches p JOIN artifacts x ON p.artifact_id = x.artifact_id "

@@ -111,7 +111,7 @@ def _profile_table_oracle():
              "p25": f"quantile_cont({dt}, 0.25)", "p50": f"quantile_cont({dt}, 0.5)",
              "p75": f"quantile_cont({dt}, 0.75)", "max": f"max({dt})"}
     for s, e in dexpr.items():
-        parts.append(f"SELECT 'l_shipdate', '{s}', round(CAST({e} AS DOUBLE), 6) FROM lineitem")
+        parts.append(f"SELECT 'l_shipdate', '{s}', round(CAST({e} AS DOUBLE), 0) FROM lineitem")
     cols = LINEITEM_NUMERIC + ["l_returnflag", "l_linestatus", "l_shipdate"]
     for c in cols:
         miss = f"{c} IS NULL" + (f" OR isnan({c})" if c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax") else "")

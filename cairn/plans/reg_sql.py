@@ -63,7 +63,7 @@ SELECT 'any', count(*) FROM (
   SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier)""",
     "sql_scalars": """
 SELECT event_id, upper(substr(event_type, 1, 3)) AS type3, date_trunc('day', ts) AS day,
-  round(value * 1.5, 2) AS scaled, json_extract_string(props, '$.k') AS prop_k,
+  value * 1.5 AS scaled, json_extract_string(props, '$.k') AS prop_k,
   length(props) AS props_len
 FROM events""",
     "sql_subquery": """
