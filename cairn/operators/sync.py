@@ -37,13 +37,12 @@ class Replica:
         self.data_path = f"{self.root}/data"
         self.log_path = f"{self.root}/_log"
         self.snapshot_path = f"{self.root}/snapshots"
+        # An empty append creates the log folder, so reading it never fails.
+        spark.createDataFrame([], JOB_LOG_SCHEMA).write.mode("append").parquet(self.log_path)
 
     # -- job log -------------------------------------------------------------
     def log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(JOB_LOG_SCHEMA).parquet(self.log_path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], JOB_LOG_SCHEMA)
+        return self.spark.read.schema(JOB_LOG_SCHEMA).parquet(self.log_path)
 
     def _next_seq(self) -> int:
         row = self.log().agg(F.max("seq").alias("m")).first()

@@ -8,6 +8,8 @@ data Spark derives from the given tables and grows with them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 GIVEN_TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -165,26 +167,34 @@ class Tables:
     columns and pushes filters into the scan; fixtures are SQL over temp views.
     """
 
+    # Resolved scans per (session, folder, table): listing the folder and
+    # reading the parquet footer is done once, the plan itself stays lazy.
+    _SCANS: dict = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._registered = False
 
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-    def register(self) -> "Tables":
-        if not self._registered:
-            for name in GIVEN_TABLES:
-                self.given(name).createOrReplaceTempView(name)
-            self._registered = True
+        key = (id(self.spark), self.sf_dir, name)
+        df = Tables._SCANS.get(key)
+        if df is None:
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            Tables._SCANS[key] = df
+        return df
+
+    def register(self, names=GIVEN_TABLES) -> "Tables":
+        for name in names:
+            self.given(name).createOrReplaceTempView(name)
         return self
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in GIVEN_TABLES:
             return self.given(name)
-        self.register()
-        return self.spark.sql(fixture_sql(name, "spark"))
+        text = fixture_sql(name, "spark")
+        words = set(re.findall(r"[a-z_]+", text.lower()))
+        self.register([n for n in GIVEN_TABLES if n in words])
+        return self.spark.sql(text)
 
 
 def oracle_with(names: list[str], body: str) -> str:
