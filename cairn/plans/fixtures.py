@@ -60,6 +60,12 @@ SELECT * FROM (VALUES
   ('edge', 7, 'g', 'DECIMAL(10,2)', 'N'), ('edge', 8, 'h', 'VARIANT', 'Y'), ('edge', 9, 'i', 'ARRAY', 'Y'),
   ('edge', 10, 'j', 'TEXT', 'Y'), ('edge', 13, 'm', 'VARCHAR(16777216)', 'Y'), ('edge', 11, 'k', 'CHAR(1)', 'Y'), ('edge', 12, 'l', 'BINARY(8388608)', 'Y'))
   AS v(table_name, ordinal, name, declared_type, nullable)""",
+    # Column policies for G1/G2 (metadata, like source_columns).
+    "column_policies": """
+SELECT * FROM (VALUES
+  ('customer', 'c_acctbal', 'deny'), ('customer', 'c_name', 'redact'), ('customer', 'c_custkey', 'hash'),
+  ('orders', 'o_totalprice', 'deny'))
+  AS v(table_name, column_name, action)""",
     "registry_actions": """
 SELECT event_id AS action_id, concat('s', user_id % 5) AS schema_name,
   concat('tab', user_id) AS table_name, CASE WHEN event_type = 'error' THEN 'remove' ELSE 'add' END AS action,

@@ -203,3 +203,27 @@ def test_stream_restart_takes_only_new_files(spark):
     ev.where("event_id >= 100").write.mode("append").parquet(f"{root}/src")
     streams.stream_incremental(spark, f"{root}/src", ev.schema, f"{root}/out", f"{root}/ck")
     assert _rows(streams.read_stream_replica(spark, f"{root}/out")) == _rows(ev)
+
+
+def test_reconcile_with_repeated_keys_counts_rows_not_pairs(spark):
+    li = io.scan(spark, SF_SMALL, "lineitem")
+    keys = ["l_orderkey", "l_linenumber"]  # not unique
+    r = {x.check_name: x for x in sync.reconcile(li, li, keys).collect() if x.column_name == "*"}
+    assert all(x.ok for x in r.values())
+    missing = li.where("l_orderkey % 7 = 0")
+    r = {x.check_name: x.replica_value for x in
+         sync.reconcile(li, li.exceptAll(missing), keys).collect() if x.column_name == "*"}
+    fully_gone = li.join(missing.select(*keys).distinct(), keys, "left_semi").count()
+    assert r["only_in_source"] == fully_gone and r["only_in_replica"] == 0
+
+
+def test_policies_drop_and_mask(spark, tables):
+    from cairn.operators import governance
+    c = tables["customer"]
+    masked = governance.mask_columns(c, tables["column_policies"], "customer")
+    assert "c_acctbal" not in masked.columns
+    row = masked.where(F.length("c_name") > 4).first()
+    assert row.c_name.startswith("*") and len(row.c_custkey) == 64
+    with pytest.raises(ValueError):
+        bad = spark.createDataFrame([("customer", "c_name", "explode")], "table_name string, column_name string, action string")
+        governance.mask_columns(c, bad, "customer")
