@@ -138,15 +138,18 @@ def upsert(target: DataFrame, delta: DataFrame, keys: Sequence[str],
     """Apply new and modified rows to a table: one row per key, the delta
     winning over the target and, within the delta, the largest version winning.
 
-    ``max_by`` over a packed struct keeps the shuffle to partial aggregates, so
-    a key updated millions of times is reduced before it moves."""
+    Only the delta is aggregated (``max_by`` per key, partial per partition so
+    a key updated millions of times is reduced before it moves).  The target
+    is then filtered by a left anti join on the keys: when the delta is small
+    AQE broadcasts it and the target is read in one map-side pass with no
+    shuffle; a large delta falls back to a sort-merge anti join."""
+    keys = list(keys)
     cols = target.columns
-    t = target.select(*cols, F.lit(0).alias("_side"),
-                      (F.lit(None).cast(delta.schema[version_col].dataType) if version_col
-                       else F.lit(None).cast("int")).alias("_ver"))
-    d = delta.select(*cols, F.lit(1).alias("_side"),
-                     (F.col(version_col) if version_col else F.lit(None).cast("int")).alias("_ver"))
-    return latest_per_key(t.unionByName(d), keys, ["_side", "_ver"]).select(*cols)
+    d = delta.select(*cols, *([F.col(version_col).alias("_ver")] if version_col else []))
+    latest = latest_per_key(d, keys, ["_ver"]).select(*cols) if version_col else \
+        latest_per_key(d, keys, [F.lit(0)]).select(*cols)
+    kept = target.join(latest.select(*keys), keys, "left_anti")
+    return kept.unionByName(latest)
 
 
 def sync_snapshot(src: DataFrame, target: str, snapshot_ts: str,
