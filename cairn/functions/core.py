@@ -43,12 +43,23 @@ def hash_unit(cols: Sequence[str | Column]) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def base64_valid(col: Column) -> Column:
+    """Strict base64: only the standard alphabet, at most two '=' and only at
+    the end, and a length divisible by 4."""
+    return col.rlike(r"^[A-Za-z0-9+/]*={0,2}$") & ((F.length(col) % 4) == 0)
+
+
+def base64_size(col: Column) -> Column:
+    """Decoded size of valid base64 text, from its length and padding."""
+    pad = F.length(F.regexp_extract(col, r"(=*)$", 1))
+    return ((F.length(col) / 4).cast("bigint") * 3 - pad).cast("bigint")
+
+
 def strict_unbase64(col: Column) -> Column:
     """Decode base64 strictly: any character outside the alphabet, misplaced
     padding or a length not divisible by 4 gives null instead of a lenient
     partial decode."""
-    valid = (col.rlike(r"^[A-Za-z0-9+/]*={0,2}$")) & ((F.length(col) % 4) == 0)
-    return F.when(valid, F.try_to_binary(col, F.lit("base64")))
+    return F.when(base64_valid(col), F.try_to_binary(col, F.lit("base64")))
 
 
 def round_to(col: Column, digits: int = 6) -> Column:

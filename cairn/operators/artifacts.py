@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.core import days, strict_unbase64, ts_lit
+from cairn.functions.core import base64_size, base64_valid, days, strict_unbase64, ts_lit
 from cairn.operators.catalog import tag_lists
 
 # Enumerations, limits and media types of the reference.
@@ -41,24 +41,27 @@ def ingest(uploads: DataFrame, now: str, max_mb: int = MAX_SIZE_MB,
     255 characters, type and format within their enumerations, expiry days
     above 0 when given, strict base64 (D12), size up to ``max_mb``.  Accepted
     rows get size, created_at = now and expires_at = now + days (default 10)."""
-    content = strict_unbase64(F.col("content"))
-    size = F.octet_length(content)
+    # Validity and size come from the text alone (alphabet, padding, length),
+    # so whole contents are decoded once, only for the accepted rows.
+    text = F.col("content")
+    valid = base64_valid(text)
+    size = base64_size(text)
     reason = (F.when((F.length("name") < 1) | (F.length("name") > 255), "invalid name")
               .when(~F.col("type").isin(ARTIFACT_TYPES) | F.col("type").isNull(), "invalid type")
               .when(~F.col("format").isin(ARTIFACT_FORMATS) | F.col("format").isNull(), "invalid format")
               .when(F.col("expiry_days") <= 0, "invalid expiry_days")
-              .when(content.isNull(), "invalid base64")
+              .when(~F.coalesce(valid, F.lit(False)), "invalid base64")
               .when(size > F.lit(max_mb * 1024 * 1024), "too large"))
     checked = uploads.withColumn("_reason", reason)
     t = ts_lit(now)
     artifact_id = F.concat(F.lit("a"), F.lpad(F.col("upload_id").cast("string"), 8, "0"))
     accepted = checked.where(F.col("_reason").isNull()).select(
         artifact_id.alias("artifact_id"), "name", "type", "format",
-        F.octet_length(content).cast("bigint").alias("size_bytes"),
+        size.alias("size_bytes"),
         F.concat(F.lit("artifacts/"), artifact_id, F.lit("."), F.col("format")).alias("storage_path"),
         t.alias("created_at"),
         (t + days(F.coalesce(F.col("expiry_days"), F.lit(default_days)))).alias("expires_at"),
-        F.lit("{}").alias("metadata"), "swarm_token", content.alias("content"))
+        F.lit("{}").alias("metadata"), "swarm_token", strict_unbase64(text).alias("content"))
     rejected = checked.where(F.col("_reason").isNotNull()).select("upload_id", F.col("_reason").alias("reason"))
     return accepted, rejected
 

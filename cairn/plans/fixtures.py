@@ -182,7 +182,7 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def given(self, name: str) -> DataFrame:
-        key = (id(self.spark), self.sf_dir, name)
+        key = (id(self.spark), self.spark.sparkContext.applicationId, self.sf_dir, name)
         df = Tables._SCANS.get(key)
         if df is None:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
