@@ -10,14 +10,14 @@ computed with aggregations that stay distributed at any size:
   into partitions, ranked with running counts inside each partition plus the
   offsets of the partitions before it, and only the rows at the wanted ranks
   are kept.  No task ever holds all values of a column, unlike a global
-  ``percentile`` whose final merge runs in one task.
+  ``percentile`` whose final merge runs in one task.  Built-in expressions
+  only; no Python runs on the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,44 +70,37 @@ def sample_hash(df: DataFrame, keys: Sequence[str], fraction: float) -> DataFram
 
 # -- exact quantiles -------------------------------------------------------------
 
-def _running_counts(batches):
-    """Per partition (already sorted by group, value): inclusive running count
-    of each group's distinct values.  Carries the count across Arrow batches."""
-    carry: dict = {}
-    for pdf in batches:
-        if pdf.empty:
-            yield pdf.assign(cum=pd.Series(dtype="int64"))
-            continue
-        cum = pdf.groupby("g", sort=False)["c"].cumsum()
-        base = pdf["g"].map(lambda g: carry.get(g, 0)).astype("int64")
-        pdf = pdf.assign(cum=(cum + base).astype("int64"))
-        last = pdf.groupby("g", sort=False)["cum"].last()
-        carry.update(last.to_dict())
-        yield pdf
-
-
 def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = QUARTILES,
                     partitions: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation per group.
 
-    ``long_df`` has columns ``g`` (group, e.g. column name) and ``v`` (double,
-    nulls and NaN already removed).  Returns ``g, q, value``."""
+    ``long_df`` has columns ``g`` (an int group id, e.g. a column's position)
+    and ``v`` (double, nulls and NaN already removed).  Returns
+    ``g, q, value``.
+
+    1. count each distinct (g, v) with map-side partial aggregation;
+    2. range-partition the counts by (g, v) and take running counts inside
+       each (partition, g) with a window: every window holds one range
+       partition of one column, so no task sees a whole column;
+    3. checkpoint these ranked rows to the shared checkpoint folder: it cuts
+       the lineage and pins the partition ids, so the offsets below and the
+       ranks they are added to come from the same rows;
+    4. the offset of each partition within its group is a running sum over
+       at most partitions x groups rows (broadcast: a proven bound);
+    5. keep only the rows whose rank span holds a wanted rank and
+       interpolate."""
+    from pyspark.sql import Window
     spark = long_df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vc = long_df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
-    ranged = (vc.repartitionByRange(partitions, "g", "v").sortWithinPartitions("g", "v")
-              .withColumn("pid", F.spark_partition_id()))
-    ranked = ranged.mapInPandas(_running_counts,
-                                "g string, v double, c bigint, pid int, cum bigint")
-    # Offsets: one row per (group, partition); bounded by partitions x groups.
-    # Taken from the ranged counts (the range exchange is reused), not from
-    # the pandas step, so that step runs once.
-    totals = ranged.groupBy("g", "pid").agg(F.sum("c").alias("pt"))
-    from pyspark.sql import Window
+    ranged = vc.repartitionByRange(partitions, "g", "v").withColumn("pid", F.spark_partition_id())
+    run = (Window.partitionBy("pid", "g").orderBy("v")
+           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = ranged.withColumn("cum", F.sum("c").over(run)).checkpoint(eager=True)
+    totals = ranked.groupBy("g", "pid").agg(F.max("cum").alias("pt"))
     w = Window.partitionBy("g").orderBy("pid")
     offsets = totals.select("g", "pid", (F.sum("pt").over(w) - F.col("pt")).alias("off"),
                            F.sum("pt").over(Window.partitionBy("g")).alias("n"))
-    # The offsets table has at most partitions x groups rows: a proven bound.
     pos = ranked.join(F.broadcast(offsets), ["g", "pid"], "inner").select(
         "g", "v", "n", (F.col("off") + F.col("cum") - F.col("c")).alias("first_rank"),
         (F.col("off") + F.col("cum") - 1).alias("last_rank"))
@@ -115,16 +108,15 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = QUARTILES,
                                 F.floor((F.col("n") - 1) * F.lit(q)).cast("bigint").alias("lo"),
                                 F.ceil((F.col("n") - 1) * F.lit(q)).cast("bigint").alias("hi"))
                        for q in probs])
-    hits = pos.select("g", "v", "n", F.explode(F.filter(
-        wanted, lambda t: ((t["lo"] >= F.col("first_rank")) & (t["lo"] <= F.col("last_rank")))
-        | ((t["hi"] >= F.col("first_rank")) & (t["hi"] <= F.col("last_rank"))))).alias("t"),
-        "first_rank", "last_rank")
-    picked = hits.select(
-        "g", "n", F.col("t.q").alias("q"),
-        F.when((F.col("t.lo") >= F.col("first_rank")) & (F.col("t.lo") <= F.col("last_rank")),
-               F.col("v")).alias("v_lo"),
-        F.when((F.col("t.hi") >= F.col("first_rank")) & (F.col("t.hi") <= F.col("last_rank")),
-               F.col("v")).alias("v_hi"))
+
+    def covers(r):
+        return (r >= F.col("first_rank")) & (r <= F.col("last_rank"))
+
+    hits = pos.select("g", "v", "n", "first_rank", "last_rank", F.explode(F.filter(
+        wanted, lambda t: covers(t["lo"]) | covers(t["hi"]))).alias("t"))
+    picked = hits.select("g", "n", F.col("t.q").alias("q"),
+                         F.when(covers(F.col("t.lo")), F.col("v")).alias("v_lo"),
+                         F.when(covers(F.col("t.hi")), F.col("v")).alias("v_hi"))
     per_q = picked.groupBy("g", "q", "n").agg(F.max("v_lo").alias("v_lo"), F.max("v_hi").alias("v_hi"))
     h = (F.col("n") - 1) * F.col("q")
     frac = h - F.floor(h)
@@ -138,11 +130,22 @@ def _clean(col_name: str, dtype) -> F.Column:
     return c
 
 
-def _long_values(df: DataFrame, cols: Sequence[str], conv) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(c).alias("g"), conv(c).alias("v")) for c in cols])
+def _long_values(df: DataFrame, cols: Sequence[str], conv, first_id: int = 0) -> DataFrame:
+    """(g, v) pairs: g is the column's position (an int hashes and sorts
+    faster than its name), v its value as double; nulls dropped."""
+    pairs = F.array(*[F.struct(F.lit(first_id + i).alias("g"), conv(c).alias("v"))
+                      for i, c in enumerate(cols)])
     return (df.select(F.inline(pairs)).where(F.col("v").isNotNull()))
 
 
+def _quartile_columns(q: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Wide quartiles per column name from ``exact_quantiles`` output."""
+    name_of = F.element_at(F.create_map(*[x for i, n in enumerate(names)
+                                          for x in (F.lit(i), F.lit(n))]), F.col("g"))
+    return q.groupBy(name_of.alias("column_name")).agg(
+        *[F.max(F.when(F.col("q") == p, F.col("value"))).alias(f"p{int(p * 100)}") for p in QUARTILES])
+
+
 def _moments(df: DataFrame, cols: Sequence[str], conv, with_std: bool = True) -> DataFrame:
     aggs = []
     for i, c in enumerate(cols):
@@ -156,9 +159,7 @@ def _moments(df: DataFrame, cols: Sequence[str], conv, with_std: bool = True) ->
 
 def _profile(df: DataFrame, cols: Sequence[str], conv) -> DataFrame:
     mom = _moments(df, cols, conv)
-    q = exact_quantiles(_long_values(df, cols, conv))
-    qw = q.groupBy(F.col("g").alias("column_name")).agg(
-        *[F.max(F.when(F.col("q") == p, F.col("value"))).alias(f"p{int(p * 100)}") for p in QUARTILES])
+    qw = _quartile_columns(exact_quantiles(_long_values(df, cols, conv)), cols)
     return mom.join(qw, "column_name", "left")
 
 
@@ -216,39 +217,63 @@ def null_counts(df: DataFrame) -> DataFrame:
     return wide.selectExpr(f"stack({len(df.columns)}, {parts}) AS (column_name, null_count)")
 
 
+def _missing(f) -> F.Column:
+    miss = F.col(f.name).isNull()
+    if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+        miss = miss | F.isnan(F.col(f.name))
+    return miss
+
+
 def profile_table(df: DataFrame, table_name: str, fraction: float = 1.0, seed: int = 42) -> DataFrame:
     """The whole report in long form: (table_name, column_name, statistic,
-    value).  Numeric statistics as numbers, datetime statistics as epoch
-    microseconds, null counts for every column and the sample size."""
+    value).  Numeric statistics as numbers, datetime statistics as whole epoch
+    microseconds, null counts for every column and the sample size.
+
+    Two passes over the sample whatever its width: one aggregation for the
+    moments, null counts and row count of all columns, and one shared
+    exact-quantile pipeline for the numeric and datetime columns together."""
     if not 0.0 < fraction <= 1.0:
         raise ValueError("fraction must be within (0, 1]")
     sample = sample_random(df, fraction, seed)
-    stat_names = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    parts = []
-    num = numeric_columns(sample)
-    if num:
-        p = profile_numeric(sample, num)
-        parts.append(p.selectExpr("column_name", "stack(8, " + ", ".join(
-            f"'{s}', CAST({s} AS DOUBLE)" for s in stat_names) + ") AS (statistic, value)"))
-    dt = datetime_columns(sample)
-    if dt:
-        p = _profile(sample, dt, _micros)
-        names = [s for s in stat_names if s != "std"]
-        # Datetime statistics are whole epoch microseconds.
-        parts.append(p.selectExpr("column_name", f"stack({len(names)}, " + ", ".join(
-            f"'{s}', round(CAST({s} AS DOUBLE), 0)" for s in names) + ") AS (statistic, value)"))
-    if not num and not dt:
+    fields = sample.schema.fields
+    types = {f.name: f.dataType for f in fields}
+    num, dt = numeric_columns(sample), datetime_columns(sample)
+    stat_cols = num + dt
+
+    def conv(c):
+        return _micros(c) if c in dt else _clean(c, types[c])
+
+    aggs, triples = [F.count(F.lit(1)).alias("rows")], [("*", "sample_rows", "rows")]
+    for i, f in enumerate(fields):
+        aggs.append(F.count_if(_missing(f)).alias(f"z{i}"))
+        triples.append((f.name, "null_count", f"z{i}"))
+    for i, c in enumerate(stat_cols):
+        x = conv(c)
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.min(x).alias(f"lo{i}"),
+                 F.max(x).alias(f"hi{i}")]
+        stats = [("count", f"n{i}"), ("mean", f"m{i}"), ("min", f"lo{i}"), ("max", f"hi{i}")]
+        if c in num:
+            aggs.append(F.stddev_samp(x).alias(f"s{i}"))
+            stats.append(("std", f"s{i}"))
+        for stat, alias in stats:
+            val = f"CAST({alias} AS DOUBLE)"
+            triples.append((c, stat, f"round({val}, 0)" if c in dt and stat != "count" else val))
+    wide = sample.agg(*aggs)
+    stack = ", ".join(f"'{c}', '{st}', CAST({e} AS DOUBLE)" for c, st, e in triples)
+    out = wide.selectExpr(f"stack({len(triples)}, {stack}) AS (column_name, statistic, value)")
+    if stat_cols:
+        q = exact_quantiles(_long_values(sample, stat_cols, conv))
+        names = F.create_map(*[x for i, c in enumerate(stat_cols) for x in (F.lit(i), F.lit(c))])
+        is_dt = F.col("g") >= F.lit(len(num))
+        out = out.unionByName(q.select(
+            F.element_at(names, F.col("g")).alias("column_name"),
+            F.concat(F.lit("p"), (F.col("q") * 100).cast("int").cast("string")).alias("statistic"),
+            F.when(is_dt, F.round("value", 0)).otherwise(F.col("value")).alias("value")))
+    else:
         t = profile_text(sample)
-        parts.append(t.selectExpr("column_name", "stack(3, 'count', CAST(count AS DOUBLE), "
-                                  "'unique', CAST(unique AS DOUBLE), 'freq', CAST(freq AS DOUBLE))"
-                                  " AS (statistic, value)"))
-    nulls = null_counts(sample).select("column_name", F.lit("null_count").alias("statistic"),
-                                        F.col("null_count").cast("double").alias("value"))
-    size = sample.agg(F.count(F.lit(1)).cast("double").alias("value")).select(
-        F.lit("*").alias("column_name"), F.lit("sample_rows").alias("statistic"), "value")
-    out = nulls.unionByName(size)
-    for p in parts:
-        out = out.unionByName(p)
+        out = out.unionByName(t.selectExpr(
+            "column_name", "stack(3, 'count', CAST(count AS DOUBLE), 'unique', CAST(unique AS DOUBLE),"
+            " 'freq', CAST(freq AS DOUBLE)) AS (statistic, value)"))
     return out.select(F.lit(table_name).alias("table_name"), "column_name", "statistic", "value")
 
 
