@@ -45,8 +45,13 @@ class Replica:
         return self.spark.read.schema(JOB_LOG_SCHEMA).parquet(self.log_path)
 
     def _next_seq(self) -> int:
-        row = self.log().agg(F.max("seq").alias("m")).first()
-        return 0 if row["m"] is None else int(row["m"]) + 1
+        """Next job sequence number: read from the log once, then counted
+        here (one writer per replica, as with one sync job per table)."""
+        if getattr(self, "_seq", None) is None:
+            row = self.log().agg(F.max("seq").alias("m")).first()
+            self._seq = -1 if row["m"] is None else int(row["m"])
+        self._seq += 1
+        return self._seq
 
     def _append_log(self, job: dict) -> None:
         self.spark.createDataFrame([job], JOB_LOG_SCHEMA).coalesce(1) \
