@@ -19,7 +19,7 @@ GIVEN_TABLES = ("region nation customer supplier part orders lineitem events doc
 _PLACEHOLDERS = {
     "spark": {
         "{TS}": "TIMESTAMP_NTZ",
-        "{B64}": r"regexp_replace(base64(encode(text, 'UTF-8')), '[\r\n]', '')",
+        "{B64}": r"translate(base64(encode(text, 'UTF-8')), '\r\n', '')",
     },
     "duckdb": {
         "{TS}": "TIMESTAMP",

@@ -72,7 +72,7 @@ def profile_datetime(spark, sf):
 
 
 @register("profile_text", "P6", "\nUNION ALL\n".join(f"""
-SELECT '{c}' AS column_name, sum(n) AS count, count(*) AS "unique",
+SELECT '{c}' AS column_name, CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique",
   (SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY {c})
    ORDER BY n DESC, v LIMIT 1) AS top, max(n) AS freq
 FROM (SELECT {c}, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY {c})""" for c in ("o_orderstatus", "o_orderpriority")))

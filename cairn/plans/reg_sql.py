@@ -36,7 +36,7 @@ SELECT 'without_orders', count(*) FROM customer c
     "sql_range_join": """
 WITH days AS (
   SELECT CAST(ts AS DATE) AS d, count(*) AS events FROM events GROUP BY CAST(ts AS DATE))
-SELECT a.d, sum(b.events) AS events_3d FROM days a JOIN days b
+SELECT a.d, CAST(sum(b.events) AS BIGINT) AS events_3d FROM days a JOIN days b
   ON b.d BETWEEN a.d - INTERVAL '2' DAY AND a.d GROUP BY a.d""",
     "sql_distinct_agg": """
 SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users, round(avg(value), 6) AS avg_value
@@ -46,7 +46,7 @@ SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q
 FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""",
     "sql_window": """
 SELECT o_custkey, o_orderkey, o_totalprice,
-  rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS price_rank,
+  CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS price_rank,
   round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running_total
 FROM orders""",
@@ -64,7 +64,7 @@ SELECT 'any', count(*) FROM (
     "sql_scalars": """
 SELECT event_id, upper(substr(event_type, 1, 3)) AS type3, date_trunc('day', ts) AS day,
   value * 1.5 AS scaled, json_extract_string(props, '$.k') AS prop_k,
-  length(props) AS props_len
+  CAST(length(props) AS BIGINT) AS props_len
 FROM events""",
     "sql_subquery": """
 WITH cust_avg AS (SELECT o_custkey, avg(o_totalprice) AS avg_price FROM orders GROUP BY o_custkey)

@@ -227,3 +227,53 @@ def test_policies_drop_and_mask(spark, tables):
     with pytest.raises(ValueError):
         bad = spark.createDataFrame([("customer", "c_name", "explode")], "table_name string, column_name string, action string")
         governance.mask_columns(c, bad, "customer")
+
+
+def test_catalog_fold_rules(spark):
+    from cairn.operators import catalog
+    T = dt.datetime
+    acts = spark.createDataFrame([
+        (1, "s", "x", "remove", T(2024, 1, 1)), (2, "s", "x", "add", T(2024, 1, 2)),
+        (3, "s", "x", "add", T(2024, 1, 3)), (4, "s", "x", "remove", T(2024, 1, 4)),
+        (5, "s", "x", "add", T(2024, 1, 5)), (6, "s", "x", "add", T(2024, 1, 6)),
+        (7, "s", "y", "add", T(2024, 1, 1)), (8, "s", "y", "remove", T(2024, 1, 2)),
+        (9, "s", "z", "add", T(2024, 1, 1)), (10, "s", "z", "remove", T(2024, 1, 2)),
+    ], "action_id bigint, schema_name string, table_name string, action string, ts timestamp_ntz")
+    src = spark.createDataFrame([("s", "x"), ("s", "z")], "schema_name string, table_name string")
+    state, err = catalog.catalog_state(acts, src)
+    st = {r.table_name: (r.table_id, r.status, r.created_at) for r in state.collect()}
+    assert st == {"x": ("t2", "active", T(2024, 1, 5)), "z": ("t9", "inactive", T(2024, 1, 1))}
+    errs = {r.action_id: r.error for r in err.collect()}
+    assert errs == {1: "table not in catalog", 7: "table not found in source", 8: "table not in catalog"}
+
+
+def test_stream_window_drops_late_rows(spark):
+    from cairn.streaming import streams
+    T = dt.datetime
+    schema = "task_id string, worker string, queue string, state string, status string, name string, time_start timestamp_ntz"
+    root = work_dir(spark, "t-w2")
+    first = [("a", "w", "sync", "active", "SUCCESS", "n", T(2024, 1, 1, 5)),
+             ("b", "w", None, "active", "SUCCESS", "n", T(2024, 1, 3, 5))]
+    spark.createDataFrame(first, schema).write.mode("append").parquet(f"{root}/src")
+    streams.stream_queue_stats(spark, f"{root}/src", schema, f"{root}/out", f"{root}/ck")
+    late = [("c", "w", "sync", "active", "SUCCESS", "n", T(2024, 1, 1, 6)),   # behind the watermark
+            ("d", "w", "sync", "active", "SUCCESS", "n", T(2024, 1, 5, 5))]
+    spark.createDataFrame(late, schema).write.mode("append").parquet(f"{root}/src")
+    streams.stream_queue_stats(spark, f"{root}/src", schema, f"{root}/out", f"{root}/ck")
+    out = {(r.window_start.day, r.queue): r.tasks for r in spark.read.parquet(f"{root}/out").collect()}
+    assert out == {(1, "sync"): 1, (3, "other"): 1}   # day 5 is still open
+
+
+def test_stream_stale_job_emitted_after_watermark(spark):
+    from cairn.streaming import streams
+    T = dt.datetime
+    root = work_dir(spark, "t-w3")
+    starts = spark.createDataFrame([("j1", T(2024, 1, 1, 0)), ("j2", T(2024, 1, 1, 0)), ("j3", T(2024, 1, 2, 0))],
+                                   "job_id string, started_at timestamp_ntz")
+    ends = spark.createDataFrame([("j1", T(2024, 1, 1, 0, 30)), ("j2", T(2024, 1, 1, 3)), ("j3", T(2024, 1, 2, 5))],
+                                 "job_id string, completed_at timestamp_ntz")
+    starts.write.parquet(f"{root}/s")
+    ends.write.parquet(f"{root}/e")
+    streams.stream_stale_jobs(spark, f"{root}/s", f"{root}/e", starts.schema, ends.schema, f"{root}/out", f"{root}/ck")
+    got = sorted(r.job_id for r in spark.read.parquet(f"{root}/out").collect())
+    assert got == ["j2"]   # j1 ended in time; j3 waits for the watermark
