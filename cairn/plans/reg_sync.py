@@ -27,12 +27,13 @@ def sync_full(spark, sf):
 def sync_incremental(spark, sf):
     rep = sync.Replica(spark, work_dir(spark, "replica"), "events")
     events = io.scan(spark, sf, "events")
-    # First run: the source held the first 5000 events; no watermark yet, so
-    # everything is copied.  Second run: the grown source, from the watermark.
-    # Third run: nothing new, nothing appended, watermark kept.
-    sync.sync_incremental(rep, events.where(F.col("event_id") < 5000), "event_id", "jinc0001")
-    sync.sync_incremental(rep, events, "event_id", "jinc0002")
-    sync.sync_incremental(rep, events, "event_id", "jinc0003")
+    # First run: the source as it stood on 15 January; no watermark yet, so
+    # everything is copied.  Second run: the grown source, from the watermark
+    # on ts.  Third run: nothing new, nothing appended, watermark kept.
+    as_of_jan15 = events.where(F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    sync.sync_incremental(rep, as_of_jan15, "ts", "jinc0001")
+    sync.sync_incremental(rep, events, "ts", "jinc0002")
+    sync.sync_incremental(rep, events, "ts", "jinc0003")
     return rep.read()
 
 
