@@ -96,10 +96,10 @@ def queue_stats(tasks: DataFrame) -> DataFrame:
     "other", an unknown queue keeps its own row, known queues are zero-filled.
 
     Pivot with fixed state values (no extra pass to find them), then a full
-    outer join with the four known names (a fixed list, broadcast)."""
+    outer join with the four known names; its inputs are one row per queue."""
     counts = (tasks.withColumn("queue", F.coalesce("queue", F.lit("other")))
               .groupBy("queue").pivot("state", TASK_STATES).count())
-    out = counts.join(F.broadcast(_known_queues(tasks.sparkSession)), "queue", "full_outer")
+    out = counts.join(_known_queues(tasks.sparkSession), "queue", "full_outer")
     return out.select("queue", *[F.coalesce(F.col(s), F.lit(0)).cast("bigint").alias(s)
                                  for s in TASK_STATES])
 
@@ -133,10 +133,12 @@ def worker_status(tasks: DataFrame, pings: DataFrame) -> DataFrame:
 
 
 def worker_totals(tasks: DataFrame, pings: DataFrame) -> DataFrame:
-    """J8, totals: workers known and workers that answered."""
-    return worker_status(tasks, pings).agg(
-        F.count(F.lit(1)).alias("total_workers"),
-        F.count_if(F.col("status") == "online").alias("online_workers"))
+    """J8, totals: workers known (seen in the task log) and workers that
+    answered the ping (whether known or not)."""
+    known = tasks.agg(F.count_distinct("worker").alias("total_workers"))
+    answered = pings.agg(F.count_distinct("worker").alias("online_workers"))
+    return known.select("total_workers",
+                        F.lit(answered.first()["online_workers"]).cast("bigint").alias("online_workers"))
 
 
 def task_flags(tasks: DataFrame) -> DataFrame:

@@ -128,8 +128,8 @@ def worker_status(spark, sf):
 
 
 @register("worker_totals", "J8", """
-SELECT count(*) AS total_workers, count(p.worker) AS online_workers
-FROM (SELECT DISTINCT worker FROM task_events) w LEFT JOIN worker_pings p ON w.worker = p.worker""",
+SELECT (SELECT count(DISTINCT worker) FROM task_events) AS total_workers,
+  (SELECT count(DISTINCT worker) FROM worker_pings) AS online_workers""",
           fixtures=["task_events", "worker_pings"])
 def worker_totals(spark, sf):
     t = Tables(spark, sf)
