@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.plans.fixtures import Tables
 from cairn.plans.registry import register
 from cairn.session import work_dir
 from cairn.sources import io
