@@ -143,17 +143,17 @@ SELECT concat('a', lpad(concat('', doc_id), 8, '0')) AS artifact_id,
   CASE WHEN lang = 'de' THEN concat('renamed_', doc_id) END AS name,
   CASE WHEN lang = 'fr' THEN concat('{"reviewed":"', source, '"}') END AS metadata,
   CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(1 + doc_id % 9 AS INTEGER) END AS expiry_days,
-  CASE WHEN lang = 'es' THEN NULL WHEN doc_id % 5 = 0 THEN array_slice_placeholder
-       ELSE array_placeholder END AS tags
+  CASE WHEN lang = 'es' THEN NULL WHEN doc_id % 5 = 0 THEN {EMPTY_TAGS}
+       ELSE {TAGS} END AS tags
   FROM documents WHERE lang <> 'en'""",
 }
 
 # Engine spellings of the list literals in artifact_patches.
 _LISTS = {
-    "spark": {"array_slice_placeholder": "CAST(array() AS ARRAY<STRING>)",
-              "array_placeholder": "array('reviewed', lang)"},
-    "duckdb": {"array_slice_placeholder": "CAST([] AS VARCHAR[])",
-               "array_placeholder": "['reviewed', lang]"},
+    "spark": {"{EMPTY_TAGS}": "CAST(array() AS ARRAY<STRING>)",
+              "{TAGS}": "array('reviewed', lang)"},
+    "duckdb": {"{EMPTY_TAGS}": "CAST([] AS VARCHAR[])",
+               "{TAGS}": "['reviewed', lang]"},
 }
 
 
