@@ -157,17 +157,36 @@ def _moments(df: DataFrame, cols: Sequence[str], conv, with_std: bool = True) ->
     return wide.selectExpr(f"stack({len(cols)}, {parts}) AS (column_name, count, mean, std, min, max)")
 
 
-def _profile(df: DataFrame, cols: Sequence[str], conv) -> DataFrame:
+def _approx_quartiles(df: DataFrame, cols: Sequence[str], conv, accuracy: int) -> DataFrame:
+    """Quartiles from ``percentile_approx`` sketches: one pass, a sketch of
+    fixed size per column (rank error about 1/accuracy of the rows)."""
+    wide = df.agg(*[F.percentile_approx(conv(c), list(QUARTILES), accuracy).alias(f"q{i}")
+                    for i, c in enumerate(cols)])
+    parts = ", ".join(f"'{c}', q{i}[0], q{i}[1], q{i}[2]" for i, c in enumerate(cols))
+    return wide.selectExpr(f"stack({len(cols)}, {parts}) AS (column_name, p25, p50, p75)")
+
+
+def _profile(df: DataFrame, cols: Sequence[str], conv, approx: bool = False,
+             accuracy: int = 10000) -> DataFrame:
     mom = _moments(df, cols, conv)
-    qw = _quartile_columns(exact_quantiles(_long_values(df, cols, conv)), cols)
+    if approx:
+        qw = _approx_quartiles(df, cols, conv, accuracy)
+    else:
+        qw = _quartile_columns(exact_quantiles(_long_values(df, cols, conv)), cols)
     return mom.join(qw, "column_name", "left")
 
 
-def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Per numeric column: count, mean, std, min, 25%, 50%, 75%, max."""
+def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
+                    accuracy: int = 10000) -> DataFrame:
+    """Per numeric column: count, mean, std, min, 25%, 50%, 75%, max.
+
+    Quartiles are exact by default (pandas ``describe`` semantics).
+    ``approx=True`` takes them from ``percentile_approx`` sketches instead,
+    for very wide tables of high-cardinality columns where the exact plan's
+    (column, value) counts would be nearly as large as the table."""
     cols = list(columns or numeric_columns(df))
     types = {f.name: f.dataType for f in df.schema.fields}
-    out = _profile(df, cols, lambda c: _clean(c, types[c]))
+    out = _profile(df, cols, lambda c: _clean(c, types[c]), approx, accuracy)
     return out.select("column_name", F.col("count").cast("bigint").alias("count"), "mean", "std",
                       "min", "p25", "p50", "p75", "max")
 

@@ -277,3 +277,13 @@ def test_stream_stale_job_emitted_after_watermark(spark):
     streams.stream_stale_jobs(spark, f"{root}/s", f"{root}/e", starts.schema, ends.schema, f"{root}/out", f"{root}/ck")
     got = sorted(r.job_id for r in spark.read.parquet(f"{root}/out").collect())
     assert got == ["j2"]   # j1 ended in time; j3 waits for the watermark
+
+
+def test_approx_quartiles_close_to_exact(spark):
+    li = io.scan(spark, SF_SMALL, "lineitem").select("l_quantity", "l_extendedprice")
+    ex = {r.column_name: r for r in profile.profile_numeric(li).collect()}
+    ap = {r.column_name: r for r in profile.profile_numeric(li, approx=True).collect()}
+    for c in ex:
+        assert ex[c]["count"] == ap[c]["count"] and ex[c].mean == ap[c].mean
+        span = ex[c].max - ex[c].min
+        assert abs(ex[c].p50 - ap[c].p50) <= 0.01 * span
