@@ -46,7 +46,8 @@ def ingest(uploads: DataFrame, now: str, max_mb: int = MAX_SIZE_MB,
     text = F.col("content")
     valid = base64_valid(text)
     size = base64_size(text)
-    reason = (F.when((F.length("name") < 1) | (F.length("name") > 255), "invalid name")
+    reason = (F.when(F.col("name").isNull() | (F.length("name") < 1) | (F.length("name") > 255),
+                     "invalid name")
               .when(~F.col("type").isin(ARTIFACT_TYPES) | F.col("type").isNull(), "invalid type")
               .when(~F.col("format").isin(ARTIFACT_FORMATS) | F.col("format").isNull(), "invalid format")
               .when(F.col("expiry_days") <= 0, "invalid expiry_days")

@@ -78,7 +78,7 @@ class Replica:
         aggs = [F.count(F.lit(1)).alias("rows")]
         if watermark_col:
             aggs.append(F.max(watermark_col).cast("string").alias("wm"))
-        obs = Observation(f"sync_{job_id}")
+        obs = Observation()
         (df.observe(obs, *aggs).write.mode("overwrite")
            .parquet(f"{self.data_path}/batch={job_id}"))
         got = obs.get

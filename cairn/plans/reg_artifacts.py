@@ -14,7 +14,7 @@ A_COLS = ("artifact_id, name, type, format, size_bytes, storage_path, created_at
 
 # Strict base64 in SQL: alphabet, padding only at the end, length divisible by 4.
 _VALID_B64 = "(regexp_matches(content, '^[A-Za-z0-9+/]*={0,2}$') AND length(content) % 4 = 0)"
-_REASON = f"""CASE WHEN length(name) < 1 OR length(name) > 255 THEN 'invalid name'
+_REASON = f"""CASE WHEN name IS NULL OR length(name) < 1 OR length(name) > 255 THEN 'invalid name'
   WHEN type IS NULL OR type NOT IN ('data', 'model', 'report', 'other') THEN 'invalid type'
   WHEN format IS NULL OR format NOT IN ('json', 'csv', 'parquet', 'pickle', 'text', 'binary') THEN 'invalid format'
   WHEN expiry_days <= 0 THEN 'invalid expiry_days'

@@ -71,7 +71,7 @@ def stage_export(df: DataFrame, path: str, where: str | None = None) -> tuple[st
     write itself through an Observation."""
     if where:
         df = df.where(F.expr(where))
-    obs = Observation("stage_export")
+    obs = Observation()
     df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
     return path, int(obs.get["rows"])
 
@@ -89,7 +89,7 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> dict:
     with line breaks stays one record (read back with ``multiLine``)."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}")
-    obs = Observation(f"write_{fmt}")
+    obs = Observation()
     out = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
     if fmt == "csv":
         out.option("header", True).option("escape", '"') \

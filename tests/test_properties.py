@@ -157,12 +157,14 @@ def test_retention_cutoff_is_strict(spark):
 def test_strict_base64(spark):
     up = spark.createDataFrame(
         [(1, "n", "data", "json", "YmFy", None), (2, "n", "data", "json", "YmF", None),
-         (3, "n", "data", "json", "*bad", None), (4, "n", "data", "json", "", 3)],
+         (3, "n", "data", "json", "*bad", None), (4, "n", "data", "json", "", 3),
+         (5, None, "data", "json", "YmFy", None), (6, "n", "data", "json", None, None)],
         "upload_id bigint, name string, type string, format string, content string, expiry_days int"
     ).withColumn("swarm_token", F.lit("o"))
     acc, rej = art.ingest(up, ARTIFACT_CLOCK)
     assert {r.artifact_id: r.size_bytes for r in acc.collect()} == {"a00000001": 3, "a00000004": 0}
-    assert {r.upload_id: r.reason for r in rej.collect()} == {2: "invalid base64", 3: "invalid base64"}
+    assert {r.upload_id: r.reason for r in rej.collect()} == {
+        2: "invalid base64", 3: "invalid base64", 5: "invalid name", 6: "invalid base64"}
 
 
 def test_touch_never_shortens_and_purge_splits(tables):
