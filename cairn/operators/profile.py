@@ -70,25 +70,17 @@ def sample_hash(df: DataFrame, keys: Sequence[str], fraction: float) -> DataFram
 
 # -- exact quantiles -------------------------------------------------------------
 
-def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = QUARTILES,
-                    partitions: int | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation per group.
-
-    ``long_df`` has columns ``g`` (an int group id, e.g. a column's position)
-    and ``v`` (double, nulls and NaN already removed).  Returns
-    ``g, q, value``.
+def ranked_counts(long_df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Distinct (g, v) with their count ``c``, range partition ``pid`` and the
+    running count ``cum`` of g's values up to v inside that partition.
 
     1. count each distinct (g, v) with map-side partial aggregation;
     2. range-partition the counts by (g, v) and take running counts inside
        each (partition, g) with a window: every window holds one range
        partition of one column, so no task sees a whole column;
-    3. checkpoint these ranked rows to the shared checkpoint folder: it cuts
-       the lineage and pins the partition ids, so the offsets below and the
-       ranks they are added to come from the same rows;
-    4. the offset of each partition within its group is a running sum over
-       at most partitions x groups rows (broadcast: a proven bound);
-    5. keep only the rows whose rank span holds a wanted rank and
-       interpolate."""
+    3. checkpoint the ranked rows to the shared checkpoint folder: it cuts the
+       lineage and pins the partition ids, so the offsets and the ranks they
+       are added to come from the same rows."""
     from pyspark.sql import Window
     spark = long_df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -96,7 +88,22 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = QUARTILES,
     ranged = vc.repartitionByRange(partitions, "g", "v").withColumn("pid", F.spark_partition_id())
     run = (Window.partitionBy("pid", "g").orderBy("v")
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = ranged.withColumn("cum", F.sum("c").over(run)).checkpoint(eager=True)
+    return ranged.withColumn("cum", F.sum("c").over(run)).checkpoint(eager=True)
+
+
+def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = QUARTILES,
+                    partitions: int | None = None, ranked: DataFrame | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation per group.
+
+    ``long_df`` has columns ``g`` (an int group id, e.g. a column's position)
+    and ``v`` (double, nulls and NaN already removed).  Returns
+    ``g, q, value``.  On top of ``ranked_counts`` (pass ``ranked`` to reuse
+    it): the offset of each range partition within its group is a running sum
+    over at most partitions x groups rows (broadcast: a proven bound); only
+    the rows whose rank span holds a wanted rank are kept and interpolated."""
+    from pyspark.sql import Window
+    if ranked is None:
+        ranked = ranked_counts(long_df, partitions)
     totals = ranked.groupBy("g", "pid").agg(F.max("cum").alias("pt"))
     w = Window.partitionBy("g").orderBy("pid")
     offsets = totals.select("g", "pid", (F.sum("pt").over(w) - F.col("pt")).alias("off"),
@@ -138,14 +145,6 @@ def _long_values(df: DataFrame, cols: Sequence[str], conv, first_id: int = 0) ->
     return (df.select(F.inline(pairs)).where(F.col("v").isNotNull()))
 
 
-def _quartile_columns(q: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Wide quartiles per column name from ``exact_quantiles`` output."""
-    name_of = F.element_at(F.create_map(*[x for i, n in enumerate(names)
-                                          for x in (F.lit(i), F.lit(n))]), F.col("g"))
-    return q.groupBy(name_of.alias("column_name")).agg(
-        *[F.max(F.when(F.col("q") == p, F.col("value"))).alias(f"p{int(p * 100)}") for p in QUARTILES])
-
-
 def _moments(df: DataFrame, cols: Sequence[str], conv, with_std: bool = True) -> DataFrame:
     aggs = []
     for i, c in enumerate(cols):
@@ -166,13 +165,22 @@ def _approx_quartiles(df: DataFrame, cols: Sequence[str], conv, accuracy: int) -
     return wide.selectExpr(f"stack({len(cols)}, {parts}) AS (column_name, p25, p50, p75)")
 
 
+def _names(spark, cols: Sequence[str]) -> DataFrame:
+    """(g, column_name) for the profiled columns (metadata, one row each)."""
+    return spark.createDataFrame(list(enumerate(cols)), "g int, column_name string")
+
+
 def _profile(df: DataFrame, cols: Sequence[str], conv, approx: bool = False,
              accuracy: int = 10000) -> DataFrame:
+    """Moments and quartiles per column.  The moments are one aggregation
+    pass with fixed-size buffers (partial per task); the quartiles come from
+    ranked value counts (exact) or from sketches (``approx``)."""
     mom = _moments(df, cols, conv)
     if approx:
-        qw = _approx_quartiles(df, cols, conv, accuracy)
-    else:
-        qw = _quartile_columns(exact_quantiles(_long_values(df, cols, conv)), cols)
+        return mom.join(_approx_quartiles(df, cols, conv, accuracy), "column_name", "left")
+    q = exact_quantiles(_long_values(df, cols, conv)).groupBy("g").agg(
+        *[F.max(F.when(F.col("q") == p, F.col("value"))).alias(f"p{int(p * 100)}") for p in QUARTILES])
+    qw = _names(df.sparkSession, cols).join(q, "g", "inner").drop("g")
     return mom.join(qw, "column_name", "left")
 
 
