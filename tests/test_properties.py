@@ -289,3 +289,18 @@ def test_approx_quartiles_close_to_exact(spark):
         assert ex[c]["count"] == ap[c]["count"] and ex[c].mean == ap[c].mean
         span = ex[c].max - ex[c].min
         assert abs(ex[c].p50 - ap[c].p50) <= 0.01 * span
+
+
+def test_sql_positional_params_and_row_cap(spark):
+    from cairn.operators import sqljobs
+    io.scan(spark, SF_SMALL, "events").createOrReplaceTempView("events")
+    df = sqljobs.run_sql(spark, "SELECT event_id FROM events WHERE event_type = ? AND value > ? ORDER BY event_id",
+                         args=["click", 10], max_rows=5)
+    want = [r.event_id for r in io.scan(spark, SF_SMALL, "events")
+            .where("event_type = 'click' AND value > 10").orderBy("event_id").limit(5).collect()]
+    assert [r.event_id for r in df.collect()] == want
+
+
+def test_page_needs_total_order(spark):
+    with pytest.raises(ValueError):
+        io.page(io.scan(spark, SF_SMALL, "orders"), [], 10)
