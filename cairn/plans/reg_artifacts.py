@@ -47,14 +47,15 @@ _TAGLIST = ("(SELECT artifact_id, list_sort(list_distinct(list(tag))) AS tags FR
 _INFO = f"""
 SELECT a.artifact_id, a.name, a.type, a.format, a.size_bytes, a.created_at, a.expires_at, a.swarm_token,
   json_extract_string(a.metadata, '$.lang') AS meta_lang, json_extract_string(a.metadata, '$.src') AS meta_src,
-  coalesce(g.tags, CAST([] AS VARCHAR[])) AS tags
+  array_to_string(coalesce(g.tags, CAST([] AS VARCHAR[])), ',') AS tags
 FROM artifacts a LEFT JOIN {_TAGLIST} g ON a.artifact_id = g.artifact_id"""
 
 
 def _info_cols(df):
     return df.select("artifact_id", "name", "type", "format", "size_bytes", "created_at", "expires_at",
                      "swarm_token", F.element_at("metadata", F.lit("lang")).alias("meta_lang"),
-                     F.element_at("metadata", F.lit("src")).alias("meta_src"), "tags")
+                     F.element_at("metadata", F.lit("src")).alias("meta_src"),
+                     F.array_join("tags", ",").alias("tags"))
 
 
 @register("artifact_info", "A2", _INFO + "\nWHERE a.swarm_token = 'swarm1'", fixtures=["artifacts", "artifact_tags"])

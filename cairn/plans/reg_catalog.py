@@ -108,10 +108,16 @@ def list_allowed(spark, sf):
     return catalog.list_allowed(Tables(spark, sf)["allowed_tables"])
 
 
+def _tags_as_text(df):
+    """Tag lists as sorted comma-joined text for the comparison with the
+    oracle (list values compare differently across engines' client types)."""
+    return df.withColumn("tags", F.array_join("tags", ","))
+
+
 _META = """
 SELECT a.table_id, a.table_name, a.schema_name, a.source, coalesce(m.column_count, 0) AS column_count,
   CAST(coalesce(m.row_count, 0) AS BIGINT) AS row_count, CAST(coalesce(m.size_bytes, 0) AS BIGINT) AS size_bytes,
-  m.last_updated, m.description, coalesce(g.tags, CAST([] AS VARCHAR[])) AS tags
+  m.last_updated, m.description, array_to_string(coalesce(g.tags, CAST([] AS VARCHAR[])), ',') AS tags
 FROM allowed_tables a LEFT JOIN table_metadata m ON a.table_id = m.table_id
 LEFT JOIN (SELECT table_id, list_sort(list_distinct(list(tag))) AS tags FROM table_tags GROUP BY table_id) g
   ON a.table_id = g.table_id
@@ -121,7 +127,7 @@ WHERE a.status = 'active'"""
 @register("table_metadata", "C5", _META, fixtures=["allowed_tables", "table_metadata", "table_tags"])
 def table_metadata(spark, sf):
     t = Tables(spark, sf)
-    return catalog.table_metadata(t["allowed_tables"], t["table_metadata"], t["table_tags"])
+    return _tags_as_text(catalog.table_metadata(t["allowed_tables"], t["table_metadata"], t["table_tags"]))
 
 
 @register("schema_inventory", "C6", "\nUNION ALL\n".join(
@@ -144,4 +150,4 @@ def find_by_tag(spark, sf):
           fixtures=["allowed_tables", "table_metadata", "table_tags"])
 def list_data(spark, sf):
     t = Tables(spark, sf)
-    return catalog.list_data(t["allowed_tables"], t["table_metadata"], t["table_tags"])
+    return _tags_as_text(catalog.list_data(t["allowed_tables"], t["table_metadata"], t["table_tags"]))
