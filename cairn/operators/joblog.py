@@ -27,32 +27,31 @@ def sync_job_status(jobs: DataFrame, catalog: DataFrame) -> DataFrame:
         "error_message", "started_at", "completed_at", "rows_synced")
 
 
-def table_sync_status(catalog: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Every registered table with its latest job (status, time, error)
-    and the time and rows of its last completed job; 0 rows if none (D20).
+def table_sync_status(catalog: DataFrame, jobs: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """Every registered table with its sync status (D20): id, status and
+    error of its latest job, time and row count of its last completed job (0
+    rows if none), and its size in bytes from the table metadata (0 if none).
 
     Both "latest" picks are ``max_by`` aggregations, partial per partition."""
     order = [F.coalesce("started_at", ts_lit(_EPOCH)), "job_id"]
-    latest = latest_per_key(
-        jobs.select("table_id", "job_id", "status", "started_at", "completed_at", "error_message"),
-        ["table_id"], order)
-    done = (jobs.where(F.col("status") == "completed")
-            .groupBy("table_id")
+    latest = latest_per_key(jobs.select("table_id", "job_id", "status", "started_at", "error_message"),
+                            ["table_id"], order)
+    done = (jobs.where(F.col("status") == "completed").groupBy("table_id")
             .agg(F.max_by(F.struct("completed_at", "rows_synced"),
-                          F.struct("completed_at", "job_id")).alias("s"),
-                 F.sum("rows_synced").alias("total_rows_synced")))
-    return (catalog.select("table_id", "table_name", "schema_name", "status")
-            .join(latest.select("table_id", F.col("job_id").alias("last_job_id"),
-                                F.col("status").alias("last_job_status"),
-                                F.col("started_at").alias("last_job_started_at"),
-                                F.col("error_message").alias("last_error_message")),
-                  "table_id", "left")
-            .join(done, "table_id", "left")
-            .select("table_id", "table_name", "schema_name", "status", "last_job_id",
-                    "last_job_status", "last_job_started_at", "last_error_message",
-                    F.col("s.completed_at").alias("last_success_at"),
-                    F.coalesce(F.col("s.rows_synced"), F.lit(0)).cast("bigint").alias("last_success_rows"),
-                    F.coalesce("total_rows_synced", F.lit(0)).cast("bigint").alias("total_rows_synced")))
+                          F.struct("completed_at", "job_id")).alias("s")))
+    out = (catalog.select("table_id", "table_name", "schema_name")
+           .join(latest.select("table_id", F.col("job_id").alias("last_sync_id"),
+                               F.col("status").alias("last_sync_status"),
+                               F.col("error_message").alias("last_error")), "table_id", "left")
+           .join(done, "table_id", "left"))
+    size = F.lit(0).cast("bigint")
+    if meta is not None:
+        out = out.join(meta.select("table_id", F.col("size_bytes").alias("_bytes")), "table_id", "left")
+        size = F.coalesce(F.col("_bytes"), size)
+    return out.select("table_id", "table_name", "schema_name", "last_sync_id", "last_sync_status",
+                      F.col("s.completed_at").alias("last_sync_at"), "last_error",
+                      F.coalesce(F.col("s.rows_synced"), F.lit(0)).cast("bigint").alias("row_count"),
+                      size.cast("bigint").alias("size_bytes"))
 
 
 def retention_delete(jobs: DataFrame, now: str, done_hours: int = 24, failed_hours: int = 72) -> DataFrame:

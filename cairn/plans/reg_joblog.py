@@ -27,18 +27,17 @@ WITH latest AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_id
     ORDER BY coalesce(started_at, TIMESTAMP '0001-01-01') DESC, job_id DESC) AS rn FROM sync_jobs) WHERE rn = 1),
 done AS (
-  SELECT table_id, completed_at, rows_synced, total FROM (
-    SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY completed_at DESC, job_id DESC) AS rn,
-      sum(rows_synced) OVER (PARTITION BY table_id) AS total
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY completed_at DESC, job_id DESC) AS rn
     FROM sync_jobs WHERE status = 'completed') WHERE rn = 1)
-SELECT a.table_id, a.table_name, a.schema_name, a.status, l.job_id AS last_job_id, l.status AS last_job_status,
-  l.started_at AS last_job_started_at, l.error_message AS last_error_message, d.completed_at AS last_success_at,
-  CAST(coalesce(d.rows_synced, 0) AS BIGINT) AS last_success_rows, CAST(coalesce(d.total, 0) AS BIGINT) AS total_rows_synced
-FROM allowed_tables a LEFT JOIN latest l ON a.table_id = l.table_id LEFT JOIN done d ON a.table_id = d.table_id""",
-          fixtures=["sync_jobs", "allowed_tables"])
+SELECT a.table_id, a.table_name, a.schema_name, l.job_id AS last_sync_id, l.status AS last_sync_status,
+  d.completed_at AS last_sync_at, l.error_message AS last_error,
+  CAST(coalesce(d.rows_synced, 0) AS BIGINT) AS row_count, CAST(coalesce(m.size_bytes, 0) AS BIGINT) AS size_bytes
+FROM allowed_tables a LEFT JOIN latest l ON a.table_id = l.table_id LEFT JOIN done d ON a.table_id = d.table_id
+LEFT JOIN table_metadata m ON a.table_id = m.table_id""",
+          fixtures=["sync_jobs", "allowed_tables", "table_metadata"])
 def table_sync_status(spark, sf):
     t = Tables(spark, sf)
-    return joblog.table_sync_status(t["allowed_tables"], t["sync_jobs"])
+    return joblog.table_sync_status(t["allowed_tables"], t["sync_jobs"], t["table_metadata"])
 
 
 _RETAIN = """
