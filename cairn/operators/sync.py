@@ -308,8 +308,9 @@ def table_stats(spark: SparkSession, path: str) -> DataFrame:
 def reconcile(src: DataFrame, tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Compare a source with its replica after a sync.
 
-    One row per check: row counts, per-column null counts, rows only in the
-    source, rows only in the replica and keys whose rows differ.
+    One row per check: row counts, per-column types (1 when the replica's
+    type differs) and null counts, rows only in the source, rows only in the
+    replica and keys whose rows differ.
 
     The row diff is one aggregation over both sides grouped by the keys: per
     key and side a row count and an order-insensitive fingerprint (the sum of
@@ -347,7 +348,12 @@ def reconcile(src: DataFrame, tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
         "stack(3, 'only_in_source', '*', CAST(only_in_source AS BIGINT), 'only_in_replica', '*',"
         " CAST(only_in_replica AS BIGINT), 'changed', '*', changed) AS (check_name, column_name, replica_value)"
     ).withColumn("source_value", F.lit(0).cast("bigint"))
-    out = counts.unionByName(diff_long)
+    # Types are schema metadata: one row per column, built on the driver.
+    tt = dict(tgt.dtypes)
+    types = src.sparkSession.createDataFrame(
+        [("type_mismatch", c, 0, int(tt[c] != ty)) for c, ty in src.dtypes if c in tt],
+        "check_name string, column_name string, source_value bigint, replica_value bigint")
+    out = counts.unionByName(diff_long).unionByName(types)
     return out.withColumn("ok", F.col("source_value") == F.col("replica_value"))
 
 

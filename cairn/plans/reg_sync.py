@@ -166,6 +166,8 @@ def _reconcile_oracle() -> str:
     parts.append("SELECT 'only_in_source', '*', 0, 0")
     parts.append("SELECT 'only_in_replica', '*', 0, (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT')")
     parts.append("SELECT 'changed', '*', 0, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O')")
+    for c in cols:
+        parts.append(f"SELECT 'type_mismatch', '{c}', 0, 0")
     body = "\nUNION ALL\n".join(parts)
     return (f"WITH upserted AS ({_UPSERTED}),\nchecks AS ({body})\n"
             "SELECT check_name, column_name, CAST(source_value AS BIGINT) AS source_value,"

@@ -304,3 +304,20 @@ def test_sql_positional_params_and_row_cap(spark):
 def test_page_needs_total_order(spark):
     with pytest.raises(ValueError):
         io.page(io.scan(spark, SF_SMALL, "orders"), [], 10)
+
+
+def test_reconcile_reports_type_change(spark):
+    orders = io.scan(spark, SF_SMALL, "orders")
+    changed = orders.withColumn("o_custkey", F.col("o_custkey").cast("int"))
+    r = {x.column_name: x.replica_value for x in sync.reconcile(orders, changed, ["o_orderkey"]).collect()
+         if x.check_name == "type_mismatch"}
+    assert r["o_custkey"] == 1 and sum(r.values()) == 1
+
+
+def test_table_stats_and_inventory_bytes(spark):
+    from cairn.operators import catalog
+    st = sync.table_stats(spark, f"{SF_SMALL}/orders.parquet").first()
+    assert st.row_count == io.scan(spark, SF_SMALL, "orders").count() and st.size_bytes > 0
+    inv = {r.table_name: r for r in catalog.schema_inventory(spark, SF_SMALL, ["orders", "nation"]).collect()}
+    assert inv["nation"].row_count == 25 and inv["orders"].size_bytes == st.size_bytes
+    assert inv["orders"].last_modified is not None
