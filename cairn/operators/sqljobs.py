@@ -63,7 +63,9 @@ def run_query_job(spark: SparkSession, job_id: str, text: str, fmt: str, path: s
 
 def query_result(spark: SparkSession, job: dict, schema=None) -> DataFrame:
     """Q6: the stored result of a completed job, read back by its format.  A
-    job that is not completed has no result: its status is raised instead."""
+    job that is not completed has no result: its status row (job_id, status,
+    error) comes back instead, as Q4 would give it."""
     if job["status"] != "completed":
-        raise ValueError(f"job {job['job_id']} is {job['status']}: {job.get('error')}")
+        return spark.createDataFrame([(job["job_id"], job["status"], job.get("error"))],
+                                     "job_id string, status string, error string")
     return read_result(spark, job["result_path"], job["format"], schema)

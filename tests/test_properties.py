@@ -321,3 +321,11 @@ def test_table_stats_and_inventory_bytes(spark):
     inv = {r.table_name: r for r in catalog.schema_inventory(spark, SF_SMALL, ["orders", "nation"]).collect()}
     assert inv["nation"].row_count == 25 and inv["orders"].size_bytes == st.size_bytes
     assert inv["orders"].last_modified is not None
+
+
+def test_query_result_of_failed_job_is_its_status(spark):
+    from cairn.operators import sqljobs
+    job = sqljobs.run_query_job(spark, "qfail", "SELECT * FROM no_such_table", "csv",
+                                work_dir(spark, "t-q")).first().asDict()
+    out = sqljobs.query_result(spark, job).first()
+    assert out.status == "failed" and "no_such_table" in out.error
