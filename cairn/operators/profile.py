@@ -82,7 +82,9 @@ def ranked_counts(long_df: DataFrame, partitions: int | None = None) -> DataFram
        lineage and pins the partition ids, so the offsets and the ranks they
        are added to come from the same rows."""
     from pyspark.sql import Window
+    from cairn.session import ensure_checkpoint_dir
     spark = long_df.sparkSession
+    ensure_checkpoint_dir(spark)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vc = long_df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
     ranged = vc.repartitionByRange(partitions, "g", "v").withColumn("pid", F.spark_partition_id())
