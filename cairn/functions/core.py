@@ -22,7 +22,9 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
 
     Expressed as ``max_by(struct(all columns), struct(order))`` so the shuffle
     carries partial aggregates: a key holding a third of all rows is reduced
-    map-side to one candidate per partition before it moves.  No sort, no window.
+    map-side to one candidate per partition before it moves.  No window gathers a
+    key's rows; with variable-width columns Spark runs it as a sort-based
+    aggregate, which spills instead of holding a group in memory.
     """
     keys = list(keys)
     others = [c for c in df.columns if c not in keys]

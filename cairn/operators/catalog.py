@@ -28,7 +28,7 @@ def catalog_state(actions: DataFrame, source_tables: DataFrame) -> tuple[DataFra
     action; created_at is the last add that directly follows a remove (or the
     first add).
 
-    Done with grouped aggregations only (no per-key window or sort), so a table
+    Done with grouped aggregations only (no window over a table's actions), so a table
     with a third of all actions is pre-aggregated on every partition before
     the shuffle:
       1. per key: first add, last action, last add;
