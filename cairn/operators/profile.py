@@ -25,6 +25,9 @@ from pyspark.sql import types as T
 from cairn.functions.core import hash_unit, TWO_POW_32
 
 QUARTILES = (0.25, 0.5, 0.75)
+# Largest offsets table (one row per range partition and group, four numbers)
+# that exact_quantiles broadcasts: about 100 MB.
+OFFSETS_BROADCAST_ROWS = 4_000_000
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
 _DATETIME = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -94,14 +97,17 @@ def ranked_counts(long_df: DataFrame, partitions: int | None = None) -> DataFram
 
 
 def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = QUARTILES,
-                    partitions: int | None = None, ranked: DataFrame | None = None) -> DataFrame:
+                    partitions: int | None = None, ranked: DataFrame | None = None,
+                    groups: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation per group.
 
     ``long_df`` has columns ``g`` (an int group id, e.g. a column's position)
     and ``v`` (double, nulls and NaN already removed).  Returns
     ``g, q, value``.  On top of ``ranked_counts`` (pass ``ranked`` to reuse
     it): the offset of each range partition within its group is a running sum
-    over at most partitions x groups rows (broadcast: a proven bound); only
+    over at most partitions x groups rows.  That bound is checked before the
+    offsets are broadcast (``groups`` is counted when not given); beyond
+    ``OFFSETS_BROADCAST_ROWS`` the join is left to AQE (a shuffle join).  Only
     the rows whose rank span holds a wanted rank are kept and interpolated."""
     from pyspark.sql import Window
     if ranked is None:
@@ -110,7 +116,11 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = QUARTILES,
     w = Window.partitionBy("g").orderBy("pid")
     offsets = totals.select("g", "pid", (F.sum("pt").over(w) - F.col("pt")).alias("off"),
                            F.sum("pt").over(Window.partitionBy("g")).alias("n"))
-    pos = ranked.join(F.broadcast(offsets), ["g", "pid"], "inner").select(
+    if groups is None:
+        groups = totals.select("g").distinct().count()
+    bound = ranked.rdd.getNumPartitions() * max(int(groups), 1)
+    side = F.broadcast(offsets) if bound <= OFFSETS_BROADCAST_ROWS else offsets
+    pos = ranked.join(side, ["g", "pid"], "inner").select(
         "g", "v", "n", (F.col("off") + F.col("cum") - F.col("c")).alias("first_rank"),
         (F.col("off") + F.col("cum") - 1).alias("last_rank"))
     wanted = F.array(*[F.struct(F.lit(q).alias("q"),
@@ -180,7 +190,7 @@ def _profile(df: DataFrame, cols: Sequence[str], conv, approx: bool = False,
     mom = _moments(df, cols, conv)
     if approx:
         return mom.join(_approx_quartiles(df, cols, conv, accuracy), "column_name", "left")
-    q = exact_quantiles(_long_values(df, cols, conv)).groupBy("g").agg(
+    q = exact_quantiles(_long_values(df, cols, conv), groups=len(cols)).groupBy("g").agg(
         *[F.max(F.when(F.col("q") == p, F.col("value"))).alias(f"p{int(p * 100)}") for p in QUARTILES])
     qw = _names(df.sparkSession, cols).join(q, "g", "inner").drop("g")
     return mom.join(qw, "column_name", "left")
@@ -291,7 +301,7 @@ def profile_table(df: DataFrame, table_name: str, fraction: float = 1.0, seed: i
     stack = ", ".join(f"'{c}', '{st}', CAST({e} AS DOUBLE)" for c, st, e in triples)
     out = wide.selectExpr(f"stack({len(triples)}, {stack}) AS (column_name, statistic, value)")
     if stat_cols:
-        q = exact_quantiles(_long_values(sample, stat_cols, conv))
+        q = exact_quantiles(_long_values(sample, stat_cols, conv), groups=len(stat_cols))
         names = F.create_map(*[x for i, c in enumerate(stat_cols) for x in (F.lit(i), F.lit(c))])
         is_dt = F.col("g") >= F.lit(len(num))
         out = out.unionByName(q.select(

@@ -329,3 +329,11 @@ def test_query_result_of_failed_job_is_its_status(spark):
                                 work_dir(spark, "t-q")).first().asDict()
     out = sqljobs.query_result(spark, job).first()
     assert out.status == "failed" and "no_such_table" in out.error
+
+
+def test_quantiles_without_broadcast_beyond_bound(spark, monkeypatch):
+    li = io.scan(spark, SF_SMALL, "lineitem").select("l_quantity", "l_extendedprice")
+    want = [tuple(r) for r in profile.profile_numeric(li).orderBy("column_name").collect()]
+    monkeypatch.setattr(profile, "OFFSETS_BROADCAST_ROWS", 0)
+    got = [tuple(r) for r in profile.profile_numeric(li).orderBy("column_name").collect()]
+    assert got == want
