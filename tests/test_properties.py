@@ -337,3 +337,14 @@ def test_quantiles_without_broadcast_beyond_bound(spark, monkeypatch):
     monkeypatch.setattr(profile, "OFFSETS_BROADCAST_ROWS", 0)
     got = [tuple(r) for r in profile.profile_numeric(li).orderBy("column_name").collect()]
     assert got == want
+
+
+def test_stream_drops_out_of_order(spark):
+    from cairn.streaming import streams
+    ev = io.scan(spark, SF_SMALL, "events")
+    root = work_dir(spark, "t-w1-order")
+    ev.where("event_id >= 500").write.mode("append").parquet(f"{root}/src")   # later events first
+    streams.stream_incremental(spark, f"{root}/src", ev.schema, f"{root}/out", f"{root}/ck")
+    ev.where("event_id < 500").write.mode("append").parquet(f"{root}/src")
+    streams.stream_incremental(spark, f"{root}/src", ev.schema, f"{root}/out", f"{root}/ck")
+    assert _rows(streams.read_stream_replica(spark, f"{root}/out")) == _rows(ev)
