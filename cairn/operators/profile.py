@@ -263,14 +263,17 @@ def _missing(f) -> F.Column:
     return miss
 
 
-def profile_table(df: DataFrame, table_name: str, fraction: float = 1.0, seed: int = 42) -> DataFrame:
+def profile_table(df: DataFrame, table_name: str, fraction: float = 1.0, seed: int = 42,
+                  info: DataFrame | None = None) -> DataFrame:
     """The whole report in long form: (table_name, column_name, statistic,
     value).  Numeric statistics as numbers, datetime statistics as whole epoch
     microseconds, null counts for every column and the sample size.
 
     Two passes over the sample whatever its width: one aggregation for the
     moments, null counts and row count of all columns, and one shared
-    exact-quantile pipeline for the numeric and datetime columns together."""
+    exact-quantile pipeline for the numeric and datetime columns together.
+    ``info`` is the table's catalog row (C5 output: column_count, row_count,
+    size_bytes); its numbers come out as statistics of column '*'."""
     if not 0.0 < fraction <= 1.0:
         raise ValueError("fraction must be within (0, 1]")
     sample = sample_random(df, fraction, seed)
@@ -313,6 +316,11 @@ def profile_table(df: DataFrame, table_name: str, fraction: float = 1.0, seed: i
         out = out.unionByName(t.selectExpr(
             "column_name", "stack(3, 'count', CAST(count AS DOUBLE), 'unique', CAST(unique AS DOUBLE),"
             " 'freq', CAST(freq AS DOUBLE)) AS (statistic, value)"))
+    if info is not None:
+        out = out.unionByName(info.selectExpr(
+            "'*' AS column_name", "stack(3, 'catalog_column_count', CAST(column_count AS DOUBLE),"
+            " 'catalog_row_count', CAST(row_count AS DOUBLE), 'catalog_size_bytes',"
+            " CAST(size_bytes AS DOUBLE)) AS (statistic, value)"))
     return out.select(F.lit(table_name).alias("table_name"), "column_name", "statistic", "value")
 
 

@@ -348,3 +348,14 @@ def test_stream_drops_out_of_order(spark):
     ev.where("event_id < 500").write.mode("append").parquet(f"{root}/src")
     streams.stream_incremental(spark, f"{root}/src", ev.schema, f"{root}/out", f"{root}/ck")
     assert _rows(streams.read_stream_replica(spark, f"{root}/out")) == _rows(ev)
+
+
+def test_profile_table_with_catalog_row(spark, tables):
+    from cairn.operators import catalog
+    info = catalog.table_metadata(tables["allowed_tables"], tables["table_metadata"], tables["table_tags"]) \
+        .where(F.col("table_id") == "t001")
+    rep = profile.profile_table(tables["nation"], "nation", info=info)
+    got = {r.statistic: r.value for r in rep.where(F.col("column_name") == "*").collect()}
+    row = info.first()
+    assert got["catalog_row_count"] == row.row_count and got["catalog_size_bytes"] == row.size_bytes
+    assert got["sample_rows"] == 25.0
