@@ -1,7 +1,9 @@
 """Registered queries: SQL jobs (Q1-Q6) and the pass-through coverage suite.
 
-The coverage texts run unchanged in Spark (through ``run_sql`` over the
-allowed views) and in DuckDB, so each is its own oracle.
+The coverage texts run in Spark (through ``run_sql`` over the allowed views)
+and in DuckDB, so each is its own oracle; where the two dialects spell a
+function differently (JSON, arrays, timestamp types), the Spark text swaps
+that spelling and nothing else.
 """
 
 from __future__ import annotations
@@ -64,7 +66,9 @@ SELECT 'any', count(*) FROM (
     "sql_scalars": """
 SELECT event_id, upper(substr(event_type, 1, 3)) AS type3, date_trunc('day', ts) AS day,
   value * 1.5 AS scaled, json_extract_string(props, '$.k') AS prop_k,
-  CAST(length(props) AS BIGINT) AS props_len
+  CAST(length(props) AS BIGINT) AS props_len,
+  CAST(len(string_split(event_type || '_' || CAST(user_id AS VARCHAR), '_')) AS BIGINT) AS n_parts,
+  list_sort([event_type, CAST(user_id AS VARCHAR)])[1] AS first_sorted
 FROM events""",
     "sql_subquery": """
 WITH cust_avg AS (SELECT o_custkey, avg(o_totalprice) AS avg_price FROM orders GROUP BY o_custkey)
@@ -77,7 +81,11 @@ _SPARK_TEXT = {
     "sql_scalars": COVERAGE["sql_scalars"].replace("json_extract_string(props, '$.k')",
                                                    "get_json_object(props, '$.k')")
                                           .replace("date_trunc('day', ts)",
-                                                   "CAST(date_trunc('day', ts) AS TIMESTAMP_NTZ)"),
+                                                   "CAST(date_trunc('day', ts) AS TIMESTAMP_NTZ)")
+                                          .replace("len(string_split(event_type || '_' || CAST(user_id AS VARCHAR), '_'))",
+                                                   "size(split(concat(event_type, '_', CAST(user_id AS STRING)), '_'))")
+                                          .replace("list_sort([event_type, CAST(user_id AS VARCHAR)])[1]",
+                                                   "element_at(array_sort(array(event_type, CAST(user_id AS STRING))), 1)"),
 }
 
 
