@@ -33,23 +33,27 @@ ARTIFACT_CLOCK = "2024-01-15 00:00:00"
 
 FIXTURES: dict[str, str] = {
     "allowed_tables": """
-SELECT concat('t', lpad(concat('', n_nationkey), 3, '0')) AS table_id,
-  lower(replace(n_name, ' ', '_')) AS table_name, concat('s', n_regionkey) AS schema_name,
-  'warehouse' AS source, CASE WHEN n_nationkey % 5 = 4 THEN 'inactive' ELSE 'active' END AS status,
-  {TS} '2024-01-01 00:00:00' + n_nationkey * INTERVAL '1' HOUR AS created_at FROM nation""",
+SELECT concat('t', lpad(concat('', user_id), 6, '0')) AS table_id,
+  concat('tab', user_id) AS table_name, concat('s', user_id % 5) AS schema_name,
+  'warehouse' AS source, CASE WHEN user_id % 7 = 4 THEN 'inactive' ELSE 'active' END AS status,
+  {TS} '2024-01-01 00:00:00' + user_id * INTERVAL '1' HOUR AS created_at
+  FROM (SELECT DISTINCT user_id FROM events) AS u""",
     "table_metadata": """
-SELECT concat('t', lpad(concat('', n_nationkey), 3, '0')) AS table_id,
-  4 + n_nationkey % 6 AS column_count, CAST(1000 * n_nationkey AS BIGINT) AS row_count,
-  CAST(65536 * n_nationkey AS BIGINT) AS size_bytes,
-  {TS} '2024-01-10 00:00:00' + n_nationkey * INTERVAL '1' DAY AS last_updated,
-  CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE concat('Monthly figures of ', n_name) END AS description
-  FROM nation WHERE n_nationkey % 3 <> 2""",
+SELECT concat('t', lpad(concat('', user_id), 6, '0')) AS table_id,
+  CAST(4 + user_id % 6 AS INTEGER) AS column_count, CAST(1000 * user_id AS BIGINT) AS row_count,
+  CAST(65536 * user_id AS BIGINT) AS size_bytes,
+  {TS} '2024-01-10 00:00:00' + (user_id % 40) * INTERVAL '1' DAY AS last_updated,
+  CASE WHEN user_id % 4 = 0 THEN NULL ELSE concat('Monthly figures of user ', user_id) END AS description
+  FROM (SELECT DISTINCT user_id FROM events) AS u WHERE user_id % 3 <> 2""",
     "table_tags": """
-SELECT concat('t', lpad(concat('', n_nationkey), 3, '0')) AS table_id, 'sales' AS tag FROM nation WHERE n_nationkey % 2 = 1
+SELECT concat('t', lpad(concat('', user_id), 6, '0')) AS table_id, 'sales' AS tag
+  FROM (SELECT DISTINCT user_id FROM events) AS u WHERE user_id % 2 = 1
 UNION ALL
-SELECT concat('t', lpad(concat('', n_nationkey), 3, '0')) AS table_id, '2023' AS tag FROM nation WHERE n_nationkey % 3 = 1
+SELECT concat('t', lpad(concat('', user_id), 6, '0')) AS table_id, '2023' AS tag
+  FROM (SELECT DISTINCT user_id FROM events) AS u WHERE user_id % 3 = 1
 UNION ALL
-SELECT concat('t', lpad(concat('', n_nationkey), 3, '0')) AS table_id, 'monthly' AS tag FROM nation WHERE n_nationkey % 5 = 1""",
+SELECT concat('t', lpad(concat('', user_id), 6, '0')) AS table_id, 'monthly' AS tag
+  FROM (SELECT DISTINCT user_id FROM events) AS u WHERE user_id % 5 = 1""",
     "source_columns": """
 SELECT * FROM (VALUES
   ('customer', 1, 'c_custkey', 'NUMBER(38,0)', 'N'), ('customer', 2, 'c_name', 'VARCHAR(18)', 'N'),
@@ -60,6 +64,16 @@ SELECT * FROM (VALUES
   ('edge', 7, 'g', 'DECIMAL(10,2)', 'N'), ('edge', 8, 'h', 'VARIANT', 'Y'), ('edge', 9, 'i', 'ARRAY', 'Y'),
   ('edge', 10, 'j', 'TEXT', 'Y'), ('edge', 13, 'm', 'VARCHAR(16777216)', 'Y'), ('edge', 11, 'k', 'CHAR(1)', 'Y'), ('edge', 12, 'l', 'BINARY(8388608)', 'Y'))
   AS v(table_name, ordinal, name, declared_type, nullable)""",
+    # Declared source columns derived from events: one per event, every
+    # declared-type form the parser handles (Y7), growing with the data.
+    "declared_columns": """
+SELECT concat('tab', user_id) AS table_name, CAST(event_id AS INTEGER) AS ordinal, concat('c', event_id) AS name,
+  CASE event_id % 9 WHEN 0 THEN concat('VARCHAR(', 1 + user_id, ')')
+    WHEN 1 THEN concat('NUMBER(', 1 + event_id % 38, ',', event_id % 6, ')')
+    WHEN 2 THEN concat('NUMBER(', 1 + user_id % 38, ')') WHEN 3 THEN 'FLOAT' WHEN 4 THEN 'TIMESTAMP_NTZ(9)'
+    WHEN 5 THEN concat('CHAR(', 1 + user_id % 10, ')') WHEN 6 THEN 'VARIANT'
+    WHEN 7 THEN concat('DECIMAL(', 10 + event_id % 20, ',', event_id % 4, ')') ELSE 'BOOLEAN' END AS declared_type,
+  CASE WHEN event_type = 'error' THEN 'N' ELSE 'Y' END AS nullable FROM events""",
     # Column policies for G1/G2 (metadata, like source_columns).
     "column_policies": """
 SELECT * FROM (VALUES
@@ -77,7 +91,7 @@ SELECT DISTINCT concat('s', user_id % 5) AS schema_name, concat('tab', user_id)
   FROM events WHERE user_id % 10 <> 3""",
     "sync_jobs": """
 SELECT concat('j', lpad(concat('', event_id), 8, '0')) AS job_id,
-  concat('t', lpad(concat('', event_id % 23), 3, '0')) AS table_id,
+  CASE WHEN user_id % 11 = 10 THEN 't999999' ELSE concat('t', lpad(concat('', user_id), 6, '0')) END AS table_id,
   CASE event_id % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'incremental' ELSE 'snapshot' END AS strategy,
   CASE WHEN event_id % 20 = 0 THEN 'pending' WHEN event_id % 20 = 1 THEN 'running'
        WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status,

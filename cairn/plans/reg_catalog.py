@@ -139,11 +139,11 @@ def schema_inventory(spark, sf):
 @register("find_by_tag", "C7", """
 SELECT a.* FROM allowed_tables a WHERE a.status = 'active' AND (
   EXISTS (SELECT 1 FROM table_tags g WHERE g.table_id = a.table_id AND g.tag IN ('monthly'))
-  OR EXISTS (SELECT 1 FROM table_metadata m WHERE m.table_id = a.table_id AND contains(lower(m.description), 'united')))""",
+  OR EXISTS (SELECT 1 FROM table_metadata m WHERE m.table_id = a.table_id AND contains(lower(m.description), 'user 7')))""",
           fixtures=["allowed_tables", "table_tags", "table_metadata"])
 def find_by_tag(spark, sf):
     t = Tables(spark, sf)
-    return catalog.find_by_tag(t["allowed_tables"], t["table_tags"], t["table_metadata"], ["monthly"], "United")
+    return catalog.find_by_tag(t["allowed_tables"], t["table_tags"], t["table_metadata"], ["monthly"], "User 7")
 
 
 @register("list_data", "C8", _META + "\nORDER BY a.schema_name, a.table_name",

@@ -128,9 +128,11 @@ SELECT table_name, ordinal, name AS column_name, regexp_extract(declared_type, '
        WHEN regexp_extract(declared_type, '^([^(]+)', 1) IN ('BOOLEAN', 'DATE') THEN regexp_extract(declared_type, '^([^(]+)', 1)
        WHEN regexp_extract(declared_type, '^([^(]+)', 1) LIKE 'TIMESTAMP_%' THEN 'TIMESTAMP'
        ELSE 'VARCHAR' END AS replica_type
-FROM source_columns""", fixtures=["source_columns"])
+FROM (SELECT * FROM source_columns UNION ALL SELECT * FROM declared_columns) AS c""",
+          fixtures=["source_columns", "declared_columns"])
 def describe_columns(spark, sf):
-    return sync.describe_columns(Tables(spark, sf)["source_columns"])
+    t = Tables(spark, sf)
+    return sync.describe_columns(t["source_columns"].unionByName(t["declared_columns"]))
 
 
 @register("high_watermark", "Y8", "SELECT max(ts) AS high_watermark FROM events")
