@@ -65,10 +65,6 @@ def strict_unbase64(col: Column) -> Column:
     return F.when(base64_valid(col), F.try_to_binary(col, F.lit("base64")))
 
 
-def round_to(col: Column, digits: int = 6) -> Column:
-    return F.round(col, digits)
-
-
 def hours(n: int | Column) -> Column:
     n = n if isinstance(n, Column) else F.lit(n)
     return F.make_dt_interval(F.lit(0), n.cast("int"), F.lit(0), F.lit(0))

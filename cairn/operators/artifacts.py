@@ -29,10 +29,6 @@ CONTENT_TYPES = {
 }
 DEFAULT_CONTENT_TYPE = "application/octet-stream"
 
-ARTIFACT_COLUMNS = ["artifact_id", "name", "type", "format", "size_bytes", "storage_path",
-                    "created_at", "expires_at", "metadata", "swarm_token"]
-
-
 def ingest(uploads: DataFrame, now: str, max_mb: int = MAX_SIZE_MB,
            default_days: int = DEFAULT_EXPIRY_DAYS) -> tuple[DataFrame, DataFrame]:
     """A1: validate and accept a batch of uploads.

@@ -24,9 +24,6 @@ JOB_LOG_SCHEMA = ("job_id string, table_name string, strategy string, status str
                   "seq bigint, rows_processed bigint, total_rows bigint, last_value string, "
                   "error_message string")
 
-STRATEGIES = ("full", "incremental", "snapshot", "upsert")
-
-
 class Replica:
     """Paths and log of one replicated table."""
 
@@ -36,7 +33,6 @@ class Replica:
         self.table_name = table_name
         self.data_path = f"{self.root}/data"
         self.log_path = f"{self.root}/_log"
-        self.snapshot_path = f"{self.root}/snapshots"
         # An empty append creates the log folder, so reading it never fails.
         spark.createDataFrame([], JOB_LOG_SCHEMA).write.mode("append").parquet(self.log_path)
 
@@ -357,12 +353,6 @@ def reconcile(src: DataFrame, tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumn("ok", F.col("source_value") == F.col("replica_value"))
 
 
-def type_check(src: DataFrame, tgt: DataFrame) -> list[tuple[str, str, str]]:
-    """Y11, types: (column, source type, replica type) where they differ."""
-    t = dict(tgt.dtypes)
-    return [(c, ty, t.get(c)) for c, ty in src.dtypes if t.get(c) != ty]
-
-
 def resume_plan(catalog: DataFrame, jobs: DataFrame) -> DataFrame:
     """Active tables whose latest job is not completed (or that never ran),
     with that job's strategy and status and the last stored watermark."""
