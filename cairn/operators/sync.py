@@ -95,26 +95,39 @@ def _filtered(src: DataFrame, where: str | None) -> DataFrame:
 
 
 def sync_full(replica: Replica, src: DataFrame, job_id: str, where: str | None = None,
-              check_total: bool = False) -> dict:
+              check_total: bool = False, watermark_col: str | None = None) -> dict:
     """Replace the replica with the whole (filtered) source.
 
     The new version is a new batch; it becomes visible only when its log row is
     written, so readers never see a half-replaced table and an empty source
     gives an empty replica.  ``check_total`` counts the source under the same
     predicate first (S3, answered from footers when unfiltered) and fails the
-    job if the write saw a different number of rows (Y12)."""
+    job if the write saw a different number of rows (Y12).  ``watermark_col``
+    records the largest key of the copy, taken during the write, so that
+    incremental syncs can continue from this full copy."""
     total = None
     if check_total:
         from cairn.sources.io import count_rows
         total = int(count_rows(src, where).first()["total_rows"])
-    return replica._write_batch(_filtered(src, where), job_id, "full", total, None)
-
-
-def last_logged_watermark(replica: Replica, key_type: str) -> object:
-    """Last non-null watermark of any completed job of this replica."""
-    row = (replica.log().where((F.col("status") == "completed") & F.col("last_value").isNotNull())
-           .agg(F.max_by("last_value", "seq").alias("v")).first())
-    if row["v"] is None:
+    return replica._write_batch(_filtered(src, where), job_id, "full", total, watermark_col)
+
+
+def last_logged_watermark(replica: Replica, key_type: str | None = None) -> object:
+    """Last non-null watermark of the completed jobs since the latest
+    completed full sync (D5: an empty batch keeps the previous one).
+
+    A full sync that logged no watermark leaves the position unknown: an
+    incremental run would copy rows the full copy already holds, so that is
+    an error rather than silent duplication."""
+    done = replica.log().where(F.col("status") == "completed")
+    row = done.agg(F.max(F.when(F.col("strategy") == "full", F.col("seq"))).alias("base"),
+                   F.max_by("last_value", F.when(F.col("last_value").isNotNull(), F.col("seq")))
+                    .alias("v"),
+                   F.max(F.when(F.col("last_value").isNotNull(), F.col("seq"))).alias("v_seq")).first()
+    if row["v"] is None or (row["base"] is not None and row["v_seq"] < row["base"]):
+        if row["base"] is not None:
+            raise ValueError("the latest full sync logged no watermark; pass watermark_col "
+                             "to sync_full before syncing incrementally")
         return None
     return row["v"]
 

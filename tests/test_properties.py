@@ -360,3 +360,16 @@ def test_profile_table_with_catalog_row(spark, tables):
     row = info.first()
     assert got["catalog_row_count"] == row.row_count and got["catalog_size_bytes"] == row.size_bytes
     assert got["sample_rows"] == 25.0
+
+
+def test_incremental_after_full_continues_without_duplicates(spark):
+    ev = io.scan(spark, SF_SMALL, "events")
+    early = ev.where("event_id < 400")
+    rep = sync.Replica(spark, work_dir(spark, "t-full-inc"), "events")
+    sync.sync_full(rep, early, "jf1", watermark_col="event_id")
+    sync.sync_incremental(rep, ev, "event_id", "ji1")
+    assert _rows(rep.read()) == _rows(ev)
+    bare = sync.Replica(spark, work_dir(spark, "t-full-bare"), "events")
+    sync.sync_full(bare, early, "jf1")
+    with pytest.raises(ValueError):
+        sync.sync_incremental(bare, ev, "event_id", "ji1")
