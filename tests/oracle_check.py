@@ -61,7 +61,17 @@ def duck(sf_dir: str):
     return con
 
 
-def compare(spark, sf_dir, keys=None, verbose=True):
+PLAN_FLAGS = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
+              "MapInPandas", "FlatMapGroupsInPandas")
+
+
+def plan_flags(df):
+    """Operators of the executed plan that do not scale or leave the JVM."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [f for f in PLAN_FLAGS if f in plan]
+
+
+def compare(spark, sf_dir, keys=None, verbose=True, flags=None):
     import __spark_entry__ as E
     qs, ors = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
@@ -72,6 +82,8 @@ def compare(spark, sf_dir, keys=None, verbose=True):
             df = qs[k](spark, sf_dir)
             cols = df.columns
             srows = [tuple(r) for r in df.collect()]
+            if flags is not None:
+                flags[k] = plan_flags(df)
         except Exception as exc:  # report and go on
             results[k] = ("spark-error", str(exc)[:400])
             if verbose:
