@@ -373,3 +373,27 @@ def test_incremental_after_full_continues_without_duplicates(spark):
     sync.sync_full(bare, early, "jf1")
     with pytest.raises(ValueError):
         sync.sync_incremental(bare, ev, "event_id", "ji1")
+
+
+def test_state_log_persists_operator_results(spark, tables):
+    from cairn.sources.statelog import StateLog
+    a = tables["artifacts"]
+    schema = ", ".join(f"{n} {t}" for n, t in a.dtypes)
+    state = StateLog(spark, work_dir(spark, "t-state"), ["artifact_id"], schema)
+    state.upsert(a)
+    updated = art.update(a, tables["artifact_patches"], ARTIFACT_CLOCK)
+    state.upsert(updated.join(a, list(a.columns), "left_anti"))    # changed rows only
+    assert _rows(state.current()) == _rows(updated)
+    _, _, deleted = art.delete(updated, tables["artifact_tags"], tables["artifact_patches"])
+    state.delete(deleted.select("artifact_id"))
+    assert _rows(state.current()) == _rows(updated.join(deleted, "artifact_id", "left_anti"))
+
+
+def test_state_log_nested_types(spark):
+    from cairn.sources.statelog import StateLog
+    schema = "k string, amount decimal(10,2), meta map<string,string>"
+    state = StateLog(spark, work_dir(spark, "t-state2"), ["k"], schema)
+    state.upsert(spark.createDataFrame([("a", 1.5, {"x": "1"}), ("b", 2.0, {})], "k string, amount double, meta map<string,string>")
+                 .selectExpr("k", "CAST(amount AS DECIMAL(10,2)) AS amount", "meta"))
+    state.delete(spark.createDataFrame([("b",)], "k string"))
+    assert [(r.k, float(r.amount)) for r in state.current().collect()] == [("a", 1.5)]
