@@ -89,12 +89,14 @@ _OWNED_PATCH = ("(SELECT p.* FROM artifact_patches p JOIN artifacts x ON p.artif
                 "AND p.swarm_token = x.swarm_token)")
 
 
-@register("artifact_update", "A5", f"""
+_UPDATED = f"""
 SELECT a.artifact_id, coalesce(p.name, a.name) AS name, a.type, a.format, a.size_bytes, a.storage_path,
   a.created_at, CASE WHEN p.expiry_days IS NOT NULL THEN {NOW} + p.expiry_days * INTERVAL '1' DAY ELSE a.expires_at END
     AS expires_at, coalesce(p.metadata, a.metadata) AS metadata, a.swarm_token
-FROM artifacts a LEFT JOIN {_OWNED_PATCH} p ON a.artifact_id = p.artifact_id""",
-          fixtures=["artifacts", "artifact_patches"])
+FROM artifacts a LEFT JOIN {_OWNED_PATCH} p ON a.artifact_id = p.artifact_id"""
+
+
+@register("artifact_update", "A5", _UPDATED, fixtures=["artifacts", "artifact_patches"])
 def artifact_update(spark, sf):
     t = Tables(spark, sf)
     return art.update(t["artifacts"], t["artifact_patches"], ARTIFACT_CLOCK)
@@ -169,3 +171,23 @@ FROM artifacts a LEFT JOIN (SELECT artifact_id, max(expiry_days) AS d FROM {_OWN
 def artifact_extend(spark, sf):
     t = Tables(spark, sf)
     return art.extend(t["artifacts"], t["artifact_patches"], ARTIFACT_CLOCK)
+
+
+@register("artifact_state", "A5", f"""
+SELECT * FROM ({_UPDATED}) AS u WHERE artifact_id NOT IN (SELECT artifact_id FROM {_OWNED_PATCH})""",
+          fixtures=["artifacts", "artifact_patches"])
+def artifact_state(spark, sf):
+    """The artifact table kept as a StateLog: the initial rows, the rows the
+    owners' patches changed, and tombstones for the owners' deletes."""
+    from cairn.sources.statelog import StateLog
+    from cairn.session import work_dir
+    t = Tables(spark, sf)
+    a = t["artifacts"]
+    state = StateLog(spark, work_dir(spark, "artifact-state"), ["artifact_id"],
+                     ", ".join(f"{n} {ty}" for n, ty in a.dtypes))
+    state.upsert(a)
+    updated = art.update(a, t["artifact_patches"], ARTIFACT_CLOCK)
+    state.upsert(updated.join(a, list(a.columns), "left_anti"))
+    _, _, deleted = art.delete(updated, t["artifact_tags"], t["artifact_patches"])
+    state.delete(deleted.select("artifact_id"))
+    return state.current()
