@@ -70,7 +70,8 @@ class Replica:
 
     # -- writing -------------------------------------------------------------
     def _write_batch(self, df: DataFrame, job_id: str, strategy: str,
-                     total_rows: int | None, watermark_col: str | None) -> dict:
+                     total_rows: int | None, watermark_col: str | None,
+                     carry_watermark: str | None = None) -> dict:
         aggs = [F.count(F.lit(1)).alias("rows")]
         if watermark_col:
             aggs.append(F.max(watermark_col).cast("string").alias("wm"))
@@ -82,7 +83,8 @@ class Replica:
         job = {"job_id": job_id, "table_name": self.table_name, "strategy": strategy,
                "status": "completed", "seq": self._next_seq(), "rows_processed": rows,
                "total_rows": rows if total_rows is None else total_rows,
-               "last_value": got.get("wm") if watermark_col else None, "error_message": None}
+               "last_value": got.get("wm") if watermark_col else carry_watermark,
+               "error_message": None}
         if job["rows_processed"] != job["total_rows"]:
             job["status"] = "failed"
             job["error_message"] = "row count differs from source count"
@@ -147,6 +149,20 @@ def sync_incremental(replica: Replica, src: DataFrame, key: str, job_id: str,
     return replica._write_batch(df, job_id, "incremental", None, key)
 
 
+def compact(replica: Replica, job_id: str, watermark_col: str | None = None) -> dict:
+    """Rewrite the current replica (a base and its incremental batches) as one
+    new base batch, so reads list and open one batch again.
+
+    It reads the old batch folders and writes a new one, so nothing is
+    overwritten in place; the old batches stop being read once the new
+    base's log row exists.  The watermark is carried over: the largest
+    ``watermark_col`` of the data if given, else the last logged one."""
+    current = replica.read()
+    carried = None if watermark_col else last_logged_watermark(replica)
+    job = replica._write_batch(current, job_id, "full", None, watermark_col, carry_watermark=carried)
+    return job
+
+
 def upsert(target: DataFrame, delta: DataFrame, keys: Sequence[str],
            version_col: str | None = None) -> DataFrame:
     """Apply new and modified rows to a table: one row per key, the delta

@@ -397,3 +397,16 @@ def test_state_log_nested_types(spark):
                  .selectExpr("k", "CAST(amount AS DECIMAL(10,2)) AS amount", "meta"))
     state.delete(spark.createDataFrame([("b",)], "k string"))
     assert [(r.k, float(r.amount)) for r in state.current().collect()] == [("a", 1.5)]
+
+
+def test_compact_keeps_rows_and_watermark(spark):
+    ev = io.scan(spark, SF_SMALL, "events")
+    rep = sync.Replica(spark, work_dir(spark, "t-compact"), "events")
+    for i, cut in enumerate((200, 500, 800)):
+        sync.sync_incremental(rep, ev.where(f"event_id < {cut}"), "event_id", f"ji{i}")
+    before = _rows(rep.read())
+    sync.compact(rep, "jc1")
+    assert _rows(rep.read()) == before
+    assert rep.current_batches().count() == 1
+    sync.sync_incremental(rep, ev, "event_id", "ji9")   # continues from the carried watermark
+    assert _rows(rep.read()) == _rows(ev)
