@@ -37,6 +37,20 @@ def sync_incremental(spark, sf):
     return rep.read()
 
 
+@register("sync_compact", "Y2", "SELECT * FROM events")
+def sync_compact(spark, sf):
+    """Three incremental drops (the source as of the 10th, 20th and 25th of
+    January), compaction into one base, then the rest incrementally."""
+    rep = sync.Replica(spark, work_dir(spark, "replica"), "events")
+    events = io.scan(spark, sf, "events")
+    for i, day in enumerate(("2024-01-10", "2024-01-20", "2024-01-25")):
+        cut = F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
+        sync.sync_incremental(rep, events.where(F.col("ts") < cut), "ts", f"jcmp000{i}")
+    sync.compact(rep, "jcmp0010")
+    sync.sync_incremental(rep, events, "ts", "jcmp0011")
+    return rep.read()
+
+
 def _orders_delta(orders):
     """Modified open orders (two versions each, the later wins) and new urgent
     orders under fresh keys."""
