@@ -337,49 +337,46 @@ def reconcile(src: DataFrame, tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
     type differs) and null counts, rows only in the source, rows only in the
     replica and keys whose rows differ.
 
-    The row diff is one aggregation over both sides grouped by the keys: per
-    key and side a row count and an order-insensitive fingerprint (the sum of
-    a 64-bit hash of each whole row).  Partial aggregation collapses a hot key
-    before the shuffle, and keys that repeat never produce row pairs, unlike a
-    join on non-unique keys."""
+    Each side is read once.  Both are unioned and aggregated by the keys: per
+    key and side a row count, null counts, and an order-insensitive
+    fingerprint (the sum of a 64-bit hash of each whole row).  A second, global
+    aggregation folds the per-key partials into the checks.  Partial
+    aggregation collapses a hot key before the shuffle, and keys that repeat
+    never produce row pairs, unlike a join on non-unique keys."""
     keys = list(keys)
     cols = [c for c in src.columns if c in tgt.columns]
-
-    def side_counts(df: DataFrame) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("__rows"),
-                      *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-
-    s, t = side_counts(src), side_counts(tgt)
-    n = len(cols) + 1
-    stack = "stack({n}, 'row_count', '*', `__rows`, {rest}) AS (check_name, column_name, value)"
-    rest = ", ".join(f"'null_count', '{c}', `{c}`" for c in cols)
-    s_long = s.selectExpr(stack.format(n=n, rest=rest)).withColumnRenamed("value", "source_value")
-    t_long = t.selectExpr(stack.format(n=n, rest=rest)).withColumnRenamed("value", "replica_value")
-    counts = s_long.join(t_long, ["check_name", "column_name"], "inner")
-
     fp = F.xxhash64(*[F.col(c) for c in cols]).cast("decimal(38,0)")
-    both = (src.select(*keys, F.lit(1).alias("_side"), fp.alias("_fp"))
-            .unionByName(tgt.select(*keys, F.lit(2).alias("_side"), fp.alias("_fp"))))
-    per_key = both.groupBy(*keys).agg(
-        F.count_if(F.col("_side") == 1).alias("ns"), F.count_if(F.col("_side") == 2).alias("nt"),
-        F.sum(F.when(F.col("_side") == 1, F.col("_fp"))).alias("fs"),
-        F.sum(F.when(F.col("_side") == 2, F.col("_fp"))).alias("ft"))
-    diff = per_key.agg(
-        F.coalesce(F.sum(F.when(F.col("nt") == 0, F.col("ns"))), F.lit(0)).alias("only_in_source"),
-        F.coalesce(F.sum(F.when(F.col("ns") == 0, F.col("nt"))), F.lit(0)).alias("only_in_replica"),
+
+    def side(df: DataFrame, tag: int) -> DataFrame:
+        return df.select(*keys, F.lit(tag).alias("_side"), fp.alias("_fp"),
+                         *[F.col(c).isNull().cast("int").alias(f"_z{i}") for i, c in enumerate(cols)])
+
+    s1, s2 = F.col("_side") == 1, F.col("_side") == 2
+    per_key = side(src, 1).unionByName(side(tgt, 2)).groupBy(*keys).agg(
+        F.count_if(s1).alias("ns"), F.count_if(s2).alias("nt"),
+        F.sum(F.when(s1, F.col("_fp"))).alias("fs"), F.sum(F.when(s2, F.col("_fp"))).alias("ft"),
+        *[F.sum(F.when(s1, F.col(f"_z{i}"))).alias(f"zs{i}") for i in range(len(cols))],
+        *[F.sum(F.when(s2, F.col(f"_z{i}"))).alias(f"zt{i}") for i in range(len(cols))])
+    total = per_key.agg(
+        F.coalesce(F.sum("ns"), F.lit(0)).alias("rows_s"), F.coalesce(F.sum("nt"), F.lit(0)).alias("rows_t"),
+        F.coalesce(F.sum(F.when(F.col("nt") == 0, F.col("ns"))), F.lit(0)).alias("only_s"),
+        F.coalesce(F.sum(F.when(F.col("ns") == 0, F.col("nt"))), F.lit(0)).alias("only_t"),
         F.count_if((F.col("ns") > 0) & (F.col("nt") > 0)
-                   & ((F.col("ns") != F.col("nt")) | (F.col("fs") != F.col("ft")))).alias("changed"))
-    diff_long = diff.selectExpr(
-        "stack(3, 'only_in_source', '*', CAST(only_in_source AS BIGINT), 'only_in_replica', '*',"
-        " CAST(only_in_replica AS BIGINT), 'changed', '*', changed) AS (check_name, column_name, replica_value)"
-    ).withColumn("source_value", F.lit(0).cast("bigint"))
+                   & ((F.col("ns") != F.col("nt")) | (F.col("fs") != F.col("ft")))).alias("changed"),
+        *[F.coalesce(F.sum(f"zs{i}"), F.lit(0)).alias(f"zs{i}") for i in range(len(cols))],
+        *[F.coalesce(F.sum(f"zt{i}"), F.lit(0)).alias(f"zt{i}") for i in range(len(cols))])
+    checks = ([("row_count", "*", "rows_s", "rows_t")]
+              + [("null_count", c, f"zs{i}", f"zt{i}") for i, c in enumerate(cols)]
+              + [("only_in_source", "*", "0", "only_s"), ("only_in_replica", "*", "0", "only_t"),
+                 ("changed", "*", "0", "changed")])
+    stack = ", ".join(f"'{k}', '{c}', CAST({a} AS BIGINT), CAST({b} AS BIGINT)" for k, c, a, b in checks)
+    out = total.selectExpr(f"stack({len(checks)}, {stack}) AS (check_name, column_name, source_value, replica_value)")
     # Types are schema metadata: one row per column, built on the driver.
     tt = dict(tgt.dtypes)
     types = src.sparkSession.createDataFrame(
         [("type_mismatch", c, 0, int(tt[c] != ty)) for c, ty in src.dtypes if c in tt],
         "check_name string, column_name string, source_value bigint, replica_value bigint")
-    out = counts.unionByName(diff_long).unionByName(types)
-    return out.withColumn("ok", F.col("source_value") == F.col("replica_value"))
+    return out.unionByName(types).withColumn("ok", F.col("source_value") == F.col("replica_value"))
 
 
 def resume_plan(catalog: DataFrame, jobs: DataFrame) -> DataFrame:
