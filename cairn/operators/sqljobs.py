@@ -42,14 +42,38 @@ def query_job_status(jobs: DataFrame, ids: DataFrame) -> DataFrame:
                     "created_at", "started_at", "completed_at"))
 
 
+LOG_SCHEMA = JOB_SCHEMA + ", updated_at timestamp_ntz"
+
+
+def query_job_log(spark: SparkSession, path: str):
+    """A persistent query-job log (a StateLog keyed by job_id): its current
+    state is each job's latest status row."""
+    from cairn.sources.statelog import StateLog
+    return StateLog(spark, path, ["job_id"], LOG_SCHEMA)
+
+
+def _record(spark: SparkSession, log, row: dict, now) -> None:
+    if log is not None:
+        import datetime as dt
+        at = now if isinstance(now, dt.datetime) else dt.datetime.fromisoformat(str(now))
+        log.upsert(spark.createDataFrame([{**row, "updated_at": at}], LOG_SCHEMA))
+
+
 def run_query_job(spark: SparkSession, job_id: str, text: str, fmt: str, path: str,
-                  args: Mapping | list | None = None) -> DataFrame:
+                  args: Mapping | list | None = None, log=None, now=None) -> DataFrame:
     """Q5: run a query, save its result, and return the job's log row:
     completed with row and column counts and file size, or failed with the
-    error text (the failure is data, not an exception)."""
-    row = {"job_id": job_id, "query": text, "status": "running", "error": None,
+    error text (the failure is data, not an exception).
+
+    With a ``log`` (``query_job_log``) every transition, pending, running and
+    then completed or failed, is recorded with ``now`` (a parameter, never
+    the clock)."""
+    row = {"job_id": job_id, "query": text, "status": "pending", "error": None,
            "result_path": None, "format": fmt, "row_count": None, "column_count": None,
            "file_size": None}
+    _record(spark, log, row, now)
+    row["status"] = "running"
+    _record(spark, log, row, now)
     try:
         df = run_sql(spark, text, args)
         stats = write_result(df, path, fmt)
@@ -58,6 +82,7 @@ def run_query_job(spark: SparkSession, job_id: str, text: str, fmt: str, path: s
     except Exception as exc:  # the job log records any failure of the query
         msg = str(exc).strip().splitlines()[0] if str(exc).strip() else type(exc).__name__
         row.update(status="failed", error=msg[:1000])
+    _record(spark, log, row, now)
     return spark.createDataFrame([row], JOB_SCHEMA)
 
 

@@ -410,3 +410,18 @@ def test_compact_keeps_rows_and_watermark(spark):
     assert rep.current_batches().count() == 1
     sync.sync_incremental(rep, ev, "event_id", "ji9")   # continues from the carried watermark
     assert _rows(rep.read()) == _rows(ev)
+
+
+def test_query_job_log_records_transitions(spark):
+    from cairn.operators import sqljobs
+    io.scan(spark, SF_SMALL, "events").createOrReplaceTempView("events")
+    log = sqljobs.query_job_log(spark, work_dir(spark, "t-qlog"))
+    now = "2024-01-28 00:00:00"
+    sqljobs.run_query_job(spark, "q1", "SELECT count(*) AS n FROM events", "json", work_dir(spark, "t-q1"),
+                          log=log, now=now)
+    sqljobs.run_query_job(spark, "q2", "SELECT * FROM missing_table", "json", work_dir(spark, "t-q2"),
+                          log=log, now=now)
+    cur = {r.job_id: (r.status, r.row_count) for r in log.current().collect()}
+    assert cur == {"q1": ("completed", 1), "q2": ("failed", None)}
+    steps = [r.status for r in log.log().where("job_id = 'q1'").orderBy("_seq").collect()]
+    assert steps == ["pending", "running", "completed"]
