@@ -65,3 +65,14 @@ class StateLog:
         cols = [n for n, _ in self._fields]
         latest = latest_per_key(self.log(), self.keys, ["_seq"])
         return latest.where(~F.col("_deleted")).select(*cols)
+
+    def compact_to(self, path: str) -> "StateLog":
+        """Write the current state as a new log at ``path`` (one row per live
+        key, no history) and return it.  Nothing is rewritten in place: the
+        caller switches to the new path, and the old one can then be removed."""
+        seq = self._next_seq()
+        out = StateLog(self.spark, path, self.keys, self.schema)
+        (self.current().withColumn("_seq", F.lit(seq).cast("bigint"))
+             .withColumn("_deleted", F.lit(False)).write.mode("append").parquet(out.path))
+        out._seq = seq
+        return out

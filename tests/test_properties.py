@@ -425,3 +425,17 @@ def test_query_job_log_records_transitions(spark):
     assert cur == {"q1": ("completed", 1), "q2": ("failed", None)}
     steps = [r.status for r in log.log().where("job_id = 'q1'").orderBy("_seq").collect()]
     assert steps == ["pending", "running", "completed"]
+
+
+def test_state_log_compaction(spark, tables):
+    from cairn.sources.statelog import StateLog
+    a = tables["artifacts"]
+    state = StateLog(spark, work_dir(spark, "t-state3"), ["artifact_id"], ", ".join(f"{n} {t}" for n, t in a.dtypes))
+    state.upsert(a)
+    state.upsert(art.update(a, tables["artifact_patches"], ARTIFACT_CLOCK))
+    state.delete(a.where("type = 'model'").select("artifact_id"))
+    compact = state.compact_to(work_dir(spark, "t-state3c"))
+    assert _rows(compact.current()) == _rows(state.current())
+    assert compact.log().count() == state.current().count()
+    compact.delete(a.where("type = 'data'").select("artifact_id"))     # keeps working after the switch
+    assert compact.current().where("type IN ('model', 'data')").count() == 0
