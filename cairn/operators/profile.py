@@ -231,16 +231,21 @@ def profile_datetime(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 def profile_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, unique, top (most frequent; ties by smallest value), freq.
     Value counts are partial-aggregated per partition, so a value holding a
-    third of all rows is counted before it moves."""
+    third of all rows is counted before it moves.  A column with only nulls
+    is listed with count and unique 0."""
     cols = list(columns or text_columns(df))
-    pairs = F.array(*[F.struct(F.lit(c).alias("g"), F.col(c).alias("v")) for c in cols])
+    pairs = F.array(*[F.struct(F.lit(i).alias("g"), F.col(c).cast("string").alias("v"))
+                      for i, c in enumerate(cols)])
     vc = (df.select(F.inline(pairs)).where(F.col("v").isNotNull())
           .groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")))
-    return vc.groupBy(F.col("g").alias("column_name")).agg(
+    stats = vc.groupBy("g").agg(
         F.sum("c").cast("bigint").alias("count"),
         F.count("v").cast("bigint").alias("unique"),
         F.min_by("v", F.struct(-F.col("c"), F.col("v"))).alias("top"),
         F.max("c").cast("bigint").alias("freq"))
+    return (_names(df.sparkSession, cols).join(stats, "g", "left")
+            .select("column_name", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
+                    F.coalesce("unique", F.lit(0)).cast("bigint").alias("unique"), "top", "freq"))
 
 
 def null_counts(df: DataFrame) -> DataFrame:

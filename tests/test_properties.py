@@ -439,3 +439,9 @@ def test_state_log_compaction(spark, tables):
     assert compact.log().count() == state.current().count()
     compact.delete(a.where("type = 'data'").select("artifact_id"))     # keeps working after the switch
     assert compact.current().where("type IN ('model', 'data')").count() == 0
+
+
+def test_profile_text_lists_all_null_columns(spark):
+    df = spark.createDataFrame([("a", None), ("a", None)], "s string, t string")
+    r = {x.column_name: (x["count"], x.unique, x.top, x.freq) for x in profile.profile_text(df).collect()}
+    assert r == {"s": (2, 1, "a", 2), "t": (0, 0, None, None)}
