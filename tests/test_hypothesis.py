@@ -39,3 +39,25 @@ def test_hash_samples_are_nested(spark, f1, f2):
     small = profile.sample_hash(ev, ["event_id"], lo)
     big = profile.sample_hash(ev, ["event_id"], hi)
     assert small.join(big, "event_id", "left_anti").count() == 0
+
+
+rows = st.lists(st.tuples(st.integers(0, 6), st.integers(0, 3)), min_size=0, max_size=40)
+
+
+@SETTINGS
+@given(src=rows, tgt=rows)
+def test_reconcile_matches_brute_force(spark, src, tgt):
+    from collections import Counter
+    from cairn.operators import sync
+    schema = "k int, v int"
+    s_df, t_df = spark.createDataFrame(src, schema), spark.createDataFrame(tgt, schema)
+    got = {(r.check_name, r.column_name): r.replica_value for r in sync.reconcile(s_df, t_df, ["k"]).collect()}
+    sk, tk = Counter(k for k, _ in src), Counter(k for k, _ in tgt)
+    rows_by = lambda data, key: Counter(v for k, v in data if k == key)
+    want_only_s = sum(n for k, n in sk.items() if k not in tk)
+    want_only_t = sum(n for k, n in tk.items() if k not in sk)
+    want_changed = sum(1 for k in sk if k in tk and rows_by(src, k) != rows_by(tgt, k))
+    assert got[("only_in_source", "*")] == want_only_s
+    assert got[("only_in_replica", "*")] == want_only_t
+    assert got[("changed", "*")] == want_changed
+    assert got[("row_count", "*")] == len(tgt)
