@@ -61,3 +61,25 @@ def test_reconcile_matches_brute_force(spark, src, tgt):
     assert got[("only_in_replica", "*")] == want_only_t
     assert got[("changed", "*")] == want_changed
     assert got[("row_count", "*")] == len(tgt)
+
+
+@SETTINGS
+@given(target=st.dictionaries(st.integers(0, 9), st.integers(0, 5), max_size=10),
+       delta=st.lists(st.tuples(st.integers(0, 12), st.integers(0, 5), st.integers(0, 3)), max_size=30))
+def test_upsert_matches_brute_force(spark, target, delta):
+    from cairn.operators import sync
+    t_df = spark.createDataFrame(list(target.items()), "k int, v int")
+    d_df = spark.createDataFrame(delta, "k int, v int, ver int")
+    got = {r.k: r.v for r in sync.upsert(t_df, d_df, ["k"], "ver").collect()}
+    want = dict(target)
+    best = {}
+    for k, v, ver in delta:            # largest version wins; ties: any of them
+        if k not in best or ver > best[k][0]:
+            best[k] = (ver, {v})
+        elif ver == best[k][0]:
+            best[k][1].add(v)
+    for k, (_, vs) in best.items():
+        want[k] = vs
+    assert set(got) == set(want)
+    for k, v in got.items():
+        assert v in want[k] if isinstance(want[k], set) else v == want[k]
