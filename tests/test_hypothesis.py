@@ -83,3 +83,39 @@ def test_upsert_matches_brute_force(spark, target, delta):
     assert set(got) == set(want)
     for k, v in got.items():
         assert v in want[k] if isinstance(want[k], set) else v == want[k]
+
+
+actions = st.lists(st.tuples(st.sampled_from(["x", "y", "z"]), st.sampled_from(["add", "remove"]),
+                             st.integers(0, 5)), max_size=25)
+
+
+@SETTINGS
+@given(acts=actions, in_source=st.sets(st.sampled_from(["x", "y", "z"])))
+def test_catalog_fold_matches_sequential_rules(spark, acts, in_source):
+    import datetime as dt
+    from cairn.operators import catalog
+    rows = [(i, "s", t, a, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)) for i, (t, a, h) in enumerate(acts)]
+    df = spark.createDataFrame(rows, "action_id bigint, schema_name string, table_name string, action string, ts timestamp_ntz")
+    src = spark.createDataFrame([("s", t) for t in sorted(in_source)], "schema_name string, table_name string")
+    state, err = catalog.catalog_state(df, src)
+    got = {r.table_name: (r.table_id, r.status, r.created_at) for r in state.collect()}
+    got_err = {r.action_id for r in err.collect()}
+    # Sequential fold of the rules in (ts, action_id) order.
+    want, want_err = {}, set()
+    for i, _, t, a, ts in sorted(rows, key=lambda r: (r[4], r[0])):
+        cur = want.get(t)
+        if a == "add":
+            if cur is None:
+                if t in in_source:
+                    want[t] = [f"t{i}", "active", ts]
+                else:
+                    want_err.add(i)
+            elif cur[1] == "inactive":
+                cur[1], cur[2] = "active", ts
+        else:
+            if cur is None:
+                want_err.add(i)
+            else:
+                cur[1] = "inactive"
+    assert got == {t: tuple(v) for t, v in want.items()}
+    assert got_err == want_err
