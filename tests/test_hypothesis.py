@@ -119,3 +119,16 @@ def test_catalog_fold_matches_sequential_rules(spark, acts, in_source):
                 cur[1] = "inactive"
     assert got == {t: tuple(v) for t, v in want.items()}
     assert got_err == want_err
+
+
+@SETTINGS
+@given(groups=st.lists(values, min_size=2, max_size=4), partitions=st.integers(1, 7))
+def test_exact_quartiles_many_groups(spark, groups, partitions):
+    data = [(g, float(x)) for g, xs in enumerate(groups) for x in xs]
+    long_df = spark.createDataFrame(data, "g int, v double")
+    got = {(r.g, r.q): r.value for r in
+           profile.exact_quantiles(long_df, partitions=partitions, groups=len(groups)).collect()}
+    for g, xs in enumerate(groups):
+        want = np.quantile(np.array(xs, dtype=float), profile.QUARTILES)
+        for q, w in zip(profile.QUARTILES, want):
+            assert math.isclose(got[(g, q)], w, rel_tol=1e-9, abs_tol=1e-9), (g, q, got[(g, q)], w)
