@@ -132,3 +132,42 @@ def test_exact_quartiles_many_groups(spark, groups, partitions):
         want = np.quantile(np.array(xs, dtype=float), profile.QUARTILES)
         for q, w in zip(profile.QUARTILES, want):
             assert math.isclose(got[(g, q)], w, rel_tol=1e-9, abs_tol=1e-9), (g, q, got[(g, q)], w)
+
+
+jobs = st.lists(st.tuples(st.sampled_from(["completed", "failed", "running", "pending"]),
+                          st.one_of(st.none(), st.integers(0, 120))), max_size=30)
+
+
+@SETTINGS
+@given(rows=jobs)
+def test_retention_matches_rules(spark, rows):
+    import datetime as dt
+    from cairn.operators import joblog
+    now = dt.datetime(2024, 1, 28)
+    data = [(f"j{i}", st_, None if h is None else now - dt.timedelta(hours=h)) for i, (st_, h) in enumerate(rows)]
+    df = spark.createDataFrame(data, "job_id string, status string, completed_at timestamp_ntz")
+    got = {r.job_id for r in joblog.retention_delete(df, "2024-01-28 00:00:00").collect()}
+    want = {j for j, s, c in data
+            if not (c is not None and ((s == "completed" and c < now - dt.timedelta(hours=24))
+                                       or (s == "failed" and c < now - dt.timedelta(hours=72))))}
+    assert got == want
+
+
+@SETTINGS
+@given(expiry=st.lists(st.integers(0, 40), min_size=1, max_size=8),
+       access=st.lists(st.tuples(st.integers(0, 7), st.integers(0, 40)), max_size=20))
+def test_touch_matches_rules(spark, expiry, access):
+    import datetime as dt
+    from cairn.operators import artifacts as art
+    base = dt.datetime(2024, 1, 1)
+    a = spark.createDataFrame([(f"a{i}", base + dt.timedelta(days=d)) for i, d in enumerate(expiry)],
+                              "artifact_id string, expires_at timestamp_ntz")
+    acc = spark.createDataFrame([(f"a{i}", base + dt.timedelta(days=d)) for i, d in access],
+                                "artifact_id string, accessed_at timestamp_ntz")
+    got = {r.artifact_id: r.expires_at for r in art.touch(a, acc).collect()}
+    for i, d in enumerate(expiry):
+        last = [base + dt.timedelta(days=x) for j, x in access if j == i]
+        want = base + dt.timedelta(days=d)
+        if last:
+            want = max(want, max(last) + dt.timedelta(days=10))
+        assert got[f"a{i}"] == want
