@@ -171,3 +171,15 @@ def test_touch_matches_rules(spark, expiry, access):
         if last:
             want = max(want, max(last) + dt.timedelta(days=10))
         assert got[f"a{i}"] == want
+
+
+@SETTINGS
+@given(xs=st.lists(st.integers(-50, 50), min_size=1, max_size=60), bins=st.integers(1, 8))
+def test_histogram_matches_numpy(spark, xs, bins):
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    got = [r["count"] for r in profile.histogram(df, "x", bins).orderBy("bin").collect()]
+    lo, hi = min(xs), max(xs)
+    want, _ = np.histogram(np.array(xs, dtype=float), bins=bins, range=(lo, hi) if hi > lo else (lo, lo + 1))
+    if hi == lo:
+        want = [len(xs)] + [0] * (bins - 1)
+    assert got == [int(w) for w in want]
