@@ -183,3 +183,21 @@ def test_histogram_matches_numpy(spark, xs, bins):
     if hi == lo:
         want = [len(xs)] + [0] * (bins - 1)
     assert got == [int(w) for w in want]
+
+
+@SETTINGS
+@given(cols=st.lists(st.lists(st.one_of(st.none(), st.sampled_from(["a", "b", "c", "dd"])), min_size=5, max_size=5),
+                     min_size=1, max_size=30))
+def test_profile_text_matches_rules(spark, cols):
+    from collections import Counter
+    names = [f"c{i}" for i in range(5)]
+    df = spark.createDataFrame([tuple(r) for r in cols], ", ".join(f"{n} string" for n in names))
+    got = {r.column_name: (r["count"], r.unique, r.top, r.freq) for r in profile.profile_text(df).collect()}
+    for i, n in enumerate(names):
+        vals = Counter(r[i] for r in cols if r[i] is not None)
+        if not vals:
+            assert got[n] == (0, 0, None, None)
+            continue
+        freq = max(vals.values())
+        top = min(v for v, c in vals.items() if c == freq)
+        assert got[n] == (sum(vals.values()), len(vals), top, freq)
