@@ -219,3 +219,15 @@ def test_incremental_steps_equal_source(spark, cuts, full_first):
         sync.sync_incremental(rep, ev.where(f"event_id < {seen}"), "event_id", f"ji{i}")
     got = sorted(r.event_id for r in rep.read().select("event_id").collect())
     assert got == list(range(seen))
+
+
+@SETTINGS
+@given(fraction=st.floats(0, 1))
+def test_hash_sample_equals_duckdb(spark, fraction):
+    import duckdb
+    ev = io.scan(spark, SF_SMALL, "events")
+    got = sorted(r.event_id for r in profile.sample_hash(ev, ["event_id"], fraction).select("event_id").collect())
+    want = sorted(r[0] for r in duckdb.sql(
+        f"SELECT event_id FROM read_parquet('{SF_SMALL}/events.parquet') "
+        f"WHERE ('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::BIGINT < {fraction!r} * 4294967296").fetchall())
+    assert got == want
