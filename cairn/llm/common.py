@@ -32,8 +32,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bounds of the Arrow batches that Python steps get, so that very long texts
+#: don't add up to a batch that a worker can't hold.
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+              "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per context."""
+    """Prepare a session for the Python steps: bounded Arrow batches, and this
+    package sent to the executors' workers, once per context."""
+    for k, v in BATCH_CONF.items():
+        spark.conf.set(k, v)
     sc = spark.sparkContext
     if getattr(sc, "_cairn_shipped", False):
         return

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from cairn.llm import exact_dedup, line_dedup
+from cairn.llm import bpe, decontaminate, exact_dedup, line_dedup
 
 QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_bpe": bpe.op5_bpe,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
