@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe, decontaminate, exact_dedup, line_dedup
+from cairn.llm import bpe, decontaminate, exact_dedup, line_dedup, token_counts, token_files
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
+    "op3_token_files": token_files.op3_token_files,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op9_decontaminate": decontaminate.op9_decontaminate,
