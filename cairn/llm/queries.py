@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe, decontaminate, exact_dedup, line_dedup, token_counts, token_files
+from cairn.llm import bpe, decontaminate, exact_dedup, line_dedup, quality, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_quality": quality.op2_quality,
     "op3_token_files": token_files.op3_token_files,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_bpe": bpe.op5_bpe,
