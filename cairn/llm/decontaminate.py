@@ -287,3 +287,26 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("items") + F.col("null_item").cast("int")).cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", names).cast("binary"), 256).alias("items_sha256"),
         (F.size("runs") > 0).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+               item_text_col: str = "text", span: int = 10, k: int = 5, block_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` without any hit, columns unchanged; one filter per block."""
+    ship(docs.sparkSession)
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), text_bytes(item_text_col).alias("content"))
+    total = items.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_bytes))
+    for b in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item", "content"), F.lit(blocks)) == b)
+        docs = docs.where(~hit_filter(docs.sparkSession, [(r[0], bytes(r[1])) for r in block.collect()], span, k)(text_bytes(text_col)))
+    return docs
+
+
+def hit_filter(spark: SparkSession, items: list[tuple[int | None, bytes | None]], span: int, k: int):
+    index = spark.sparkContext.broadcast(BenchmarkIndex(items, span, k))
+
+    @F.arrow_udf("boolean")
+    def has_hit(content: pa.Array) -> pa.Array:
+        return pa.array([bool(r) for _, r, _ in scan((x.as_py() for x in content), index.value)], pa.bool_())
+
+    return has_hit
