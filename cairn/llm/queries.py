@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe, decontaminate, exact_dedup, licenses, line_dedup, ngram_join, quality, token_counts, token_files
+from cairn.llm import bpe, decontaminate, exact_dedup, katz, licenses, line_dedup, ngram_join, quality, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op7_katz": katz.op7_katz,
     "op8_licenses": licenses.op8_licenses,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
