@@ -1,28 +1,36 @@
 """Table replication.
 
-A replica is a parquet dataset below ``<target>/data`` partitioned by
-``batch`` (the id of the sync job that wrote the rows), plus an append-only job
-log below ``<target>/_log``.  Data is written first and logged second, so a
-batch without a completed log row is never read (Y14): a failed or lost run
-leaves nothing visible, and rerunning a job id overwrites only its own batch.
-The current replica is every completed batch from the latest completed full
-sync onwards; the semi join on the ``batch`` partition column lets dynamic
-partition pruning skip older versions without listing them.
+A replica is a set of parquet folders below ``<target>/data``, one per *attempt* of a
+sync job, plus an append-only job log below ``<target>/_log``.  Data is written
+first and logged second; the log row names the attempt's folder and its schema.
+A folder without a completed log row is never read (Y14).  A job id that has a
+completed row is done: running it again writes nothing and returns that row.  A
+run that throws logs a ``failed`` row with the whole error and raises again.
+The current replica is every completed batch from the latest completed base
+(full, upsert or compacted copy) onwards; only those folders are opened.
+``vacuum`` deletes the folders that no reader needs any more.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
 
 from cairn.functions.core import latest_per_key
 
 JOB_LOG_SCHEMA = ("job_id string, table_name string, strategy string, status string, "
                   "seq bigint, rows_processed bigint, total_rows bigint, last_value string, "
-                  "error_message string")
+                  "error_message string, folder string, schema_json string")
+
+#: Strategies whose batch replaces all before it.
+BASES = ("full", "upsert")
+
 
 class Replica:
     """Paths and log of one replicated table."""
@@ -40,6 +48,11 @@ class Replica:
     def log(self) -> DataFrame:
         return self.spark.read.schema(JOB_LOG_SCHEMA).parquet(self.log_path)
 
+    def completed(self, job_id: str) -> dict | None:
+        """The log row of a job id that is done."""
+        row = self.log().where((F.col("job_id") == job_id) & (F.col("status") == "completed")).first()
+        return row.asDict() if row else None
+
     def _next_seq(self) -> int:
         """Next job sequence number: read from the log once, then counted
         here (one writer per replica, as with one sync job per table)."""
@@ -55,74 +68,134 @@ class Replica:
 
     # -- reading -------------------------------------------------------------
     def current_batches(self) -> DataFrame:
-        """Completed batches from the latest completed full sync onwards."""
+        """Log rows of the batches that make up the replica: the latest
+        completed base and the completed jobs after it."""
         done = self.log().where(F.col("status") == "completed")
-        base = done.where(F.col("strategy") == "full").agg(F.max("seq").alias("base")).first()
+        base = done.where(F.col("strategy").isin(*BASES)).agg(F.max("seq").alias("base")).first()
         start = -1 if base["base"] is None else int(base["base"])
-        return done.where(F.col("seq") >= F.lit(start)).select(F.col("job_id").alias("batch"))
+        return done.where(F.col("seq") >= F.lit(start))
+
+    def _current(self) -> tuple[list[str], T.StructType]:
+        """Folders and schema of the replica.  One row per batch since the last
+        base comes to the driver; ``compact`` keeps that number small."""
+        rows = self.current_batches().select("seq", "folder", "schema_json").orderBy("seq").collect()
+        fields: dict[str, T.StructField] = {}
+        for r in rows:
+            for f in T.StructType.fromJson(json.loads(r["schema_json"])).fields:
+                fields[f.name] = f
+        return [f"{self.data_path}/{r['folder']}" for r in rows], T.StructType(list(fields.values()))
+
+    def schema(self) -> T.StructType:
+        return self._current()[1]
 
     def read(self) -> DataFrame:
-        try:
-            data = self.spark.read.parquet(self.data_path)
-        except AnalysisException:
-            return None
-        return committed_only(data, self.current_batches(), "batch", "batch")[0].drop("batch")
+        """The replica.  Before the first completed sync it is empty and has no
+        columns.  Columns that later batches added are null in earlier ones."""
+        folders, schema = self._current()
+        if not folders:
+            return self.spark.createDataFrame([], T.StructType([]))
+        return self.spark.read.schema(schema).parquet(*folders)
 
     # -- writing -------------------------------------------------------------
+    def _check_schema(self, df: DataFrame, strategy: str) -> None:
+        """A batch on top of others may add columns; it may not change a type."""
+        if strategy in BASES:
+            return
+        have = {f.name: f.dataType for f in self.schema().fields}
+        changed = [f"{f.name}: {have[f.name].simpleString()} -> {f.dataType.simpleString()}"
+                   for f in df.schema.fields if f.name in have and have[f.name] != f.dataType]
+        if changed:
+            raise ValueError("column types changed, a full sync is needed: " + ", ".join(changed))
+
     def _write_batch(self, df: DataFrame, job_id: str, strategy: str,
                      total_rows: int | None, watermark_col: str | None,
                      carry_watermark: str | None = None) -> dict:
+        # Every attempt has its own folder, so no run ever touches rows that are being read.
+        folder = f"job={quote(job_id, safe='')}-{uuid.uuid4().hex[:12]}"
+        job = {"job_id": job_id, "table_name": self.table_name, "strategy": strategy, "status": "failed",
+               "seq": self._next_seq(), "rows_processed": 0, "total_rows": total_rows, "last_value": None,
+               "error_message": None, "folder": folder, "schema_json": df.schema.json()}
         aggs = [F.count(F.lit(1)).alias("rows")]
         if watermark_col:
             aggs.append(F.max(watermark_col).cast("string").alias("wm"))
         obs = Observation()
-        (df.observe(obs, *aggs).write.mode("overwrite")
-           .parquet(f"{self.data_path}/batch={job_id}"))
-        got = obs.get
-        rows = int(got["rows"])
-        job = {"job_id": job_id, "table_name": self.table_name, "strategy": strategy,
-               "status": "completed", "seq": self._next_seq(), "rows_processed": rows,
-               "total_rows": rows if total_rows is None else total_rows,
-               "last_value": got.get("wm") if watermark_col else carry_watermark,
-               "error_message": None}
-        if job["rows_processed"] != job["total_rows"]:
-            job["status"] = "failed"
+        try:
+            self._check_schema(df, strategy)
+            df.observe(obs, *aggs).write.parquet(f"{self.data_path}/{folder}")
+            got = obs.get
+        except Exception as exc:
+            job["error_message"] = str(exc)
+            self._append_log(job)
+            raise
+        job["rows_processed"] = int(got["rows"])
+        if total_rows is None:
+            job["total_rows"] = job["rows_processed"]
+        if job["rows_processed"] == job["total_rows"]:
+            job["status"] = "completed"
+            job["last_value"] = got.get("wm") if watermark_col else carry_watermark
+        else:
             job["error_message"] = "row count differs from source count"
         self._append_log(job)
         return job
 
+    def vacuum(self, grace_hours: float = 24.0) -> int:
+        """Delete batch folders that the replica doesn't need and that were last
+        changed more than ``grace_hours`` ago (running readers and attempts are
+        younger).  Returns their number."""
+        keep = {f.rsplit("/", 1)[1] for f in self._current()[0]}
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.data_path)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return 0
+        before = jvm.System.currentTimeMillis() - int(grace_hours * 3_600_000)
+        gone = 0
+        for st in fs.listStatus(path):
+            if st.getPath().getName() not in keep and st.getModificationTime() <= before:
+                gone += bool(fs.delete(st.getPath(), True))
+        return gone
+
 
 def _filtered(src: DataFrame, where: str | None) -> DataFrame:
     return src.where(F.expr(where)) if where else src
 
 
+def _conformed(src: DataFrame, columns: DataFrame | None) -> DataFrame:
+    """The source cast to its declared replica types (Y6), if they are given."""
+    return src if columns is None else conform_schema(src, columns)[0]
+
+
 def sync_full(replica: Replica, src: DataFrame, job_id: str, where: str | None = None,
-              check_total: bool = False, watermark_col: str | None = None) -> dict:
+              check_total: bool = False, watermark_col: str | None = None,
+              columns: DataFrame | None = None) -> dict:
     """Replace the replica with the whole (filtered) source.
 
     The new version is a new batch; it becomes visible only when its log row is
     written, so readers never see a half-replaced table and an empty source
     gives an empty replica.  ``check_total`` counts the source under the same
-    predicate first (S3, answered from footers when unfiltered) and fails the
+    predicate first (S3, a scan of no columns when unfiltered) and fails the
     job if the write saw a different number of rows (Y12).  ``watermark_col``
     records the largest key of the copy, taken during the write, so that
-    incremental syncs can continue from this full copy."""
+    incremental syncs can continue from this full copy.  ``columns`` (declared
+    types) conforms the rows first."""
+    if done := replica.completed(job_id):
+        return done
     total = None
     if check_total:
         from cairn.sources.io import count_rows
         total = int(count_rows(src, where).first()["total_rows"])
-    return replica._write_batch(_filtered(src, where), job_id, "full", total, watermark_col)
+    return replica._write_batch(_conformed(_filtered(src, where), columns), job_id, "full", total, watermark_col)
 
 
-def last_logged_watermark(replica: Replica, key_type: str | None = None) -> object:
+def last_logged_watermark(replica: Replica) -> object:
     """Last non-null watermark of the completed jobs since the latest
-    completed full sync (D5: an empty batch keeps the previous one).
+    completed base (D5: an empty batch keeps the previous one).
 
-    A full sync that logged no watermark leaves the position unknown: an
-    incremental run would copy rows the full copy already holds, so that is
+    A base that logged no watermark leaves the position unknown: an
+    incremental run would copy rows the base already holds, so that is
     an error rather than silent duplication."""
     done = replica.log().where(F.col("status") == "completed")
-    row = done.agg(F.max(F.when(F.col("strategy") == "full", F.col("seq"))).alias("base"),
+    row = done.agg(F.max(F.when(F.col("strategy").isin(*BASES), F.col("seq"))).alias("base"),
                    F.max_by("last_value", F.when(F.col("last_value").isNotNull(), F.col("seq")))
                     .alias("v"),
                    F.max(F.when(F.col("last_value").isNotNull(), F.col("seq"))).alias("v_seq")).first()
@@ -135,18 +208,22 @@ def last_logged_watermark(replica: Replica, key_type: str | None = None) -> obje
 
 
 def sync_incremental(replica: Replica, src: DataFrame, key: str, job_id: str,
-                     where: str | None = None, last_value: object = "logged") -> dict:
+                     where: str | None = None, last_value: object = "logged",
+                     columns: DataFrame | None = None) -> dict:
     """Y2: append rows with ``key > last watermark`` (and the extra filter).
 
     Without an earlier watermark the whole source is copied.  The new
     watermark is the largest key of the batch, taken during the write; an empty
-    batch keeps the previous one (it logs no value)."""
+    batch keeps the previous one (it logs no value).  A job id that is done is
+    not run again, so a retry after a lost answer appends nothing twice."""
+    if done := replica.completed(job_id):
+        return done
     if last_value == "logged":
-        last_value = last_logged_watermark(replica, src.schema[key].dataType.simpleString())
+        last_value = last_logged_watermark(replica)
     df = _filtered(src, where)
     if last_value is not None:
         df = df.where(F.col(key) > F.lit(last_value).cast(src.schema[key].dataType))
-    return replica._write_batch(df, job_id, "incremental", None, key)
+    return replica._write_batch(_conformed(df, columns), job_id, "incremental", None, key)
 
 
 def compact(replica: Replica, job_id: str, watermark_col: str | None = None) -> dict:
@@ -156,17 +233,45 @@ def compact(replica: Replica, job_id: str, watermark_col: str | None = None) ->
     It reads the old batch folders and writes a new one, so nothing is
     overwritten in place; the old batches stop being read once the new
     base's log row exists.  The watermark is carried over: the largest
-    ``watermark_col`` of the data if given, else the last logged one."""
+    ``watermark_col`` of the data if given, else the last logged one.  A
+    replica that was never synced has nothing to compact, which is an error."""
+    if done := replica.completed(job_id):
+        return done
     current = replica.read()
+    if not current.columns:
+        raise ValueError("the replica has no completed sync")
     carried = None if watermark_col else last_logged_watermark(replica)
-    job = replica._write_batch(current, job_id, "full", None, watermark_col, carry_watermark=carried)
-    return job
+    return replica._write_batch(current, job_id, "full", None, watermark_col, carry_watermark=carried)
+
+
+def sync_upsert(replica: Replica, delta: DataFrame, keys: Sequence[str], job_id: str,
+                version_col: str | None = None, watermark_col: str | None = None) -> dict:
+    """Y3 on a replica: the upserted table is written as its next base batch, with a log row.
+
+    The watermark is the largest ``watermark_col`` if given; otherwise the last logged one, if any, is carried."""
+    if done := replica.completed(job_id):
+        return done
+    current = replica.read()
+    if not current.columns:
+        current = replica.spark.createDataFrame([], delta.schema)
+    carried = None
+    if watermark_col is None:
+        row = replica.current_batches().agg(
+            F.max_by("last_value", F.when(F.col("last_value").isNotNull(), F.col("seq"))).alias("v")).first()
+        carried = row["v"]
+    return replica._write_batch(upsert(current, delta, keys, version_col), job_id, "upsert", None,
+                                watermark_col, carry_watermark=carried)
 
 
 def upsert(target: DataFrame, delta: DataFrame, keys: Sequence[str],
            version_col: str | None = None) -> DataFrame:
-    """Apply new and modified rows to a table: one row per key, the delta
-    winning over the target and, within the delta, the largest version winning.
+    """Apply new and modified rows to a table: one row per key of the delta,
+    the latest version winning over the union of both.
+
+    Within the delta the largest version wins, then (or without a version) the
+    largest row.  If the target has the version column too, a target row with a
+    greater version stays and the delta's row for that key is dropped; otherwise the delta wins.
+    A null version is less than any other.  Keys match null-safely.
 
     Only the delta is aggregated (``max_by`` per key, partial per partition so
     a key updated millions of times is reduced before it moves).  The target
@@ -175,11 +280,30 @@ def upsert(target: DataFrame, delta: DataFrame, keys: Sequence[str],
     shuffle; a large delta falls back to a sort-merge anti join."""
     keys = list(keys)
     cols = target.columns
-    d = delta.select(*cols, *([F.col(version_col).alias("_ver")] if version_col else []))
-    latest = latest_per_key(d, keys, ["_ver"]).select(*cols) if version_col else \
-        latest_per_key(d, keys, [F.lit(0)]).select(*cols)
-    kept = target.join(latest.select(*keys), keys, "left_anti")
-    return kept.unionByName(latest)
+    ver = [F.col(version_col).alias("_ver")] if version_col else []
+    whole = F.struct(*[c for c in cols if c not in keys] or [F.lit(0).alias("_")])
+    d = delta.select(*cols, *ver)
+    latest = latest_per_key(d, keys, ["_ver", whole] if version_col else [whole])
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & a[k].eqNullSafe(b[k])
+        return cond
+
+    def newer(a: Column, b: Column) -> Column:
+        return F.coalesce(a > b, a.isNotNull() & b.isNull())
+
+    replaced, beaten = same(target, latest), None
+    if version_col and version_col in cols:
+        replaced = replaced & ~newer(target[version_col], latest["_ver"])
+        holders = target.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.col(version_col).alias("_hver"))
+        beaten = newer(holders["_hver"], latest["_ver"])
+        for i, k in enumerate(keys):
+            beaten = beaten & latest[k].eqNullSafe(holders[f"_h{i}"])
+    kept = target.join(latest, replaced, "left_anti")
+    winners = latest if beaten is None else latest.join(holders, beaten, "left_anti")
+    return kept.unionByName(winners.select(*cols))
 
 
 def sync_snapshot(src: DataFrame, target: str, snapshot_ts: str,
@@ -204,14 +328,17 @@ def snapshot_id(ts: str) -> str:
 def snapshot_as_of(spark: SparkSession, target: str, ts: str) -> DataFrame:
     """The last snapshot taken at or before ``ts``.
 
-    The snapshot id is resolved first (one value), then used as a literal so
-    the scan reads that partition only."""
+    The snapshot id comes from the names of the partition folders, then is used
+    as a literal so the scan reads that partition only."""
     all_snaps = spark.read.parquet(target)
-    row = (all_snaps.where(F.col("snapshot") <= F.lit(snapshot_id(ts)))
-           .agg(F.max("snapshot").alias("s")).first())
-    if row["s"] is None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [st.getPath().getName() for st in fs.listStatus(path)]
+    ids = [n.split("=", 1)[1] for n in names if n.startswith("snapshot=")]
+    last = max((i for i in ids if i <= snapshot_id(ts)), default=None)
+    if last is None:
         return all_snaps.where(F.lit(False)).drop("snapshot")
-    return all_snaps.where(F.col("snapshot") == F.lit(row["s"])).drop("snapshot")
+    return all_snaps.where(F.col("snapshot") == F.lit(last)).drop("snapshot")
 
 
 # -- declared types ------------------------------------------------------------
@@ -245,7 +372,7 @@ def describe_columns(desc: DataFrame) -> DataFrame:
     DECIMAL, scale 0 when only precision is given), is_nullable and the replica
     type (``VARCHAR(n)`` when a length is known)."""
     t = F.upper(F.trim(F.col("declared_type")))
-    base = F.regexp_extract(t, r"^([^(]+)", 1)
+    base = F.trim(F.regexp_extract(t, r"^([^(]+)", 1))
     has_args = t.contains("(")
     first = F.regexp_extract(t, r"\(\s*(\d+)", 1)
     second = F.regexp_extract(t, r",\s*(\d+)\s*\)", 1)
@@ -284,7 +411,7 @@ def conform_schema(df: DataFrame, columns: DataFrame, exact: bool = False
             stype = f"decimal({s['precision'] or 38},{s['scale'] or 0})"
         else:
             stype = _SPARK_TYPE[REPLICA_TYPE.get(base, "VARCHAR")]
-        src = F.col(name)
+        src = df[f"`{name.replace('`', '``')}`"]
         if stype == "string" and dict(df.dtypes).get(name) not in ("string", None):
             if dict(df.dtypes)[name].startswith(("array", "map", "struct")):
                 cast = F.to_json(src)
@@ -301,10 +428,10 @@ def conform_schema(df: DataFrame, columns: DataFrame, exact: bool = False
         if s["max_length"] is not None:
             checks.append((name, "too_long", F.length(cast.cast("string")) > F.lit(s["max_length"])))
     conformed = df.select(*casts)
-    agg = df.agg(*[F.count_if(c).alias(f"{n}#{k}") for n, k, c in checks])
-    stack = ", ".join(f"'{n}', '{k}', `{n}#{k}`" for n, k, _ in checks)
-    violations = agg.selectExpr(
-        f"stack({len(checks)}, {stack}) AS (column_name, check_name, violations)")
+    agg = df.agg(*[F.count_if(c).alias(f"c{i}") for i, (_, _, c) in enumerate(checks)])
+    violations = agg.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("column_name"), F.lit(k).alias("check_name"), F.col(f"c{i}").alias("violations"))
+        for i, (n, k, _) in enumerate(checks)])))
     return conformed, violations
 
 
@@ -322,7 +449,7 @@ def last_watermark(jobs: DataFrame) -> DataFrame:
 
 
 def table_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Row count (from parquet footers where possible) and bytes on disk."""
+    """Row count (a scan of no columns) and bytes on disk."""
     from cairn.sources.io import file_listing
     size = (file_listing(spark, path).where(F.col("path").endswith(".parquet"))
             .agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"])
@@ -333,9 +460,10 @@ def table_stats(spark: SparkSession, path: str) -> DataFrame:
 def reconcile(src: DataFrame, tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Compare a source with its replica after a sync.
 
-    One row per check: row counts, per-column types (1 when the replica's
-    type differs) and null counts, rows only in the source, rows only in the
-    replica and keys whose rows differ.
+    One row per check: row counts, columns that one side lacks, per-column types
+    (1 when the replica's type differs) and null counts, rows only in the source,
+    rows only in the replica and keys whose rows differ.  The hash of a row covers for each
+    column whether it is null, so values that moved between columns differ.
 
     Each side is read once.  Both are unioned and aggregated by the keys: per
     key and side a row count, null counts, and an order-insensitive
@@ -345,11 +473,12 @@ def reconcile(src: DataFrame, tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
     never produce row pairs, unlike a join on non-unique keys."""
     keys = list(keys)
     cols = [c for c in src.columns if c in tgt.columns]
-    fp = F.xxhash64(*[F.col(c) for c in cols]).cast("decimal(38,0)")
+    quoted = {c: "`" + c.replace("`", "``") + "`" for c in cols}
+    fp = F.xxhash64(*[x for c in cols for x in (F.col(quoted[c]).isNull(), F.col(quoted[c]))]).cast("decimal(38,0)")
 
     def side(df: DataFrame, tag: int) -> DataFrame:
         return df.select(*keys, F.lit(tag).alias("_side"), fp.alias("_fp"),
-                         *[F.col(c).isNull().cast("int").alias(f"_z{i}") for i, c in enumerate(cols)])
+                         *[F.col(quoted[c]).isNull().cast("int").alias(f"_z{i}") for i, c in enumerate(cols)])
 
     s1, s2 = F.col("_side") == 1, F.col("_side") == 2
     per_key = side(src, 1).unionByName(side(tgt, 2)).groupBy(*keys).agg(
@@ -365,16 +494,20 @@ def reconcile(src: DataFrame, tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
                    & ((F.col("ns") != F.col("nt")) | (F.col("fs") != F.col("ft")))).alias("changed"),
         *[F.coalesce(F.sum(f"zs{i}"), F.lit(0)).alias(f"zs{i}") for i in range(len(cols))],
         *[F.coalesce(F.sum(f"zt{i}"), F.lit(0)).alias(f"zt{i}") for i in range(len(cols))])
-    checks = ([("row_count", "*", "rows_s", "rows_t")]
-              + [("null_count", c, f"zs{i}", f"zt{i}") for i, c in enumerate(cols)]
-              + [("only_in_source", "*", "0", "only_s"), ("only_in_replica", "*", "0", "only_t"),
-                 ("changed", "*", "0", "changed")])
-    stack = ", ".join(f"'{k}', '{c}', CAST({a} AS BIGINT), CAST({b} AS BIGINT)" for k, c, a, b in checks)
-    out = total.selectExpr(f"stack({len(checks)}, {stack}) AS (check_name, column_name, source_value, replica_value)")
+    none = F.lit(0)
+    checks = ([("row_count", "*", F.col("rows_s"), F.col("rows_t"))]
+              + [("null_count", c, F.col(f"zs{i}"), F.col(f"zt{i}")) for i, c in enumerate(cols)]
+              + [("only_in_source", "*", none, F.col("only_s")), ("only_in_replica", "*", none, F.col("only_t")),
+                 ("changed", "*", none, F.col("changed"))])
+    out = total.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("check_name"), F.lit(c).alias("column_name"), a.cast("bigint").alias("source_value"),
+                 b.cast("bigint").alias("replica_value")) for k, c, a, b in checks])))
     # Types are schema metadata: one row per column, built on the driver.
     tt = dict(tgt.dtypes)
     types = src.sparkSession.createDataFrame(
-        [("type_mismatch", c, 0, int(tt[c] != ty)) for c, ty in src.dtypes if c in tt],
+        [("type_mismatch", c, 0, int(tt[c] != ty)) for c, ty in src.dtypes if c in tt]
+        + [("missing_column", c, 1, 0) for c in src.columns if c not in tt]
+        + [("missing_column", c, 0, 1) for c in tgt.columns if c not in src.columns],
         "check_name string, column_name string, source_value bigint, replica_value bigint")
     return out.unionByName(types).withColumn("ok", F.col("source_value") == F.col("replica_value"))
 

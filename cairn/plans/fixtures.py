@@ -62,7 +62,7 @@ SELECT * FROM (VALUES
   ('edge', 2, 'b', 'BOOLEAN', 'N'), ('edge', 3, 'c', 'DATE', 'Y'), ('edge', 4, 'd', 'TIMESTAMP_NTZ(9)', 'Y'),
   ('edge', 5, 'e', 'TIMESTAMP_TZ(9)', 'Y'), ('edge', 6, 'f', 'TIMESTAMP_LTZ(9)', 'Y'),
   ('edge', 7, 'g', 'DECIMAL(10,2)', 'N'), ('edge', 8, 'h', 'VARIANT', 'Y'), ('edge', 9, 'i', 'ARRAY', 'Y'),
-  ('edge', 10, 'j', 'TEXT', 'Y'), ('edge', 13, 'm', 'VARCHAR(16777216)', 'Y'), ('edge', 11, 'k', 'CHAR(1)', 'Y'), ('edge', 12, 'l', 'BINARY(8388608)', 'Y'))
+  ('edge', 10, 'j', 'TEXT', 'Y'), ('edge', 14, 'n', 'NUMBER (38,0)', 'Y'), ('edge', 15, 'o', 'VARCHAR (10)', 'Y'), ('edge', 13, 'm', 'VARCHAR(16777216)', 'Y'), ('edge', 11, 'k', 'CHAR(1)', 'Y'), ('edge', 12, 'l', 'BINARY(8388608)', 'Y'))
   AS v(table_name, ordinal, name, declared_type, nullable)""",
     # Declared source columns derived from events: one per event, every
     # declared-type form the parser handles (Y7), growing with the data.
@@ -215,11 +215,3 @@ class Tables:
         words = set(re.findall(r"[a-z_]+", text.lower()))
         self.register([n for n in GIVEN_TABLES if n in words])
         return self.spark.sql(text)
-
-
-def oracle_with(names: list[str], body: str) -> str:
-    """DuckDB text: the named fixtures as CTEs in front of ``body``."""
-    if not names:
-        return body.strip()
-    ctes = ",\n".join(f"{n} AS (\n{fixture_sql(n, 'duckdb')}\n)" for n in names)
-    return f"WITH {ctes}\n{body.strip()}"

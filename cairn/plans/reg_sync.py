@@ -37,6 +37,39 @@ def sync_incremental(spark, sf):
     return rep.read()
 
 
+@register("sync_retry", "Y2", "SELECT * FROM events")
+def sync_retry(spark, sf):
+    """Each job id runs twice, as after a lost answer; ids that look like the
+    same number stay distinct."""
+    rep = sync.Replica(spark, work_dir(spark, "replica"), "events")
+    events = io.scan(spark, sf, "events")
+    early = events.where(F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    for src, job in ((early, "010"), (early, "010"), (events, "10"), (events, "10"), (events, "010")):
+        sync.sync_incremental(rep, src, "ts", job)
+    return rep.read()
+
+
+@register("sync_failed_log", "Y12", """
+SELECT 'jbad0001' AS job_id, 'failed' AS status, CAST(0 AS BIGINT) AS rows_processed, true AS told, count(*) AS visible
+FROM events WHERE event_type <> 'error'""")
+def sync_failed_log(spark, sf):
+    """A sync whose source breaks while it is read: logged with its error, nothing visible of it."""
+    rep = sync.Replica(spark, work_dir(spark, "replica"), "events")
+    events = io.scan(spark, sf, "events")
+    sync.sync_full(rep, events, "jgood001", where="event_type <> 'error'")
+    broken = events.withColumn("value", F.when(F.col("event_type") == "error", F.raise_error(F.lit("source went away")))
+                               .otherwise(F.col("value")))
+    try:
+        sync.sync_full(rep, broken, "jbad0001")
+    except Exception as exc:
+        if "source went away" not in str(exc):
+            raise
+    visible = rep.read().agg(F.count(F.lit(1)).alias("visible"))
+    return (rep.log().where("job_id = 'jbad0001'")
+            .select("job_id", "status", "rows_processed", F.col("error_message").contains("source went away").alias("told"))
+            .crossJoin(F.broadcast(visible)))
+
+
 @register("sync_compact", "Y2", "SELECT * FROM events")
 def sync_compact(spark, sf):
     """Three incremental drops (the source as of the 10th, 20th and 25th of
@@ -79,6 +112,42 @@ def sync_upsert(spark, sf):
     return sync.upsert(orders, _orders_delta(orders), ["o_orderkey"], "_v")
 
 
+_VERSIONED = """
+SELECT o_orderkey, o_custkey, o_totalprice, o_orderkey % 7 AS ver, 0 AS side FROM orders"""
+# Versions 0..8 against the target's 0..6, so the delta is older, equal and newer;
+# every ninth key is null and many rows share it.
+_VERSIONED_DELTA = """
+SELECT CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey END AS o_orderkey, o_custkey,
+  o_totalprice + 1 AS o_totalprice, o_custkey % 9 AS ver, 1 AS side FROM orders WHERE o_orderstatus <> 'F'"""
+_UPSERT_VERSION = f"""
+SELECT o_orderkey, o_custkey, o_totalprice, ver FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY ver DESC, side DESC, o_custkey DESC, o_totalprice DESC) AS rn
+  FROM ({_VERSIONED} UNION ALL {_VERSIONED_DELTA})) WHERE rn = 1"""
+
+
+def _versioned(spark, sf):
+    Tables(spark, sf).register(["orders"])
+    return spark.sql(_VERSIONED).drop("side"), spark.sql(_VERSIONED_DELTA).drop("side")
+
+
+@register("sync_upsert_version", "Y3", _UPSERT_VERSION)
+def sync_upsert_version(spark, sf):
+    target, delta = _versioned(spark, sf)
+    return sync.upsert(target, delta, ["o_orderkey"], "ver")
+
+
+@register("sync_upsert_replica", "Y3", f"""
+SELECT u.*, (SELECT count(*) FROM ({_UPSERT_VERSION})) AS logged_rows FROM ({_UPSERT_VERSION}) AS u""")
+def sync_upsert_replica(spark, sf):
+    """The same as a replica write: a full copy, then the upsert (run twice) as its next base."""
+    rep = sync.Replica(spark, work_dir(spark, "replica"), "orders")
+    target, delta = _versioned(spark, sf)
+    sync.sync_full(rep, target, "jups0001")
+    for _ in range(2):
+        job = sync.sync_upsert(rep, delta, ["o_orderkey"], "jups0002", "ver")
+    return rep.read().withColumn("logged_rows", F.lit(job["rows_processed"]).cast("bigint"))
+
+
 @register("sync_snapshot", "Y4", f"""
 SELECT {ORDER_COLS}, 's20240101T000000' AS snapshot FROM orders
 UNION ALL
@@ -128,19 +197,19 @@ def conform_violations(spark, sf):
 
 
 @register("describe_columns", "Y7", """
-SELECT table_name, ordinal, name AS column_name, regexp_extract(declared_type, '^([^(]+)', 1) AS base_type,
-  CASE WHEN regexp_extract(declared_type, '^([^(]+)', 1) IN ('VARCHAR', 'CHAR', 'TEXT') AND declared_type LIKE '%(%'
+SELECT table_name, ordinal, name AS column_name, trim(regexp_extract(declared_type, '^([^(]+)', 1)) AS base_type,
+  CASE WHEN trim(regexp_extract(declared_type, '^([^(]+)', 1)) IN ('VARCHAR', 'CHAR', 'TEXT') AND declared_type LIKE '%(%'
        THEN CAST(regexp_extract(declared_type, '\\((\\d+)', 1) AS BIGINT) END AS max_length,
-  CASE WHEN regexp_extract(declared_type, '^([^(]+)', 1) IN ('NUMBER', 'DECIMAL') AND declared_type LIKE '%(%'
+  CASE WHEN trim(regexp_extract(declared_type, '^([^(]+)', 1)) IN ('NUMBER', 'DECIMAL') AND declared_type LIKE '%(%'
        THEN CAST(regexp_extract(declared_type, '\\((\\d+)', 1) AS INTEGER) END AS precision,
-  CASE WHEN regexp_extract(declared_type, '^([^(]+)', 1) IN ('NUMBER', 'DECIMAL') AND declared_type LIKE '%(%'
+  CASE WHEN trim(regexp_extract(declared_type, '^([^(]+)', 1)) IN ('NUMBER', 'DECIMAL') AND declared_type LIKE '%(%'
        THEN coalesce(CAST(nullif(regexp_extract(declared_type, ',\\s*(\\d+)\\s*\\)', 1), '') AS INTEGER), 0) END AS scale,
   CASE WHEN nullable = 'Y' THEN 'YES' ELSE 'NO' END AS is_nullable,
-  CASE WHEN regexp_extract(declared_type, '^([^(]+)', 1) IN ('VARCHAR', 'CHAR', 'TEXT') AND declared_type LIKE '%(%'
+  CASE WHEN trim(regexp_extract(declared_type, '^([^(]+)', 1)) IN ('VARCHAR', 'CHAR', 'TEXT') AND declared_type LIKE '%(%'
          THEN 'VARCHAR(' || regexp_extract(declared_type, '\\((\\d+)', 1) || ')'
-       WHEN regexp_extract(declared_type, '^([^(]+)', 1) IN ('NUMBER', 'FLOAT') THEN 'DOUBLE'
-       WHEN regexp_extract(declared_type, '^([^(]+)', 1) IN ('BOOLEAN', 'DATE') THEN regexp_extract(declared_type, '^([^(]+)', 1)
-       WHEN regexp_extract(declared_type, '^([^(]+)', 1) LIKE 'TIMESTAMP_%' THEN 'TIMESTAMP'
+       WHEN trim(regexp_extract(declared_type, '^([^(]+)', 1)) IN ('NUMBER', 'FLOAT') THEN 'DOUBLE'
+       WHEN trim(regexp_extract(declared_type, '^([^(]+)', 1)) IN ('BOOLEAN', 'DATE') THEN trim(regexp_extract(declared_type, '^([^(]+)', 1))
+       WHEN trim(regexp_extract(declared_type, '^([^(]+)', 1)) LIKE 'TIMESTAMP_%' THEN 'TIMESTAMP'
        ELSE 'VARCHAR' END AS replica_type
 FROM (SELECT * FROM source_columns UNION ALL SELECT * FROM declared_columns) AS c""",
           fixtures=["source_columns", "declared_columns"])
@@ -197,6 +266,26 @@ def reconcile(spark, sf):
     return sync.reconcile(orders, replica, ["o_orderkey"])
 
 
+@register("reconcile_differences", "Y11", """
+SELECT 'changed' AS check_name, '*' AS column_name, CAST(0 AS BIGINT) AS source_value, count(*) AS replica_value,
+  count(*) = 0 AS ok FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey IS NOT NULL
+UNION ALL SELECT 'missing_column', 'o_orderpriority', 1, 0, false
+UNION ALL SELECT 'missing_column', 'extra', 0, 1, false""")
+def reconcile_differences(spark, sf):
+    """Values swapped between two nullable columns of one type, and a column
+    that only one side has: the checks that fail."""
+    orders = io.scan(spark, sf, "orders")
+    odd = F.col("o_orderkey") % 50 == 0
+    src = orders.withColumn("a", F.when(odd, F.col("o_orderstatus"))).withColumn("b", F.lit(None).cast("string"))
+    # As many rows hold their value in b from the start, so null counts agree column by column.
+    src = src.withColumn("b", F.when(F.col("o_orderkey") % 50 == 1, F.lit("x")))
+    tgt = (src.withColumn("a2", F.when(odd, F.col("b")).otherwise(F.col("a")))
+              .withColumn("b", F.when(odd, F.col("a")).otherwise(F.col("b")))
+              .withColumn("a", F.col("a2")).drop("a2", "o_orderpriority").withColumn("extra", F.lit(1)))
+    found = sync.reconcile(src, tgt, ["o_orderkey"])
+    return found.where("not ok and check_name <> 'null_count'")
+
+
 @register("sync_job_stats", "Y12", """
 SELECT 'jstats001' AS job_id, 'orders' AS table_name, 'full' AS strategy, 'completed' AS status,
   count(*) AS rows_processed, count(*) AS total_rows FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'""")

@@ -39,7 +39,7 @@ def test_incremental_two_steps_equals_full_and_keeps_watermark(spark):
     j2 = sync.sync_incremental(rep, ev, "event_id", "ji2")
     j3 = sync.sync_incremental(rep, ev, "event_id", "ji3")  # empty delta
     assert j3["rows_processed"] == 0 and j3["last_value"] is None
-    assert sync.last_logged_watermark(rep, "bigint") == j2["last_value"]
+    assert sync.last_logged_watermark(rep) == j2["last_value"]
     assert _rows(rep.read()) == _rows(ev)
 
 
@@ -52,6 +52,81 @@ def test_unlogged_batch_is_invisible(spark):
     assert rep.read().count() == ev.count()
 
 
+def test_done_job_ids_are_not_run_again_and_stay_distinct(spark):
+    ev = io.scan(spark, SF_SMALL, "events")
+    rep = sync.Replica(spark, work_dir(spark, "t-retry"), "events")
+    assert rep.read().count() == 0
+    with pytest.raises(ValueError):
+        sync.compact(rep, "jc0")
+    sync.sync_full(rep, ev.limit(100), "010", watermark_col="event_id")
+    sync.sync_full(rep, ev.limit(5), "10", watermark_col="event_id")
+    assert rep.read().count() == 5
+    sync.sync_full(rep, ev, "010", watermark_col="event_id")
+    assert rep.read().count() == 5
+    inc = sync.Replica(spark, work_dir(spark, "t-retry2"), "events")
+    for _ in range(2):
+        job = sync.sync_incremental(inc, ev, "event_id", "j1")
+        assert job["rows_processed"] == ev.count() == inc.read().count()
+
+
+def test_failed_run_is_logged_whole_and_retried(spark):
+    ev = io.scan(spark, SF_SMALL, "events")
+    rep = sync.Replica(spark, work_dir(spark, "t-fail"), "events")
+    message = "bad row " + "x" * 3000
+    broken = ev.withColumn("value", F.when(F.col("event_id") == 7, F.raise_error(F.lit(message))).otherwise(F.col("value")))
+    with pytest.raises(Exception):
+        sync.sync_incremental(rep, broken, "event_id", "j1")
+    row = rep.log().first()
+    assert row.status == "failed" and message in row.error_message and rep.read().count() == 0
+    sync.sync_incremental(rep, ev, "event_id", "j1")
+    assert _rows(rep.read()) == _rows(ev)
+
+
+def test_schema_drift_is_read_or_refused(spark):
+    ev = io.scan(spark, SF_SMALL, "events")
+    rep = sync.Replica(spark, work_dir(spark, "t-drift"), "events")
+    sync.sync_full(rep, ev.where("event_id < 500"), "j1", watermark_col="event_id")
+    sync.sync_incremental(rep, ev.withColumn("added", F.lit("new")), "event_id", "j2")
+    got = rep.read()
+    assert got.columns == [*ev.columns, "added"] and got.where("added is null").count() == ev.where("event_id < 500").count()
+    more = ev.withColumn("event_id", F.col("event_id") + 100000)
+    with pytest.raises(ValueError):
+        sync.sync_incremental(rep, more.withColumn("value", F.col("value").cast("string")), "event_id", "j3")
+    sync.sync_full(rep, ev.select("event_id", "value"), "j4")
+    assert rep.read().columns == ["event_id", "value"]
+
+
+def test_vacuum_removes_only_superseded_batches(spark):
+    ev = io.scan(spark, SF_SMALL, "events")
+    rep = sync.Replica(spark, work_dir(spark, "t-vacuum"), "events")
+    for i in range(3):
+        sync.sync_full(rep, ev, f"j{i}")
+    assert rep.vacuum(grace_hours=24) == 0
+    assert rep.vacuum(grace_hours=-1) == 2
+    assert _rows(rep.read()) == _rows(ev)
+
+
+def test_conform_on_the_way_into_a_replica(spark, tables):
+    cols = tables["source_columns"].where("table_name = 'customer'")
+    rep = sync.Replica(spark, work_dir(spark, "t-conform"), "customer")
+    sync.sync_full(rep, tables["customer"], "j1", columns=cols)
+    assert dict(rep.read().dtypes)["c_custkey"] == "double"
+
+
+def test_quotes_in_column_names(spark):
+    df = spark.createDataFrame([(1, "a", 2.0)], "k int, `it's` string, `a``b` double")
+    assert all(r.ok for r in sync.reconcile(df, df, ["k"]).collect())
+    cols = spark.createDataFrame([("t", 1, "it's", "VARCHAR(1)", "N")], "table_name string, ordinal int, name string, declared_type string, nullable string")
+    assert {r.violations for r in sync.conform_schema(df, cols)[1].collect()} == {0}
+
+
+def test_declared_types_with_blanks(spark):
+    d = spark.createDataFrame([("t", 1, "a", "NUMBER (38, 0)", "Y"), ("t", 2, "b", "VARCHAR (10)", "Y")],
+                              "table_name string, ordinal int, name string, declared_type string, nullable string")
+    got = {r.column_name: (r.base_type, r.precision, r.scale, r.replica_type) for r in sync.describe_columns(d).collect()}
+    assert got == {"a": ("NUMBER", 38, 0, "DOUBLE"), "b": ("VARCHAR", None, None, "VARCHAR(10)")}
+
+
 def test_snapshot_rerun_changes_nothing(spark):
     orders = io.scan(spark, SF_SMALL, "orders")
     target = work_dir(spark, "t-snap")
