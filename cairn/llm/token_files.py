@@ -80,17 +80,19 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
     bits = np.zeros(grid.shape, np.uint8)
     bits[:, :BLOCK] = bit_lengths(flat).reshape(blocks, BLOCK)
-    # The densest selector that fits at each place.
+    # The densest selector that fits at each place: ``most`` is the greatest width of
+    # the next 1, 2, ... ids, extended by one id at a time.
     choice = np.full((blocks, BLOCK), ESCAPE, np.uint8)
-    most = int(bits.max())
-    for s in reversed(range(ESCAPE)):
-        count, width = COUNTS[s], WIDTHS[s]
-        if most <= width:
-            choice[:] = s
-            continue
-        over = np.zeros((blocks, grid.shape[1] + 1), np.int16)
-        np.cumsum(bits > width, axis=1, out=over[:, 1:])
-        choice[over[:, count:count + BLOCK] == over[:, :BLOCK]] = s
+    most = bits[:, :BLOCK].copy()
+    selector = {COUNTS[s]: s for s in range(ESCAPE)}
+    for count in range(1, max(COUNTS) + 1):
+        if count > 1:
+            np.maximum(most, bits[:, count - 1:count - 1 + BLOCK], out=most)
+        if count in selector:
+            fits = most <= WIDTHS[selector[count]]
+            if not fits.any():
+                break
+            choice[fits] = selector[count]
     # Follow the choices through all blocks at once.
     size = np.full(blocks, BLOCK)
     size[-1] = n - (blocks - 1) * BLOCK
@@ -174,27 +176,55 @@ def frames(content: bytes):
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a bounded cache of runs and words."""
-
-    def __init__(self, path: str, cache: int = 800_000):
-        self.library = Tokenizer.from_file(path)
-        self.runs = TwoAges(self._run, cache)
-        self.words = TwoAges(self._word, cache // 2)
-
-    def _word(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _run(self, text: str) -> bytes:
-        # Latin-1 letters, perhaps with one mark at the end: the word in lower case, and that mark.
-        word = text[:-1] if text[-1] in ".,;:!?" else text
-        if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
-            ids = self.words[word.lower()]
-            return ids if word is text else ids + self.words[text[-1]]
-        return self._word(text)
-
-    def encode(self, text: str) -> bytes:
-        runs = self.runs
-        return b"".join([runs[c] for c in text.replace("\n", " ").split(" ") if c])
+    """The tokenizers library behind a bounded cache of runs and words.
+
+    Words that the cache lacks go to the library many at a time, with blanks
+    between: a blank ends a word, and the last token of a word carries the end mark, which
+    tells the words' tokens apart again."""
+
+    def __init__(self, path: str, cache: int = 800_000, together: int = 500):
+        self.library, self.together = Tokenizer.from_file(path), together
+        self.ends = {i for t, i in self.library.get_vocab().items() if t.endswith("</w>")}
+        self.runs = TwoAges(None, cache)
+        self.words = TwoAges(None, cache // 2)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        found = {}
+        for at in range(0, len(words), self.together):
+            some = words[at:at + self.together]
+            ids = self._ids(" ".join(some))
+            ends = [i + 1 for i, x in enumerate(ids) if x in self.ends]
+            if len(ends) == len(some):
+                packed = array("I", ids).tobytes()
+                found.update((w, packed[4 * a:4 * b]) for w, a, b in zip(some, [0, *ends], ends))
+            else:
+                found.update((w, array("I", self._ids(w)).tobytes()) for w in some)
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        known = self.runs.take(set().union(*split))
+        known[""] = b""
+        parts = {}
+        for run in [r for r, ids in known.items() if ids is None]:
+            # Latin-1 letters, perhaps with one mark at the end: the word in lower case, and that mark.
+            word = run[:-1] if run[-1] in ".,;:!?" else run
+            if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+                parts[run] = (word.lower(),) if word is run else (word.lower(), run[-1])
+            else:
+                known[run] = self.runs.put(run, array("I", self._ids(run)).tobytes())
+        words = self.words.take({w for p in parts.values() for w in p})
+        fresh = [w for w, ids in words.items() if ids is None]
+        marks = [w for w in fresh if not w.isalpha()]
+        for w, ids in {**self._words([w for w in fresh if w.isalpha()]),
+                       **{m: array("I", self._ids(m)).tobytes() for m in marks}}.items():
+            words[w] = self.words.put(w, ids)
+        for run, p in parts.items():
+            known[run] = self.runs.put(run, b"".join([words[w] for w in p]))
+        return [b"".join([known[r] for r in runs]) for runs in split]
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -216,8 +246,9 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col:
         enc = encoder(tokenizer)
         ids, parts, size = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("content")):
-                part = enc.encode(text.as_py().decode()) + end
+            texts = [t.as_py().decode() for t in batch.column("content")]
+            for doc_id, part in zip(batch.column("id").to_pylist(), enc.encode(texts)):
+                part += end
                 ids.append(doc_id)
                 parts.append(part)
                 size += len(part) // 4
