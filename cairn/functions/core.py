@@ -48,8 +48,9 @@ def hash_unit(cols: Sequence[str | Column]) -> Column:
 def base64_valid(col: Column) -> Column:
     """Strict base64: only the standard alphabet, at most two '=' and only at
     the end, and a length divisible by 4."""
-    # Valid text is ASCII, so its byte length (O(1)) is its length.
-    return col.rlike(r"^[A-Za-z0-9+/]*={0,2}$") & ((F.octet_length(col) % 4) == 0)
+    # Valid text is ASCII, so its byte length (O(1)) is its length.  \z is the very
+    # end: $ would let a line break follow.
+    return col.rlike(r"\A[A-Za-z0-9+/]*={0,2}\z") & ((F.octet_length(col) % 4) == 0)
 
 
 def base64_size(col: Column) -> Column:

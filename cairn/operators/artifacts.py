@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.core import base64_size, base64_valid, days, strict_unbase64, ts_lit
+from cairn.functions.core import base64_size, base64_valid, days, ts_lit
 from cairn.operators.catalog import tag_lists
 
 # Enumerations, limits and media types of the reference.
@@ -30,13 +30,16 @@ CONTENT_TYPES = {
 DEFAULT_CONTENT_TYPE = "application/octet-stream"
 
 def ingest(uploads: DataFrame, now: str, max_mb: int = MAX_SIZE_MB,
-           default_days: int = DEFAULT_EXPIRY_DAYS) -> tuple[DataFrame, DataFrame]:
-    """A1: validate and accept a batch of uploads.
+           default_days: int = DEFAULT_EXPIRY_DAYS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A1: validate and accept a batch of uploads; returns the accepted
+    artifacts, their tag rows and the rejected uploads with the reason.
 
     Checked in the order of the request model, then the content: name of 1 to
     255 characters, type and format within their enumerations, expiry days
     above 0 when given, strict base64 (D12), size up to ``max_mb``.  Accepted
-    rows get size, created_at = now and expires_at = now + days (default 10)."""
+    rows get size, created_at = now and expires_at = now + days (default 10),
+    and keep their ``metadata`` (JSON text, default ``{}``) and ``tags`` (array),
+    if the uploads have these columns."""
     # Validity and size come from the text alone (alphabet, padding, length),
     # so whole contents are decoded once, only for the accepted rows.
     text = F.col("content")
@@ -49,6 +52,7 @@ def ingest(uploads: DataFrame, now: str, max_mb: int = MAX_SIZE_MB,
               .when(F.col("expiry_days") <= 0, "invalid expiry_days")
               .when(~F.coalesce(valid, F.lit(False)), "invalid base64")
               .when(size > F.lit(max_mb * 1024 * 1024), "too large"))
+    meta = F.coalesce(F.col("metadata"), F.lit("{}")) if "metadata" in uploads.columns else F.lit("{}")
     checked = uploads.withColumn("_reason", reason)
     t = ts_lit(now)
     artifact_id = F.concat(F.lit("a"), F.lpad(F.col("upload_id").cast("string"), 8, "0"))
@@ -58,9 +62,12 @@ def ingest(uploads: DataFrame, now: str, max_mb: int = MAX_SIZE_MB,
         F.concat(F.lit("artifacts/"), artifact_id, F.lit("."), F.col("format")).alias("storage_path"),
         t.alias("created_at"),
         (t + days(F.coalesce(F.col("expiry_days"), F.lit(default_days)))).alias("expires_at"),
-        F.lit("{}").alias("metadata"), "swarm_token", strict_unbase64(text).alias("content"))
+        meta.alias("metadata"), "swarm_token", F.unbase64(text).alias("content"))
+    given = F.col("tags") if "tags" in uploads.columns else F.array().cast("array<string>")
+    tags = checked.where(F.col("_reason").isNull()).select(
+        artifact_id.alias("artifact_id"), F.explode(F.array_distinct(given)).alias("tag"))
     rejected = checked.where(F.col("_reason").isNotNull()).select("upload_id", F.col("_reason").alias("reason"))
-    return accepted, rejected
+    return accepted, tags, rejected
 
 
 def artifact_info(artifacts: DataFrame, tags: DataFrame, owner: str | None = None) -> DataFrame:
@@ -115,28 +122,43 @@ def _owned(patches: DataFrame, artifacts: DataFrame) -> DataFrame:
             .where(F.col("swarm_token") == F.col("_owner")).drop("_owner"))
 
 
+def _in_order(patches: DataFrame, artifacts: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """One row per artifact: what its owner's valid patches give, applied one
+    after another (``patch_seq``; without that column in the order of the
+    rows' values): the last value that isn't null, per field.
+
+    A patch with ``expiry_days`` of 0 or less is invalid as a whole."""
+    p = _owned(patches, artifacts)
+    if "expiry_days" in p.columns:
+        p = p.where(F.col("expiry_days").isNull() | (F.col("expiry_days") > 0))
+    order = F.col("patch_seq") if "patch_seq" in p.columns else F.struct(
+        *[c for c in ("name", "metadata", "expiry_days", "tags") if c in p.columns])
+    return p.groupBy("artifact_id").agg(
+        *[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), order)).alias(f"_{f}") for f in fields])
+
+
 def update(artifacts: DataFrame, patches: DataFrame, now: str) -> DataFrame:
     """A5: patch name, metadata and expiry; a null field keeps the old value,
-    a given expiry counts from ``now``; only the owner's patches apply."""
-    p = _owned(patches, artifacts).select(
-        "artifact_id", F.col("name").alias("_name"), F.col("metadata").alias("_meta"),
-        F.col("expiry_days").alias("_days"))
+    a given expiry counts from ``now``; only the owner's valid patches apply,
+    several patches of one artifact in their order."""
+    p = _in_order(patches, artifacts, ["name", "metadata", "expiry_days"])
     t = ts_lit(now)
     out = artifacts.join(p, "artifact_id", "left")
     return out.select(*[
         F.coalesce("_name", "name").alias("name") if c == "name" else
-        F.coalesce("_meta", "metadata").alias("metadata") if c == "metadata" else
-        F.when(F.col("_days").isNotNull(), t + days(F.col("_days"))).otherwise(F.col("expires_at"))
+        F.coalesce("_metadata", "metadata").alias("metadata") if c == "metadata" else
+        F.when(F.col("_expiry_days").isNotNull(), t + days(F.col("_expiry_days"))).otherwise(F.col("expires_at"))
          .alias("expires_at") if c == "expires_at" else F.col(c)
         for c in artifacts.columns])
 
 
 def replace_tags(tags: DataFrame, patches: DataFrame, artifacts: DataFrame) -> DataFrame:
     """A given tag list replaces all old tags (an empty list clears them);
-    a null list leaves them; only the owner's patches apply."""
-    p = _owned(patches, artifacts).where(F.col("tags").isNotNull()).select("artifact_id", "tags")
+    a null list leaves them; only the owner's valid patches apply, and of
+    several lists the last."""
+    p = _in_order(patches, artifacts, ["tags"]).where(F.col("_tags").isNotNull())
     kept = tags.join(p.select("artifact_id"), "artifact_id", "left_anti")
-    new = p.select("artifact_id", F.explode(F.array_distinct("tags")).alias("tag"))
+    new = p.select("artifact_id", F.explode(F.array_distinct("_tags")).alias("tag"))
     return kept.unionByName(new)
 
 
@@ -154,9 +176,10 @@ def delete(artifacts: DataFrame, tags: DataFrame, requests: DataFrame
 
 def touch(artifacts: DataFrame, accesses: DataFrame, extend_days: int = DEFAULT_EXPIRY_DAYS) -> DataFrame:
     """Reading content moves expires_at to the last access + 10 days; it
-    never shortens a longer expiry (D13)."""
-    last = accesses.groupBy("artifact_id").agg(F.max("accessed_at").alias("_last"))
-    out = artifacts.join(last, "artifact_id", "left")
+    never shortens a longer expiry (D13).  Only the owner (``swarm_token``) can
+    read content, so an access by anyone else moves nothing."""
+    last = accesses.groupBy("artifact_id", "swarm_token").agg(F.max("accessed_at").alias("_last"))
+    out = artifacts.join(last, ["artifact_id", "swarm_token"], "left")
     new_exp = F.when(F.col("_last").isNull(), F.col("expires_at")).otherwise(
         F.greatest(F.col("expires_at"), F.col("_last") + days(extend_days)))
     return out.select(*[new_exp.alias(c) if c == "expires_at" else F.col(c) for c in artifacts.columns])

@@ -134,21 +134,22 @@ def worker_status(tasks: DataFrame, pings: DataFrame) -> DataFrame:
 def worker_totals(tasks: DataFrame, pings: DataFrame) -> DataFrame:
     """J8, totals: workers known (seen in the task log) and workers that
     answered the ping (whether known or not)."""
-    known = tasks.agg(F.count_distinct("worker").alias("total_workers"))
-    answered = pings.agg(F.count_distinct("worker").alias("online_workers"))
-    return known.select("total_workers",
-                        F.lit(answered.first()["online_workers"]).cast("bigint").alias("online_workers"))
+    seen = tasks.select("worker", F.lit(1).alias("known"), F.lit(None).cast("int").alias("online"))
+    answered = pings.select("worker", F.lit(None).cast("int").alias("known"), F.lit(1).alias("online"))
+    return (seen.unionByName(answered).where("worker is not null")
+            .groupBy("worker").agg(F.max("known").alias("known"), F.max("online").alias("online"))
+            .agg(F.count("known").alias("total_workers"), F.count("online").alias("online_workers")))
 
 
 def task_flags(tasks: DataFrame) -> DataFrame:
-    """Per task: status, ready, successful and failed flags; error text
-    only for a failed one."""
+    """Per task: status, ready, successful and failed flags; the error
+    that a failed one recorded."""
     failed = F.col("status") == "FAILURE"
     return tasks.select(
         "task_id", "status",
         F.col("status").isin("SUCCESS", "FAILURE").alias("ready"),
         (F.col("status") == "SUCCESS").alias("successful"), failed.alias("failed"),
-        F.when(failed, F.concat(F.lit("task "), F.col("name"), F.lit(" failed"))).alias("error"))
+        F.when(failed, F.col("error")).alias("error"))
 
 
 def sync_statistics(jobs: DataFrame) -> DataFrame:

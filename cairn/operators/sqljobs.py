@@ -1,9 +1,11 @@
 """SQL jobs (Q1-Q6): ad-hoc SQL over the allowed tables, run as logged jobs
 whose results are saved and read back.
 
-Only tables of the allow-list get a temp view, so a query can name nothing
-else through the catalog.  That controls names, not file paths
-(``parquet.`/path```): it is an allow-list, not a sandbox.
+A job runs in a session of its own (``allowed_session``) that holds a temp
+view for each allowed table and no others.  Commands (DDL, DML, SET and so
+on) and files read by path are refused before anything runs.  Tables that a
+deployment keeps in its persistent catalog are governed by that catalog's own
+permissions, not by this module.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairn.sources.io import read_result, write_result
 
@@ -25,6 +28,32 @@ def register_allowed(spark: SparkSession, tables: Mapping[str, DataFrame]) -> li
     return list(tables)
 
 
+def allowed_session(spark: SparkSession, paths: Mapping[str, str], catalog: DataFrame | None = None) -> SparkSession:
+    """A session for query jobs: its own temp views, one per allowed parquet table.
+
+    With a ``catalog`` (table_name, status) only tables with an active entry
+    are exposed.  The matching names come to the driver, no data does."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    # Reads by path (parquet.`/path`) are off.
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
+    names = sorted(paths)
+    if catalog is not None:
+        active = catalog.where((F.col("status") == "active") & F.col("table_name").isin(names))
+        names = sorted(r["table_name"] for r in active.select("table_name").distinct().collect())
+    for name in names:
+        own.read.parquet(paths[name]).createOrReplaceTempView(name)
+    return own
+
+
+def check_query(spark: SparkSession, text: str) -> None:
+    """Refuse commands: only a query can stand in the FROM clause of another."""
+    try:
+        spark._jsparkSession.sessionState().sqlParser().parsePlan(f"SELECT * FROM (\n{text}\n)")
+    except Exception as exc:
+        raise PermissionError(f"not a query: {str(exc)}") from exc
+
+
 def run_sql(spark: SparkSession, text: str, args: Mapping | list | None = None,
             max_rows: int | None = None) -> DataFrame:
     """Q1-Q3: run a query over the registered views, with bound parameters
@@ -63,7 +92,8 @@ def run_query_job(spark: SparkSession, job_id: str, text: str, fmt: str, path: s
                   args: Mapping | list | None = None, log=None, now=None) -> DataFrame:
     """Q5: run a query, save its result, and return the job's log row:
     completed with row and column counts and file size, or failed with the
-    error text (the failure is data, not an exception).
+    whole error text (the failure is data, not an exception).  Commands are
+    refused, which is a failed job too.
 
     With a ``log`` (``query_job_log``) every transition, pending, running and
     then completed or failed, is recorded with ``now`` (a parameter, never
@@ -75,13 +105,13 @@ def run_query_job(spark: SparkSession, job_id: str, text: str, fmt: str, path: s
     row["status"] = "running"
     _record(spark, log, row, now)
     try:
+        check_query(spark, text)
         df = run_sql(spark, text, args)
         stats = write_result(df, path, fmt)
         row.update(status="completed", result_path=path, row_count=stats["row_count"],
                    column_count=stats["column_count"], file_size=stats["file_size"])
     except Exception as exc:  # the job log records any failure of the query
-        msg = str(exc).strip().splitlines()[0] if str(exc).strip() else type(exc).__name__
-        row.update(status="failed", error=msg[:1000])
+        row.update(status="failed", error=str(exc).strip() or type(exc).__name__)
     _record(spark, log, row, now)
     return spark.createDataFrame([row], JOB_SCHEMA)
 

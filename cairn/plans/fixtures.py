@@ -119,7 +119,8 @@ SELECT concat('k', lpad(concat('', event_id), 8, '0')) AS task_id,
        WHEN 4 THEN 'queries' END AS queue,
   CASE event_id % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'reserved' ELSE 'scheduled' END AS state,
   CASE event_type WHEN 'error' THEN 'FAILURE' WHEN 'view' THEN 'STARTED' ELSE 'SUCCESS' END AS status,
-  concat('task_', event_type) AS name, ts AS time_start FROM events""",
+  concat('task_', event_type) AS name, ts AS time_start,
+  CASE WHEN event_type = 'error' THEN concat('code ', user_id, ' at step ', event_id % 9) END AS error FROM events""",
     "worker_pings": """
 SELECT * FROM (VALUES ('w0', 2), ('w1', 2), ('w2', 4), ('w4', 2)) AS v(worker, processes)""",
     "artifact_uploads": """
@@ -127,8 +128,10 @@ SELECT doc_id AS upload_id,
   CASE WHEN doc_id % 17 = 1 THEN '' ELSE concat('file_', doc_id) END AS name,
   CASE doc_id % 5 WHEN 0 THEN 'data' WHEN 1 THEN 'model' WHEN 2 THEN 'report' WHEN 3 THEN 'other' ELSE 'video' END AS type,
   CASE doc_id % 6 WHEN 0 THEN 'json' WHEN 1 THEN 'csv' WHEN 2 THEN 'parquet' WHEN 3 THEN 'pickle' WHEN 4 THEN 'text' ELSE 'binary' END AS format,
-  CASE WHEN doc_id % 13 = 0 THEN concat('*', {B64}) ELSE {B64} END AS content,
+  CASE WHEN doc_id % 13 = 0 THEN concat('*', {B64}) WHEN doc_id % 19 = 2 THEN concat(substr({B64}, 2), chr(10)) ELSE {B64} END AS content,
   CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id % 29 AS INTEGER) END AS expiry_days,
+  CASE WHEN doc_id % 4 <> 0 THEN concat('{"lang":"', lang, '"}') END AS metadata,
+  CASE WHEN doc_id % 8 = 0 THEN NULL WHEN doc_id % 8 = 1 THEN {EMPTY_TAGS} ELSE {TAGS} END AS tags,
   concat('swarm', doc_id % 4) AS swarm_token FROM documents""",
     "artifacts": """
 SELECT concat('a', lpad(concat('', doc_id), 8, '0')) AS artifact_id, concat('file_', doc_id) AS name,
@@ -147,22 +150,26 @@ UNION ALL
 SELECT concat('a', lpad(concat('', doc_id), 8, '0')) AS artifact_id, 'fifth' AS tag FROM documents WHERE doc_id % 5 = 0""",
     "artifact_access": """
 SELECT event_id AS access_id, concat('a', lpad(concat('', user_id), 8, '0')) AS artifact_id,
-  ts AS accessed_at FROM events""",
-    # One patch per non-English document's artifact (A5-A7, A11).  The owner is
-    # wrong for every fourth; name, metadata, expiry and tags are each sometimes
-    # absent; tags are sometimes an empty list (clears them).
+  ts AS accessed_at, CASE WHEN event_id % 5 = 0 THEN 'swarm9' ELSE concat('swarm', user_id % 3) END AS swarm_token
+  FROM events""",
+    # Patches of non-English documents' artifacts (A5-A7, A11), for some two or
+    # three in order.  The owner is wrong for every fourth; name, metadata, expiry
+    # and tags are each sometimes absent; tags are sometimes an empty list
+    # (clears them); expiry days are sometimes 0 or less (an invalid patch).
     "artifact_patches": """
-SELECT concat('a', lpad(concat('', doc_id), 8, '0')) AS artifact_id,
-  CASE WHEN doc_id % 4 = 1 THEN 'swarm9' ELSE concat('swarm', doc_id % 3) END AS swarm_token,
-  CASE WHEN lang = 'de' THEN concat('renamed_', doc_id) END AS name,
-  CASE WHEN lang = 'fr' THEN concat('{"reviewed":"', source, '"}') END AS metadata,
-  CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(1 + doc_id % 9 AS INTEGER) END AS expiry_days,
-  CASE WHEN lang = 'es' THEN NULL WHEN doc_id % 5 = 0 THEN {EMPTY_TAGS}
+SELECT concat('a', lpad(concat('', doc_id), 8, '0')) AS artifact_id, s.patch_seq,
+  CASE WHEN (doc_id + s.patch_seq) % 4 = 1 THEN 'swarm9' ELSE concat('swarm', doc_id % 3) END AS swarm_token,
+  CASE WHEN lang = 'de' AND s.patch_seq < 3 THEN concat('renamed_', doc_id, '_', s.patch_seq) END AS name,
+  CASE WHEN lang = 'fr' THEN concat('{"reviewed":"', source, s.patch_seq, '"}') END AS metadata,
+  CASE WHEN doc_id % 7 = 0 THEN NULL WHEN (doc_id + s.patch_seq) % 11 = 0 THEN CAST(s.patch_seq - 2 AS INTEGER)
+       ELSE CAST(1 + (doc_id + s.patch_seq) % 9 AS INTEGER) END AS expiry_days,
+  CASE WHEN lang = 'es' THEN NULL WHEN (doc_id + s.patch_seq) % 5 = 0 THEN {EMPTY_TAGS}
        ELSE {TAGS} END AS tags
-  FROM documents WHERE lang <> 'en'""",
+  FROM documents CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (CAST(2 AS BIGINT)), (CAST(3 AS BIGINT))) AS s(patch_seq)
+  WHERE lang <> 'en' AND s.patch_seq <= 1 + doc_id % 3""",
 }
 
-# Engine spellings of the list literals in artifact_patches.
+# Engine spellings of the list literals in artifact_uploads and artifact_patches.
 _LISTS = {
     "spark": {"{EMPTY_TAGS}": "CAST(array() AS ARRAY<STRING>)",
               "{TAGS}": "array('reviewed', lang)"},

@@ -13,7 +13,7 @@ A_COLS = ("artifact_id, name, type, format, size_bytes, storage_path, created_at
           "metadata, swarm_token")
 
 # Strict base64 in SQL: alphabet, padding only at the end, length divisible by 4.
-_VALID_B64 = "(regexp_matches(content, '^[A-Za-z0-9+/]*={0,2}$') AND length(content) % 4 = 0)"
+_VALID_B64 = "(regexp_full_match(content, '[A-Za-z0-9+/]*={0,2}') AND length(content) % 4 = 0)"
 _REASON = f"""CASE WHEN name IS NULL OR length(name) < 1 OR length(name) > 255 THEN 'invalid name'
   WHEN type IS NULL OR type NOT IN ('data', 'model', 'report', 'other') THEN 'invalid type'
   WHEN format IS NULL OR format NOT IN ('json', 'csv', 'parquet', 'pickle', 'text', 'binary') THEN 'invalid format'
@@ -27,18 +27,25 @@ SELECT 'a' || lpad(CAST(upload_id AS VARCHAR), 8, '0') AS artifact_id, name, typ
   CAST(length(content) / 4 * 3 - (length(content) - length(rtrim(content, '='))) AS BIGINT) AS size_bytes,
   'artifacts/a' || lpad(CAST(upload_id AS VARCHAR), 8, '0') || '.' || format AS storage_path,
   {NOW} AS created_at, {NOW} + coalesce(expiry_days, 10) * INTERVAL '1' DAY AS expires_at,
-  '{{}}' AS metadata, swarm_token
+  coalesce(metadata, '{{}}') AS metadata, swarm_token, sha256(from_base64(content)) AS content_sha256
 FROM artifact_uploads WHERE ({_REASON}) IS NULL""", fixtures=["artifact_uploads"])
 def artifact_ingest(spark, sf):
-    acc, _ = art.ingest(Tables(spark, sf)["artifact_uploads"], ARTIFACT_CLOCK)
-    return acc.drop("content")
+    acc, _, _ = art.ingest(Tables(spark, sf)["artifact_uploads"], ARTIFACT_CLOCK)
+    return acc.withColumn("content_sha256", F.sha2("content", 256)).drop("content")
+
+
+@register("artifact_ingest_tags", "A1", f"""
+SELECT DISTINCT 'a' || lpad(CAST(upload_id AS VARCHAR), 8, '0') AS artifact_id, unnest(tags) AS tag
+FROM artifact_uploads WHERE ({_REASON}) IS NULL""", fixtures=["artifact_uploads"])
+def artifact_ingest_tags(spark, sf):
+    return art.ingest(Tables(spark, sf)["artifact_uploads"], ARTIFACT_CLOCK)[1]
 
 
 @register("artifact_rejected", "A1", f"""
 SELECT upload_id, {_REASON} AS reason FROM artifact_uploads WHERE ({_REASON}) IS NOT NULL""",
           fixtures=["artifact_uploads"])
 def artifact_rejected(spark, sf):
-    return art.ingest(Tables(spark, sf)["artifact_uploads"], ARTIFACT_CLOCK)[1]
+    return art.ingest(Tables(spark, sf)["artifact_uploads"], ARTIFACT_CLOCK)[2]
 
 
 _TAGLIST = ("(SELECT artifact_id, list_sort(list_distinct(list(tag))) AS tags FROM artifact_tags "
@@ -89,11 +96,19 @@ _OWNED_PATCH = ("(SELECT p.* FROM artifact_patches p JOIN artifacts x ON p.artif
                 "AND p.swarm_token = x.swarm_token)")
 
 
+# The owner's valid patches folded in order: per field the last value given.
+_FOLDED_PATCH = f"""(SELECT artifact_id, arg_max(name, patch_seq) FILTER (WHERE name IS NOT NULL) AS name,
+  arg_max(metadata, patch_seq) FILTER (WHERE metadata IS NOT NULL) AS metadata,
+  arg_max(expiry_days, patch_seq) FILTER (WHERE expiry_days IS NOT NULL) AS expiry_days,
+  arg_max(tags, patch_seq) FILTER (WHERE tags IS NOT NULL) AS tags
+  FROM {_OWNED_PATCH} WHERE expiry_days IS NULL OR expiry_days > 0 GROUP BY artifact_id)"""
+
+
 _UPDATED = f"""
 SELECT a.artifact_id, coalesce(p.name, a.name) AS name, a.type, a.format, a.size_bytes, a.storage_path,
   a.created_at, CASE WHEN p.expiry_days IS NOT NULL THEN {NOW} + p.expiry_days * INTERVAL '1' DAY ELSE a.expires_at END
     AS expires_at, coalesce(p.metadata, a.metadata) AS metadata, a.swarm_token
-FROM artifacts a LEFT JOIN {_OWNED_PATCH} p ON a.artifact_id = p.artifact_id"""
+FROM artifacts a LEFT JOIN {_FOLDED_PATCH} p ON a.artifact_id = p.artifact_id"""
 
 
 @register("artifact_update", "A5", _UPDATED, fixtures=["artifacts", "artifact_patches"])
@@ -103,7 +118,7 @@ def artifact_update(spark, sf):
 
 
 @register("artifact_replace_tags", "A6", f"""
-WITH p AS (SELECT * FROM {_OWNED_PATCH} WHERE tags IS NOT NULL)
+WITH p AS (SELECT * FROM {_FOLDED_PATCH} WHERE tags IS NOT NULL)
 SELECT artifact_id, tag FROM artifact_tags WHERE artifact_id NOT IN (SELECT artifact_id FROM p)
 UNION ALL
 SELECT DISTINCT artifact_id, unnest(tags) AS tag FROM p""", fixtures=["artifacts", "artifact_tags", "artifact_patches"])
@@ -132,8 +147,9 @@ def artifact_delete_remaining_tags(spark, sf):
 SELECT a.artifact_id, a.name, a.type, a.format, a.size_bytes, a.storage_path, a.created_at,
   CASE WHEN l.last IS NULL THEN a.expires_at ELSE greatest(a.expires_at, l.last + INTERVAL '10' DAY) END AS expires_at,
   a.metadata, a.swarm_token
-FROM artifacts a LEFT JOIN (SELECT artifact_id, max(accessed_at) AS last FROM artifact_access GROUP BY artifact_id) l
-  ON a.artifact_id = l.artifact_id""", fixtures=["artifacts", "artifact_access"])
+FROM artifacts a LEFT JOIN (SELECT artifact_id, swarm_token, max(accessed_at) AS last FROM artifact_access
+                            GROUP BY artifact_id, swarm_token) l
+  ON a.artifact_id = l.artifact_id AND a.swarm_token = l.swarm_token""", fixtures=["artifacts", "artifact_access"])
 def artifact_touch(spark, sf):
     t = Tables(spark, sf)
     return art.touch(t["artifacts"], t["artifact_access"])

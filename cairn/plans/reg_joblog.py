@@ -137,7 +137,7 @@ def worker_totals(spark, sf):
 
 @register("task_flags", "J9", """
 SELECT task_id, status, status IN ('SUCCESS', 'FAILURE') AS ready, status = 'SUCCESS' AS successful,
-  status = 'FAILURE' AS failed, CASE WHEN status = 'FAILURE' THEN 'task ' || name || ' failed' END AS error
+  status = 'FAILURE' AS failed, CASE WHEN status = 'FAILURE' THEN error END AS error
 FROM task_events""", fixtures=["task_events"])
 def task_flags(spark, sf):
     return joblog.task_flags(Tables(spark, sf)["task_events"])

@@ -166,3 +166,27 @@ def query_result(spark, sf):
     _allowed_views(spark, sf)
     job = sqljobs.run_query_job(spark, "qevents02", _EVENTS_BY_TYPE, "parquet", work_dir(spark, "qjob")).first()
     return sqljobs.query_result(spark, job.asDict())
+
+
+@register("sql_allow_list", "Q1", """
+SELECT 'qallow01' AS job_id, 'completed' AS status, (SELECT count(*) FROM events) AS n, CAST(NULL AS VARCHAR) AS refused
+UNION ALL SELECT 'qallow02', 'failed', NULL, 'orders'
+UNION ALL SELECT 'qallow03', 'failed', NULL, 'command'
+UNION ALL SELECT 'qallow04', 'failed', NULL, 'path'""")
+def sql_allow_list(spark, sf):
+    """Jobs in a session that holds the catalog's active tables only: an active
+    table, an inactive one, a command, and a file by its path."""
+    root = sf.rstrip("/")
+    spark.read.parquet(f"{root}/orders.parquet").createOrReplaceTempView("orders")
+    catalog = spark.createDataFrame([("events", "active"), ("orders", "inactive")], "table_name string, status string")
+    own = sqljobs.allowed_session(spark, {n: f"{root}/{n}.parquet" for n in GIVEN_TABLES}, catalog)
+    texts = {"qallow01": "SELECT count(*) AS n FROM events", "qallow02": "SELECT count(*) AS n FROM orders",
+             "qallow03": "CREATE TEMPORARY VIEW v AS SELECT 1 AS n",
+             "qallow04": f"SELECT count(*) AS n FROM parquet.`{root}/orders.parquet`"}
+    told = {"qallow02": "orders", "qallow03": "command", "qallow04": "path"}
+    rows = []
+    for job_id, text in texts.items():
+        job = sqljobs.run_query_job(own, job_id, text, "parquet", work_dir(spark, "qjob")).first()
+        n = sqljobs.query_result(own, job.asDict()).first()["n"] if job["status"] == "completed" else None
+        rows.append((job_id, job["status"], n, told.get(job_id) if job["error"] else None))
+    return spark.createDataFrame(rows, "job_id string, status string, n bigint, refused string")

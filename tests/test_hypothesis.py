@@ -164,7 +164,8 @@ def test_touch_matches_rules(spark, expiry, access):
                               "artifact_id string, expires_at timestamp_ntz")
     acc = spark.createDataFrame([(f"a{i}", base + dt.timedelta(days=d)) for i, d in access],
                                 "artifact_id string, accessed_at timestamp_ntz")
-    got = {r.artifact_id: r.expires_at for r in art.touch(a, acc).collect()}
+    own = F.lit("own").alias("swarm_token")
+    got = {r.artifact_id: r.expires_at for r in art.touch(a.select("*", own), acc.select("*", own)).collect()}
     for i, d in enumerate(expiry):
         last = [base + dt.timedelta(days=x) for j, x in access if j == i]
         want = base + dt.timedelta(days=d)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import artifacts as art
-from cairn.operators import joblog, profile, sync
+from cairn.operators import joblog, profile, sqljobs, sync
 from cairn.plans.fixtures import ARTIFACT_CLOCK, JOB_CLOCK
 from cairn.session import work_dir
 from cairn.sources import io
@@ -233,13 +233,15 @@ def test_strict_base64(spark):
     up = spark.createDataFrame(
         [(1, "n", "data", "json", "YmFy", None), (2, "n", "data", "json", "YmF", None),
          (3, "n", "data", "json", "*bad", None), (4, "n", "data", "json", "", 3),
-         (5, None, "data", "json", "YmFy", None), (6, "n", "data", "json", None, None)],
+         (5, None, "data", "json", "YmFy", None), (6, "n", "data", "json", None, None),
+         (7, "n", "data", "json", "YWJ\n", None), (8, "n", "data", "json", "A==\n", None)],
         "upload_id bigint, name string, type string, format string, content string, expiry_days int"
     ).withColumn("swarm_token", F.lit("o"))
-    acc, rej = art.ingest(up, ARTIFACT_CLOCK)
+    acc, _, rej = art.ingest(up, ARTIFACT_CLOCK)
     assert {r.artifact_id: r.size_bytes for r in acc.collect()} == {"a00000001": 3, "a00000004": 0}
     assert {r.upload_id: r.reason for r in rej.collect()} == {
-        2: "invalid base64", 3: "invalid base64", 5: "invalid name", 6: "invalid base64"}
+        2: "invalid base64", 3: "invalid base64", 5: "invalid name", 6: "invalid base64",
+        7: "invalid base64", 8: "invalid base64"}
 
 
 def test_touch_never_shortens_and_purge_splits(tables):
@@ -267,6 +269,35 @@ def test_patch_rules(spark):
     assert art.delete(a, tags, wrong)[2].count() == 0
 
 
+def test_patches_apply_in_order_and_bad_ones_not_at_all(spark):
+    a = spark.createDataFrame(
+        [("a1", "n1", "m1", dt.datetime(2024, 1, 20), "own")],
+        "artifact_id string, name string, metadata string, expires_at timestamp_ntz, swarm_token string")
+    p = spark.createDataFrame(
+        [("a1", 1, "own", "first", "meta", 3, ["x"]), ("a1", 2, "own", "second", None, None, None),
+         ("a1", 3, "own", "bad", "bad", -5, ["bad"]), ("a1", 4, "other", "other", None, 9, [])],
+        "artifact_id string, patch_seq int, swarm_token string, name string, metadata string, expiry_days int, tags array<string>")
+    rows = art.update(a, p, "2024-01-15 00:00:00").collect()
+    assert [(r.name, r.metadata, r.expires_at) for r in rows] == [("second", "meta", dt.datetime(2024, 1, 18))]
+    tags = spark.createDataFrame([("a1", "old")], "artifact_id string, tag string")
+    assert _rows(art.replace_tags(tags, p, a)) == [("a1", "x")]
+
+
+def test_only_the_owner_touches(spark):
+    a = spark.createDataFrame([("a1", dt.datetime(2024, 1, 2), "own")], "artifact_id string, expires_at timestamp_ntz, swarm_token string")
+    acc = spark.createDataFrame([("a1", dt.datetime(2024, 1, 5), "other")], "artifact_id string, accessed_at timestamp_ntz, swarm_token string")
+    assert art.touch(a, acc).first().expires_at == dt.datetime(2024, 1, 2)
+    assert art.touch(a, acc.withColumn("swarm_token", F.lit("own"))).first().expires_at == dt.datetime(2024, 1, 15)
+
+
+def test_failed_query_job_keeps_its_whole_error(spark):
+    message = "m" * 3000
+    spark.range(3).createOrReplaceTempView("three")
+    job = sqljobs.run_query_job(spark, "qlong", f"SELECT raise_error('{message}') AS x FROM three", "json",
+                                work_dir(spark, "t-qlong")).first()
+    assert job.status == "failed" and message in job.error
+
+
 # -- streams ---------------------------------------------------------------------
 
 def test_stream_restart_takes_only_new_files(spark):

@@ -87,7 +87,8 @@ def test_catalog_state_hot_table(spark):
 
 def test_touch_hot_artifact(spark, tables):
     acc = tables["artifact_access"].withColumn(
-        "artifact_id", F.when(F.col("access_id") % 3 == 0, F.lit("a00000001")).otherwise(F.col("artifact_id")))
+        "artifact_id", F.when(F.col("access_id") % 3 == 0, F.lit("a00000001")).otherwise(F.col("artifact_id"))) \
+        .withColumn("swarm_token", F.lit("swarm1"))
     a = tables["artifacts"]
     out = {r.artifact_id: r.expires_at for r in art.touch(a, acc).collect()}
     last = acc.where(F.col("artifact_id") == "a00000001").agg(F.max("accessed_at")).first()[0]
