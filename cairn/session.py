@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -71,3 +72,26 @@ def work_dir(spark: SparkSession, name: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     root = root.rstrip("/")
     return f"{root}/cairn-work/{name}-{uuid.uuid4().hex[:12]}"
+
+
+#: Keyed streaming state on local disk with checkpoints in the shared folder,
+#: so state may outgrow executor memory.  Many small stores set no space aside.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+def with_conf(spark: SparkSession, settings: dict[str, str], fn: Callable):
+    """Run ``fn()`` under session settings and put the old ones back."""
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        return fn()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -10,25 +10,44 @@ watermarks on both sides (no Python state code).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cairn.session import STATE_CONF, with_conf
+
+#: Bytes of new source files that one micro-batch takes at most (one file at least).
+BATCH_BYTES = 64 << 30
+
 
 def stream_incremental(spark: SparkSession, source_dir: str, schema: StructType | str,
-                       target: str, checkpoint: str, max_files_per_trigger: int | None = None) -> None:
+                       target: str, checkpoint: str, max_files_per_trigger: int | None = None,
+                       max_bytes_per_trigger: int = BATCH_BYTES) -> None:
     """Append every new file of ``source_dir`` to the replica at ``target``.
 
-    ``trigger(availableNow=True)`` processes what is there and stops; the
-    checkpoint remembers the files already taken, so the next run takes only
-    new ones."""
+    ``trigger(availableNow=True)`` processes what is there and stops, in
+    micro-batches of bounded size; the checkpoint remembers the files already
+    taken, so the next run takes only new ones.  Batch folders carry the checkpoint's
+    mark: a target that another checkpoint has written is refused, since its
+    batch ids start again and its files may have been taken already."""
+    mark = "c" + hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        names = [st.getPath().getName() for st in fs.listStatus(path)]
+        if others := [n for n in names if n.startswith("batch=") and not n.startswith(f"batch={mark}-")]:
+            raise ValueError(f"{target} holds batches of another checkpoint ({others[0]}); use that checkpoint or a new target")
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     src = reader.parquet(source_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id:012d}")
+        batch.write.mode("overwrite").parquet(f"{target}/batch={mark}-{batch_id:012d}")
 
     q = (src.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -59,10 +78,19 @@ def stream_queue_stats(spark: SparkSession, source_dir: str, schema: StructType
     """Windowed task counts, appended to parquet as each window closes
     (watermark = newest event time - lateness)."""
     src = spark.readStream.schema(schema).parquet(source_dir)
-    q = (queue_window_counts(src, window, lateness).writeStream.outputMode("append")
-         .format("parquet").option("path", target).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    _append(spark, queue_window_counts(src, window, lateness), target, checkpoint)
+
+
+def _append(spark: SparkSession, rows: DataFrame, target: str, checkpoint: str) -> None:
+    """Run a stateful stream to the end of its input into parquet, its state in
+    RocksDB.  A stream keeps the number of state partitions of its first run
+    (``spark.sql.shuffle.partitions`` then): size it for the keys alive between watermarks."""
+    def run() -> None:
+        q = (rows.writeStream.outputMode("append").format("parquet").option("path", target)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    with_conf(spark, STATE_CONF, run)
 
 
 def stale_jobs(starts: DataFrame, ends: DataFrame, max_duration: str = "1 hour",
@@ -92,7 +120,4 @@ def stream_stale_jobs(spark: SparkSession, starts_dir: str, ends_dir: str, start
     """Emit each job once it has run over ``max_duration`` without an end."""
     starts = spark.readStream.schema(start_schema).parquet(starts_dir)
     ends = spark.readStream.schema(end_schema).parquet(ends_dir)
-    q = (stale_jobs(starts, ends, max_duration, lateness).writeStream.outputMode("append")
-         .format("parquet").option("path", target).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    _append(spark, stale_jobs(starts, ends, max_duration, lateness), target, checkpoint)

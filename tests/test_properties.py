@@ -355,6 +355,18 @@ def test_catalog_fold_rules(spark):
     assert errs == {1: "table not in catalog", 7: "table not found in source", 8: "table not in catalog"}
 
 
+def test_stream_target_of_another_checkpoint_is_refused(spark):
+    from cairn.streaming import streams
+    ev = io.scan(spark, SF_SMALL, "events")
+    root = work_dir(spark, "t-two-ck")
+    ev.limit(10).write.parquet(f"{root}/a")
+    ev.limit(3).write.parquet(f"{root}/b")
+    streams.stream_incremental(spark, f"{root}/a", ev.schema, f"{root}/out", f"{root}/ck1")
+    with pytest.raises(ValueError):
+        streams.stream_incremental(spark, f"{root}/b", ev.schema, f"{root}/out", f"{root}/ck2")
+    assert streams.read_stream_replica(spark, f"{root}/out").count() == 10
+
+
 def test_stream_window_drops_late_rows(spark):
     from cairn.streaming import streams
     T = dt.datetime
