@@ -5,17 +5,16 @@ linear-interpolated quartiles, nulls skipped, NaN counted as missing) but is
 computed with aggregations that stay distributed at any size:
 
 * count, mean, std, min and max for every column in one aggregation pass;
-* exact quartiles by distributed rank selection (``exact_quantiles``): values
-  are counted per (column, value) with map-side partial aggregation, ranged
-  into partitions, ranked with running counts inside each partition plus the
-  offsets of the partitions before it, and only the rows at the wanted ranks
-  are kept.  No task ever holds all values of a column, unlike a global
-  ``percentile`` whose final merge runs in one task.  Built-in expressions
-  only; no Python runs on the data.
+* exact quartiles by rank selection (``exact_quantiles``): a few scans, each
+  aggregated to one row per column, close in on the values at the wanted
+  ranks.  No values are shuffled and no task ever holds all values of a
+  column, unlike a global ``percentile`` whose final merge runs in one task.
+  Built-in expressions only; no Python runs on the data.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -25,9 +24,6 @@ from pyspark.sql import types as T
 from cairn.functions.core import hash_unit, TWO_POW_32
 
 QUARTILES = (0.25, 0.5, 0.75)
-# Largest offsets table (one row per range partition and group, four numbers)
-# that exact_quantiles broadcasts: about 100 MB.
-OFFSETS_BROADCAST_ROWS = 4_000_000
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
 _DATETIME = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -73,79 +69,136 @@ def sample_hash(df: DataFrame, keys: Sequence[str], fraction: float) -> DataFram
 
 # -- exact quantiles -------------------------------------------------------------
 
-def ranked_counts(long_df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Distinct (g, v) with their count ``c``, range partition ``pid`` and the
-    running count ``cum`` of g's values up to v inside that partition.
-
-    1. count each distinct (g, v) with map-side partial aggregation;
-    2. range-partition the counts by (g, v) and take running counts inside
-       each (partition, g) with a window: every window holds one range
-       partition of one column, so no task sees a whole column;
-    3. checkpoint the ranked rows to the shared checkpoint folder: it cuts the
-       lineage and pins the partition ids, so the offsets and the ranks they
-       are added to come from the same rows."""
-    from pyspark.sql import Window
-    from cairn.session import ensure_checkpoint_dir
-    spark = long_df.sparkSession
-    ensure_checkpoint_dir(spark)
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vc = long_df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
-    ranged = vc.repartitionByRange(partitions, "g", "v").withColumn("pid", F.spark_partition_id())
-    run = (Window.partitionBy("pid", "g").orderBy("v")
-           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return ranged.withColumn("cum", F.sum("c").over(run)).checkpoint(eager=True)
+class _Search:
+    """The hunt for the value of one rank in one group: the rank lies among the
+    ``size`` values above ``x`` and below ``y`` (None: no bound); ``base`` values are
+    not above ``x``."""
+
+    def __init__(self, rank: int, n: int):
+        self.rank, self.x, self.y, self.base, self.size = rank, None, None, 0, n
+        self.value = self.upto = None
+
+    def brackets(self, accuracy: int) -> list[float]:
+        p = (self.rank - self.base) / max(self.size - 1, 1)
+        return [max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy)]
+
+    def narrow(self, a: float, b: float, below: int, at_a: int, between: int, at_b: int) -> None:
+        """Go on in the part of (x, y) that holds the rank, cut at the values a <= b."""
+        cuts = [(None, below, self.x, a), (a, at_a, None, None), (None, between, a, b), (b, at_b, None, None)]
+        at = self.base
+        for value, count, x, y in cuts:
+            if self.rank < at + count:
+                if value is not None:
+                    self.value, self.upto = value, at + count
+                else:
+                    self.x, self.y, self.base, self.size = x, y, at, count
+                return
+            at += count
+        self.size -= at - self.base
+        self.x, self.base = b, at
+
+    def finish(self, counted: list[tuple[float, int]]) -> None:
+        at = self.base
+        for v, c in sorted(counted):
+            at += c
+            if self.rank < at:
+                self.value, self.upto = v, at
+                return
 
 
 def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = QUARTILES,
-                    partitions: int | None = None, ranked: DataFrame | None = None,
-                    groups: int | None = None) -> DataFrame:
+                    accuracy: int = 10000, small: int = 2000) -> DataFrame:
     """Exact quantiles with linear interpolation per group.
 
-    ``long_df`` has columns ``g`` (an int group id, e.g. a column's position)
-    and ``v`` (double, nulls and NaN already removed).  Returns
-    ``g, q, value``.  On top of ``ranked_counts`` (pass ``ranked`` to reuse
-    it): the offset of each range partition within its group is a running sum
-    over at most partitions x groups rows.  That bound is checked before the
-    offsets are broadcast (``groups`` is counted when not given); beyond
-    ``OFFSETS_BROADCAST_ROWS`` the join is left to AQE (a shuffle join).  Only
-    the rows whose rank span holds a wanted rank are kept and interpolated."""
-    from pyspark.sql import Window
-    if ranked is None:
-        ranked = ranked_counts(long_df, partitions)
-    totals = ranked.groupBy("g", "pid").agg(F.max("cum").alias("pt"))
-    w = Window.partitionBy("g").orderBy("pid")
-    offsets = totals.select("g", "pid", (F.sum("pt").over(w) - F.col("pt")).alias("off"),
-                           F.sum("pt").over(Window.partitionBy("g")).alias("n"))
-    if groups is None:
-        groups = totals.select("g").distinct().count()
-    bound = ranked.rdd.getNumPartitions() * max(int(groups), 1)
-    side = F.broadcast(offsets) if bound <= OFFSETS_BROADCAST_ROWS else offsets
-    pos = ranked.join(side, ["g", "pid"], "inner").select(
-        "g", "v", "n", (F.col("off") + F.col("cum") - F.col("c")).alias("first_rank"),
-        (F.col("off") + F.col("cum") - 1).alias("last_rank"))
-    wanted = F.array(*[F.struct(F.lit(q).alias("q"),
-                                F.floor((F.col("n") - 1) * F.lit(q)).cast("bigint").alias("lo"),
-                                F.ceil((F.col("n") - 1) * F.lit(q)).cast("bigint").alias("hi"))
-                       for q in probs])
-
-    def covers(r):
-        return (r >= F.col("first_rank")) & (r <= F.col("last_rank"))
-
-    hits = pos.select("g", "v", "n", "first_rank", "last_rank", F.explode(F.filter(
-        wanted, lambda t: covers(t["lo"]) | covers(t["hi"]))).alias("t"))
-    picked = hits.select("g", "n", F.col("t.q").alias("q"),
-                         F.when(covers(F.col("t.lo")), F.col("v")).alias("v_lo"),
-                         F.when(covers(F.col("t.hi")), F.col("v")).alias("v_hi"))
-    per_q = picked.groupBy("g", "q", "n").agg(F.max("v_lo").alias("v_lo"), F.max("v_hi").alias("v_hi"))
-    h = (F.col("n") - 1) * F.col("q")
-    frac = h - F.floor(h)
-    return per_q.select("g", "q", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac).alias("value"))
+    ``long_df`` has columns ``g`` (an int group id, e.g. a column's position; few groups)
+    and ``v`` (double, nulls and NaN already removed).  Returns ``g, q, value``.
+
+    Each scan aggregates to one row per group, so nothing but fixed-size partial
+    states is shuffled: (1) ``percentile_approx`` gives a bracket of two values
+    around each wanted rank; (2) counts below, at and between the two tell which part
+    holds the rank; while that part has more than ``small`` values it is
+    bracketed again (it shrinks about ``accuracy / 4`` times); (3) the values of
+    the parts are counted and the ranks read off.  A part whose
+    rank falls on a bracket value itself, such as one that a third of the rows have, ends there."""
+    spark = long_df.sparkSession
+    probs = list(probs)
+    eps = 2 / accuracy
+    wide = [max(0.0, min(1.0, q + d)) for q in probs for d in (-eps, eps)]
+    first = long_df.groupBy("g").agg(F.count("v").alias("n"), F.percentile_approx("v", wide, accuracy).alias("at")).collect()
+    search = {(r["g"], j): _Search(math.floor((r["n"] - 1) * q), r["n"]) for r in first for j, q in enumerate(probs)}
+    total = {r["g"]: r["n"] for r in first}
+    marks = {(r["g"], j): (r["at"][2 * j], r["at"][2 * j + 1]) for r in first for j in range(len(probs))}
+
+    def per_group(j: int, values: dict) -> F.Column:
+        pairs = [x for (g, k), v in values.items() if k == j for x in (F.lit(g), F.lit(v).cast("double"))]
+        return F.element_at(F.create_map(*pairs), F.col("g")) if pairs else F.lit(None).cast("double")
+
+    def inside(j: int) -> F.Column:
+        x = per_group(j, {k: s.x for k, s in search.items() if s.x is not None})
+        y = per_group(j, {k: s.y for k, s in search.items() if s.y is not None})
+        return (x.isNull() | (F.col("v") > x)) & (y.isNull() | (F.col("v") < y))
+
+    def of(keys) -> DataFrame:
+        return long_df.where(F.col("g").isin(sorted({g for g, _ in keys})))
+
+    todo = [k for k, s in search.items() if s.size > small]
+    while todo:
+        aggs, v = [], F.col("v")
+        for j in sorted({j for _, j in todo}):
+            a, b = (per_group(j, {k: marks[k][i] for k in todo}) for i in (0, 1))
+            ok = inside(j)
+            aggs += [F.count_if(ok & (v < a)).alias(f"below{j}"), F.count_if(ok & (v == a)).alias(f"a{j}"),
+                     F.count_if(ok & (v > a) & (v < b)).alias(f"mid{j}"), F.count_if(ok & (v == b) & (a < b)).alias(f"b{j}")]
+        rows = {r["g"]: r for r in of(todo).groupBy("g").agg(*aggs).collect()}
+        for g, j in todo:
+            r = rows[g]
+            search[g, j].narrow(*marks[g, j], r[f"below{j}"], r[f"a{j}"], r[f"mid{j}"], r[f"b{j}"])
+        todo = [k for k in todo if search[k].value is None and search[k].size > small]
+        if todo:
+            row = of(todo).agg(*[F.percentile_approx(F.when((F.col("g") == g) & inside(j), v), search[g, j].brackets(accuracy), accuracy)
+                                 .alias(f"m{i}") for i, (g, j) in enumerate(todo)]).first()
+            marks.update({k: tuple(row[f"m{i}"]) for i, k in enumerate(todo)})
+    left = [k for k, s in search.items() if s.value is None]
+    if left:
+        counted: dict = {k: [] for k in left}
+        wanted = F.array(*[F.struct(F.lit(j).alias("j"), (inside(j) & F.col("g").isin([g for g, k in left if k == j])).alias("ok"))
+                           for j in sorted({j for _, j in left})])
+        hits = of(left).select("g", "v", F.explode(F.filter(wanted, lambda t: t["ok"])).alias("t"))
+        for r in hits.groupBy("g", F.col("t.j").alias("j"), "v").count().collect():
+            counted[r["g"], r["j"]].append((r["v"], r["count"]))
+        for k in left:
+            search[k].finish(counted[k])
+    # The next greater value, where a rank lies between two of them.
+    ahead = {k: s.value for k, s in search.items() if (total[k[0]] - 1) * probs[k[1]] > s.rank and s.rank + 1 >= s.upto}
+    greater = {}
+    if ahead:
+        aggs = [F.min(F.when(F.col("v") > per_group(j, ahead), F.col("v"))).alias(f"next{j}") for j in sorted({j for _, j in ahead})]
+        nexts = {r["g"]: r for r in of(ahead).groupBy("g").agg(*aggs).collect()}
+        greater = {(g, j): nexts[g][f"next{j}"] for g, j in ahead}
+    out = []
+    for (g, j), s in search.items():
+        frac = (total[g] - 1) * probs[j] - s.rank
+        upper = greater.get((g, j), s.value)
+        out.append((g, probs[j], s.value if frac == 0 or upper == s.value else s.value + (upper - s.value) * frac))
+    return spark.createDataFrame(out, "g int, q double, value double")
+
+
+def _col(name: str) -> F.Column:
+    """A column by its name as it is, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _rows_of(wide: DataFrame, rows: Sequence[tuple], names: Sequence[str]) -> DataFrame:
+    """One wide aggregate row as several rows: ``rows`` of columns or values."""
+    def value(x):
+        return x if isinstance(x, F.Column) else F.lit(x)
+    return wide.select(F.inline(F.array(*[F.struct(*[value(x).alias(n) for x, n in zip(r, names)]) for r in rows])))
 
 
 def _clean(col_name: str, dtype) -> F.Column:
-    c = F.col(col_name).cast("double")
+    c = _col(col_name).cast("double")
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        c = F.when(F.isnan(F.col(col_name)), F.lit(None).cast("double")).otherwise(c)
+        c = F.when(F.isnan(_col(col_name)), F.lit(None).cast("double")).otherwise(c)
     return c
 
 
@@ -164,8 +217,8 @@ def _moments(df: DataFrame, cols: Sequence[str], conv, with_std: bool = True) ->
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     wide = df.agg(*aggs)
-    parts = ", ".join(f"'{c}', n{i}, m{i}, s{i}, lo{i}, hi{i}" for i, c in enumerate(cols))
-    return wide.selectExpr(f"stack({len(cols)}, {parts}) AS (column_name, count, mean, std, min, max)")
+    return _rows_of(wide, [(c, *[F.col(f"{a}{i}") for a in ("n", "m", "s", "lo", "hi")]) for i, c in enumerate(cols)],
+                    ("column_name", "count", "mean", "std", "min", "max"))
 
 
 def _approx_quartiles(df: DataFrame, cols: Sequence[str], conv, accuracy: int) -> DataFrame:
@@ -173,8 +226,8 @@ def _approx_quartiles(df: DataFrame, cols: Sequence[str], conv, accuracy: int) -
     fixed size per column (rank error about 1/accuracy of the rows)."""
     wide = df.agg(*[F.percentile_approx(conv(c), list(QUARTILES), accuracy).alias(f"q{i}")
                     for i, c in enumerate(cols)])
-    parts = ", ".join(f"'{c}', q{i}[0], q{i}[1], q{i}[2]" for i, c in enumerate(cols))
-    return wide.selectExpr(f"stack({len(cols)}, {parts}) AS (column_name, p25, p50, p75)")
+    return _rows_of(wide, [(c, *[F.col(f"q{i}")[k] for k in range(3)]) for i, c in enumerate(cols)],
+                    ("column_name", "p25", "p50", "p75"))
 
 
 def _names(spark, cols: Sequence[str]) -> DataFrame:
@@ -190,7 +243,7 @@ def _profile(df: DataFrame, cols: Sequence[str], conv, approx: bool = False,
     mom = _moments(df, cols, conv)
     if approx:
         return mom.join(_approx_quartiles(df, cols, conv, accuracy), "column_name", "left")
-    q = exact_quantiles(_long_values(df, cols, conv), groups=len(cols)).groupBy("g").agg(
+    q = exact_quantiles(_long_values(df, cols, conv)).groupBy("g").agg(
         *[F.max(F.when(F.col("q") == p, F.col("value"))).alias(f"p{int(p * 100)}") for p in QUARTILES])
     qw = _names(df.sparkSession, cols).join(q, "g", "inner").drop("g")
     return mom.join(qw, "column_name", "left")
@@ -212,7 +265,7 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, approx:
 
 
 def _micros(c: str) -> F.Column:
-    return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    return F.unix_micros(_col(c).cast("timestamp")).cast("double")
 
 
 def _from_micros(col: F.Column) -> F.Column:
@@ -234,7 +287,7 @@ def profile_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     third of all rows is counted before it moves.  A column with only nulls
     is listed with count and unique 0."""
     cols = list(columns or text_columns(df))
-    pairs = F.array(*[F.struct(F.lit(i).alias("g"), F.col(c).cast("string").alias("v"))
+    pairs = F.array(*[F.struct(F.lit(i).alias("g"), _col(c).cast("string").alias("v"))
                       for i, c in enumerate(cols)])
     vc = (df.select(F.inline(pairs)).where(F.col("v").isNotNull())
           .groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")))
@@ -250,21 +303,15 @@ def profile_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 def null_counts(df: DataFrame) -> DataFrame:
     """Missing values per column (NaN counts as missing)."""
-    aggs = []
-    for f in df.schema.fields:
-        miss = F.col(f.name).isNull()
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            miss = miss | F.isnan(F.col(f.name))
-        aggs.append(F.count_if(miss).alias(f.name))
-    wide = df.agg(*aggs)
-    parts = ", ".join(f"'{f.name}', `{f.name}`" for f in df.schema.fields)
-    return wide.selectExpr(f"stack({len(df.columns)}, {parts}) AS (column_name, null_count)")
+    fields = df.schema.fields
+    wide = df.agg(*[F.count_if(_missing(f)).alias(f"z{i}") for i, f in enumerate(fields)])
+    return _rows_of(wide, [(f.name, F.col(f"z{i}")) for i, f in enumerate(fields)], ("column_name", "null_count"))
 
 
 def _missing(f) -> F.Column:
-    miss = F.col(f.name).isNull()
+    miss = _col(f.name).isNull()
     if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-        miss = miss | F.isnan(F.col(f.name))
+        miss = miss | F.isnan(_col(f.name))
     return miss
 
 
@@ -274,9 +321,9 @@ def profile_table(df: DataFrame, table_name: str, fraction: float = 1.0, seed: i
     value).  Numeric statistics as numbers, datetime statistics as whole epoch
     microseconds, null counts for every column and the sample size.
 
-    Two passes over the sample whatever its width: one aggregation for the
-    moments, null counts and row count of all columns, and one shared
-    exact-quantile pipeline for the numeric and datetime columns together.
+    One aggregation gives the moments, null counts and row count of all
+    columns, and one shared search the exact quantiles of the numeric and
+    datetime columns together.
     ``info`` is the table's catalog row (C5 output: column_count, row_count,
     size_bytes); its numbers come out as statistics of column '*'."""
     if not 0.0 < fraction <= 1.0:
@@ -290,10 +337,10 @@ def profile_table(df: DataFrame, table_name: str, fraction: float = 1.0, seed: i
     def conv(c):
         return _micros(c) if c in dt else _clean(c, types[c])
 
-    aggs, triples = [F.count(F.lit(1)).alias("rows")], [("*", "sample_rows", "rows")]
+    aggs, triples = [F.count(F.lit(1)).alias("rows")], [("*", "sample_rows", F.col("rows").cast("double"))]
     for i, f in enumerate(fields):
         aggs.append(F.count_if(_missing(f)).alias(f"z{i}"))
-        triples.append((f.name, "null_count", f"z{i}"))
+        triples.append((f.name, "null_count", F.col(f"z{i}").cast("double")))
     for i, c in enumerate(stat_cols):
         x = conv(c)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.min(x).alias(f"lo{i}"),
@@ -303,13 +350,12 @@ def profile_table(df: DataFrame, table_name: str, fraction: float = 1.0, seed: i
             aggs.append(F.stddev_samp(x).alias(f"s{i}"))
             stats.append(("std", f"s{i}"))
         for stat, alias in stats:
-            val = f"CAST({alias} AS DOUBLE)"
-            triples.append((c, stat, f"round({val}, 0)" if c in dt and stat != "count" else val))
+            val = F.col(alias).cast("double")
+            triples.append((c, stat, F.round(val, 0) if c in dt and stat != "count" else val))
     wide = sample.agg(*aggs)
-    stack = ", ".join(f"'{c}', '{st}', CAST({e} AS DOUBLE)" for c, st, e in triples)
-    out = wide.selectExpr(f"stack({len(triples)}, {stack}) AS (column_name, statistic, value)")
+    out = _rows_of(wide, triples, ("column_name", "statistic", "value"))
     if stat_cols:
-        q = exact_quantiles(_long_values(sample, stat_cols, conv), groups=len(stat_cols))
+        q = exact_quantiles(_long_values(sample, stat_cols, conv))
         names = F.create_map(*[x for i, c in enumerate(stat_cols) for x in (F.lit(i), F.lit(c))])
         is_dt = F.col("g") >= F.lit(len(num))
         out = out.unionByName(q.select(
@@ -330,27 +376,32 @@ def profile_table(df: DataFrame, table_name: str, fraction: float = 1.0, seed: i
 
 
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
-    """Equal-width histogram over [min, max]; the maximum belongs to the
-    last bin.  Empty bins are listed with count 0."""
+    """Equal-width histogram over [min, max] of the finite values; the maximum
+    belongs to the last bin.  Empty bins are listed with count 0.  Infinite
+    values lie outside of all bins (``outside`` counts them, on every row); null and NaN are missing."""
     spark = df.sparkSession
-    x = F.col(col).cast("double")
-    mm = df.where(x.isNotNull() & ~F.isnan(x)).agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    x = _col(col).cast("double")
+    inf = F.lit(float("inf"))
+    there = x.isNotNull() & ~F.isnan(x)
+    finite = there & (F.abs(x) != inf)
+    mm = df.agg(F.min(F.when(finite, x)).alias("lo"), F.max(F.when(finite, x)).alias("hi"),
+                F.count_if(there & (F.abs(x) == inf)).alias("outside")).first()
+    outside = F.lit(mm["outside"]).cast("bigint").alias("outside")
     edges = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     if mm["lo"] is None:
         return edges.select("bin", F.lit(None).cast("double").alias("lower"),
-                            F.lit(None).cast("double").alias("upper"), F.lit(0).cast("bigint").alias("count"))
+                            F.lit(None).cast("double").alias("upper"), F.lit(0).cast("bigint").alias("count"), outside)
     lo, hi = float(mm["lo"]), float(mm["hi"])
     width = (hi - lo) / bins
     if hi > lo:
         b = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)).cast("int") + 1, F.lit(bins))
     else:
         b = F.lit(1)
-    counts = (df.where(x.isNotNull() & ~F.isnan(x)).select(b.alias("bin"))
-              .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
+    counts = df.where(finite).select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     return (edges.join(counts, "bin", "left").select(
         "bin", (F.lit(lo) + (F.col("bin") - 1) * F.lit(width)).alias("lower"),
         (F.lit(lo) + F.col("bin") * F.lit(width)).alias("upper"),
-        F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
+        F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), outside))
 
 
 def profile_cache(profiles: DataFrame, meta: DataFrame, force_refresh: bool = False) -> DataFrame:

@@ -21,11 +21,11 @@ values = st.lists(st.sampled_from([-3.5, -1.0, 0.0, 0.25, 1.0, 2.0, 7.75, 1e6])
 
 
 @SETTINGS
-@given(xs=values, partitions=st.integers(1, 9))
-def test_exact_quartiles_match_numpy(spark, xs, partitions):
+@given(xs=values, accuracy=st.sampled_from([5, 20, 10000]), small=st.sampled_from([1, 10, 2000]))
+def test_exact_quartiles_match_numpy(spark, xs, accuracy, small):
     df = spark.createDataFrame([(float(x),) for x in xs], "x double")
     long_df = df.select(F.lit(0).alias("g"), F.col("x").alias("v"))
-    got = {r.q: r.value for r in profile.exact_quantiles(long_df, partitions=partitions).collect()}
+    got = {r.q: r.value for r in profile.exact_quantiles(long_df, accuracy=accuracy, small=small).collect()}
     want = np.quantile(np.array(xs, dtype=float), profile.QUARTILES)
     for q, w in zip(profile.QUARTILES, want):
         assert math.isclose(got[q], w, rel_tol=1e-9, abs_tol=1e-9), (q, got[q], w)
@@ -122,12 +122,12 @@ def test_catalog_fold_matches_sequential_rules(spark, acts, in_source):
 
 
 @SETTINGS
-@given(groups=st.lists(values, min_size=2, max_size=4), partitions=st.integers(1, 7))
-def test_exact_quartiles_many_groups(spark, groups, partitions):
+@given(groups=st.lists(values, min_size=2, max_size=4), accuracy=st.sampled_from([5, 20, 10000]), small=st.sampled_from([1, 10, 2000]))
+def test_exact_quartiles_many_groups(spark, groups, accuracy, small):
     data = [(g, float(x)) for g, xs in enumerate(groups) for x in xs]
     long_df = spark.createDataFrame(data, "g int, v double")
     got = {(r.g, r.q): r.value for r in
-           profile.exact_quantiles(long_df, partitions=partitions, groups=len(groups)).collect()}
+           profile.exact_quantiles(long_df, accuracy=accuracy, small=small).collect()}
     for g, xs in enumerate(groups):
         want = np.quantile(np.array(xs, dtype=float), profile.QUARTILES)
         for q, w in zip(profile.QUARTILES, want):

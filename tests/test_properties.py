@@ -449,12 +449,33 @@ def test_query_result_of_failed_job_is_its_status(spark):
     assert out.status == "failed" and "no_such_table" in out.error
 
 
-def test_quantiles_without_broadcast_beyond_bound(spark, monkeypatch):
-    li = io.scan(spark, SF_SMALL, "lineitem").select("l_quantity", "l_extendedprice")
-    want = [tuple(r) for r in profile.profile_numeric(li).orderBy("column_name").collect()]
-    monkeypatch.setattr(profile, "OFFSETS_BROADCAST_ROWS", 0)
-    got = [tuple(r) for r in profile.profile_numeric(li).orderBy("column_name").collect()]
-    assert got == want
+@pytest.mark.parametrize("kind", ["distinct", "third", "two values"])
+def test_quantiles_of_many_rows_match_numpy(spark, kind):
+    n = 60_000
+    rng = np.random.default_rng(3)
+    xs = rng.normal(size=n) if kind == "distinct" else rng.choice([0.0, 1.0], n)
+    if kind == "third":
+        xs = np.where(rng.random(n) < 1 / 3, 0.5, rng.normal(size=n))
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    long_df = df.select(F.lit(0).alias("g"), F.col("x").alias("v"))
+    for accuracy, small in ((10000, 2000), (50, 20)):
+        got = {r.q: r.value for r in profile.exact_quantiles(long_df, accuracy=accuracy, small=small).collect()}
+        for q in profile.QUARTILES:
+            assert math.isclose(got[q], np.quantile(xs, q), rel_tol=1e-9, abs_tol=1e-12), (kind, q)
+
+
+def test_profiles_with_quotes_in_column_names(spark):
+    df = spark.createDataFrame([(1.0, "a"), (3.0, None)], "`it's` double, `b``c` string")
+    assert profile.profile_numeric(df).first().p50 == 2.0
+    assert {r.column_name: r.null_count for r in profile.null_counts(df).collect()} == {"it's": 0, "b`c": 1}
+    assert profile.profile_text(df).first().top == "a"
+    assert profile.profile_table(df, "t").where("statistic = 'p50'").first().value == 2.0
+
+
+def test_histogram_leaves_infinities_out(spark):
+    df = spark.createDataFrame([(0.0,), (10.0,), (float("inf"),), (float("-inf"),), (float("nan"),), (None,)], "x double")
+    rows = profile.histogram(df, "x", 2).orderBy("bin").collect()
+    assert [(r.lower, r.upper, r["count"], r.outside) for r in rows] == [(0.0, 5.0, 1, 2), (5.0, 10.0, 1, 2)]
 
 
 def test_stream_drops_out_of_order(spark):
