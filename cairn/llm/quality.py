@@ -179,14 +179,15 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
 def best_cut(weights: list[tuple[float, bool]]) -> float:
     """The weight that parts good from bad with the least sum of both error
-    rates; of equal cuts the lowest, which keeps most."""
+    rates: of equal cuts the lowest, and half-way to the next sample below it."""
     good = np.sort([w for w, g in weights if g])
     bad = np.sort([w for w, g in weights if not g])
     if not len(good) or not len(bad):
         return 0.0
     cuts = np.unique(np.concatenate([good, bad]))
     errors = np.searchsorted(good, cuts, "left") / len(good) + 1 - np.searchsorted(bad, cuts, "left") / len(bad)
-    return float(cuts[np.argmin(errors)])
+    at = int(np.argmin(errors))
+    return float(cuts[at] if at == 0 else (cuts[at - 1] + cuts[at]) / 2)
 
 
 def kth_greatest(rows: DataFrame, col: str, k: int, bins: int = 4096, few: int = 10_000) -> float:
