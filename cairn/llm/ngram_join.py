@@ -50,7 +50,7 @@ from cairn.llm.components import components
 SHINGLE = 5
 #: Entries per bucket that are aimed at, and entries that a task gathers before it deals them out.
 BUCKET_ENTRIES = 2_000_000
-FLUSH_ENTRIES = 3_000_000
+FLUSH_ENTRIES = 1_000_000
 CHUNK = 1000
 HUBS = 8
 #: The sample that finds n-grams common enough to be salted: its size, and the share that makes one common.
@@ -248,23 +248,25 @@ def shared_ngrams(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFram
 
 
 def entries(parts: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """N-grams, set keys and set sizes of dealt blobs."""
+    """N-grams, set keys and set sizes of dealt blobs (which are used up)."""
     t, k, n = [], [], []
     for p in parts:
-        o = unpack(p["o"]).astype(np.int64)
+        o = unpack(p["o"]).astype(np.int32)
         t.append(unpack_sorted(p["t"]))
         k.append(unpack(p["k"])[o])
-        n.append(unpack(p["n"])[o].astype(np.int64))
+        n.append(unpack(p["n"]).astype(np.int32)[o])
+        p.clear()
     return np.concatenate(t), np.concatenate(k), np.concatenate(n)
 
 
 def shared(t: np.ndarray, k: np.ndarray, n: np.ndarray):
     """The entries whose n-gram is in two or more sets, once per set, with that number."""
     order = np.argsort(t, kind="stable")  # merges the blobs' sorted runs
-    t, k, n = t[order], k[order], n[order]
+    t = t[order]
     same = t[1:] == t[:-1]
     twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    t, k, n = t[twice], k[twice], n[twice]
+    t, order = t[twice], order[twice]
+    k, n = k[order], n[order]
     order = np.lexsort((k, t))
     t, k, n = t[order], k[order], n[order]
     once = np.ones(len(t), bool)
