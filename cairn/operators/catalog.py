@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["schema_name", "table_name"]
+#: Parts into which the actions of one table are spread where they meet a row per table.
+SALTS = 16
 
 
 def catalog_state(actions: DataFrame, source_tables: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -28,28 +30,33 @@ def catalog_state(actions: DataFrame, source_tables: DataFrame) -> tuple[DataFra
     action; created_at is the last add that directly follows a remove (or the
     first add).
 
-    Done with grouped aggregations only (no window over a table's actions), so a table
-    with a third of all actions is pre-aggregated on every partition before
-    the shuffle:
-      1. per key: first add, last action, last add;
+    Done with grouped aggregations only (no window over a table's actions):
+      1. per key: first add, last add, last action;
       2. last remove before the last add (r*);
       3. first add after r* = created_at.
+    Actions meet the per-key rows of an earlier step by key and a salt of their
+    id, and are partially aggregated before the shuffle by key, so the actions
+    of a table with a third of all are spread over ``SALTS`` tasks.
     """
     pos = F.struct("ts", "action_id")
-    a = actions.join(source_tables.select(*KEY).distinct().withColumn("_in_source", F.lit(True)),
-                     KEY, "left")
-    stats = (a.groupBy(*KEY).agg(
+    a = actions.withColumn("_salt", F.pmod(F.xxhash64("action_id"), F.lit(SALTS)))
+    every_salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+    stats = (actions.groupBy(*KEY).agg(
         F.min(F.when(F.col("action") == "add", pos)).alias("first_add"),
         F.max(F.when(F.col("action") == "add", pos)).alias("last_add"),
-        F.max_by("action", pos).alias("last_action"),
-        F.max("_in_source").alias("_in_source")))
+        F.max_by("action", pos).alias("last_action"))
+        .join(source_tables.select(*KEY).distinct().withColumn("_in_source", F.lit(True)), KEY, "left"))
     known = stats.where(F.col("first_add").isNotNull() & F.col("_in_source").isNotNull())
 
-    valid = a.join(known.select(*KEY, "first_add", "last_add"), KEY, "inner").where(pos >= F.col("first_add"))
-    r_star = valid.groupBy(*KEY).agg(
-        F.max(F.when((F.col("action") == "remove") & (pos < F.col("last_add")), pos)).alias("r_star"))
-    activation = (valid.join(r_star, KEY, "inner")
-                  .where((F.col("action") == "add") & (F.col("r_star").isNull() | (pos > F.col("r_star"))))
+    def meet(side: DataFrame) -> DataFrame:
+        return a.join(side.withColumn("_salt", every_salt), [*KEY, "_salt"])
+
+    r_star = (meet(known.select(*KEY, "first_add", "last_add")).where(pos >= F.col("first_add")).groupBy(*KEY).agg(
+        F.first("first_add").alias("first_add"),
+        F.max(F.when((F.col("action") == "remove") & (pos < F.col("last_add")), pos)).alias("r_star")))
+    activation = (meet(r_star)
+                  .where((F.col("action") == "add") & (pos >= F.col("first_add"))
+                         & (F.col("r_star").isNull() | (pos > F.col("r_star"))))
                   .groupBy(*KEY).agg(F.min(pos).alias("activation")))
     state = (known.join(activation, KEY, "inner").select(
         *KEY,
@@ -59,7 +66,7 @@ def catalog_state(actions: DataFrame, source_tables: DataFrame) -> tuple[DataFra
 
     # Errors: every action of a table that never became known, and removes
     # that come before the first add of a known table.
-    err = (a.join(stats.select(*KEY, "first_add"), KEY, "inner")
+    err = (meet(stats.select(*KEY, "first_add", "_in_source"))
            .where(F.col("first_add").isNull() | F.col("_in_source").isNull() | (pos < F.col("first_add")))
            .select("action_id", *KEY, "action", "ts",
                    F.when((F.col("action") == "add") & F.col("_in_source").isNull(),
