@@ -35,7 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 #: Bounds of the Arrow batches that Python steps get, so that very long texts
 #: don't add up to a batch that a worker can't hold.
 BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-              "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+              "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def ship(spark: SparkSession) -> None:

@@ -46,8 +46,8 @@ from cairn.llm.ngram_join import groups, pack, pack_sorted, signed, unpack, unpa
 NAMED = 1 << 17
 HOT = 512
 KATZ_K = 5
-FLUSH_TOKENS = 3_000_000
-COUNT_TOKENS = 8_000_000
+FLUSH_TOKENS = 1_500_000
+COUNT_TOKENS = 3_000_000
 BUCKET_ENTRIES = 2_000_000
 ROW_ENTRIES = 500_000
 END, START, RARE = 0, 1, 2
@@ -248,11 +248,15 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def gather(parts: list[dict]):
-    """Keys, documents and held-out flags of dealt blobs, by key."""
-    key = np.concatenate([unpack_sorted(p["pairs"]) for p in parts])
-    own = [unpack(p["o"]).astype(np.int64) for p in parts]
-    doc = np.concatenate([unpack(p["docs"])[o] for p, o in zip(parts, own)])
-    held = np.concatenate([unpack(p["held"])[o] for p, o in zip(parts, own)])
+    """Keys, documents and held-out flags of dealt blobs (which are used up), by key."""
+    key, doc, held = [], [], []
+    for p in parts:
+        own = unpack(p["o"]).astype(np.int32)
+        key.append(unpack_sorted(p["pairs"]))
+        doc.append(unpack(p["docs"])[own])
+        held.append(unpack(p["held"])[own].astype(bool))
+        p.clear()
+    key, doc, held = np.concatenate(key), np.concatenate(doc), np.concatenate(held)
     order = np.argsort(key, kind="stable")
     return key[order], doc[order], held[order]
 
@@ -267,7 +271,7 @@ def count_pairs(dealt: DataFrame) -> DataFrame:
             key, doc, held = gather(parts)
             edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             pairs, n = key[edges[:-1]], np.diff(edges)
-            counts = n - np.add.reduceat(held, edges[:-1]).astype(np.int64)
+            counts = n - np.add.reduceat(held.astype(np.int32), edges[:-1])
             cut = np.flatnonzero(np.diff(edges[:-1] // ROW_ENTRIES, prepend=-1))
             out = []
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(pairs)]):
