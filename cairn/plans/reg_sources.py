@@ -90,7 +90,7 @@ def write_sample(spark, sf):
 def read_artifact_bytes(spark, sf):
     path = work_dir(spark, "bytes")
     (io.scan(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-       .write.mode("overwrite").csv(path))
+       .write.mode("overwrite").option("maxRecordsPerFile", 100_000).csv(path))
     content = io.read_content(spark, path, "*.csv")
     lines = content.select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))
     return lines.where(F.col("line") != "")

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 FORMATS = ("csv", "parquet", "json")
 
 
+#: Rows of a CSV or JSON result file at most, so that no file grows with the result.
+RESULT_FILE_ROWS = 1_000_000
+
+
 def table_path(root: str, table: str, schema: str | None = None) -> str:
     root = root.rstrip("/")
     if schema:
@@ -37,8 +41,7 @@ def scan(spark: SparkSession, root: str, table: str, schema: str | None = None,
 def count_rows(df: DataFrame, where: str | None = None) -> DataFrame:
     """S3: row count under the same predicate, as a one-row DataFrame.
 
-    With parquet aggregate pushdown and no predicate the count is answered from
-    file footers."""
+    Without a predicate the scan reads no columns."""
     if where:
         df = df.where(F.expr(where))
     return df.agg(F.count(F.lit(1)).alias("total_rows"))
@@ -86,14 +89,26 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> dict:
     row_count, column_count and file_size.
 
     CSV escapes quotes by doubling and writes timestamps with microseconds; text
-    with line breaks stays one record (read back with ``multiLine``)."""
+    with line breaks stays one record.  Whether any text has one is observed
+    during the write: if none has, a ``_singleline`` mark lets readers split
+    files.  Text formats get at most ``RESULT_FILE_ROWS`` rows per file."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}")
     obs = Observation()
-    out = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+    broken = F.lit(any(b in c for c in df.columns for b in "\r\n"))
+    for name, kind in df.dtypes:
+        if kind == "string" and fmt == "csv":
+            quoted = "`" + name.replace("`", "``") + "`"
+            broken = broken | F.coalesce(F.col(quoted).rlike(r"[\r\n]"), F.lit(False))
+    out = df.observe(obs, F.count(F.lit(1)).alias("rows"), F.max(broken).alias("broken")).write.mode("overwrite")
+    if fmt != "parquet":
+        out = out.option("maxRecordsPerFile", RESULT_FILE_ROWS)
     if fmt == "csv":
         out.option("header", True).option("escape", '"') \
            .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
+        if not obs.get["broken"]:
+            fs, mark = _file(df.sparkSession, f"{path}/_singleline")
+            fs.create(mark, True).close()
     elif fmt == "json":
         out.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
     else:
@@ -102,13 +117,20 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> dict:
             "column_count": len(df.columns), "file_size": output_size(df.sparkSession, path)}
 
 
+def _file(spark: SparkSession, path: str):
+    """Hadoop file system and path object of a path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def read_result(spark: SparkSession, path: str, fmt: str, schema=None) -> DataFrame:
     """Read a saved result back with its schema (Q6)."""
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        return (reader.option("header", True).option("escape", '"').option("multiLine", True)
+        fs, mark = _file(spark, f"{path}/_singleline")
+        return (reader.option("header", True).option("escape", '"').option("multiLine", not fs.exists(mark))
                 .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path))
     if fmt == "json":
         return reader.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)

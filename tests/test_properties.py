@@ -472,6 +472,16 @@ def test_profiles_with_quotes_in_column_names(spark):
     assert profile.profile_table(df, "t").where("statistic = 'p50'").first().value == 2.0
 
 
+def test_csv_results_split_only_without_line_breaks(spark):
+    for text, whole in (("plain", False), ("two\nlines", True)):
+        df = spark.createDataFrame([(1, text), (2, None)], "k int, v string")
+        path = work_dir(spark, "t-csv")
+        io.write_result(df, path, "csv")
+        fs, mark = io._file(spark, f"{path}/_singleline")
+        assert fs.exists(mark) != whole
+        assert _rows(io.read_result(spark, path, "csv", df.schema).where("k = 1")) == [(1, text)]
+
+
 def test_histogram_leaves_infinities_out(spark):
     df = spark.createDataFrame([(0.0,), (10.0,), (float("inf"),), (float("-inf"),), (float("nan"),), (None,)], "x double")
     rows = profile.histogram(df, "x", 2).orderBy("bin").collect()
