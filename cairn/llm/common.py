@@ -6,7 +6,6 @@ import io
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,15 +80,3 @@ def lower_ascii(col: Column) -> Column:
 def strip_ascii(col: Column) -> Column:
     """Strip blanks and \\x09-\\x0D from both ends."""
     return F.btrim(col, F.lit(ASCII_SPACE))
-
-
-def with_conf(spark: SparkSession, settings: dict[str, str], fn: Callable):
-    """Run ``fn()`` under session settings and put the old ones back."""
-    old = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        return fn()
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

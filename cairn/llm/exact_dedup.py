@@ -32,17 +32,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import table, text_or_empty, with_conf, written
-from cairn.session import work_dir
-
-STATE_CONF = {
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    # Many small stores: no space set aside in advance for their logs.
-    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-}
+from cairn.llm.common import table, text_or_empty, written
+from cairn.session import STATE_CONF, with_conf, work_dir
+
 KEY_SCHEMA = "id bigint, uid bigint, digest binary, locator string"
 
 
