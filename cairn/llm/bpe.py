@@ -186,9 +186,6 @@ class TwoAges(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        return self.put(key, value)
-
-    def put(self, key, value):
         if len(key) <= 64:  # longer ones hardly come again
             if len(self) >= self.half:
                 self.old = dict(self)
@@ -196,16 +193,6 @@ class TwoAges(dict):
             self[key] = value
         return value
 
-    def take(self, keys) -> dict:
-        """The values of many keys at once; None for those it doesn't have."""
-        out = {}
-        for key in keys:
-            value = self.get(key)
-            if value is None and (value := self.old.get(key)) is not None:
-                self.put(key, value)
-            out[key] = value
-        return out
-
 
 class WordBpe:
     """Encode and decode with one of the public byte-level BPE files with word ends."""

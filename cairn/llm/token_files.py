@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cairn.llm.bpe import WORD_BPE, TwoAges
+from cairn.llm.bpe import WORD_BPE
 from cairn.llm.common import ship, table, text_bytes, written
 from cairn.session import work_dir
 
@@ -52,6 +52,8 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60)
 ESCAPE = 14
 BLOCK = 128
 FRAME_IDS = 1 << 16
+#: Marks that are a piece of their own behind a word (any other piece goes to the library as it is).
+MARKS = frozenset(".,;:!?")
 MAGIC = b"S8B1"
 HEAD = struct.Struct("<4s6I")
 _BITS16 = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
@@ -175,6 +177,28 @@ def frames(content: bytes):
         at = ends[-1] + 1
 
 
+class Recent:
+    """A bounded cache for batches: ``young`` takes what a batch needs; before a batch,
+    if it is half full, it becomes ``old``, from which later batches take what they need again."""
+
+    def __init__(self, cap: int):
+        self.half, self.young, self.old = cap // 2, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Make the keys' values ready in ``young``; returns those that aren't there."""
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old.get
+        out = []
+        for key in keys.difference(young):
+            value = old(key)
+            if value is None:
+                out.append(key)
+            else:
+                young[key] = value
+        return out
+
+
 class LibraryEncoder:
     """The tokenizers library behind a bounded cache of runs and words.
 
@@ -185,46 +209,50 @@ class LibraryEncoder:
     def __init__(self, path: str, cache: int = 800_000, together: int = 500):
         self.library, self.together = Tokenizer.from_file(path), together
         self.ends = {i for t, i in self.library.get_vocab().items() if t.endswith("</w>")}
-        self.runs = TwoAges(None, cache)
-        self.words = TwoAges(None, cache // 2)
+        self.runs, self.words = Recent(cache), Recent(cache)
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        found = {}
+    def _packed(self, text: str) -> bytes:
+        return array("I", self._ids(text)).tobytes()
+
+    def _words(self, words: list[str]):
+        """Pairs of word and ids; ``words`` are letters only."""
         for at in range(0, len(words), self.together):
             some = words[at:at + self.together]
             ids = self._ids(" ".join(some))
             ends = [i + 1 for i, x in enumerate(ids) if x in self.ends]
             if len(ends) == len(some):
                 packed = array("I", ids).tobytes()
-                found.update((w, packed[4 * a:4 * b]) for w, a, b in zip(some, [0, *ends], ends))
+                yield from ((w, packed[4 * a:4 * b]) for w, a, b in zip(some, [0, *ends], ends))
             else:
-                found.update((w, array("I", self._ids(w)).tobytes()) for w in some)
-        return found
+                yield from ((w, self._packed(w)) for w in some)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.runs.take(set().union(*split))
-        known[""] = b""
-        parts = {}
-        for run in [r for r, ids in known.items() if ids is None]:
+        missing = self.runs.missing(set().union(*split))
+        runs = self.runs.young
+        parts, long = [], []
+        for run in missing:
             # Latin-1 letters, perhaps with one mark at the end: the word in lower case, and that mark.
-            word = run[:-1] if run[-1] in ".,;:!?" else run
+            word = run[:-1] if run[-1:] in MARKS else run
             if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
-                parts[run] = (word.lower(),) if word is run else (word.lower(), run[-1])
+                parts.append((run, word.lower(), run[len(word):]))
             else:
-                known[run] = self.runs.put(run, array("I", self._ids(run)).tobytes())
-        words = self.words.take({w for p in parts.values() for w in p})
-        fresh = [w for w, ids in words.items() if ids is None]
-        marks = [w for w in fresh if not w.isalpha()]
-        for w, ids in {**self._words([w for w in fresh if w.isalpha()]),
-                       **{m: array("I", self._ids(m)).tobytes() for m in marks}}.items():
-            words[w] = self.words.put(w, ids)
-        for run, p in parts.items():
-            known[run] = self.runs.put(run, b"".join([words[w] for w in p]))
-        return [b"".join([known[r] for r in runs]) for runs in split]
+                runs[run] = self._packed(run)
+            if len(run) > 64:  # hardly comes again
+                long.append(run)
+        fresh = self.words.missing({w for _, w, _ in parts} | {m for _, _, m in parts})
+        words = self.words.young
+        words.update(self._words([w for w in fresh if w.isalpha()]))
+        words.update((m, self._packed(m)) for m in fresh if not m.isalpha())
+        for run, word, mark in parts:
+            runs[run] = words[word] + words[mark]
+        out = [b"".join(map(runs.__getitem__, some)) for some in split]
+        for run in long:
+            del runs[run]
+        return out
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
