@@ -283,19 +283,22 @@ def count_pairs(dealt: DataFrame) -> DataFrame:
     return (dealt.where("kind = 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, PAIRS))
 
 
-def sum_arrays(blobs: DataFrame, size: int, slices: int = 16) -> np.ndarray:
-    """The sum of many arrays of ``size`` float64 (column ``data``), added up slice by
-    slice as they stream in."""
-    width = -(-size // slices)
+def per_partition(df: DataFrame, size: int, of, slices: int = 16) -> np.ndarray:
+    """Sum over all rows of arrays of ``size`` numbers that ``of(batch, array)`` adds to.
 
-    def cut(batches):
+    Each task fills one array and sends it in slices, which are added up as they stream in."""
+    width, schema = -(-size // slices), "slice int, data binary"
+
+    def rows(batches):
+        total, some = np.zeros(width * slices), False
         for batch in batches:
-            for cell in batch.column("data"):
-                whole = np.frombuffer(cell.as_py(), "<f8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(slices), pa.int32()),
-                     pa.array([whole[s * width:(s + 1) * width].tobytes() for s in range(slices)], pa.binary())],
-                    names=["slice", "data"])
+            of(batch, total[:size])
+            some = True
+        if some:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(slices), pa.int32()),
+                 pa.array([part.astype("<f8").tobytes() for part in total.reshape(slices, width)], pa.binary())],
+                names=["slice", "data"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -307,25 +310,10 @@ def sum_arrays(blobs: DataFrame, size: int, slices: int = 16) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([part.tobytes()], pa.binary())],
                                              names=["slice", "data"])
 
-    schema = "slice int, data binary"
-    out = np.zeros(width * slices)
-    for r in blobs.mapInArrow(cut, schema).repartition(slices, "slice").mapInArrow(add, schema).collect():
-        part = np.frombuffer(bytes(r["data"]), "<f8")
-        out[r["slice"] * width:r["slice"] * width + len(part)] += part
-    return out[:size]
-
-
-def per_partition(df: DataFrame, size: int, of) -> np.ndarray:
-    """Sum over all rows of arrays that ``of(batch, array)`` adds to, one array per task."""
-    def rows(batches):
-        total, some = np.zeros(size), False
-        for batch in batches:
-            of(batch, total)
-            some = True
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["data"])
-
-    return sum_arrays(df.mapInArrow(rows, "data binary"), size)
+    out = np.zeros((slices, width))
+    for r in df.mapInArrow(rows, schema).repartition(slices, "slice").mapInArrow(add, schema).collect():
+        out[r["slice"]] = np.frombuffer(bytes(r["data"]), "<f8")
+    return out.reshape(-1)[:size]
 
 
 def discounts_of(n: np.ndarray) -> np.ndarray:
