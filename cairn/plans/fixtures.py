@@ -157,16 +157,18 @@ SELECT event_id AS access_id, concat('a', lpad(concat('', user_id), 8, '0')) AS
     # and tags are each sometimes absent; tags are sometimes an empty list
     # (clears them); expiry days are sometimes 0 or less (an invalid patch).
     "artifact_patches": """
-SELECT concat('a', lpad(concat('', doc_id), 8, '0')) AS artifact_id, s.patch_seq,
-  CASE WHEN (doc_id + s.patch_seq) % 4 = 1 THEN 'swarm9' ELSE concat('swarm', doc_id % 3) END AS swarm_token,
-  CASE WHEN lang = 'de' AND s.patch_seq < 3 THEN concat('renamed_', doc_id, '_', s.patch_seq) END AS name,
-  CASE WHEN lang = 'fr' THEN concat('{"reviewed":"', source, s.patch_seq, '"}') END AS metadata,
-  CASE WHEN doc_id % 7 = 0 THEN NULL WHEN (doc_id + s.patch_seq) % 11 = 0 THEN CAST(s.patch_seq - 2 AS INTEGER)
-       ELSE CAST(1 + (doc_id + s.patch_seq) % 9 AS INTEGER) END AS expiry_days,
-  CASE WHEN lang = 'es' THEN NULL WHEN (doc_id + s.patch_seq) % 5 = 0 THEN {EMPTY_TAGS}
+SELECT concat('a', lpad(concat('', doc_id), 8, '0')) AS artifact_id, patch_seq,
+  CASE WHEN (doc_id + patch_seq) % 4 = 1 THEN 'swarm9' ELSE concat('swarm', doc_id % 3) END AS swarm_token,
+  CASE WHEN lang = 'de' AND patch_seq < 3 THEN concat('renamed_', doc_id, '_', patch_seq) END AS name,
+  CASE WHEN lang = 'fr' THEN concat('{"reviewed":"', source, patch_seq, '"}') END AS metadata,
+  CASE WHEN doc_id % 7 = 0 THEN NULL WHEN (doc_id + patch_seq) % 11 = 0 THEN CAST(patch_seq - 2 AS INTEGER)
+       ELSE CAST(1 + (doc_id + patch_seq) % 9 AS INTEGER) END AS expiry_days,
+  CASE WHEN lang = 'es' THEN NULL WHEN (doc_id + patch_seq) % 5 = 0 THEN {EMPTY_TAGS}
        ELSE {TAGS} END AS tags
-  FROM documents CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (CAST(2 AS BIGINT)), (CAST(3 AS BIGINT))) AS s(patch_seq)
-  WHERE lang <> 'en' AND s.patch_seq <= 1 + doc_id % 3""",
+  FROM (SELECT doc_id, lang, source, CAST(1 AS BIGINT) AS patch_seq FROM documents
+    UNION ALL SELECT doc_id, lang, source, CAST(2 AS BIGINT) AS patch_seq FROM documents WHERE doc_id % 3 >= 1
+    UNION ALL SELECT doc_id, lang, source, CAST(3 AS BIGINT) AS patch_seq FROM documents WHERE doc_id % 3 = 2) AS d
+  WHERE lang <> 'en'""",
 }
 
 # Engine spellings of the list literals in artifact_uploads and artifact_patches.
