@@ -1,7 +1,7 @@
 """Operator 7, language model scoring: a bigram model with Katz backoff.
 
-**Model.**  Events are the *named* words (the most frequent ones, at most ``NAMED``), the end of a
-text, and the class of all other words ("rare").  With r = count of the pair (h, w) in training text:
+**Model.**  Events are all words of the training texts, the end of a text, and the class of words never
+seen.  With r = count of the pair (h, w) in training text:
 
     p(w|h) = s(h) d(r) r / c(h)   if r > 0, else  a(h) p(w)
     p(w)   = (c(w) + 1) / (N + events)
@@ -10,17 +10,23 @@ d(r) are Good-Turing discounts after Katz for r <= 5 (1 beyond), from the number
 1..6 times.  a(h) is exact: the probability that the seen pairs leave, over the unigram
 probability of the events not seen after h, so p(.|h) sums to one.  Where the seen
 pairs would leave less than 1 / (c(h) + 1), as after a word whose pairs are all frequent, s(h) scales them to leave that.
-A rare word goes on recursively to its class: p(w|rare) = (c(w) + 1) / (N' + V' + 1), with N' tokens and V'
-words in the class; one share is for words never seen.  So every word of every text is counted and scored; the bound
-``NAMED`` only says for which words pairs are told apart.
 
-**Tables.**  Word counts are one row per word.  Pairs are dealt into buckets of their
-hash and stored as rows that each hold a range of pairs with their counts, and
+**Tables.**  Word counts are one row per word.  The most frequent words (``NAMED`` at most) have numbers, and their
+c, s and a lie in broadcast arrays; that is only a faster way to the same numbers.
+All other words are *outside* of the arrays and go by their 64-bit hash.
+Pairs of numbered words are dealt into buckets of their hash.  Pairs with a word outside go to the bucket
+of that word (of w if it is outside, else of h), where the word's count is joined; no word outside is
+frequent in training text.  Buckets are stored as rows that each hold a range of pairs with their counts, and
 all their occurrences in documents, so estimating and scoring read them row by row.
+The masses of contexts outside, and the occurrences that need their s and a, are dealt by context.
 Pairs of the ``HOT`` most frequent events never travel: each task counts them in an array
 of fixed size and scores them where it reads the text.  A pair that makes up a third of all tokens is
 such a pair.  Broadcast are arrays of ``NAMED`` and ``HOT**2`` numbers (a few MB), whatever the input.
 
+With ``named`` given, at most so many words are events, and the others are one class ("rare"): a rare word goes on
+recursively to its class, p(w|rare) = (c(w) + 1) / (N' + V' + 1), with N' tokens and V' words in the class; one share
+is for words never seen.
+
 Result per document: ``n_tokens`` (words and one end), ``n_known`` (seen in training), ``train_tokens``,
 ``base_score`` (add-one unigrams over exact counts) and ``score`` (log10 probability of the text).
 
@@ -55,9 +61,12 @@ FIRST = 3  # number of the most frequent word
 
 
 class Vocabulary:
-    """Numbers of events; words by falling frequency, so the hot events are the lowest numbers."""
+    """Numbers of events; words by falling frequency, so the hot events are the lowest numbers.
+
+    Words without a number are the event RARE if there is a class of them, else ``outside`` (past all numbers)."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, words: int, docs: int, hot: int = HOT):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, words: int, docs: int, hot: int = HOT,
+                 classed: bool = True):
         order = np.lexsort((hashes, -counts))
         ranked, ranked_counts = hashes[order], counts[order]
         by_hash = np.argsort(ranked)
@@ -67,18 +76,20 @@ class Vocabulary:
         self.docs, self.tokens, self.words = docs, tokens + docs, words + (docs > 0)
         self.rare_tokens = tokens - int(counts.sum())
         self.rare_words = words - len(hashes)
-        self.counts = np.concatenate([[docs, 0, self.rare_tokens], ranked_counts]).astype(float)
-        events = self.size - 1  # all but START
-        self.p = (self.counts + 1) / (self.tokens + events)
+        self.classed, self.outside = classed, RARE if classed else self.size
+        self.counts = np.concatenate([[docs, 0, self.rare_tokens if classed else 0], ranked_counts]).astype(float)
+        events = (len(hashes) if classed else words) + FIRST - 1  # all but START
+        self.mass = self.tokens + events
+        self.p = (self.counts + 1) / self.mass
         self.p[START] = 0.0
         self.context = self.counts.copy()
         self.context[END], self.context[START] = 0.0, docs
 
     def events(self, h: np.ndarray) -> np.ndarray:
         if not len(self.sorted_hashes):
-            return np.full(len(h), RARE)
+            return np.full(len(h), self.outside)
         at = np.minimum(np.searchsorted(self.sorted_hashes, h), len(self.sorted_hashes) - 1)
-        return np.where(self.sorted_hashes[at] == h, self.number[at], RARE)
+        return np.where(self.sorted_hashes[at] == h, self.number[at], self.outside)
 
     def pairs(self, h: np.ndarray, first: np.ndarray):
         """Contexts and events of all tokens (with the ends), and each text's first."""
@@ -94,6 +105,31 @@ class Vocabulary:
         context[begin[:-1]] = START
         return context, event, begin
 
+    def codes(self, h: np.ndarray, event: np.ndarray, begin: np.ndarray):
+        """Contexts and events as 64 bits: the number, or outside of the numbers the word's hash."""
+        code = event.astype(np.uint64)
+        word = np.ones(len(event), bool)
+        word[begin[1:] - 1] = False
+        far = event == self.outside
+        code[far] = h[far[word]]
+        code[far] += np.where(code[far] < self.size, np.uint64(self.size), np.uint64(0))
+        context = np.empty_like(code)
+        context[1:] = code[:-1]
+        context[begin[:-1]] = START
+        return context, code
+
+
+def backoff(context: np.ndarray, seen: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """s and log10 a of contexts with these counts, discounted masses, and unigram probabilities of their seen events."""
+    c = np.maximum(context, 1)
+    share = seen / c
+    left = np.maximum(1 - share, 1 / (c + 1))
+    rest = 1 - covered
+    left[rest <= 1e-12] = 0.0
+    scale = np.where(share > 0, (1 - left) / np.where(share > 0, share, 1.0), 1.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return scale, np.where(share > 0, np.log10(left / rest), 0.0)
+
 
 class Model:
     """Everything that scoring needs, in arrays of fixed size."""
@@ -101,18 +137,10 @@ class Model:
     def __init__(self, vocabulary: Vocabulary, discounts: np.ndarray, seen: np.ndarray, covered: np.ndarray, hot: np.ndarray):
         v = self.vocabulary = vocabulary
         self.discounts = discounts
-        c = np.maximum(v.context, 1)
-        share = seen / c
-        left = np.maximum(1 - share, 1 / (c + 1))
-        rest = 1 - covered
-        left[rest <= 1e-12] = 0.0
-        share_safe = np.where(share > 0, share, 1.0)
-        self.scale = np.where(share > 0, (1 - left) / share_safe, 1.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.log_alpha = np.where(share > 0, np.log10(left / rest), 0.0)
+        self.scale, self.log_alpha = backoff(v.context, seen, covered)
+        with np.errstate(divide="ignore"):
             self.log_p = np.log10(v.p)
         self.hot = self.hot_logs(hot)
-        self.class_size = v.rare_tokens + v.rare_words + 1
 
     def discounted(self, counts: np.ndarray) -> np.ndarray:
         return self.discounts[np.minimum(counts, KATZ_K + 1)] * counts
@@ -160,8 +188,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def vocabulary_of(counts: DataFrame, docs: int, named: int, hot: int) -> tuple[Vocabulary, int]:
-    """The vocabulary, and the least count of a named word.  Words are named from the
+def vocabulary_of(counts: DataFrame, docs: int, named: int, hot: int, classed: bool) -> tuple[Vocabulary, int]:
+    """The vocabulary, and the least count of a numbered word.  Words are numbered from the
     most frequent down, whole steps of a fine scale of counts at a time, while they fit."""
     step = F.floor(F.log(F.col("c").cast("double")) * 64)
     bins = counts.groupBy(step.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"), F.min("c").alias("least")).collect()
@@ -173,43 +201,49 @@ def vocabulary_of(counts: DataFrame, docs: int, named: int, hot: int) -> tuple[V
         least = r["least"]
     top = counts.where(F.col("c") >= least).toArrow()
     hashes = top.column("word").to_numpy().astype(np.int64).view(np.uint64)
-    return Vocabulary(hashes, top.column("c").to_numpy(), sum(r["c"] for r in bins), sum(r["n"] for r in bins), docs, hot), least
+    return Vocabulary(hashes, top.column("c").to_numpy(), sum(r["c"] for r in bins), sum(r["n"] for r in bins), docs, hot, classed), least
 
 
-DEALT = "kind int, bucket int, pairs binary, o binary, docs binary, held binary"
+DEALT = "kind int, bucket int, pairs binary, other binary, o binary, docs binary, held binary"
 
 
 def deal(docs: DataFrame, vocabulary, buckets: int) -> DataFrame:
-    """Blobs of pairs (kind 0) and of rare words (kind 1) with their documents by
-    bucket, and hot pairs' training counts (kind 2).  ``docs``: doc, held, content."""
+    """Blobs by bucket, with their documents: pairs of numbered events (kind 0), rare words or events outside with their
+    contexts (kind 1), and contexts outside with their numbered events (kind 3); hot pairs' training counts (kind 2).
+    ``docs``: doc, held, content."""
     def rows(batches):
         v: Vocabulary = vocabulary.value
         words = hashing.Words(hashing.word_classes())
         hot = v.hot
         counts = np.zeros(hot * hot, np.int64)
-        parts: tuple[list, ...] = ([], [])
-        owners: tuple[list, ...] = ([], [])
+        kinds = (0, 1) if v.classed else (0, 1, 3)
+        parts: dict[int, list] = {k: [] for k in kinds}
+        others: dict[int, list] = {k: [] for k in kinds}
+        owners: dict[int, list] = {k: [] for k in kinds}
         docs_, held_, base, size = [], [], 0, 0
 
         def flush(kind, docs_, held_):
             key, own = np.concatenate(parts[kind]), np.concatenate(owners[kind])
-            at = ((hashing.mix(key) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            other = np.concatenate(others[kind]) if others[kind] else None
+            at = bucket_of(key, buckets)
             order = np.lexsort((key, at))
             key, own, at = key[order], own[order], at[order]
+            other = other if other is None else other[order]
             edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
             out = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 used, local = np.unique(own[a:b], return_inverse=True)
-                out.append((kind, int(at[a]), pack_sorted(key[a:b]), pack(local), pack(docs_[used]), pack(held_[used])))
+                out.append((kind, int(at[a]), pack_sorted(key[a:b]), b"" if other is None else pack(other[a:b]), pack(local),
+                            pack(docs_[used]), pack(held_[used])))
             return batch_of(out)
 
         def flush_all():
             d, h = np.concatenate(docs_), np.concatenate(held_)
-            for kind in (0, 1):
+            for kind in kinds:
                 if parts[kind] and sum(map(len, parts[kind])):
                     yield flush(kind, d, h)
-                parts[kind].clear()
-                owners[kind].clear()
+                for held_back in (parts, others, owners):
+                    held_back[kind].clear()
 
         for batch in batches:
             ids = batch.column("doc").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -221,11 +255,20 @@ def deal(docs: DataFrame, vocabulary, buckets: int) -> DataFrame:
                 near = (context < hot) & (event < hot)
                 train = ~out_of[row:row + n][own]
                 counts += np.bincount((context * hot + event)[near & train], minlength=hot * hot)
-                parts[0].append((context * v.size + event)[~near].astype(np.uint64))
-                owners[0].append(own[~near] + base)
-                rare = event[event != END] == RARE
-                parts[1].append(h[rare])
-                owners[1].append(np.repeat(np.arange(n), np.diff(first))[rare] + base)
+                far = ~near & (context < v.size) & (event < v.size)
+                parts[0].append((context * v.size + event)[far].astype(np.uint64))
+                owners[0].append(own[far] + base)
+                if v.classed:
+                    rare = event[event != END] == RARE
+                    parts[1].append(h[rare])
+                    owners[1].append(np.repeat(np.arange(n), np.diff(first))[rare] + base)
+                else:
+                    before, code = v.codes(h, event, begin)
+                    out = event == v.outside
+                    for kind, at, key, other in ((1, out, code, before), (3, (context == v.outside) & ~out, before, code)):
+                        parts[kind].append(key[at])
+                        others[kind].append(other[at])
+                        owners[kind].append(own[at] + base)
                 docs_.append(ids[row:row + n])
                 held_.append(out_of[row:row + n].astype(np.uint64))
                 base += n
@@ -236,15 +279,19 @@ def deal(docs: DataFrame, vocabulary, buckets: int) -> DataFrame:
         if size:
             yield from flush_all()
         if counts.any():
-            yield batch_of([(2, 0, counts.tobytes(), b"", b"", b"")])
+            yield batch_of([(2, 0, counts.tobytes(), b"", b"", b"", b"")])
 
     return docs.mapInArrow(rows, DEALT)
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                      names=["kind", "bucket", "pairs", "o", "docs", "held"])
+                                      names=["kind", "bucket", "pairs", "other", "o", "docs", "held"])
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashing.mix(key) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def gather(parts: list[dict]):
@@ -261,7 +308,22 @@ def gather(parts: list[dict]):
     return key[order], doc[order], held[order]
 
 
+def gather_open(parts: list[dict]):
+    """As ``gather``, with the other event of each pair, by key and other event."""
+    other = np.concatenate([unpack(p["other"]) for p in parts])
+    key = np.concatenate([unpack_sorted(p["pairs"]) for p in parts])
+    doc, held = [], []
+    for p in parts:
+        own = unpack(p["o"]).astype(np.int32)
+        doc.append(unpack(p["docs"])[own])
+        held.append(unpack(p["held"])[own].astype(bool))
+        p.clear()
+    order = np.lexsort((other, key))
+    return key[order], other[order], np.concatenate(doc)[order], np.concatenate(held)[order]
+
+
 PAIRS = "pairs binary, counts binary, n binary, o binary, docs binary"
+OPEN = "h binary, w binary, c binary, counts binary, n binary, o binary, docs binary"
 
 
 def count_pairs(dealt: DataFrame) -> DataFrame:
@@ -283,6 +345,39 @@ def count_pairs(dealt: DataFrame) -> DataFrame:
     return (dealt.where("kind = 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, PAIRS))
 
 
+def count_open(dealt: DataFrame, counts: DataFrame, least: int, vocabulary, buckets: int) -> DataFrame:
+    """As ``count_pairs``, of pairs with a word outside: contexts, events, the events' counts, and the rest."""
+    def rows(batches):
+        v: Vocabulary = vocabulary.value
+        for _, parts in groups(batches, "bucket"):
+            words = [p for p in parts if p["kind"] == 0]
+            for kind in (1, 3):
+                uses = [p for p in parts if p.get("kind") == kind]
+                if not uses:
+                    continue
+                key, other, doc, held = gather_open(uses)
+                edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (other[1:] != other[:-1]), [True]]))
+                key, other, n = key[edges[:-1]], other[edges[:-1]], np.diff(edges)
+                r = n - np.add.reduceat(held.astype(np.int32), edges[:-1])
+                h, w = (other, key) if kind == 1 else (key, other)
+                c = look_up(words, key) if kind == 1 else v.counts[w.astype(np.int64)]
+                cut = np.flatnonzero(np.diff(edges[:-1] // ROW_ENTRIES, prepend=-1))
+                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)]):
+                    used, local = np.unique(doc[edges[a]:edges[b]], return_inverse=True)
+                    out = (h[a:b], w[a:b], c[a:b], r[a:b], n[a:b], local, used)
+                    yield pa.RecordBatch.from_arrays([pa.array([pack(x)], pa.binary()) for x in out],
+                                                     names=["h", "w", "c", "counts", "n", "o", "docs"])
+
+    both = word_blobs(counts, least, buckets).unionByName(dealt.where("kind in (1, 3)"))
+    return both.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, OPEN)
+
+
+def open_pairs(row) -> tuple[np.ndarray, ...]:
+    """Contexts, events, the events' counts and the training counts of a row of ``count_open``."""
+    h, w, c, counts = (unpack(x.as_py()) for x in row)
+    return h, w, c.astype(float), counts.astype(np.int64)
+
+
 def per_partition(df: DataFrame, size: int, of, slices: int = 16) -> np.ndarray:
     """Sum over all rows of arrays of ``size`` numbers that ``of(batch, array)`` adds to.
 
@@ -329,7 +424,7 @@ def discounts_of(n: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], d, [1.0]])
 
 
-def estimate(pairs: DataFrame, vocabulary: Vocabulary, hot: np.ndarray) -> Model:
+def estimate(pairs: DataFrame, opened: DataFrame | None, vocabulary: Vocabulary, hot: np.ndarray) -> Model:
     spark = pairs.sparkSession
     most = KATZ_K + 2
 
@@ -338,7 +433,8 @@ def estimate(pairs: DataFrame, vocabulary: Vocabulary, hot: np.ndarray) -> Model
             c = unpack(cell.as_py()).astype(np.int64)
             total += np.bincount(np.minimum(c, most), minlength=most + 1)[:most + 1]
 
-    n = per_partition(pairs.select("counts"), most + 1, numbers)
+    every = pairs.select("counts") if opened is None else pairs.select("counts").union(opened.select("counts"))
+    n = per_partition(every, most + 1, numbers)
     n += np.bincount(np.minimum(hot.reshape(-1), most), minlength=most + 1)[:most + 1]
     d = discounts_of(n)
     size, p = vocabulary.size, spark.sparkContext.broadcast(vocabulary.p)
@@ -351,7 +447,19 @@ def estimate(pairs: DataFrame, vocabulary: Vocabulary, hot: np.ndarray) -> Model
             total[:size] += np.bincount(pair // size, d[np.minimum(c, KATZ_K + 1)] * c, size)
             total[size:] += np.bincount(pair // size, p.value[pair % size], size)
 
+    mass = vocabulary.mass
+
+    def open_masses(batch, total):
+        for row in zip(*(batch.column(x) for x in ("h", "w", "c", "counts"))):
+            h, _, c, r = open_pairs(row)
+            at = (h < size) & (r > 0)
+            h, c, r = h[at].astype(np.int64), c[at], r[at]
+            total[:size] += np.bincount(h, d[np.minimum(r, KATZ_K + 1)] * r, size)
+            total[size:] += np.bincount(h, (c + 1) / mass, size)
+
     sums = per_partition(pairs.select("pairs", "counts"), 2 * size, masses)
+    if opened is not None:
+        sums = sums + per_partition(opened.select("h", "w", "c", "counts"), 2 * size, open_masses)
     k = hot.shape[0]
     seen, covered = sums[:size], sums[size:]
     seen[:k] += (d[np.minimum(hot, KATZ_K + 1)] * hot).sum(axis=1)
@@ -359,37 +467,37 @@ def estimate(pairs: DataFrame, vocabulary: Vocabulary, hot: np.ndarray) -> Model
     return Model(vocabulary, d, seen, covered, hot)
 
 
-SUMS = "bucket int, docs binary, a binary, b binary"
+SUMS = "bucket int, docs binary, a binary, b binary, c binary"
 
 
 def add_up(blobs: DataFrame) -> DataFrame:
-    """``doc, a, b``: blobs of per-document sums (documents, two numbers) added up by document."""
+    """``doc, a, b, c``: blobs of per-document sums (documents, three numbers) added up by document."""
     def rows(batches):
         for _, parts in groups(batches, "bucket"):
             doc = np.concatenate([unpack(p["docs"]) for p in parts])
             used, at = np.unique(doc, return_inverse=True)
-            a, b = (np.bincount(at, np.concatenate([np.frombuffer(p[c], "<f8") for p in parts]), len(used)) for c in "ab")
-            yield pa.RecordBatch.from_arrays([signed(used), pa.array(a), pa.array(b)], names=["doc", "a", "b"])
+            sums = [np.bincount(at, np.concatenate([np.frombuffer(p[c], "<f8") for p in parts]), len(used)) for c in "abc"]
+            yield pa.RecordBatch.from_arrays([signed(used), *map(pa.array, sums)], names=["doc", *"abc"])
 
-    return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, "doc bigint, a double, b double")
+    return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, "doc bigint, a double, b double, c double")
 
 
-def sum_blobs(doc: np.ndarray, a: np.ndarray, b: np.ndarray, buckets: int) -> pa.RecordBatch | None:
-    """Per-document sums, cut by bucket of the document."""
+def sum_blobs(doc: np.ndarray, sums: tuple, buckets: int) -> pa.RecordBatch | None:
+    """Per-document sums of score, base score and known words, cut by bucket of the document."""
     if not len(doc):
         return None
     used, at = np.unique(doc, return_inverse=True)
-    a, b = np.bincount(at, a, len(used)), np.bincount(at, b, len(used))
+    sums = [np.bincount(at, x, len(used)).astype("<f8") for x in sums]
     where = ((used >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     edges = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]]))
-    out = [(int(where[x]), pack(used[x:y]), a[x:y].astype("<f8").tobytes(), b[x:y].astype("<f8").tobytes())
+    out = [(int(where[x]), pack(used[x:y]), *(z[x:y].tobytes() for z in sums))
            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), *[pa.binary()] * 3))],
-                                      names=["bucket", "docs", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))],
+                                      names=["bucket", "docs", *"abc"])
 
 
 def score_pairs(pairs: DataFrame, model, buckets: int) -> DataFrame:
-    """``doc, a``: sum of log10 p of each document's pairs that aren't hot."""
+    """Blobs of the sum of log10 p of each document's pairs of numbered events that aren't hot."""
     def rows(batches):
         m: Model = model.value
         size = m.vocabulary.size
@@ -404,25 +512,129 @@ def score_pairs(pairs: DataFrame, model, buckets: int) -> DataFrame:
                 sums.append(np.bincount(own, np.repeat(logs, unpack(n.as_py()).astype(np.int64)), len(used)))
             if docs:
                 doc, a = np.concatenate(docs), np.concatenate(sums)
-                if (out := sum_blobs(doc, a, np.zeros(len(doc)), buckets)) is not None:
+                if (out := sum_blobs(doc, (a, np.zeros(len(doc)), np.zeros(len(doc))), buckets)) is not None:
                     yield out
 
-    return add_up(pairs.mapInArrow(rows, SUMS))
+    return pairs.mapInArrow(rows, SUMS)
 
 
-def rare_words(dealt: DataFrame, counts: DataFrame, least: int, buckets: int) -> DataFrame:
-    """``doc, a, b``: per document the sum of log10(c + 1) over its rare words and how many have c > 0."""
+def score_open(opened: DataFrame, model, buckets: int) -> DataFrame:
+    """Blobs of each document's pairs with a word outside: log10 p but for what contexts outside add to it,
+    and log10(c + 1) and the known ones of the words outside."""
+    def rows(batches):
+        m: Model = model.value
+        v = m.vocabulary
+        with np.errstate(divide="ignore"):
+            log_seen = np.log10(m.scale) - np.log10(np.maximum(v.context, 1))
+        for batch in batches:
+            for *row, n, o, d in zip(*(batch.column(x) for x in ("h", "w", "c", "counts", "n", "o", "docs"))):
+                h, w, c, r = open_pairs(row)
+                log_c = np.log10(c + 1)
+                logs = log_c - math.log10(v.mass)
+                found, near = r > 0, h < v.size
+                logs[found] = np.log10(m.discounted(r[found]))
+                at = h[near].astype(np.int64)
+                logs[near] += np.where(found[near], log_seen[at], m.log_alpha[at])
+                out = w >= v.size
+                each = (logs, np.where(out, log_c, 0.0), (out & (c > 0)).astype(float))
+                own, times, used = unpack(o.as_py()).astype(np.int64), unpack(n.as_py()).astype(np.int64), unpack(d.as_py())
+                sums = tuple(np.bincount(own, np.repeat(x, times), len(used)) for x in each)
+                if (blob := sum_blobs(used, sums, buckets)) is not None:
+                    yield blob
+
+    return opened.mapInArrow(rows, SUMS)
+
+
+CONTEXTS = "bucket int, h binary, sums binary, uses binary, o binary, docs binary"
+
+
+def score_contexts(opened: DataFrame, discounts: np.ndarray, vocabulary, buckets: int) -> DataFrame:
+    """Blobs of what contexts outside add to each document's score: log10 s / c for seen pairs, log10 a for others."""
+    def deal_out(batches):
+        size, mass = vocabulary.value.size, vocabulary.value.mass
+        for batch in batches:
+            for *row, n, o, d in zip(*(batch.column(x) for x in ("h", "w", "c", "counts", "n", "o", "docs"))):
+                h, _, c, r = open_pairs(row)
+                far = h >= size
+                if not far.any():
+                    continue
+                own, times, docs = unpack(o.as_py()).astype(np.int64), unpack(n.as_py()).astype(np.int64), unpack(d.as_py())
+                own, times, h, c, r = own[np.repeat(far, times)], times[far], h[far], c[far], r[far]
+                contexts, of = np.unique(h, return_inverse=True)
+                sums = [np.bincount(of, x, len(contexts)) for x in
+                        (r, discounts[np.minimum(r, KATZ_K + 1)] * r, np.where(r > 0, (c + 1) / mass, 0.0))]
+                at = bucket_of(contexts, buckets)
+                order = np.argsort(at, kind="stable")  # by hash within a bucket
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                use, seen = np.repeat(place[of], times), np.repeat(r > 0, times)
+                by_use = np.argsort(use, kind="stable")
+                use, seen, own = use[by_use], seen[by_use], own[by_use]
+                contexts, at, sums = contexts[order], at[order], [x[order].astype("<f8") for x in sums]
+                edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
+                stops, out = np.searchsorted(use, edges), []
+                for a, b, x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), stops[:-1].tolist(), stops[1:].tolist()):
+                    used, local = np.unique(own[x:y], return_inverse=True)
+                    out.append((int(at[a]), pack_sorted(contexts[a:b]), b"".join(z[a:b].tobytes() for z in sums),
+                                pack((use[x:y] - a) * 2 + seen[x:y]), pack(local), pack(docs[used])))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int32(), *[pa.binary()] * 5))],
+                                                 names=["bucket", "h", "sums", "uses", "o", "docs"])
+
+    def rows(batches):
+        for _, parts in groups(batches, "bucket"):
+            keys = [unpack_sorted(p["h"]) for p in parts]
+            contexts, of = np.unique(np.concatenate(keys), return_inverse=True)
+            each = np.concatenate([np.frombuffer(p["sums"], "<f8").reshape(3, -1) for p in parts], axis=1)
+            count, seen, covered = (np.bincount(of, x, len(contexts)) for x in each)
+            scale, log_alpha = backoff(count, seen, covered)
+            with np.errstate(divide="ignore"):
+                logs = np.stack([log_alpha, np.log10(scale) - np.log10(np.maximum(count, 1))], axis=1)
+            begin, docs, values = 0, [], []
+            for p, k in zip(parts, keys):
+                uses = unpack(p["uses"]).astype(np.int64)
+                used = unpack(p["docs"])
+                docs.append(used)
+                values.append(np.bincount(unpack(p["o"]).astype(np.int64), logs[of[begin + (uses >> 1)], uses & 1], len(used)))
+                begin += len(k)
+            doc, a = np.concatenate(docs), np.concatenate(values)
+            if (out := sum_blobs(doc, (a, np.zeros(len(doc)), np.zeros(len(doc))), buckets)) is not None:
+                yield out
+
+    dealt = opened.mapInArrow(deal_out, CONTEXTS)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, SUMS)
+
+
+def word_blobs(counts: DataFrame, least: int, buckets: int) -> DataFrame:
+    """The counts of words without a number, dealt by word (kind 0; ``o`` has the counts)."""
     def blobs(batches):
         for batch in batches:
             word = batch.column("word").to_numpy().view(np.uint64)
             c = batch.column("c").to_numpy()
-            at = ((hashing.mix(word) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            at = bucket_of(word, buckets)
             order = np.lexsort((word, at))
             word, c, at = word[order], c[order], at[order]
             edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
-            yield batch_of([(0, int(at[x]), pack_sorted(word[x:y]), pack(c[x:y]), b"", b"")
+            yield batch_of([(0, int(at[x]), pack_sorted(word[x:y]), b"", pack(c[x:y]), b"", b"")
                             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())])
 
+    # Words come in larger batches than texts: sorted by word, a task's rows make few blobs.
+    return counts.where(F.col("c") < least).mapInArrow(blobs, DEALT)
+
+
+def look_up(words: list[dict], key: np.ndarray) -> np.ndarray:
+    """The counts of these words in blobs of ``word_blobs``; 0 for words never seen."""
+    if not words:
+        return np.zeros(len(key))
+    word = np.concatenate([unpack_sorted(p["pairs"]) for p in words])
+    c = np.concatenate([unpack(p["o"]) for p in words]).astype(float)
+    order = np.argsort(word)
+    word, c = word[order], c[order]
+    at = np.minimum(np.searchsorted(word, key), len(word) - 1)
+    return np.where(word[at] == key, c[at], 0.0)
+
+
+def rare_words(dealt: DataFrame, counts: DataFrame, least: int, buckets: int) -> DataFrame:
+    """Blobs of the sum of log10(c + 1) over each document's rare words (twice) and how many have c > 0."""
     def rows(batches):
         for _, parts in groups(batches, "bucket"):
             words = [p for p in parts if p["kind"] == 0]
@@ -430,40 +642,31 @@ def rare_words(dealt: DataFrame, counts: DataFrame, least: int, buckets: int) ->
             if not uses:
                 continue
             key, doc, _ = gather(uses)
-            found = np.zeros(len(key))
-            if words:
-                word = np.concatenate([unpack_sorted(p["pairs"]) for p in words])
-                c = np.concatenate([unpack(p["o"]) for p in words]).astype(float)
-                order = np.argsort(word)
-                word, c = word[order], c[order]
-                at = np.minimum(np.searchsorted(word, key), len(word) - 1)
-                found = np.where(word[at] == key, c[at], 0.0)
-            if (out := sum_blobs(doc, np.log10(found + 1), (found > 0).astype(float), buckets)) is not None:
+            found = look_up(words, key)
+            logs = np.log10(found + 1)
+            if (out := sum_blobs(doc, (logs, logs, (found > 0).astype(float)), buckets)) is not None:
                 yield out
 
-    # Words come in larger batches than texts: sorted by word, a task's rows make few blobs.
-    words = counts.where(F.col("c") < least).mapInArrow(blobs, DEALT)
-    both = words.unionByName(dealt.where("kind = 1"))
-    return add_up(both.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, SUMS))
+    both = word_blobs(counts, least, buckets).unionByName(dealt.where("kind = 1"))
+    return both.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, SUMS)
 
 
 def score_documents(docs: DataFrame, model) -> DataFrame:
-    """Per row: tokens, the known ones among named words and ends, their log10(c + 1), rare words, hot pairs' log10 p."""
+    """Per row: tokens, the known ones among numbered words and ends, their log10(c + 1), rare words, hot pairs' log10 p."""
     def rows(batches):
         m: Model = model.value
         v = m.vocabulary
         words, hot = hashing.Words(hashing.word_classes()), v.hot
-        log_count = np.log10(v.counts + 1)
-        log_count[RARE] = 0.0
-        known_event = (v.counts > 0).astype(float)
-        known_event[RARE] = 0.0
+        log_count = np.append(np.log10(v.counts + 1), 0.0)
+        known_event = np.append(v.counts > 0, False).astype(float)
+        log_count[v.outside] = known_event[v.outside] = 0.0
         for batch in batches:
             cols = [[], [], [], [], []]
             for _, n, data, offsets in hashing.runs(batch.column("content")):
                 context, event, begin = v.pairs(*words.tokens(data, offsets))
                 near = (context < hot) & (event < hot)
                 logs = np.where(near, m.hot[np.where(near, context * hot + event, 0)], 0.0)
-                for col, values in zip(cols, (np.ones(len(event)), known_event[event], log_count[event], event == RARE, logs)):
+                for col, values in zip(cols, (np.ones(len(event)), known_event[event], log_count[event], event == v.outside, logs)):
                     total = np.concatenate([[0.0], np.cumsum(values)])
                     col.append(total[begin[1:]] - total[begin[:-1]])
             cols = [np.concatenate(c) if c else np.empty(0) for c in cols]
@@ -475,9 +678,11 @@ def score_documents(docs: DataFrame, model) -> DataFrame:
     return docs.mapInArrow(rows, "id bigint, doc bigint, held boolean, n_tokens bigint, known bigint, base double, rare bigint, hot double")
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", named: int = NAMED,
-                hot_events: int = HOT, held: Column | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", named: int | None = None,
+                hot_events: int = HOT, held: Column | None = None, numbered: int = NAMED) -> DataFrame:
+    """One row per row of ``docs``: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+
+    ``numbered`` words at most lie in arrays (no matter for the result); with ``named``, at most so many are events."""
     spark = docs.sparkSession
     ship(spark)
     sc = spark.sparkContext
@@ -486,7 +691,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = base.select("id", "held", "content", F.xxhash64("id", "content").alias("doc"))
     train = base.where("not held")
     counts = written(word_counts(train.select("content")), "katz_words")
-    vocabulary, least = vocabulary_of(counts, train.count(), named, hot_events)
+    vocabulary, least = vocabulary_of(counts, train.count(), numbered if named is None else named, hot_events, named is not None)
     voc = sc.broadcast(vocabulary)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(vocabulary.tokens / BUCKET_ENTRIES))
     dealt = deal(base.select("doc", "held", "content"), voc, buckets)
@@ -500,23 +705,28 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     hot = per_partition(dealt.where("kind = 2").select("pairs"), n * n, hot_counts).astype(np.int64).reshape(n, n)
     pairs = written(count_pairs(dealt), "katz_pairs")
-    model = sc.broadcast(estimate(pairs, vocabulary, hot))
-    by_pair = written(score_pairs(pairs, model, buckets), "katz_pair_sums")
-    by_word = written(rare_words(dealt, counts, least, buckets), "katz_word_sums")
+    opened = None if vocabulary.classed else written(count_open(dealt, counts, least, voc, buckets), "katz_open")
+    fitted = estimate(pairs, opened, vocabulary, hot)
+    model = sc.broadcast(fitted)
+    blobs = score_pairs(pairs, model, buckets)
+    if opened is None:
+        blobs = blobs.union(rare_words(dealt, counts, least, buckets))
+    else:
+        blobs = blobs.union(score_open(opened, model, buckets)).union(score_contexts(opened, fitted.discounts, voc, buckets))
+    sums = written(add_up(blobs), "katz_sums")
     rows = written(score_documents(base, model), "katz_documents")
     several = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("m"))
     zero = lambda c: F.coalesce(c, F.lit(0.0)) / F.col("m")
     v = vocabulary
     size = math.log10(v.tokens + v.words + 1)
-    in_class = math.log10(v.rare_tokens + v.rare_words + 1)
-    joined = (rows.join(several, "doc").join(by_pair.select("doc", F.col("a").alias("pair_sum")), "doc", "left")
-                  .join(by_word.select("doc", F.col("a").alias("word_sum"), F.col("b").alias("word_known")), "doc", "left"))
+    in_class = math.log10(v.rare_tokens + v.rare_words + 1) if v.classed else 0.0
+    joined = rows.join(several, "doc").join(sums, "doc", "left")
     return joined.select(
         "id", F.col("held").alias("held_out"), "n_tokens",
-        (F.col("known") + F.round(zero(F.col("word_known")))).cast("bigint").alias("n_known"),
+        (F.col("known") + F.round(zero(F.col("c")))).cast("bigint").alias("n_known"),
         F.lit(v.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + zero(F.col("word_sum")) - F.col("n_tokens") * F.lit(size)).alias("base_score"),
-        (F.col("hot") + zero(F.col("pair_sum")) + zero(F.col("word_sum")) - F.col("rare") * F.lit(in_class)).alias("score"))
+        (F.col("base") + zero(F.col("b")) - F.col("n_tokens") * F.lit(size)).alias("base_score"),
+        (F.col("hot") + zero(F.col("a")) - F.col("rare") * F.lit(in_class)).alias("score"))
 
 
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

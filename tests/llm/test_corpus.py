@@ -314,6 +314,28 @@ def test_scores_match_brute_force(spark, named, hot):
     same(katz.katz_scores(docs, named=named, hot_events=hot).collect(), brute_katz(rows, named, held))
 
 
+@pytest.mark.parametrize("numbered,hot", [(1000, 5), (40, 2), (3, 512), (0, 0)])
+def test_scores_without_a_cap_match_brute_force(spark, awkward, numbered, hot):
+    rnd = random.Random(numbered + 1)
+    words = [prose(rnd, 1) for _ in range(80)]
+    rows = [(i, " ".join(words[min(int(rnd.expovariate(0.08)), 79)] for _ in range(rnd.randint(0, 40)))) for i in range(150)]
+    rows += [(i % 150, t) for i, t in rows[:9]]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    for docs in (spark.createDataFrame(rows, "doc_id bigint, text string"), awkward):
+        texts = [(r.doc_id, r.text) for r in docs.collect()]
+        same(katz.katz_scores(docs, hot_events=hot, numbered=numbered).collect(), brute_katz(texts, 10 ** 9, held))
+
+
+def test_every_word_of_a_large_vocabulary_is_an_event(spark):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(katz.NAMED + 9000)]
+    words += words[-8000:]
+    rows = [(i, " ".join(words[i::50])) for i in range(50)] + [(50 + i, " ".join(rnd.choices(words, k=300))) for i in range(20)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    same(katz.katz_scores(docs).collect(), brute_katz(rows, 10 ** 9, held))
+
+
 def test_held_out_text_is_predicted_better_than_by_the_base(spark):
     rnd = random.Random(3)
     nxt = {s: rnd.sample(SYLLABLES, 2) for s in SYLLABLES}
