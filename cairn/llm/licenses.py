@@ -1,8 +1,9 @@
 """Operator 8, licence scan: Dice coefficient of word bigrams against templates.
 
 A text is scanned in units: each line, each block (run of lines that are not blank, if it has
-several), and the whole document (if it has several blocks).  Blocks and documents are taken
-without their copyright lines, which name owners and years.  Units and templates are
+several), the whole document (if it has several blocks), and *windows*: for each template the run of words, over
+lines and blank lines, with the greatest dice, then those on both sides of it, as long as they reach ``least`` (of windows that share most of their words, the one with the greatest dice).  All but
+lines are taken without copyright lines, which name owners and years.  Units and templates are
 normalised alike: words are runs of letters and digits in lower case, British and
 American spellings of "licence" are one word, and all else separates.  With bags of word bigrams A and B,
 
@@ -13,9 +14,10 @@ and a unit has a template's licence if dice >= ``least``.  Then, with m bigrams
 * *size bound*: m * least / (2 - least) <= |A| <= m * (2 - least) / least, and
 * *share bound*: at least |A| * least / (2 - least) of the unit's bigrams occur in the template.
 
-Texts without any template's bigram are passed over by array operations on
+Texts without a dense run of the templates' bigrams are passed over by array operations on
 hashes, then units by the share bound over all templates together; the size bound picks
 the templates, and the dice itself is computed on the words.  Of several templates the greatest dice counts, of equals the first name.
+A window counts if no other unit with its licence and as great a dice overlaps it.
 
 Documents are read once and never shuffled; the templates are a fixed list.
 
@@ -109,11 +111,16 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * sum((a & b).values()) / size if size else 0.0
 
 
-def units(raw: bytes) -> list[tuple[str, int, list[bytes]]]:
+def units(raw: bytes, matcher: Matcher | None = None) -> list[tuple[str, int, list[bytes]]]:
     """(scope, first line, words) of each unit of a text."""
+    return [(scope, rows[0], words) for scope, rows, words in spans(raw, matcher or Matcher(TEMPLATES, 0.85))]
+
+
+def spans(raw: bytes, matcher: Matcher) -> list[tuple[str, tuple[int, int], list[bytes]]]:
+    """(scope, first and last line, words) of each unit."""
     lines = raw.split(b"\n")
     words = [words_of(line) for line in lines]
-    out = [("line", i, w) for i, w in enumerate(words) if len(w) > 1]
+    out = [("line", (i, i), w) for i, w in enumerate(words) if len(w) > 1]
     blocks: list[list[int]] = []
     for i, w in enumerate(words):
         if not w:
@@ -128,10 +135,23 @@ def units(raw: bytes) -> list[tuple[str, int, list[bytes]]]:
     for scope, rows in scopes:
         joined = [w for i in rows if not is_copyright(words[i]) for w in words[i]]
         if len(joined) > 1:
-            out.append((scope, rows[0], joined))
+            out.append((scope, (rows[0], rows[-1]), joined))
+    place = [i for i, w in enumerate(words) if not is_copyright(w) for _ in w]
+    joined = [w for line in words if not is_copyright(line) for w in line]
+    for a, b in matcher.windows(joined):
+        out.append(("window", (place[a], place[b - 1]), joined[a:b]))
     return out
 
 
+def whole_version(words: list[bytes], end: int) -> int:
+    """The end of a window, moved past a version number that it cuts."""
+    for i in (end - 1, end - 2):
+        if i >= 0 and words[i] in (b"version", b"v"):
+            while end < len(words) and end <= i + 2 and words[end].isdigit() and (end == i + 1 or len(words[end]) == 1):
+                end += 1
+    return end
+
+
 def is_copyright(words: list[bytes]) -> bool:
     return bool(words) and words[0] in (b"copyright", b"\xc2\xa9")
 
@@ -140,9 +160,18 @@ class Matcher:
     def __init__(self, templates: dict[str, list[str]], least: float):
         self.least = least
         self.bound = least / (2 - least)
-        self.bags = [(name, bigrams(words_of(t.encode()))) for name in sorted(templates) for t in templates[name]]
-        self.bags = [(name, bag, sum(bag.values())) for name, bag in self.bags if bag]
+        texts = [(name, words_of(t.encode())) for name in sorted(templates) for t in templates[name]]
+        self.bags = [(name, bigrams(w), len(w) - 1) for name, w in texts if len(w) > 1]
         self.known = {pair for _, bag, _ in self.bags for pair in bag}
+        self.number = {pair: i for i, pair in enumerate(sorted(self.known))}
+        self.sizes = np.array([x[2] for x in self.bags])
+        #: Row: number of a bigram (the last: of none), column: template.
+        self.counts = np.zeros((len(self.number) + 1, len(self.bags)), np.int32)
+        for k, (_, bag, _) in enumerate(self.bags):
+            for pair, c in bag.items():
+                self.counts[self.number[pair], k] = c
+        #: Fewest bigrams of a unit with a licence.
+        self.shortest = max(1, int(np.ceil(self.sizes.min() * self.bound - 1e-9))) if self.bags else 1
         self.vocabulary = {w for pair in self.known for w in pair}
 
     def match(self, words: list[bytes]) -> tuple[str, float] | None:
@@ -159,6 +188,62 @@ class Matcher:
                 best = (name, value)
         return best
 
+    def windows(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """First word and end of the windows of a text, sorted."""
+        if len(words) < 2 or not self.bags:
+            return []
+        ids = np.array([self.number.get(x, -1) for x in zip(words, words[1:])])
+        total = np.concatenate([[0.0], np.cumsum((ids >= 0) - self.bound)])
+        # A bigram is in some run with the share of known bigrams that a unit needs if the sums allow it.
+        low, high = np.minimum.accumulate(total)[:-1], np.maximum.accumulate(total[::-1])[::-1][1:]
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], high >= low - 1e-9, [0]]).astype(int)))
+        out = []
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if b - a < self.shortest:
+                continue
+            used, times = np.unique(ids[a:b], return_counts=True)
+            there = np.minimum(times[:, None], self.counts[used]).sum(axis=0)
+            for k in np.flatnonzero(there >= self.sizes * self.bound - 1e-9).tolist():
+                todo = [(a, b)]
+                while todo:
+                    x, y = todo.pop()
+                    if found := self.best_window(ids[x:y], k):
+                        f, t = x + found[0], x + found[1]
+                        out.append((-found[2], f, t + 1))
+                        todo += [(x, f), (t, y)]
+        # Templates that are much alike find the same place: there the greatest dice counts.
+        kept: list[tuple[int, int]] = []
+        for _, a, b in sorted(set(out), key=lambda x: (x[0], x[1] - x[2], x[1])):
+            if all(2 * (min(b, y) - max(a, x)) <= max(b - a, y - x) for x, y in kept):
+                kept.append((a, b))
+        return sorted((a, whole_version(words, b)) for a, b in kept)
+
+    def best_window(self, ids: np.ndarray, k: int) -> tuple[int, int, float] | None:
+        """The run of bigrams (first, end, dice) with the greatest dice with template k, if that reaches ``least``."""
+        count, m = self.counts[ids, k], int(self.sizes[k])
+        match, longest = count > 0, int(m / self.bound + 1e-9)
+        used, times = np.unique(ids, return_counts=True)
+        if np.minimum(times, self.counts[used, k]).sum() < m * self.bound - 1e-9:
+            return None
+        # The place from which on a window's start leaves this occurrence within the template's count.
+        order = np.argsort(ids, kind="stable")
+        grouped, rank = ids[order], np.arange(len(ids))
+        back = rank - count[order]
+        same = (back >= 0) & (grouped[np.maximum(back, 0)] == grouped)
+        free = np.empty(len(ids), np.int64)
+        free[order] = np.where(same, order[np.maximum(back, 0)] + 1, 0)
+        # Starts that can reach it: the matches that a window of any length would need, repeats counted too.
+        gain = np.concatenate([[0.0], np.cumsum(2 * match - self.least)])
+        best, at = 0.0, None
+        ahead = np.maximum.accumulate(gain[::-1])[::-1]
+        for a in np.flatnonzero(match & (ahead[1:] - gain[:-1] >= self.least * m - 1e-6)).tolist():
+            held = np.cumsum(match[a:a + longest] & (free[a:a + longest] <= a))
+            values = 2 * held / (np.arange(1, len(held) + 1) + m)
+            b = int(values.argmax())
+            if values[b] > best:
+                best, at = float(values[b]), (a, a + b + 1, float(values[b]))
+        return at if best >= self.least else None
+
     def known_pairs(self) -> np.ndarray:
         """Sorted hashes of all templates' bigrams, with each spelling of a word."""
         other = {}
@@ -184,17 +269,30 @@ def pair_hash(h: np.ndarray) -> np.ndarray:
     return hashing.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
 
 
-def candidates(words: hashing.Words, known: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Whether each text has a bigram that some template has; others have no licence."""
+def candidates(words: hashing.Words, known: np.ndarray, data: np.ndarray, offsets: np.ndarray, shortest: int,
+               bound: float) -> np.ndarray:
+    """Whether each text can have a unit with a licence: a run of ``shortest`` or more bigrams has the share ``bound`` of
+    known ones only if one of less than twice that length has.  A run that a copyright line parts may have none,
+    so texts with such a word need one known bigram only."""
     h, first = words.tokens(data, offsets)
     keep = np.zeros(len(offsets) - 1, bool)
     if len(h) < 2:
         return keep
     pairs = pair_hash(h)
     at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
-    total = np.concatenate([[0], np.cumsum(known[at] == pairs)])
+    found = np.concatenate([[0], np.cumsum(known[at] == pairs)])
+    dense = np.zeros(len(pairs), bool)
+    for n in range(shortest, 2 * shortest):
+        if n <= len(pairs):
+            dense[:len(pairs) - n + 1] |= found[n:] - found[:-n] >= n * bound - 1e-9
+    some = np.concatenate([[0], np.cumsum(dense)])
     begin, end = first[:-1], np.maximum(first[1:] - 1, first[:-1])
-    return total[np.minimum(end, len(pairs))] > total[np.minimum(begin, len(pairs))]
+    inside = lambda x: x[np.minimum(end, len(pairs))] > x[np.minimum(begin, len(pairs))]
+    keep = inside(some)
+    for i in np.flatnonzero(inside(found) & ~keep).tolist():
+        text = data[offsets[i]:offsets[i + 1]].tobytes()
+        keep[i] = b"\xc2\xa9" in text or b"copyright" in text.lower()
+    return keep
 
 
 class Scanner:
@@ -204,12 +302,15 @@ class Scanner:
     def scan(self, raw: bytes) -> list[tuple[str, int, str, float]]:
         """(scope, first line, licence, dice) of each unit with a licence."""
         m = self.matcher
-        out = []
-        for scope, line, words in units(raw):
+        out, where = [], []
+        for scope, (line, last), words in spans(raw, m):
             known = sum(p in m.known for p in zip(words, words[1:]))
-            if known >= (len(words) - 1) * m.bound:
+            if known >= (len(words) - 1) * m.bound - 1e-9:
                 if found := m.match(words):
+                    if scope == "window" and any(n == found[0] and d >= found[1] and a <= last and line <= b for n, d, a, b in where):
+                        continue
                     out.append((scope, line, *found))
+                    where.append((*found, line, last))
         return out
 
 
@@ -223,17 +324,18 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     equals the first line, then the smallest scope), and the number of units with a licence."""
     ship(docs.sparkSession)
     chosen = TEMPLATES if templates is None else templates
-    order = ("line", "block", "document")
+    order = ("line", "block", "window", "document")
 
     def rows(batches):
         scanner = Scanner(Matcher(chosen, least))
-        known = scanner.matcher.known_pairs()
+        m = scanner.matcher
+        known = m.known_pairs()
         words = hashing.Words(plain_classes())
         for batch in batches:
             content = batch.column("content")
             found: list[list] = [[] for _ in range(len(content))]
             for row, _, data, offsets in hashing.runs(content):
-                for i in np.flatnonzero(candidates(words, known, data, offsets)).tolist():
+                for i in np.flatnonzero(candidates(words, known, data, offsets, m.shortest, m.bound)).tolist():
                     found[row + i] = scanner.scan(content[row + i].as_py())
             best = [min(f, key=lambda x: (-x[3], x[1], order.index(x[0]))) if f else None for f in found]
             yield pa.RecordBatch.from_arrays([

@@ -104,3 +104,38 @@ def test_every_template_finds_itself():
             assert (name, 1.0) in {(n, d) for _, _, n, d in scanner.scan(t.encode())}
     known = lic.Matcher(lic.TEMPLATES, 0.85).known_pairs()
     assert (np.diff(known.astype(float)) > 0).all()
+
+
+def licences_of(text):
+    return {x[2] for x in lic.Scanner(lic.Matcher(lic.TEMPLATES, 0.85)).scan(text.encode())}
+
+
+def test_notices_of_several_paragraphs_in_other_text(spark):
+    header = lic.TEMPLATES["Apache-2.0"][1]
+    for cut in ("you may", "You may", "Unless", "WITHOUT"):
+        header = header.replace(cut, "\n *\n * " + cut)
+    gpl = lic.TEMPLATES["GPL-3.0"][1].replace("This program is dist", "\n\nThis program is dist")
+    prose = "\n".join(f"int value{i} = other{i} + {i};" for i in range(300))
+    rows = [(1, f"/*\n * Copyright 2020 Some One\n *\n * {header}\n */\n{prose}"), (2, f"{prose}\n{gpl} {prose}"),
+            (3, f"{prose}\n\n{header}\n\n{gpl}\n{prose}"), (4, prose)]
+    got = {r.id: r for r in lic.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i].licenses for i in (1, 2, 3, 4)] == [["Apache-2.0"], ["GPL-3.0"], ["Apache-2.0", "GPL-3.0"], []]
+    assert got[1].best_scope == got[2].best_scope == "window" and got[1].best_line == 3
+
+
+def test_windows_are_the_best_of_all_windows():
+    rnd = random.Random(2)
+    matchers = [lic.Matcher({"A": [x]}, 0.85) for x in ("a b c a b d e f a b", "c c d e f g a a")]
+    seen = 0
+    for _ in range(300):
+        words = [rnd.choice("abcdefg").encode() for _ in range(rnd.randint(2, 12))]
+        words += rnd.choice(["a b c a b d e f a b", "c c d e f g a a", "a b c a b d f a b", ""]).encode().split() * rnd.randint(1, 2)
+        words += [rnd.choice("abcdefg").encode() for _ in range(rnd.randint(0, 6))]
+        for m in matchers:
+            got, bag = m.windows(words), m.bags[0][1]
+            every = [lic.dice(lic.bigrams(words[a:b]), bag) for a in range(len(words)) for b in range(a + 2, len(words) + 1)]
+            best = max(every)
+            found = max((lic.dice(lic.bigrams(words[a:b]), bag) for a, b in got), default=0.0)
+            assert best < 0.85 or abs(found - best) < 1e-12
+            seen += best >= 0.85
+    assert seen > 50
