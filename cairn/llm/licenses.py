@@ -19,6 +19,10 @@ hashes, then units by the share bound over all templates together; the size boun
 the templates, and the dice itself is computed on the words.  Of several templates the greatest dice counts, of equals the first name.
 A window counts if no other unit with its licence and as great a dice overlaps it.
 
+Templates are the usual notices and the whole texts (of AGPL-3.0 and the CC-BY licences notices only).  Licences that differ in few words have *marks* (name, kind, version,
+the third BSD clause): a unit takes a licence only if the marks of its first ``MARKED`` words are the template's.
+A notice without a version number agrees with each version.
+
 Documents are read once and never shuffled; the templates are a fixed list.
 
 Edge cases.  Null and empty texts and units of fewer than two words have no licence.  Repeated
@@ -36,6 +40,21 @@ from pyspark.sql import functions as F
 
 from cairn.llm import hashing
 from cairn.llm.common import ship, table, text_bytes
+from cairn.llm.license_texts import TEXTS
+
+
+def _gnu(what: str, kind: str, version: str) -> list[str]:
+    """The usual notices of a GNU licence: with and without later versions, of two and of three paragraphs."""
+    out = []
+    for either in (f"either version {version} of the License, or (at your option) any later version", f"version {version} of the License"):
+        two = (f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General "
+               f"Public License as published by the Free Software Foundation, {either}. This {what} is distributed in the hope "
+               "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+               f"FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details.")
+        out += [two, f"{two} You should have received a copy of the GNU {kind}General Public License along with this {what}. "
+                     "If not, see <https://www.gnu.org/licenses/>."]
+    return out
+
 
 # Public licence notices, as they are commonly put in files.
 TEMPLATES: dict[str, list[str]] = {
@@ -56,6 +75,9 @@ TEMPLATES: dict[str, list[str]] = {
         "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright "
         "holder nor the names of its contributors may be used to endorse or promote products derived from this "
         "software without specific prior written permission."],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.", *_gnu("program", "Affero ", "3")],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
     "CC-BY-4.0": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -67,17 +89,27 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0-1.0": [
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "GPL-1.0": ["This work is licensed under the GNU General Public License, version 1.", *_gnu("program", "", "1")],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        *_gnu("program", "", "2")],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
         "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
-        "GNU General Public License for more details."],
+        "GNU General Public License for more details.",
+        *_gnu("program", "", "3")[1:]],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
         "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "LGPL-2.0": [
+        "This work is licensed under the GNU Library General Public License, version 2.", *_gnu("library", "Library ", "2")],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.", *_gnu("library", "Lesser ", "2.1")],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.", *_gnu("library", "Lesser ", "3")],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -91,6 +123,15 @@ TEMPLATES: dict[str, list[str]] = {
         "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+for _name, _text in TEXTS.items():
+    TEMPLATES[_name].append(_text)
+
+#: Bigrams that tell licences apart, besides version numbers, and the words at the start that they are looked for in.
+MARKS = {tuple(x.encode().split()) for x in (
+    "lesser general", "library general", "affero general", "attribution noncommercial", "attribution sharealike",
+    "attribution noderivatives", "attribution noderivs", "noncommercial sharealike", "noncommercial noderivatives",
+    "by nc", "by sa", "by nd", "nc sa", "nc nd", "neither the", "mit license", "apache license", "mozilla public")}
+MARKED = 200
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
                for b in range(256))
@@ -143,6 +184,18 @@ def spans(raw: bytes, matcher: Matcher) -> list[tuple[str, tuple[int, int], list
     return out
 
 
+def marks(words: list[bytes]) -> set:
+    """The marks among the first words: bigrams of MARKS, and versions (one or two numbers after "version" or "v")."""
+    head = words[:MARKED]
+    out = {x for x in zip(head, head[1:]) if x in MARKS}
+    for i, w in enumerate(head[:-1]):
+        if w in (b"version", b"v") and head[i + 1].isdigit():
+            # ".0" is left out: version 2 is version 2.0.
+            minor = [x for x in words[i + 2:i + 3] if x.isdigit() and len(x) == 1 and x != b"0"]
+            out.add((b"version", head[i + 1], *minor))
+    return out
+
+
 def whole_version(words: list[bytes], end: int) -> int:
     """The end of a window, moved past a version number that it cuts."""
     for i in (end - 1, end - 2):
@@ -152,6 +205,13 @@ def whole_version(words: list[bytes], end: int) -> int:
     return end
 
 
+def agree(own: set, needed: set) -> bool:
+    """Whether a unit's marks are a template's; a unit that gives no version number may have any."""
+    if not any(x[0] == b"version" for x in own):
+        needed = {x for x in needed if x[0] != b"version"}
+    return own == needed
+
+
 def is_copyright(words: list[bytes]) -> bool:
     return bool(words) and words[0] in (b"copyright", b"\xc2\xa9")
 
@@ -161,13 +221,13 @@ class Matcher:
         self.least = least
         self.bound = least / (2 - least)
         texts = [(name, words_of(t.encode())) for name in sorted(templates) for t in templates[name]]
-        self.bags = [(name, bigrams(w), len(w) - 1) for name, w in texts if len(w) > 1]
-        self.known = {pair for _, bag, _ in self.bags for pair in bag}
+        self.bags = [(name, bigrams(w), len(w) - 1, marks(w)) for name, w in texts if len(w) > 1]
+        self.known = {pair for _, bag, _, _ in self.bags for pair in bag}
         self.number = {pair: i for i, pair in enumerate(sorted(self.known))}
         self.sizes = np.array([x[2] for x in self.bags])
         #: Row: number of a bigram (the last: of none), column: template.
         self.counts = np.zeros((len(self.number) + 1, len(self.bags)), np.int32)
-        for k, (_, bag, _) in enumerate(self.bags):
+        for k, (_, bag, _, _) in enumerate(self.bags):
             for pair, c in bag.items():
                 self.counts[self.number[pair], k] = c
         #: Fewest bigrams of a unit with a licence.
@@ -180,9 +240,11 @@ class Matcher:
         fitting = [x for x in self.bags if x[2] * self.bound <= n <= x[2] / self.bound]
         if not fitting:
             return None
-        bag = bigrams(words)
+        bag, own = bigrams(words), marks(words)
         best = None
-        for name, other, _ in fitting:
+        for name, other, _, needed in fitting:
+            if not agree(own, needed):
+                continue
             value = dice(bag, other)
             if value >= self.least and (best is None or value > best[1]):
                 best = (name, value)

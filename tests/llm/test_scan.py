@@ -139,3 +139,15 @@ def test_windows_are_the_best_of_all_windows():
             assert best < 0.85 or abs(found - best) < 1e-12
             seen += best >= 0.85
     assert seen > 50
+
+
+def test_whole_texts_and_near_neighbours():
+    for name, text in lic.TEXTS.items():
+        wrapped = "Some Licence\n\nCopyright (c) 2021 Some One\n\n" + text.replace(". ", ".\n\n")
+        assert licences_of(wrapped) >= {name}
+        assert not licences_of(wrapped) & {"BSD-2-Clause" if name == "BSD-3-Clause" else "BSD-3-Clause"} - {name}
+    for kind, name in (("Lesser", "LGPL-3.0"), ("Affero", "AGPL-3.0")):
+        assert licences_of(f"This work is licensed under the GNU {kind} General Public License, version 3.") == {name}
+    assert licences_of("This work is licensed under the GNU General Public License, version 2.") == {"GPL-2.0"}
+    assert not licences_of("This work is licensed under the GNU General Public License, version 4.")
+    assert not licences_of("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.")
