@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe, decontaminate, exact_dedup, katz, licenses, line_dedup, ngram_join, quality, token_counts, token_files
+from cairn.llm import bpe, decontaminate, exact_dedup, katz, licenses, line_dedup, ngram_join, pii, quality, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op13_pii": pii.op13_pii,
 }
 
 ORACLES = {

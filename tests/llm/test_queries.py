@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 def test_one_query_per_operator():
     import __spark_entry__ as entry
     names = list(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
 
