@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe, decontaminate, divergence, exact_dedup, katz, licenses, line_dedup, ngram_join, pii, quality, token_counts, token_files
+from cairn.llm import bpe, conversations, decontaminate, divergence, exact_dedup, katz, licenses, line_dedup, ngram_join, pii, quality, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_divergence": divergence.op11_divergence,
+    "op12_conversations": conversations.op12_conversations,
     "op13_pii": pii.op13_pii,
 }
 
@@ -23,4 +24,5 @@ ORACLES = {
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
     "op11_divergence": divergence.OP11_SQL,
+    "op12_conversations": conversations.OP12_SQL,
 }
