@@ -2,10 +2,10 @@
 whose results are saved and read back.
 
 A job runs in a session of its own (``allowed_session``) that holds a temp
-view for each allowed table and no others.  Commands (DDL, DML, SET and so
-on) and files read by path are refused before anything runs.  Tables that a
-deployment keeps in its persistent catalog are governed by that catalog's own
-permissions, not by this module.
+view for each allowed table and no others.  ``sqlguard`` checks the plan of its text before
+anything runs: commands (DDL, DML, SET and so on), files read by path, tables of the
+persistent catalog, other sessions' views, scripts and functions that reach
+into the JVM are refused.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators.sqlguard import Guard
 from cairn.sources.io import read_result, write_result
 
 JOB_SCHEMA = ("job_id string, query string, status string, error string, result_path string, "
@@ -46,19 +47,14 @@ def allowed_session(spark: SparkSession, paths: Mapping[str, str], catalog: Data
     return own
 
 
-def check_query(spark: SparkSession, text: str) -> None:
-    """Refuse commands: only a query can stand in the FROM clause of another."""
-    try:
-        spark._jsparkSession.sessionState().sqlParser().parsePlan(f"SELECT * FROM (\n{text}\n)")
-    except Exception as exc:
-        raise PermissionError(f"not a query: {str(exc)}") from exc
-
-
 def run_sql(spark: SparkSession, text: str, args: Mapping | list | None = None,
             max_rows: int | None = None) -> DataFrame:
     """Q1-Q3: run a query over the registered views, with bound parameters
-    (``:name`` with a dict, ``?`` with a list) and an optional row cap."""
-    df = spark.sql(text, args=args) if args else spark.sql(text)
+    (``:name`` with a dict, ``?`` with a list) and an optional row cap.
+
+    The plan is checked first (``sqlguard``): whatever resolves to anything but the session's own
+    temp views and Spark's harmless functions is refused with a PermissionError."""
+    df = Guard(spark).run(text, args)
     if max_rows is not None:
         df = df.limit(max_rows)
     return df
@@ -105,7 +101,6 @@ def run_query_job(spark: SparkSession, job_id: str, text: str, fmt: str, path: s
     row["status"] = "running"
     _record(spark, log, row, now)
     try:
-        check_query(spark, text)
         df = run_sql(spark, text, args)
         stats = write_result(df, path, fmt)
         row.update(status="completed", result_path=path, row_count=stats["row_count"],

@@ -89,15 +89,18 @@ _SPARK_TEXT = {
 }
 
 
-def _allowed_views(spark, sf):
-    t = Tables(spark, sf)
-    sqljobs.register_allowed(spark, {n: t.given(n) for n in GIVEN_TABLES})
+def _allowed(spark, sf):
+    """A session that holds the given tables as views and nothing else, made once per caller and folder."""
+    root = sf.rstrip("/")
+    made = spark.__dict__.setdefault("_cairn_allowed", {})
+    if root not in made:
+        made[root] = sqljobs.allowed_session(spark, {n: f"{root}/{n}.parquet" for n in GIVEN_TABLES})
+    return made[root]
 
 
 def _coverage_fn(key):
     def fn(spark, sf):
-        _allowed_views(spark, sf)
-        return sqljobs.run_sql(spark, _SPARK_TEXT.get(key, COVERAGE[key]))
+        return sqljobs.run_sql(_allowed(spark, sf), _SPARK_TEXT.get(key, COVERAGE[key]))
     fn.__name__ = key
     return fn
 
@@ -112,8 +115,7 @@ _EVENTS_BY_TYPE = "SELECT event_type, count(*) AS n FROM events GROUP BY event_t
 @register("adhoc_sql", "Q1", """
 SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY event_type""")
 def adhoc_sql(spark, sf):
-    _allowed_views(spark, sf)
-    return sqljobs.run_sql(spark, "SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users "
+    return sqljobs.run_sql(_allowed(spark, sf), "SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users "
                                   "FROM events GROUP BY event_type")
 
 
@@ -121,17 +123,15 @@ def adhoc_sql(spark, sf):
 SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
 WHERE event_type = 'click' AND value > 10 GROUP BY event_type""")
 def sql_params(spark, sf):
-    _allowed_views(spark, sf)
     return sqljobs.run_sql(
-        spark, "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events "
+        _allowed(spark, sf), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events "
                "WHERE event_type = :etype AND value > :minv GROUP BY event_type",
         args={"etype": "click", "minv": 10})
 
 
 @register("sql_max_rows", "Q3", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
 def sql_max_rows(spark, sf):
-    _allowed_views(spark, sf)
-    return sqljobs.run_sql(spark, "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey", max_rows=50)
+    return sqljobs.run_sql(_allowed(spark, sf), "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey", max_rows=50)
 
 
 @register("query_job_status", "Q4", """
@@ -150,7 +150,7 @@ SELECT 'qevents01' AS job_id, 'completed' AS status, CAST(NULL AS VARCHAR) AS er
 UNION ALL
 SELECT 'qbroken01', 'failed', 'TABLE_OR_VIEW_NOT_FOUND', 'csv', NULL, NULL""")
 def run_query_job(spark, sf):
-    _allowed_views(spark, sf)
+    spark = _allowed(spark, sf)
     ok = sqljobs.run_query_job(spark, "qevents01", _EVENTS_BY_TYPE, "csv", work_dir(spark, "qjob"))
     bad = sqljobs.run_query_job(spark, "qbroken01", "SELECT * FROM table_that_is_not_allowed", "csv",
                                 work_dir(spark, "qjob"))
@@ -163,30 +163,41 @@ def run_query_job(spark, sf):
 
 @register("query_result", "Q6", _EVENTS_BY_TYPE)
 def query_result(spark, sf):
-    _allowed_views(spark, sf)
+    spark = _allowed(spark, sf)
     job = sqljobs.run_query_job(spark, "qevents02", _EVENTS_BY_TYPE, "parquet", work_dir(spark, "qjob")).first()
     return sqljobs.query_result(spark, job.asDict())
 
 
-@register("sql_allow_list", "Q1", """
-SELECT 'qallow01' AS job_id, 'completed' AS status, (SELECT count(*) FROM events) AS n, CAST(NULL AS VARCHAR) AS refused
-UNION ALL SELECT 'qallow02', 'failed', NULL, 'orders'
-UNION ALL SELECT 'qallow03', 'failed', NULL, 'command'
-UNION ALL SELECT 'qallow04', 'failed', NULL, 'path'""")
+#: Texts that a job may not run, and what its error must name.
+_REFUSED = {
+    "qallow02": ("SELECT count(*) AS n FROM orders", "orders"),
+    "qallow03": ("CREATE TEMPORARY VIEW v AS SELECT 1 AS n", "not a query"),
+    "qallow04": ("SELECT count(*) AS n FROM parquet.`{root}/orders.parquet`", "parquet"),
+    "qallow05": ("SELECT reflect('java.lang.System', 'getProperty', 'user.home') AS n", "function reflect"),
+    "qallow06": ("SELECT n FROM (SELECT java_method('java.lang.System', 'lineSeparator') AS n)", "function java_method"),
+    "qallow07": ("WITH a AS (SELECT try_reflect('java.lang.System', 'nanoTime') AS n) SELECT * FROM a", "function try_reflect"),
+    "qallow08": ("SELECT * FROM global_temp.cairn_secret", "global_temp.cairn_secret"),
+    "qallow09": ("SELECT * FROM events WHERE event_id IN (SELECT n FROM global_temp.cairn_secret)", "global_temp.cairn_secret"),
+    "qallow10": ("SELECT TRANSFORM(event_id) USING 'cat' AS (n) FROM events", "ScriptTransformation"),
+    "qallow11": ("SELECT * FROM IDENTIFIER('global_temp.' || 'cairn_secret')", "names made by an expression"),
+    "qallow12": ("SELECT input_file_name() AS n FROM events", "function input_file_name"),
+}
+
+
+@register("sql_allow_list", "Q1", "SELECT 'qallow01' AS job_id, 'completed' AS status, (SELECT count(*) FROM events) AS n, CAST(NULL AS VARCHAR) AS refused"
+          + "".join(f"\nUNION ALL SELECT '{k}', 'failed', NULL, '{told}'" for k, (_, told) in _REFUSED.items()))
 def sql_allow_list(spark, sf):
     """Jobs in a session that holds the catalog's active tables only: an active
-    table, an inactive one, a command, and a file by its path."""
+    table is read; an inactive one, commands, files, calls into the JVM, another session's views, scripts and made-up names are refused."""
     root = sf.rstrip("/")
     spark.read.parquet(f"{root}/orders.parquet").createOrReplaceTempView("orders")
+    spark.sql("SELECT 1 AS n").createOrReplaceGlobalTempView("cairn_secret")
     catalog = spark.createDataFrame([("events", "active"), ("orders", "inactive")], "table_name string, status string")
     own = sqljobs.allowed_session(spark, {n: f"{root}/{n}.parquet" for n in GIVEN_TABLES}, catalog)
-    texts = {"qallow01": "SELECT count(*) AS n FROM events", "qallow02": "SELECT count(*) AS n FROM orders",
-             "qallow03": "CREATE TEMPORARY VIEW v AS SELECT 1 AS n",
-             "qallow04": f"SELECT count(*) AS n FROM parquet.`{root}/orders.parquet`"}
-    told = {"qallow02": "orders", "qallow03": "command", "qallow04": "path"}
+    texts = {"qallow01": ("SELECT count(*) AS n FROM events", None), **_REFUSED}
     rows = []
-    for job_id, text in texts.items():
-        job = sqljobs.run_query_job(own, job_id, text, "parquet", work_dir(spark, "qjob")).first()
+    for job_id, (text, told) in texts.items():
+        job = sqljobs.run_query_job(own, job_id, text.replace("{root}", root), "parquet", work_dir(spark, "qjob")).first()
         n = sqljobs.query_result(own, job.asDict()).first()["n"] if job["status"] == "completed" else None
-        rows.append((job_id, job["status"], n, told.get(job_id) if job["error"] else None))
+        rows.append((job_id, job["status"], n, told if told and told in job["error"] else job["error"]))
     return spark.createDataFrame(rows, "job_id string, status string, n bigint, refused string")
