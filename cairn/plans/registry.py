@@ -46,4 +46,4 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from cairn.plans import (  # noqa: F401
         reg_sources, reg_sync, reg_catalog, reg_profile, reg_sql, reg_joblog,
-        reg_artifacts, reg_streams, reg_governance)
+        reg_artifacts, reg_streams, reg_governance, reg_joins)
