@@ -1,11 +1,17 @@
 """Table replication.
 
 A replica is a set of parquet folders below ``<target>/data``, one per *attempt* of a
-sync job, plus an append-only job log below ``<target>/_log``.  Data is written
-first and logged second; the log row names the attempt's folder and its schema.
-A folder without a completed log row is never read (Y14).  A job id that has a
-completed row is done: running it again writes nothing and returns that row.  A
-run that throws logs a ``failed`` row with the whole error and raises again.
+sync job, plus a log of numbered entries below ``<target>/_log`` (``CommitLog``: an entry is created only if its
+number is free).  Data is written first and logged second; the log entry names the
+attempt's folder and its schema.  A folder without a completed entry is never read (Y14), so a
+run that dies half-way leaves nothing visible.  A job id that has a completed entry is done: running it again writes
+nothing and returns that entry.  A run that throws logs a ``failed`` entry with the whole error and raises again.
+
+Jobs may run at the same time.  A job reads the log once, works on what it saw, and commits under the
+next number.  If other entries came in between, a job whose rows depend on what it saw (incremental, upsert, compact) starts
+again from the new state when one of them changed the replica, so no row is copied twice; a job that doesn't (full,
+stream batches) takes the next free number.
+
 The current replica is every completed batch from the latest completed base
 (full, upsert or compacted copy) onwards; only those folders are opened.
 ``vacuum`` deletes the folders that no reader needs any more.
@@ -15,7 +21,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -23,13 +30,75 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.functions.core import latest_per_key
+from cairn.sources.commitlog import CommitLog
 
 JOB_LOG_SCHEMA = ("job_id string, table_name string, strategy string, status string, "
                   "seq bigint, rows_processed bigint, total_rows bigint, last_value string, "
-                  "error_message string, folder string, schema_json string")
+                  "error_message string, folder string, schema_json string, violations map<string, bigint>")
 
 #: Strategies whose batch replaces all before it.
 BASES = ("full", "upsert")
+#: Attempts of a job that loses to other jobs.
+ATTEMPTS = 20
+
+
+class Snapshot:
+    """The log as a job saw it."""
+
+    def __init__(self, entries: list[dict]):
+        self.entries = entries
+        self.version = len(entries) - 1
+        self.done = [e for e in entries if e["status"] == "completed"]
+        self.base = max((e["seq"] for e in self.done if e["strategy"] in BASES), default=None)
+
+    def completed(self, job_id: str) -> dict | None:
+        """The entry of a job id that is done."""
+        return next((e for e in self.done if e["job_id"] == job_id), None)
+
+    def batches(self) -> list[dict]:
+        """The completed entries that make up the replica: the latest base and those after it."""
+        return [e for e in self.done if self.base is None or e["seq"] >= self.base]
+
+    def schema(self) -> T.StructType:
+        """Columns of all batches, each with the type of the latest one that has it."""
+        fields: dict[str, T.StructField] = {}
+        for e in self.batches():
+            for f in T.StructType.fromJson(json.loads(e["schema_json"])).fields:
+                fields[f.name] = f
+        return T.StructType(list(fields.values()))
+
+    def watermark(self) -> str | None:
+        """Last non-null watermark of the completed jobs since the latest
+        completed base (D5: an empty batch keeps the previous one).
+
+        A base that logged no watermark leaves the position unknown: an
+        incremental run would copy rows the base already holds, so that is
+        an error rather than silent duplication."""
+        last = max((e for e in self.done if e["last_value"] is not None), key=lambda e: e["seq"], default=None)
+        if self.base is not None and (last is None or last["seq"] < self.base):
+            raise ValueError("the latest full sync logged no watermark; pass watermark_col "
+                             "to sync_full before syncing incrementally")
+        return last["last_value"] if last else None
+
+
+@dataclass
+class Batch:
+    """What a job writes: rows, how they count, and the watermark column or the value to carry on."""
+
+    rows: DataFrame
+    strategy: str
+    total_rows: int | None = None
+    watermark_col: str | None = None
+    carry_watermark: str | None = None
+    #: Declared types to conform the rows to.
+    columns: DataFrame | None = None
+    #: Whether the rows were read from the replica itself.
+    rewrites: bool = False
+
+    @property
+    def depends(self) -> bool:
+        """Whether the rows depend on what the replica held."""
+        return self.rewrites or self.strategy == "incremental"
 
 
 class Replica:
@@ -41,108 +110,119 @@ class Replica:
         self.table_name = table_name
         self.data_path = f"{self.root}/data"
         self.log_path = f"{self.root}/_log"
-        # An empty append creates the log folder, so reading it never fails.
-        spark.createDataFrame([], JOB_LOG_SCHEMA).write.mode("append").parquet(self.log_path)
+        self.commits = CommitLog(spark, self.log_path)
 
     # -- job log -------------------------------------------------------------
     def log(self) -> DataFrame:
-        return self.spark.read.schema(JOB_LOG_SCHEMA).parquet(self.log_path)
+        return self.commits.frame(JOB_LOG_SCHEMA)
+
+    def snapshot(self) -> Snapshot:
+        return Snapshot(self.commits.entries())
 
     def completed(self, job_id: str) -> dict | None:
-        """The log row of a job id that is done."""
-        row = self.log().where((F.col("job_id") == job_id) & (F.col("status") == "completed")).first()
-        return row.asDict() if row else None
-
-    def _next_seq(self) -> int:
-        """Next job sequence number: read from the log once, then counted
-        here (one writer per replica, as with one sync job per table)."""
-        if getattr(self, "_seq", None) is None:
-            row = self.log().agg(F.max("seq").alias("m")).first()
-            self._seq = -1 if row["m"] is None else int(row["m"])
-        self._seq += 1
-        return self._seq
-
-    def _append_log(self, job: dict) -> None:
-        self.spark.createDataFrame([job], JOB_LOG_SCHEMA).coalesce(1) \
-            .write.mode("append").parquet(self.log_path)
+        """The log entry of a job id that is done."""
+        return self.snapshot().completed(job_id)
 
     # -- reading -------------------------------------------------------------
     def current_batches(self) -> DataFrame:
-        """Log rows of the batches that make up the replica: the latest
-        completed base and the completed jobs after it."""
-        done = self.log().where(F.col("status") == "completed")
-        base = done.where(F.col("strategy").isin(*BASES)).agg(F.max("seq").alias("base")).first()
-        start = -1 if base["base"] is None else int(base["base"])
-        return done.where(F.col("seq") >= F.lit(start))
-
-    def _current(self) -> tuple[list[str], T.StructType]:
-        """Folders and schema of the replica.  One row per batch since the last
-        base comes to the driver; ``compact`` keeps that number small."""
-        rows = self.current_batches().select("seq", "folder", "schema_json").orderBy("seq").collect()
-        fields: dict[str, T.StructField] = {}
-        for r in rows:
-            for f in T.StructType.fromJson(json.loads(r["schema_json"])).fields:
-                fields[f.name] = f
-        return [f"{self.data_path}/{r['folder']}" for r in rows], T.StructType(list(fields.values()))
+        """Log rows of the batches that make up the replica."""
+        return self.log().where(F.col("seq").isin([e["seq"] for e in self.snapshot().batches()]))
 
     def schema(self) -> T.StructType:
-        return self._current()[1]
+        return self.snapshot().schema()
 
-    def read(self) -> DataFrame:
+    def read(self, snapshot: Snapshot | None = None) -> DataFrame:
         """The replica.  Before the first completed sync it is empty and has no
         columns.  Columns that later batches added are null in earlier ones."""
-        folders, schema = self._current()
+        snapshot = snapshot or self.snapshot()
+        folders = [f"{self.data_path}/{e['folder']}" for e in snapshot.batches()]
         if not folders:
             return self.spark.createDataFrame([], T.StructType([]))
-        return self.spark.read.schema(schema).parquet(*folders)
+        return self.spark.read.schema(snapshot.schema()).parquet(*folders)
 
     # -- writing -------------------------------------------------------------
-    def _check_schema(self, df: DataFrame, strategy: str) -> None:
+    def run(self, job_id: str, plan: Callable[[Snapshot], Batch]) -> dict:
+        """Run a job: ``plan`` gives its batch for the state it sees.  Returns the job's log entry."""
+        for _ in range(ATTEMPTS):
+            snapshot = self.snapshot()
+            if done := snapshot.completed(job_id):
+                return done
+            batch = plan(snapshot)
+            entry = self._write(snapshot, job_id, batch)
+            if committed := self._commit(snapshot, entry, batch.depends):
+                return committed
+        raise RuntimeError(f"job {job_id} lost to other jobs {ATTEMPTS} times")
+
+    def _commit(self, snapshot: Snapshot, entry: dict, depends: bool) -> dict | None:
+        """Log an entry under the next free number; None if the job must start again."""
+        seen = snapshot.version
+        while not self.commits.put(seen + 1, entry):
+            now = self.snapshot()
+            if done := now.completed(entry["job_id"]):
+                return done
+            if depends and entry["status"] == "completed" and any(e["seq"] > seen for e in now.done):
+                return None
+            seen = now.version
+        return {**entry, "seq": seen + 1}
+
+    def _check_schema(self, snapshot: Snapshot, schema: T.StructType, strategy: str) -> None:
         """A batch on top of others may add columns; it may not change a type."""
         if strategy in BASES:
             return
-        have = {f.name: f.dataType for f in self.schema().fields}
+        have = {f.name: f.dataType for f in snapshot.schema().fields}
         changed = [f"{f.name}: {have[f.name].simpleString()} -> {f.dataType.simpleString()}"
-                   for f in df.schema.fields if f.name in have and have[f.name] != f.dataType]
+                   for f in schema.fields if f.name in have and have[f.name] != f.dataType]
         if changed:
             raise ValueError("column types changed, a full sync is needed: " + ", ".join(changed))
 
-    def _write_batch(self, df: DataFrame, job_id: str, strategy: str,
-                     total_rows: int | None, watermark_col: str | None,
-                     carry_watermark: str | None = None) -> dict:
+    def _write(self, snapshot: Snapshot, job_id: str, batch: Batch) -> dict:
+        """Write a batch into a folder of its own and make its log entry."""
         # Every attempt has its own folder, so no run ever touches rows that are being read.
         folder = f"job={quote(job_id, safe='')}-{uuid.uuid4().hex[:12]}"
-        job = {"job_id": job_id, "table_name": self.table_name, "strategy": strategy, "status": "failed",
-               "seq": self._next_seq(), "rows_processed": 0, "total_rows": total_rows, "last_value": None,
-               "error_message": None, "folder": folder, "schema_json": df.schema.json()}
+        job = {"job_id": job_id, "table_name": self.table_name, "strategy": batch.strategy, "status": "failed",
+               "rows_processed": 0, "total_rows": batch.total_rows, "last_value": None, "error_message": None,
+               "folder": folder, "schema_json": None, "violations": None}
         aggs = [F.count(F.lit(1)).alias("rows")]
-        if watermark_col:
-            aggs.append(F.max(watermark_col).cast("string").alias("wm"))
+        if batch.watermark_col:
+            aggs.append(F.max(batch.watermark_col).cast("string").alias("wm"))
         obs = Observation()
+        checks: list[tuple[str, str, Column]] = []
         try:
-            self._check_schema(df, strategy)
-            df.observe(obs, *aggs).write.parquet(f"{self.data_path}/{folder}")
+            rows, names = batch.rows, batch.rows.columns
+            if batch.columns is not None:
+                casts, checks = conform_columns(rows, batch.columns)
+                names = [n for n, _ in casts]
+                # The checks look at the values as they came, in the pass that writes the cast ones.
+                rows = rows.select(*[c.alias(n) for n, c in casts], *[c.alias(f"__check{i}") for i, (_, _, c) in enumerate(checks)])
+                aggs += [F.count_if(F.col(f"__check{i}")).alias(f"check{i}") for i in range(len(checks))]
+            out = rows.observe(obs, *aggs).select(*["`" + n.replace("`", "``") + "`" for n in names])
+            job["schema_json"] = out.schema.json()
+            self._check_schema(snapshot, out.schema, batch.strategy)
+            out.write.parquet(f"{self.data_path}/{folder}")
             got = obs.get
         except Exception as exc:
             job["error_message"] = str(exc)
-            self._append_log(job)
+            self._commit(snapshot, job, False)
             raise
         job["rows_processed"] = int(got["rows"])
-        if total_rows is None:
+        if batch.total_rows is None:
             job["total_rows"] = job["rows_processed"]
-        if job["rows_processed"] == job["total_rows"]:
-            job["status"] = "completed"
-            job["last_value"] = got.get("wm") if watermark_col else carry_watermark
-        else:
+        if checks:
+            job["violations"] = {f"{n}.{kind}": int(got[f"check{i}"]) for i, (n, kind, _) in enumerate(checks) if got[f"check{i}"]}
+        if fatal := fatal_violations(job["violations"] or {}, batch.watermark_col):
+            job["error_message"] = "values that may not be: " + ", ".join(fatal)
+        elif job["rows_processed"] != job["total_rows"]:
             job["error_message"] = "row count differs from source count"
-        self._append_log(job)
+        else:
+            job["status"] = "completed"
+            job["last_value"] = got.get("wm") if batch.watermark_col else batch.carry_watermark
         return job
 
     def vacuum(self, grace_hours: float = 24.0) -> int:
         """Delete batch folders that the replica doesn't need and that were last
         changed more than ``grace_hours`` ago (running readers and attempts are
         younger).  Returns their number."""
-        keep = {f.rsplit("/", 1)[1] for f in self._current()[0]}
+        keep = {e["folder"] for e in self.snapshot().batches()}
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.data_path)
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -156,13 +236,14 @@ class Replica:
         return gone
 
 
-def _filtered(src: DataFrame, where: str | None) -> DataFrame:
-    return src.where(F.expr(where)) if where else src
+def fatal_violations(violations: dict[str, int], watermark_col: str | None) -> list[str]:
+    """Violations that fail a job: nulls in NOT NULL columns, and watermarks that didn't cast."""
+    return sorted(f"{k} ({n})" for k, n in violations.items()
+                  if k.endswith(".null_in_not_null") or watermark_col and k == f"{watermark_col}.cast_failed")
 
 
-def _conformed(src: DataFrame, columns: DataFrame | None) -> DataFrame:
-    """The source cast to its declared replica types (Y6), if they are given."""
-    return src if columns is None else conform_schema(src, columns)[0]
+def _filtered(src: DataFrame, where: str | None) -> DataFrame:
+    return src.where(F.expr(where)) if where else src
 
 
 def sync_full(replica: Replica, src: DataFrame, job_id: str, where: str | None = None,
@@ -177,34 +258,21 @@ def sync_full(replica: Replica, src: DataFrame, job_id: str, where: str | None =
     job if the write saw a different number of rows (Y12).  ``watermark_col``
     records the largest key of the copy, taken during the write, so that
     incremental syncs can continue from this full copy.  ``columns`` (declared
-    types) conforms the rows first."""
-    if done := replica.completed(job_id):
-        return done
-    total = None
-    if check_total:
-        from cairn.sources.io import count_rows
-        total = int(count_rows(src, where).first()["total_rows"])
-    return replica._write_batch(_conformed(_filtered(src, where), columns), job_id, "full", total, watermark_col)
+    types) conforms the rows; what doesn't fit is counted in the same pass and logged as
+    ``violations``, and nulls in NOT NULL columns or watermarks that don't cast fail the job."""
+    def plan(_: Snapshot) -> Batch:
+        total = None
+        if check_total:
+            from cairn.sources.io import count_rows
+            total = int(count_rows(src, where).first()["total_rows"])
+        return Batch(_filtered(src, where), "full", total, watermark_col, columns=columns)
+
+    return replica.run(job_id, plan)
 
 
 def last_logged_watermark(replica: Replica) -> object:
-    """Last non-null watermark of the completed jobs since the latest
-    completed base (D5: an empty batch keeps the previous one).
-
-    A base that logged no watermark leaves the position unknown: an
-    incremental run would copy rows the base already holds, so that is
-    an error rather than silent duplication."""
-    done = replica.log().where(F.col("status") == "completed")
-    row = done.agg(F.max(F.when(F.col("strategy").isin(*BASES), F.col("seq"))).alias("base"),
-                   F.max_by("last_value", F.when(F.col("last_value").isNotNull(), F.col("seq")))
-                    .alias("v"),
-                   F.max(F.when(F.col("last_value").isNotNull(), F.col("seq"))).alias("v_seq")).first()
-    if row["v"] is None or (row["base"] is not None and row["v_seq"] < row["base"]):
-        if row["base"] is not None:
-            raise ValueError("the latest full sync logged no watermark; pass watermark_col "
-                             "to sync_full before syncing incrementally")
-        return None
-    return row["v"]
+    """The watermark that an incremental sync continues from (``Snapshot.watermark``)."""
+    return replica.snapshot().watermark()
 
 
 def sync_incremental(replica: Replica, src: DataFrame, key: str, job_id: str,
@@ -216,14 +284,14 @@ def sync_incremental(replica: Replica, src: DataFrame, key: str, job_id: str,
     watermark is the largest key of the batch, taken during the write; an empty
     batch keeps the previous one (it logs no value).  A job id that is done is
     not run again, so a retry after a lost answer appends nothing twice."""
-    if done := replica.completed(job_id):
-        return done
-    if last_value == "logged":
-        last_value = last_logged_watermark(replica)
-    df = _filtered(src, where)
-    if last_value is not None:
-        df = df.where(F.col(key) > F.lit(last_value).cast(src.schema[key].dataType))
-    return replica._write_batch(_conformed(df, columns), job_id, "incremental", None, key)
+    def plan(seen: Snapshot) -> Batch:
+        after = seen.watermark() if last_value == "logged" else last_value
+        df = _filtered(src, where)
+        if after is not None:
+            df = df.where(F.col(key) > F.lit(after).cast(src.schema[key].dataType))
+        return Batch(df, "incremental", watermark_col=key, columns=columns)
+
+    return replica.run(job_id, plan)
 
 
 def compact(replica: Replica, job_id: str, watermark_col: str | None = None) -> dict:
@@ -235,13 +303,13 @@ def compact(replica: Replica, job_id: str, watermark_col: str | None = None) ->
     base's log row exists.  The watermark is carried over: the largest
     ``watermark_col`` of the data if given, else the last logged one.  A
     replica that was never synced has nothing to compact, which is an error."""
-    if done := replica.completed(job_id):
-        return done
-    current = replica.read()
-    if not current.columns:
-        raise ValueError("the replica has no completed sync")
-    carried = None if watermark_col else last_logged_watermark(replica)
-    return replica._write_batch(current, job_id, "full", None, watermark_col, carry_watermark=carried)
+    def plan(seen: Snapshot) -> Batch:
+        if not seen.done:
+            raise ValueError("the replica has no completed sync")
+        carried = None if watermark_col else seen.watermark()
+        return Batch(replica.read(seen), "full", None, watermark_col, carried, rewrites=True)
+
+    return replica.run(job_id, plan)
 
 
 def sync_upsert(replica: Replica, delta: DataFrame, keys: Sequence[str], job_id: str,
@@ -249,18 +317,13 @@ def sync_upsert(replica: Replica, delta: DataFrame, keys: Sequence[str], job_id:
     """Y3 on a replica: the upserted table is written as its next base batch, with a log row.
 
     The watermark is the largest ``watermark_col`` if given; otherwise the last logged one, if any, is carried."""
-    if done := replica.completed(job_id):
-        return done
-    current = replica.read()
-    if not current.columns:
-        current = replica.spark.createDataFrame([], delta.schema)
-    carried = None
-    if watermark_col is None:
-        row = replica.current_batches().agg(
-            F.max_by("last_value", F.when(F.col("last_value").isNotNull(), F.col("seq"))).alias("v")).first()
-        carried = row["v"]
-    return replica._write_batch(upsert(current, delta, keys, version_col), job_id, "upsert", None,
-                                watermark_col, carry_watermark=carried)
+    def plan(seen: Snapshot) -> Batch:
+        current = replica.read(seen) if seen.done else replica.spark.createDataFrame([], delta.schema)
+        carried = next((e["last_value"] for e in reversed(seen.batches()) if e["last_value"] is not None), None)
+        return Batch(upsert(current, delta, keys, version_col), "upsert", None, watermark_col,
+                     None if watermark_col else carried, rewrites=True)
+
+    return replica.run(job_id, plan)
 
 
 def upsert(target: DataFrame, delta: DataFrame, keys: Sequence[str],
@@ -402,6 +465,18 @@ def conform_schema(df: DataFrame, columns: DataFrame, exact: bool = False
     the driver to build the projection; the data itself is cast and checked in
     a single aggregation pass.  ``exact=True`` keeps NUMBER(p,s) as
     ``decimal(p,s)`` instead of the reference's DOUBLE."""
+    casts, checks = conform_columns(df, columns, exact)
+    conformed = df.select(*[c.alias(n) for n, c in casts])
+    agg = df.agg(*[F.count_if(c).alias(f"c{i}") for i, (_, _, c) in enumerate(checks)])
+    violations = agg.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("column_name"), F.lit(k).alias("check_name"), F.col(f"c{i}").alias("violations"))
+        for i, (n, k, _) in enumerate(checks)])))
+    return conformed, violations
+
+
+def conform_columns(df: DataFrame, columns: DataFrame, exact: bool = False
+                    ) -> tuple[list[tuple[str, Column]], list[tuple[str, str, Column]]]:
+    """Per declared column (name, cast value), and per check (column, check, whether a row breaks it)."""
     specs = describe_columns(columns).orderBy("ordinal").collect()
     casts, checks = [], []
     for s in specs:
@@ -421,18 +496,13 @@ def conform_schema(df: DataFrame, columns: DataFrame, exact: bool = False
             cast = src.try_cast("timestamp").cast("timestamp_ntz")
         else:
             cast = src.try_cast(stype)
-        casts.append(cast.alias(name))
+        casts.append((name, cast))
         checks.append((name, "cast_failed", src.isNotNull() & cast.isNull()))
         if s["is_nullable"] == "NO":
             checks.append((name, "null_in_not_null", src.isNull()))
         if s["max_length"] is not None:
             checks.append((name, "too_long", F.length(cast.cast("string")) > F.lit(s["max_length"])))
-    conformed = df.select(*casts)
-    agg = df.agg(*[F.count_if(c).alias(f"c{i}") for i, (_, _, c) in enumerate(checks)])
-    violations = agg.select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("column_name"), F.lit(k).alias("check_name"), F.col(f"c{i}").alias("violations"))
-        for i, (n, k, _) in enumerate(checks)])))
-    return conformed, violations
+    return casts, checks
 
 
 def high_watermark(df: DataFrame, key: str) -> DataFrame:

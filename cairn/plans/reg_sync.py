@@ -196,6 +196,77 @@ def conform_violations(spark, sf):
     return sync.conform_schema(t["customer"], cols)[1]
 
 
+#: Orders with values that don't fit their declared types: prices that are no numbers, long and null priorities, null keys.
+_MISFIT = """
+SELECT CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey END AS o_orderkey,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_totalprice AS STRING) END AS o_totalprice,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders"""
+_MISFIT_COLUMNS = [("orders", 1, "o_orderkey", "NUMBER(38,0)", "Y"), ("orders", 2, "o_totalprice", "FLOAT", "Y"),
+                   ("orders", 3, "o_orderpriority", "VARCHAR(10)", "N")]
+
+
+def _misfits(spark, sf):
+    Tables(spark, sf).register(["orders"])
+    columns = spark.createDataFrame(_MISFIT_COLUMNS, "table_name string, ordinal int, name string, declared_type string, nullable string")
+    return spark.sql(_MISFIT), columns
+
+
+_MISFIT_COUNTS = """
+SELECT 'o_orderkey' AS column_name, 'cast_failed' AS check_name, CAST(0 AS BIGINT) AS violations
+UNION ALL SELECT 'o_totalprice', 'cast_failed', (SELECT count(*) FROM orders WHERE o_orderkey % 7 = 0)
+UNION ALL SELECT 'o_orderpriority', 'cast_failed', 0
+UNION ALL SELECT 'o_orderpriority', 'null_in_not_null', (SELECT count(*) FROM orders WHERE o_orderkey % 5 = 0)
+UNION ALL SELECT 'o_orderpriority', 'too_long', (SELECT count(*) FROM orders WHERE o_orderkey % 5 <> 0 AND length(o_orderpriority) > 10)"""
+
+
+@register("conform_misfits", "Y6", _MISFIT_COUNTS)
+def conform_misfits(spark, sf):
+    """Checks that fail: values that don't cast, too long ones, and nulls where none may be."""
+    return sync.conform_schema(*_misfits(spark, sf))[1]
+
+
+@register("sync_misfits", "Y12", """
+SELECT 'jfit0001' AS job_id, 'failed' AS status, CAST(0 AS BIGINT) AS visible, count_if(o_orderkey % 7 = 0) AS cast_failed,
+  count_if(o_orderkey % 5 = 0) AS nulls FROM orders
+UNION ALL SELECT 'jfit0002', 'completed', count_if(o_orderkey % 5 <> 0), count_if(o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0), NULL FROM orders""")
+def sync_misfits(spark, sf):
+    """The same source synced to its declared types: nulls in a NOT NULL column fail the job, values that don't cast are logged."""
+    src, columns = _misfits(spark, sf)
+    rep = sync.Replica(spark, work_dir(spark, "replica"), "orders")
+    seen = {}
+    for job, where in (("jfit0001", None), ("jfit0002", "o_orderpriority IS NOT NULL")):
+        sync.sync_full(rep, src, job, where=where, columns=columns)
+        seen[job] = rep.read().count()
+    visible = spark.createDataFrame(list(seen.items()), "job_id string, visible bigint")
+    return rep.log().join(visible, "job_id").select(
+        "job_id", "status", "visible", F.col("violations")["o_totalprice.cast_failed"].alias("cast_failed"),
+        F.col("violations")["o_orderpriority.null_in_not_null"].alias("nulls"))
+
+
+@register("sync_two_writers", "Y2", "SELECT * FROM events")
+def sync_two_writers(spark, sf):
+    """Two writers of one replica: the second copies up to the 20th while the first works, so the first's rows would
+    overlap; it loses the next number and starts again from the new watermark."""
+    root = work_dir(spark, "replica")
+    first, second = sync.Replica(spark, root, "events"), sync.Replica(spark, root, "events")
+    events = io.scan(spark, sf, "events")
+
+    def before(day):
+        return events.where(F.col("ts") < F.lit(f"2024-01-{day} 00:00:00").cast("timestamp_ntz"))
+
+    sync.sync_incremental(first, before("10"), "ts", "jtwo0001")
+    work = [lambda: sync.sync_incremental(second, before("20"), "ts", "jtwo0002")]
+
+    def plan(seen):
+        if work:
+            work.pop()()
+        after = F.lit(seen.watermark()).cast("timestamp_ntz")
+        return sync.Batch(events.where(F.col("ts") > after), "incremental", watermark_col="ts")
+
+    first.run("jtwo0003", plan)
+    return second.read()
+
+
 @register("describe_columns", "Y7", """
 SELECT table_name, ordinal, name AS column_name, trim(regexp_extract(declared_type, '^([^(]+)', 1)) AS base_type,
   CASE WHEN trim(regexp_extract(declared_type, '^([^(]+)', 1)) IN ('VARCHAR', 'CHAR', 'TEXT') AND declared_type LIKE '%(%'

@@ -2,20 +2,22 @@
 changes; the current state is the latest row per key that is not a delete.
 
 Catalog, artifact and job-state operators return new state DataFrames; a
-``StateLog`` persists them as change rows.  Every append is one distributed
-write into the log folder (new files, nothing rewritten in place), so a lost
-executor only retries its task and a failed append leaves the state as it was.
-Reading folds the log with ``latest_per_key`` (partial aggregation per key).
+``StateLog`` persists them as change rows.  A change takes a number in a ``CommitLog``, is written
+into a folder of its own (nothing is rewritten in place), and is entered in the log when it is whole.  So several
+writers never share a number, the change that began last wins, and one that fails
+or is half-way is invisible.  Reading folds the changes with ``latest_per_key`` (partial aggregation per key).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.core import latest_per_key
+from cairn.sources.commitlog import CommitLog
 
 
 class StateLog:
@@ -27,38 +29,32 @@ class StateLog:
         self.keys = list(keys)
         self.schema = schema
         self._log_schema = f"{schema}, _seq bigint, _deleted boolean"
-        empty = spark.createDataFrame([], self._log_schema)
-        self._fields = [(f.name, f.dataType) for f in empty.schema.fields[:-2]]
-        # An empty append creates the folder, so reading never fails.
-        empty.write.mode("append").parquet(self.path)
-        self._seq = None
+        self._fields = [(f.name, f.dataType) for f in spark.createDataFrame([], schema).schema.fields]
+        self.commits = CommitLog(spark, f"{self.path}/_log")
 
     def log(self) -> DataFrame:
-        return self.spark.read.schema(self._log_schema).parquet(self.path)
+        """All change rows with their number and whether they delete."""
+        folders = [e["folder"] for e in self.commits.entries() if e["kind"] == "done"]
+        if not folders:
+            return self.spark.createDataFrame([], self._log_schema)
+        return self.spark.read.schema(self._log_schema).parquet(*[f"{self.path}/{f}" for f in folders])
 
-    def _next_seq(self) -> int:
-        if self._seq is None:
-            m = self.log().agg(F.max("_seq").alias("m")).first()["m"]
-            self._seq = -1 if m is None else int(m)
-        self._seq += 1
-        return self._seq
+    def _append(self, rows: DataFrame, deleted: bool) -> int:
+        seq = self.commits.append({"kind": "begin"})
+        folder = f"change-{seq:012d}-{uuid.uuid4().hex[:12]}"
+        (rows.withColumn("_seq", F.lit(seq).cast("bigint")).withColumn("_deleted", F.lit(deleted))
+             .write.parquet(f"{self.path}/{folder}"))
+        self.commits.append({"kind": "done", "folder": folder})
+        return seq
 
     def upsert(self, rows: DataFrame) -> int:
         """Record new or changed rows (whole rows, as the operators return them)."""
-        cols = [n for n, _ in self._fields]
-        seq = self._next_seq()
-        (rows.select(*cols).withColumn("_seq", F.lit(seq).cast("bigint"))
-             .withColumn("_deleted", F.lit(False)).write.mode("append").parquet(self.path))
-        return seq
+        return self._append(rows.select(*[n for n, _ in self._fields]), False)
 
     def delete(self, keys: DataFrame) -> int:
         """Record deletes (tombstones) for the given keys."""
-        seq = self._next_seq()
-        tomb = keys.select(*[F.col(n) if n in self.keys else F.lit(None).cast(t).alias(n)
-                             for n, t in self._fields])
-        (tomb.withColumn("_seq", F.lit(seq).cast("bigint")).withColumn("_deleted", F.lit(True))
-             .write.mode("append").parquet(self.path))
-        return seq
+        return self._append(keys.select(*[F.col(n) if n in self.keys else F.lit(None).cast(t).alias(n)
+                                          for n, t in self._fields]), True)
 
     def current(self) -> DataFrame:
         """Latest row per key, deletes removed."""
@@ -70,9 +66,6 @@ class StateLog:
         """Write the current state as a new log at ``path`` (one row per live
         key, no history) and return it.  Nothing is rewritten in place: the
         caller switches to the new path, and the old one can then be removed."""
-        seq = self._next_seq()
         out = StateLog(self.spark, path, self.keys, self.schema)
-        (self.current().withColumn("_seq", F.lit(seq).cast("bigint"))
-             .withColumn("_deleted", F.lit(False)).write.mode("append").parquet(out.path))
-        out._seq = seq
+        out.upsert(self.current())
         return out

@@ -1,8 +1,7 @@
 """Structured Streaming forms of three jobs.
 
-W1 replicates new source files exactly once per micro-batch: each batch is
-written to its own ``batch=<id>`` folder with overwrite, so a batch replayed
-after a failure replaces its own output.  W2 counts tasks per queue and state
+W1 replicates new source files exactly once per micro-batch: each batch is a job of
+a ``Replica``, visible once its log entry is there, and done if it is replayed.  W2 counts tasks per queue and state
 in event-time windows with a lateness bound.  W3 finds jobs that started but
 did not end within an hour with a stream-stream left outer join bounded by
 watermarks on both sides (no Python state code).
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cairn.operators.sync import Batch, Replica
 from cairn.session import STATE_CONF, with_conf
 
 #: Bytes of new source files that one micro-batch takes at most (one file at least).
@@ -29,16 +29,14 @@ def stream_incremental(spark: SparkSession, source_dir: str, schema: StructType
 
     ``trigger(availableNow=True)`` processes what is there and stops, in
     micro-batches of bounded size; the checkpoint remembers the files already
-    taken, so the next run takes only new ones.  Batch folders carry the checkpoint's
-    mark: a target that another checkpoint has written is refused, since its
-    batch ids start again and its files may have been taken already."""
+    taken, so the next run takes only new ones.  A micro-batch is a job of the replica whose id is the checkpoint's
+    mark and the batch id: a batch replayed after a failure is a job that is done, a batch that
+    was killed half-way has no log entry and is invisible.  A target that another checkpoint has
+    written is refused, since its batch ids start again and its files may have been taken already."""
     mark = "c" + hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path):
-        names = [st.getPath().getName() for st in fs.listStatus(path)]
-        if others := [n for n in names if n.startswith("batch=") and not n.startswith(f"batch={mark}-")]:
-            raise ValueError(f"{target} holds batches of another checkpoint ({others[0]}); use that checkpoint or a new target")
+    replica = Replica(spark, target)
+    if others := [e["job_id"] for e in replica.snapshot().done if e["strategy"] == "stream" and not e["job_id"].startswith(f"{mark}-")]:
+        raise ValueError(f"{target} holds batches of another checkpoint ({others[0]}); use that checkpoint or a new target")
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -47,7 +45,7 @@ def stream_incremental(spark: SparkSession, source_dir: str, schema: StructType
     src = reader.parquet(source_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={mark}-{batch_id:012d}")
+        replica.run(f"{mark}-{batch_id:012d}", lambda _: Batch(batch, "stream"))
 
     q = (src.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -55,7 +53,7 @@ def stream_incremental(spark: SparkSession, source_dir: str, schema: StructType
 
 
 def read_stream_replica(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(target).drop("batch")
+    return Replica(spark, target).read()
 
 
 def queue_window_counts(events: DataFrame, window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
