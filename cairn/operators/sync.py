@@ -218,11 +218,15 @@ class Replica:
             job["last_value"] = got.get("wm") if batch.watermark_col else batch.carry_watermark
         return job
 
+    def needed(self, snapshot: Snapshot) -> set[str]:
+        """Folders that readers open."""
+        return {e["folder"] for e in snapshot.batches()}
+
     def vacuum(self, grace_hours: float = 24.0) -> int:
         """Delete batch folders that the replica doesn't need and that were last
         changed more than ``grace_hours`` ago (running readers and attempts are
         younger).  Returns their number."""
-        keep = {e["folder"] for e in self.snapshot().batches()}
+        keep = self.needed(self.snapshot())
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.data_path)
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())

@@ -148,6 +148,57 @@ def sync_upsert_replica(spark, sf):
     return rep.read().withColumn("logged_rows", F.lit(job["rows_processed"]).cast("bigint"))
 
 
+# Three deltas on the versions 0..6 of the target: one key in a thousand and new keys; older and newer versions; every key of one customer in twenty.
+_KEYED_BASE = "SELECT o_orderkey, o_custkey, o_totalprice, o_orderkey % 7 AS ver FROM orders"
+_KEYED_DELTAS = [
+    "SELECT o_orderkey, o_custkey, o_totalprice + 1 AS o_totalprice, CAST(9 AS BIGINT) AS ver FROM orders WHERE o_orderkey % 1000 = 1"
+    " UNION ALL SELECT o_orderkey + 1000000000, o_custkey, o_totalprice, 0 FROM orders WHERE o_orderkey % 300 = 2",
+    "SELECT o_orderkey, o_custkey, o_totalprice + 2, o_custkey % 12 FROM orders WHERE o_orderkey % 50 = 1",
+    "SELECT o_orderkey, o_custkey, o_totalprice + 3, CAST(8 AS BIGINT) FROM orders WHERE o_custkey % 20 = 3"]
+_KEYED = "SELECT o_orderkey, o_custkey, o_totalprice, ver FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY ver DESC, step DESC) AS rn FROM ("
+_KEYED += " UNION ALL ".join(f"SELECT *, {i} AS step FROM ({text})" for i, text in enumerate([_KEYED_BASE, *_KEYED_DELTAS])) + ")) WHERE rn = 1"
+
+
+def _keyed(spark, sf):
+    from cairn.operators.keyed import KeyedReplica
+    Tables(spark, sf).register(["orders"])
+    rep = KeyedReplica(spark, work_dir(spark, "keyed"), ["o_orderkey"], "orders", buckets=16)
+    rep.load(spark.sql(_KEYED_BASE), "jkey0000")
+    return rep, [spark.sql(text).toDF("o_orderkey", "o_custkey", "o_totalprice", "ver") for text in _KEYED_DELTAS]
+
+
+@register("keyed_upsert", "Y3", _KEYED)
+def keyed_upsert(spark, sf):
+    """Three upserts by version on a replica in key buckets, merged on read."""
+    rep, deltas = _keyed(spark, sf)
+    for i, delta in enumerate(deltas):
+        rep.upsert(delta, f"jkey000{i + 1}", "ver")
+    return rep.read()
+
+
+@register("keyed_compact", "Y3", _KEYED)
+def keyed_compact(spark, sf):
+    """The same with the buckets of many replaced rows rewritten between the second and the third, and all after it."""
+    rep, deltas = _keyed(spark, sf)
+    for i, delta in enumerate(deltas):
+        rep.upsert(delta, f"jkey000{i + 1}", "ver")
+        if i:
+            rep.compact_buckets(f"jkey001{i}", most_replaced=0.01 if i == 1 else 0.0)
+    return rep.read()
+
+
+@register("keyed_written", "Y3", """
+SELECT 'jkey0000' AS job_id, count(*) AS rows_written, CAST(0 AS BIGINT) AS rows_replaced FROM orders
+UNION ALL SELECT 'jkey0001', count_if(o_orderkey % 1000 = 1) + count_if(o_orderkey % 300 = 2), count_if(o_orderkey % 1000 = 1) FROM orders""")
+def keyed_written(spark, sf):
+    """What a load and an upsert of a thousandth of the keys write: the delta's rows and the places of those they replace."""
+    rep, deltas = _keyed(spark, sf)
+    rep.upsert(deltas[0], "jkey0001", "ver")
+    entries = rep.snapshot().done
+    return spark.createDataFrame([(e["job_id"], e["rows_processed"], e["deleted"]) for e in entries],
+                                 "job_id string, rows_written bigint, rows_replaced bigint")
+
+
 @register("sync_snapshot", "Y4", f"""
 SELECT {ORDER_COLS}, 's20240101T000000' AS snapshot FROM orders
 UNION ALL
