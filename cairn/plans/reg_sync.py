@@ -408,6 +408,27 @@ def reconcile_differences(spark, sf):
     return found.where("not ok and check_name <> 'null_count'")
 
 
+# Keys of three orders each on both sides; the replica lacks some, has others twice, and some with other prices or no status.
+_REC_SOURCE = "SELECT o_orderkey % 5000 AS k, o_orderstatus AS status, o_totalprice AS price FROM orders"
+_REC_REPLICA = """
+SELECT o_orderkey % 5000 AS k, CASE WHEN o_orderkey % 301 = 0 THEN NULL ELSE o_orderstatus END AS status,
+  CASE WHEN o_orderkey % 97 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 5000 <> 11
+UNION ALL SELECT o_orderkey % 5000, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 211 = 3
+UNION ALL SELECT o_orderkey + 70000000, 'new', o_totalprice FROM orders WHERE o_orderkey % 401 = 5"""
+
+
+@register("reconcile_rows", "Y11", f"""
+WITH s AS ({_REC_SOURCE}), t AS ({_REC_REPLICA}),
+d AS (SELECT *, 'source' AS side FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM t)
+      UNION ALL SELECT *, 'replica' FROM (SELECT * FROM t EXCEPT ALL SELECT * FROM s))
+SELECT k, status, price, side, CASE WHEN k IN (SELECT k FROM s) AND k IN (SELECT k FROM t) THEN 'changed' ELSE 'missing' END AS kind,
+  count(*) AS copies FROM d GROUP BY ALL""")
+def reconcile_rows(spark, sf):
+    """The rows in which a source and its replica differ, both ways, keys repeated on both sides."""
+    Tables(spark, sf).register(["orders"])
+    return sync.reconcile_rows(spark.sql(_REC_SOURCE), spark.sql(_REC_REPLICA), ["k"])
+
+
 @register("sync_job_stats", "Y12", """
 SELECT 'jstats001' AS job_id, 'orders' AS table_name, 'full' AS strategy, 'completed' AS status,
   count(*) AS rows_processed, count(*) AS total_rows FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'""")
