@@ -5,11 +5,12 @@ linear-interpolated quartiles, nulls skipped, NaN counted as missing) but is
 computed with aggregations that stay distributed at any size:
 
 * count, mean, std, min and max for every column in one aggregation pass;
-* exact quartiles by rank selection (``exact_quantiles``): a few scans, each
-  aggregated to one row per column, close in on the values at the wanted
+* exact quartiles by rank selection (``column_quantiles``): three scans, each
+  one wide aggregate over all columns (no row is exploded), close in on the values at the wanted
   ranks.  No values are shuffled and no task ever holds all values of a
   column, unlike a global ``percentile`` whose final merge runs in one task.
-  Built-in expressions only; no Python runs on the data.
+  Built-in expressions only; no Python runs on the data;
+* states of a batch's profile that merge (``ProfileStore``), so that a replica's new batch is profiled alone.
 """
 
 from __future__ import annotations
@@ -69,27 +70,35 @@ def sample_hash(df: DataFrame, keys: Sequence[str], fraction: float) -> DataFram
 
 # -- exact quantiles -------------------------------------------------------------
 
+#: Size of the KLL sketches that bracket the ranks.
+SKETCH_K = 4096
+
+
+def _rank_error(k: int) -> float:
+    """Twice the rank error (about 99 % confidence) of a KLL sketch of size k; a bracket that misses is narrowed again."""
+    return min(1.0, 4.6 / k ** 0.9)
+
+
 class _Search:
-    """The hunt for the value of one rank in one group: the rank lies among the
+    """The hunt for the value of one rank of a column: the rank lies among the
     ``size`` values above ``x`` and below ``y`` (None: no bound); ``base`` values are
     not above ``x``."""
 
     def __init__(self, rank: int, n: int):
         self.rank, self.x, self.y, self.base, self.size = rank, None, None, 0, n
-        self.value = self.upto = None
+        self.value = None
 
-    def brackets(self, accuracy: int) -> list[float]:
+    def bracket(self, error: float) -> tuple[float, float]:
         p = (self.rank - self.base) / max(self.size - 1, 1)
-        return [max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy)]
+        return max(0.0, p - error), min(1.0, p + error)
 
     def narrow(self, a: float, b: float, below: int, at_a: int, between: int, at_b: int) -> None:
         """Go on in the part of (x, y) that holds the rank, cut at the values a <= b."""
-        cuts = [(None, below, self.x, a), (a, at_a, None, None), (None, between, a, b), (b, at_b, None, None)]
         at = self.base
-        for value, count, x, y in cuts:
+        for value, count, x, y in ((None, below, self.x, a), (a, at_a, None, None), (None, between, a, b), (b, at_b, None, None)):
             if self.rank < at + count:
                 if value is not None:
-                    self.value, self.upto = value, at + count
+                    self.value = value
                 else:
                     self.x, self.y, self.base, self.size = x, y, at, count
                 return
@@ -97,90 +106,84 @@ class _Search:
         self.size -= at - self.base
         self.x, self.base = b, at
 
-    def finish(self, counted: list[tuple[float, int]]) -> None:
-        at = self.base
-        for v, c in sorted(counted):
-            at += c
-            if self.rank < at:
-                self.value, self.upto = v, at
-                return
-
 
-def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = QUARTILES,
-                    accuracy: int = 10000, small: int = 2000) -> DataFrame:
-    """Exact quantiles with linear interpolation per group.
-
-    ``long_df`` has columns ``g`` (an int group id, e.g. a column's position; few groups)
-    and ``v`` (double, nulls and NaN already removed).  Returns ``g, q, value``.
-
-    Each scan aggregates to one row per group, so nothing but fixed-size partial
-    states is shuffled: (1) ``percentile_approx`` gives a bracket of two values
-    around each wanted rank; (2) counts below, at and between the two tell which part
-    holds the rank; while that part has more than ``small`` values it is
-    bracketed again (it shrinks about ``accuracy / 4`` times); (3) the values of
-    the parts are counted and the ranks read off.  A part whose
-    rank falls on a bracket value itself, such as one that a third of the rows have, ends there."""
-    spark = long_df.sparkSession
-    probs = list(probs)
-    eps = 2 / accuracy
-    wide = [max(0.0, min(1.0, q + d)) for q in probs for d in (-eps, eps)]
-    first = long_df.groupBy("g").agg(F.count("v").alias("n"), F.percentile_approx("v", wide, accuracy).alias("at")).collect()
-    search = {(r["g"], j): _Search(math.floor((r["n"] - 1) * q), r["n"]) for r in first for j, q in enumerate(probs)}
-    total = {r["g"]: r["n"] for r in first}
-    marks = {(r["g"], j): (r["at"][2 * j], r["at"][2 * j + 1]) for r in first for j in range(len(probs))}
-
-    def per_group(j: int, values: dict) -> F.Column:
-        pairs = [x for (g, k), v in values.items() if k == j for x in (F.lit(g), F.lit(v).cast("double"))]
-        return F.element_at(F.create_map(*pairs), F.col("g")) if pairs else F.lit(None).cast("double")
-
-    def inside(j: int) -> F.Column:
-        x = per_group(j, {k: s.x for k, s in search.items() if s.x is not None})
-        y = per_group(j, {k: s.y for k, s in search.items() if s.y is not None})
-        return (x.isNull() | (F.col("v") > x)) & (y.isNull() | (F.col("v") < y))
-
-    def of(keys) -> DataFrame:
-        return long_df.where(F.col("g").isin(sorted({g for g, _ in keys})))
-
-    todo = [k for k, s in search.items() if s.size > small]
+def column_quantiles(df: DataFrame, values: Sequence[F.Column], probs: Sequence[float] = QUARTILES,
+                     k: int = SKETCH_K, small: int = 20000) -> list[tuple[int, float, float]]:
+    """Exact quantiles with linear interpolation: (position in ``values``, prob, value).
+
+    ``values`` are double columns (nulls skipped, no NaN); one without values has no quantiles.  Each scan is one aggregate
+    over all columns with states of bounded size: (1) a KLL sketch per column gives a bracket of two values around
+    each wanted rank; (2) counts below, at and between the two tell which part holds the rank; a part of more than
+    ``small`` values is sketched and cut again (it shrinks some hundred times each time); (3) the values of
+    the parts, at most ``small`` each, are read off.  A rank that falls on a bracket value, such as
+    one that a third of the rows have, ends there."""
+    probs, error = list(probs), _rank_error(k)
+    # The values as plain columns, so that what is counted below stays a short expression.
+    df = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    values = [F.col(f"v{i}") for i in range(len(values))]
+    ends = F.array(*[F.lit(max(0.0, min(1.0, q + d))) for q in probs for d in (-error, error)])
+    aggs = [x for i, v in enumerate(values) for x in (F.count(v).alias(f"n{i}"), F.kll_sketch_agg_double(v, F.lit(k)).alias(f"s{i}"))]
+    first = df.agg(*aggs).select(*[c for i in range(len(values)) for c in (
+        f"n{i}", F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", ends)).alias(f"at{i}"))]).first()
+    search: dict[tuple[int, int], _Search] = {}
+    marks: dict[tuple[int, int], tuple[float, float]] = {}
+    for i in range(len(values)):
+        n = first[f"n{i}"]
+        for j, q in enumerate(probs):
+            # The rank and, where it lies between two, the next one.
+            for rank in {math.floor((n - 1) * q), math.ceil((n - 1) * q)} if n else ():
+                search[i, rank] = _Search(rank, n)
+                marks[i, rank] = tuple(first[f"at{i}"][2 * j:2 * j + 2])
+
+    def inside(i: int, x: float | None, y: float | None) -> F.Column:
+        ok = values[i].isNotNull()
+        ok = ok if x is None else ok & (values[i] > F.lit(x))
+        return ok if y is None else ok & (values[i] < F.lit(y))
+
+    def part(key: tuple[int, int]) -> tuple:
+        return key[0], search[key].x, search[key].y
+
+    todo = [key for key, s in search.items() if s.size > small]
     while todo:
-        aggs, v = [], F.col("v")
-        for j in sorted({j for _, j in todo}):
-            a, b = (per_group(j, {k: marks[k][i] for k in todo}) for i in (0, 1))
-            ok = inside(j)
-            aggs += [F.count_if(ok & (v < a)).alias(f"below{j}"), F.count_if(ok & (v == a)).alias(f"a{j}"),
-                     F.count_if(ok & (v > a) & (v < b)).alias(f"mid{j}"), F.count_if(ok & (v == b) & (a < b)).alias(f"b{j}")]
-        rows = {r["g"]: r for r in of(todo).groupBy("g").agg(*aggs).collect()}
-        for g, j in todo:
-            r = rows[g]
-            search[g, j].narrow(*marks[g, j], r[f"below{j}"], r[f"a{j}"], r[f"mid{j}"], r[f"b{j}"])
-        todo = [k for k in todo if search[k].value is None and search[k].size > small]
+        cuts = sorted({(*part(key), *marks[key]) for key in todo}, key=repr)
+        # Per cut the part that a value falls in: 0 below a, 1 at a, 2 between, 3 at b.
+        parts_of = [F.when(inside(i, x, y), F.when(values[i] < a, 0).when(values[i] == a, 1).when(values[i] < b, 2).when(values[i] == b, 3))
+                    .alias(f"c{c}") for c, (i, x, y, a, b) in enumerate(cuts)]
+        row = df.select(*parts_of).agg(*[F.count_if(F.col(f"c{c}") == w).alias(f"{name}{c}") for c in range(len(cuts))
+                                         for w, name in enumerate(("below", "a", "mid", "b"))]).first()
+        for key in todo:
+            c = cuts.index((*part(key), *marks[key]))
+            search[key].narrow(*marks[key], *[row[f"{x}{c}"] for x in ("below", "a", "mid", "b")])
+        todo = [key for key in todo if search[key].value is None and search[key].size > small]
         if todo:
-            row = of(todo).agg(*[F.percentile_approx(F.when((F.col("g") == g) & inside(j), v), search[g, j].brackets(accuracy), accuracy)
-                                 .alias(f"m{i}") for i, (g, j) in enumerate(todo)]).first()
-            marks.update({k: tuple(row[f"m{i}"]) for i, k in enumerate(todo)})
-    left = [k for k, s in search.items() if s.value is None]
-    if left:
-        counted: dict = {k: [] for k in left}
-        wanted = F.array(*[F.struct(F.lit(j).alias("j"), (inside(j) & F.col("g").isin([g for g, k in left if k == j])).alias("ok"))
-                           for j in sorted({j for _, j in left})])
-        hits = of(left).select("g", "v", F.explode(F.filter(wanted, lambda t: t["ok"])).alias("t"))
-        for r in hits.groupBy("g", F.col("t.j").alias("j"), "v").count().collect():
-            counted[r["g"], r["j"]].append((r["v"], r["count"]))
-        for k in left:
-            search[k].finish(counted[k])
-    # The next greater value, where a rank lies between two of them.
-    ahead = {k: s.value for k, s in search.items() if (total[k[0]] - 1) * probs[k[1]] > s.rank and s.rank + 1 >= s.upto}
-    greater = {}
-    if ahead:
-        aggs = [F.min(F.when(F.col("v") > per_group(j, ahead), F.col("v"))).alias(f"next{j}") for j in sorted({j for _, j in ahead})]
-        nexts = {r["g"]: r for r in of(ahead).groupBy("g").agg(*aggs).collect()}
-        greater = {(g, j): nexts[g][f"next{j}"] for g, j in ahead}
+            parts = sorted({part(key) for key in todo}, key=repr)
+            sketched = df.agg(*[F.kll_sketch_agg_double(F.when(inside(*p), values[p[0]]), F.lit(k)).alias(f"s{c}") for c, p in enumerate(parts)])
+            row = sketched.select(*[F.kll_sketch_get_quantile_double(f"s{parts.index(part(key))}", F.array(*map(F.lit, search[key].bracket(error))))
+                                    .alias(f"m{c}") for c, key in enumerate(todo)]).first()
+            marks.update({key: tuple(row[f"m{c}"]) for c, key in enumerate(todo)})
+    open_ = [key for key, s in search.items() if s.value is None]
+    if open_:
+        parts = sorted({part(key) for key in open_}, key=repr)
+        row = df.agg(*[F.array_sort(F.collect_list(F.when(inside(*p), values[p[0]]))).alias(f"v{c}") for c, p in enumerate(parts)]).first()
+        for key in open_:
+            s = search[key]
+            s.value = row[f"v{parts.index(part(key))}"][s.rank - s.base]
     out = []
-    for (g, j), s in search.items():
-        frac = (total[g] - 1) * probs[j] - s.rank
-        upper = greater.get((g, j), s.value)
-        out.append((g, probs[j], s.value if frac == 0 or upper == s.value else s.value + (upper - s.value) * frac))
-    return spark.createDataFrame(out, "g int, q double, value double")
+    for i in range(len(values)):
+        for q in probs if first[f"n{i}"] else ():
+            at = (first[f"n{i}"] - 1) * q
+            low, high = search[i, math.floor(at)].value, search[i, math.ceil(at)].value
+            out.append((i, q, low if low == high else low + (high - low) * (at - math.floor(at))))
+    return out
+
+
+def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = QUARTILES,
+                    accuracy: int = SKETCH_K, small: int = 2000) -> DataFrame:
+    """``column_quantiles`` per group of rows: ``long_df`` has columns ``g`` (an int group id; few groups) and ``v``
+    (double, no nulls or NaN).  Returns ``g, q, value``."""
+    groups = sorted(r["g"] for r in long_df.select("g").distinct().collect())
+    found = column_quantiles(long_df, [F.when(F.col("g") == g, F.col("v")) for g in groups], probs, max(8, accuracy), small) if groups else []
+    return long_df.sparkSession.createDataFrame([(groups[i], q, float(v)) for i, q, v in found], "g int, q double, value double")
 
 
 def _col(name: str) -> F.Column:
@@ -202,21 +205,13 @@ def _clean(col_name: str, dtype) -> F.Column:
     return c
 
 
-def _long_values(df: DataFrame, cols: Sequence[str], conv, first_id: int = 0) -> DataFrame:
-    """(g, v) pairs: g is the column's position (an int hashes and sorts
-    faster than its name), v its value as double; nulls dropped."""
-    pairs = F.array(*[F.struct(F.lit(first_id + i).alias("g"), conv(c).alias("v"))
-                      for i, c in enumerate(cols)])
-    return (df.select(F.inline(pairs)).where(F.col("v").isNotNull()))
-
-
 def _moments(df: DataFrame, cols: Sequence[str], conv, with_std: bool = True) -> DataFrame:
     aggs = []
-    for i, c in enumerate(cols):
-        x = conv(c)
+    for i in range(len(cols)):
+        x = F.col(f"v{i}")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    wide = df.agg(*aggs)
+    wide = df.select(*[conv(c).alias(f"v{i}") for i, c in enumerate(cols)]).agg(*aggs)
     return _rows_of(wide, [(c, *[F.col(f"{a}{i}") for a in ("n", "m", "s", "lo", "hi")]) for i, c in enumerate(cols)],
                     ("column_name", "count", "mean", "std", "min", "max"))
 
@@ -239,14 +234,13 @@ def _profile(df: DataFrame, cols: Sequence[str], conv, approx: bool = False,
              accuracy: int = 10000) -> DataFrame:
     """Moments and quartiles per column.  The moments are one aggregation
     pass with fixed-size buffers (partial per task); the quartiles come from
-    ranked value counts (exact) or from sketches (``approx``)."""
+    rank selection (exact) or from sketches (``approx``)."""
     mom = _moments(df, cols, conv)
     if approx:
         return mom.join(_approx_quartiles(df, cols, conv, accuracy), "column_name", "left")
-    q = exact_quantiles(_long_values(df, cols, conv)).groupBy("g").agg(
-        *[F.max(F.when(F.col("q") == p, F.col("value"))).alias(f"p{int(p * 100)}") for p in QUARTILES])
-    qw = _names(df.sparkSession, cols).join(q, "g", "inner").drop("g")
-    return mom.join(qw, "column_name", "left")
+    found = {(i, q): v for i, q, v in column_quantiles(df, [conv(c) for c in cols])}
+    rows = [(c, *[found.get((i, q)) for q in QUARTILES]) for i, c in enumerate(cols)]
+    return mom.join(df.sparkSession.createDataFrame(rows, "column_name string, p25 double, p50 double, p75 double"), "column_name", "left")
 
 
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
@@ -254,9 +248,7 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, approx:
     """Per numeric column: count, mean, std, min, 25%, 50%, 75%, max.
 
     Quartiles are exact by default (pandas ``describe`` semantics).
-    ``approx=True`` takes them from ``percentile_approx`` sketches instead,
-    for very wide tables of high-cardinality columns where the exact plan's
-    (column, value) counts would be nearly as large as the table."""
+    ``approx=True`` takes them from ``percentile_approx`` sketches instead, in one scan."""
     cols = list(columns or numeric_columns(df))
     types = {f.name: f.dataType for f in df.schema.fields}
     out = _profile(df, cols, lambda c: _clean(c, types[c]), approx, accuracy)
@@ -338,11 +330,14 @@ def profile_table(df: DataFrame, table_name: str, fraction: float = 1.0, seed: i
         return _micros(c) if c in dt else _clean(c, types[c])
 
     aggs, triples = [F.count(F.lit(1)).alias("rows")], [("*", "sample_rows", F.col("rows").cast("double"))]
+    flat = []
     for i, f in enumerate(fields):
-        aggs.append(F.count_if(_missing(f)).alias(f"z{i}"))
+        flat.append(_missing(f).alias(f"missing{i}"))
+        aggs.append(F.count_if(F.col(f"missing{i}")).alias(f"z{i}"))
         triples.append((f.name, "null_count", F.col(f"z{i}").cast("double")))
     for i, c in enumerate(stat_cols):
-        x = conv(c)
+        flat.append(conv(c).alias(f"v{i}"))
+        x = F.col(f"v{i}")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.min(x).alias(f"lo{i}"),
                  F.max(x).alias(f"hi{i}")]
         stats = [("count", f"n{i}"), ("mean", f"m{i}"), ("min", f"lo{i}"), ("max", f"hi{i}")]
@@ -352,16 +347,12 @@ def profile_table(df: DataFrame, table_name: str, fraction: float = 1.0, seed: i
         for stat, alias in stats:
             val = F.col(alias).cast("double")
             triples.append((c, stat, F.round(val, 0) if c in dt and stat != "count" else val))
-    wide = sample.agg(*aggs)
+    wide = sample.select(*flat).agg(*aggs)
     out = _rows_of(wide, triples, ("column_name", "statistic", "value"))
     if stat_cols:
-        q = exact_quantiles(_long_values(sample, stat_cols, conv))
-        names = F.create_map(*[x for i, c in enumerate(stat_cols) for x in (F.lit(i), F.lit(c))])
-        is_dt = F.col("g") >= F.lit(len(num))
-        out = out.unionByName(q.select(
-            F.element_at(names, F.col("g")).alias("column_name"),
-            F.concat(F.lit("p"), (F.col("q") * 100).cast("int").cast("string")).alias("statistic"),
-            F.when(is_dt, F.round("value", 0)).otherwise(F.col("value")).alias("value")))
+        rows = [(stat_cols[i], f"p{int(q * 100)}", float(math.floor(v + 0.5)) if i >= len(num) else v)
+                for i, q, v in column_quantiles(sample, [conv(c) for c in stat_cols])]
+        out = out.unionByName(sample.sparkSession.createDataFrame(rows, "column_name string, statistic string, value double"))
     else:
         t = profile_text(sample)
         out = out.unionByName(t.selectExpr(

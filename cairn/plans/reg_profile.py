@@ -151,3 +151,60 @@ def profile_cache(spark, sf):
     profiles = (t["sync_jobs"].where(F.col("status") == "completed")
                 .select("table_id", F.col("completed_at").alias("profiled_at")))
     return profile.profile_cache(profiles, t["table_metadata"], force_refresh=False)
+
+
+def _profiled(spark, sf):
+    """A replica of events after a full copy and two incremental syncs, each profiled when it came."""
+    from cairn.operators import sync
+    from cairn.operators.profilestore import ProfileStore
+    from cairn.session import work_dir
+    rep = sync.Replica(spark, work_dir(spark, "profiled"), "events")
+    events = io.scan(spark, sf, "events")
+    store = ProfileStore(rep)
+    for day, job in (("10", "jprof001"), ("20", "jprof002"), ("31", "jprof003")):
+        sync.sync_incremental(rep, events.where(F.col("ts") < F.lit(f"2024-01-{day} 00:00:00").cast("timestamp_ntz")), "ts", job)
+        store.refresh()
+    return rep, store
+
+
+def _states_oracle():
+    numbers = {"event_id": "event_id", "user_id": "user_id", "value": "value", "ts": "epoch_us(ts)"}
+    rows = []
+    for c in ("event_id", "ts", "user_id", "event_type", "value", "props"):
+        stats = (f"avg({numbers[c]}::DOUBLE), stddev_samp({numbers[c]}::DOUBLE), min({numbers[c]})::DOUBLE, max({numbers[c]})::DOUBLE, NULL, NULL"
+                 if c in numbers else f"NULL, NULL, NULL, NULL, min({c}), max({c})")
+        rows.append(f"SELECT '{c}' AS column_name, count({c}) AS count, count(*) - count({c}) AS null_count, {stats}, true, true FROM events WHERE ts < TIMESTAMP '2024-01-31'")
+    return ("SELECT column_name, count, null_count, format('{:.8e}', mean) AS mean, format('{:.8e}', std) AS std, min, max, min_text, max_text, unique_near, median_near FROM ("
+            + " UNION ALL ".join(rows) + ") AS t(column_name, count, null_count, mean, std, min, max, min_text, max_text, unique_near, median_near)")
+
+
+@register("profile_states", "P10", _states_oracle())
+def profile_states(spark, sf):
+    """The profile merged from three batches' states: exact numbers, and whether distinct counts lie within 4 % and medians
+    within 1 % of the ranks of the whole replica."""
+    rep, store = _profiled(spark, sf)
+    report = store.report()
+    whole = rep.read()
+    numbers = ["event_id", "user_id", "value", "ts"]
+    mids = {r.column_name: r.p50 for r in report.where(F.col("column_name").isin(numbers)).select("column_name", "p50").collect()}
+    as_number = {c: F.unix_micros(F.col(c).cast("timestamp")).cast("double") if c == "ts" else F.col(c).cast("double") for c in numbers}
+    seen = whole.agg(*[F.count_distinct(c).alias(f"d_{c}") for c in whole.columns], F.count(F.lit(1)).alias("n"),
+                     *[F.count_if(as_number[c] < mids[c]).alias(f"below_{c}") for c in numbers],
+                     *[F.count_if(as_number[c] <= mids[c]).alias(f"upto_{c}") for c in numbers]).first()
+    near = [(c, float(seen[f"d_{c}"]), c not in mids or seen[f"below_{c}"] <= 0.51 * seen["n"] and seen[f"upto_{c}"] >= 0.49 * seen["n"]) for c in whole.columns]
+    exact = spark.createDataFrame(near, "column_name string, exact double, median_near boolean")
+    nine = {c: F.when(F.col(c).isNotNull(), F.format_string("%.8e", c)).alias(c) for c in ("mean", "std")}
+    return report.join(exact, "column_name").select(
+        "column_name", "count", "null_count", nine["mean"], nine["std"], "min", "max", "min_text", "max_text",
+        (F.abs(F.col("approx_unique") - F.col("exact")) <= 0.04 * F.col("exact")).alias("unique_near"), "median_near")
+
+
+@register("profile_state_batches", "P10", """
+SELECT 'jprof001' AS job_id, count_if(ts < TIMESTAMP '2024-01-10') AS rows FROM events
+UNION ALL SELECT 'jprof002', count_if(ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20') FROM events
+UNION ALL SELECT 'jprof003', count_if(ts >= TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-31') FROM events""")
+def profile_state_batches(spark, sf):
+    """What the refreshes read: each batch once, alone."""
+    _, store = _profiled(spark, sf)
+    store.refresh()
+    return spark.createDataFrame([(e["job_id"], e["rows"]) for e in store.commits.entries()], "job_id string, rows bigint")
