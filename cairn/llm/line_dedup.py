@@ -116,10 +116,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ident = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID))
     base = docs.select(ident.alias("id"), text_or_empty(text_col).alias("content"))
     lines = F.split("content", "\n", -1)
-    keyed = base.select("id", F.array_distinct(F.array_compact(F.transform(
-        lines, lambda x: key_hash(x, min_chars)))).alias("keys"))
-    keyed.where(F.size("keys") > 0).write.parquet(f"{root}/keys")
-    keyed = spark.read.schema("id bigint, keys array<binary>").parquet(f"{root}/keys")
+    placed = F.transform(lines, lambda x, i: F.struct(key_hash(x, min_chars).alias("key"), i.cast("int").alias("pos")))
+    # Rows of one id are one document, but each has its own places: rows are told apart by a digest.
+    digest = F.unhex(F.md5(F.col("content").cast("binary")))
+    keyed = base.select("id", digest.alias("digest"), F.filter(placed, lambda x: x["key"].isNotNull()).alias("lines"))
+    keyed.where(F.size("lines") > 0).write.parquet(f"{root}/keys")
+    placed = spark.read.schema("id bigint, digest binary, lines array<struct<key: binary, pos: int>>").parquet(f"{root}/keys")
+    keyed = placed.select("id", F.col("lines.key").alias("keys"))
 
     runs = LineRuns(spark, f"{root}/runs", min_docs, fanout)
     bounds = batch_bounds(keyed, batches)
@@ -132,16 +135,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         runs.add(part.select("id", F.explode("keys").alias("key")))
 
     common = runs.view().where(F.col("n_docs") >= min_docs).select("key", "keeper")
-    losers = (keyed.select("id", F.explode("keys").alias("key")).join(common, "key").where("id != keeper")
-                   .groupBy("id").agg(F.collect_set("key").alias("losers")))
-    keep = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("losers"), key_hash(x, min_chars)), F.lit(False)))
-    kept = F.when(F.col("losers").isNull(), lines).otherwise(keep)
-    return (base.join(losers, "id", "left")
-                .select("id", F.size(lines).alias("n_lines"), kept.alias("kept"))
-                .select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("id"),
-                        F.col("n_lines").cast("bigint").alias("n_lines"),
-                        (F.col("n_lines") - F.size("kept")).cast("bigint").alias("n_dropped"),
-                        F.concat_ws("\n", "kept").alias("kept")))
+    dropped = (placed.select("id", "digest", F.inline("lines")).join(common, "key").where("id != keeper")
+                     .groupBy("id", "digest").agg(F.collect_set("pos").alias("dropped")))
+    # The places that stay, by a set difference; each line is then fetched by its place, so the time is linear in the lines.
+    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
+    kept = F.transform(F.array(lines), lambda ls: F.transform(stays, lambda i: F.get(ls, i)))[0]
+    return (base.withColumn("digest", digest).join(dropped, ["id", "digest"], "left")
+                .select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("id"), F.size(lines).cast("bigint").alias("n_lines"),
+                        F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
+                        F.when(F.col("dropped").isNull(), F.col("content")).otherwise(F.concat_ws("\n", kept)).alias("kept")))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,26 @@ def test_awkward_rows(spark, awkward, empty):
 def test_no_python_on_executors(spark, awkward):
     plan = op.dedup_lines(awkward)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_time_is_linear_in_the_lines(spark):
+    """Six documents that share all their lines: five lose them all."""
+    import time
+    spent = []
+    for n in (8000, 32000):
+        text = "\n".join(f"line number {i} with more than forty characters in it" for i in range(n))
+        docs = spark.createDataFrame([(i, text) for i in range(6)], "doc_id bigint, text string")
+        t = time.time()
+        got = {r.id: r for r in op.dedup_lines(docs, batches=1).collect()}
+        spent.append(time.time() - t)
+        assert got[5].n_dropped == 0 and got[5].kept == text
+        assert all(got[i].n_dropped == n and got[i].kept == "" for i in range(5))
+    assert spent[1] < 4 * spent[0] + 5
+
+
+def test_rows_of_one_id_keep_their_own_places(spark):
+    common = "a line of more than forty characters, the same in all"
+    rows = [(i, common) for i in range(2, 7)] + [(1, f"x\n{common}\ny"), (1, f"{common}\nz\n{common}"), (1, "w"), (1, f"x\n{common}\ny")]
+    got = op.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.kept for r in got if r.id == 1) == ["w", "x\ny", "x\ny", "z"]
+    assert [r.kept for r in got if r.id == 6] == [common]
