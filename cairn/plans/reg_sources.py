@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cairn.plans.registry import register
 from cairn.session import work_dir
 from cairn.sources import io
+from cairn.sources.pages import PageIndex
 from cairn.operators.profile import sample_hash
 
 
@@ -31,6 +32,28 @@ def scan_page(spark, sf):
     return io.page(io.scan(spark, sf, "orders"), ["o_orderkey"], limit=100, offset=200)
 
 
+_LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+
+
+@register("scan_page_deep", "S4", f"""
+SELECT * FROM lineitem ORDER BY {', '.join(_LINE_ORDER)} LIMIT 500 OFFSET (SELECT CAST(floor(count(*) * 0.9) AS BIGINT) FROM lineitem)""")
+def scan_page_deep(spark, sf):
+    """The page at nine tenths of lineitem, through a page index that opens the parts it needs."""
+    lines = io.scan(spark, sf, "lineitem")
+    index = PageIndex.build(lines, _LINE_ORDER, work_dir(spark, "pages"), part_rows=5000)
+    return index.page(500, sum(n for _, n in index.parts) * 9 // 10)
+
+
+@register("scan_page_after", "S4", f"""
+SELECT * FROM (SELECT * FROM lineitem ORDER BY {', '.join(_LINE_ORDER)} LIMIT 700)
+ORDER BY {', '.join(_LINE_ORDER)} LIMIT 300 OFFSET 400""")
+def scan_page_after(spark, sf):
+    """The rows 400 to 700 by key: the page after the one of the first 400."""
+    index = PageIndex.build(io.scan(spark, sf, "lineitem"), _LINE_ORDER, work_dir(spark, "pages"), part_rows=5000)
+    last = index.page(1, 399).first()
+    return index.after([last[c] for c in _LINE_ORDER], 300)
+
+
 @register("stage_export", "S6",
           "SELECT count(*) AS rows_written FROM orders WHERE o_orderstatus = 'F'")
 def stage_export(spark, sf):
