@@ -293,6 +293,45 @@ def profile_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
                     F.coalesce("unique", F.lit(0)).cast("bigint").alias("unique"), "top", "freq"))
 
 
+def profile_text_sketch(df: DataFrame, columns: Sequence[str] | None = None, items: int = 10000, candidates: int = 100) -> DataFrame:
+    """P6 without a shuffle of all values: count, approx_unique (HLL, 0.8 % standard error), top and freq.
+
+    One scan keeps a sketch of distinct values and one of at most ``items`` frequent ones per column; a second counts the
+    ``candidates`` most frequent exactly.  ``top`` and ``freq`` are exact: a value that is no candidate is no more frequent than the last
+    candidate's upper bound or the sketch's error (3.5 / ``items`` of the rows).  A column whose best candidate isn't above both
+    has no value that stands out, and goes through ``profile_text``."""
+    cols = list(columns or text_columns(df))
+    texts = df.select(*[_col(c).cast("string").alias(f"t{i}") for i, c in enumerate(cols)])
+    first = texts.agg(F.count(F.lit(1)).alias("rows"), *[x for i in range(len(cols)) for x in (
+        F.count(f"t{i}").alias(f"n{i}"), F.hll_sketch_estimate(F.hll_sketch_agg(f"t{i}", F.lit(14))).alias(f"u{i}"),
+        F.call_function("approx_top_k", F.col(f"t{i}"), F.lit(candidates), F.lit(items)).alias(f"top{i}"))]).first()
+    found = {i: [r for r in first[f"top{i}"] or () if r["item"] is not None] for i in range(len(cols))}
+    named = F.array(*[F.struct(F.lit(i).alias("g"), F.when(F.col(f"t{i}").isin([r["item"] for r in rows]), F.col(f"t{i}")).alias("v"))
+                      for i, rows in found.items() if rows] or [F.struct(F.lit(-1).alias("g"), F.lit(None).cast("string").alias("v"))])
+    counted: dict[int, list[tuple[int, bytes, str]]] = {}
+    for r in texts.select(F.inline(named)).where(F.col("v").isNotNull()).groupBy("g", "v").count().collect():
+        counted.setdefault(r["g"], []).append((-r["count"], r["v"].encode(), r["v"]))
+    sure, unsure = [], []
+    for i, c in enumerate(cols):
+        n = first[f"n{i}"]
+        best = min(counted.get(i, []), default=None)
+        # Null is an item of the sketch too.
+        listed = first[f"top{i}"] or ()
+        others = max(3.5 / items * first["rows"], min(r["count"] for r in listed) if len(listed) >= candidates else 0)
+        if not n:
+            sure.append((c, 0, 0, None, None))
+        elif best and -best[0] > others:
+            sure.append((c, n, first[f"u{i}"], best[2], -best[0]))
+        else:
+            unsure.append((c, first[f"u{i}"]))
+    schema = "column_name string, count bigint, approx_unique bigint, top string, freq bigint"
+    out = df.sparkSession.createDataFrame(sure, schema)
+    if unsure:
+        near = df.sparkSession.createDataFrame(unsure, "column_name string, approx_unique bigint")
+        out = out.unionByName(profile_text(df, [c for c, _ in unsure]).drop("unique").join(near, "column_name"))
+    return out
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """Missing values per column (NaN counts as missing)."""
     fields = df.schema.fields

@@ -208,3 +208,20 @@ def profile_state_batches(spark, sf):
     _, store = _profiled(spark, sf)
     store.refresh()
     return spark.createDataFrame([(e["job_id"], e["rows"]) for e in store.commits.entries()], "job_id string, rows bigint")
+
+
+_TEXT_COLUMNS = {"l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus", "part": "'p' || l_partkey % 60", "line": "l_orderkey || '-' || l_linenumber"}
+
+
+@register("profile_text_sketch", "P6", "\nUNION ALL ".join(f"""
+SELECT * FROM (SELECT '{c}' AS column_name, sum(n)::BIGINT AS count, max(n) AS freq, arg_min(v, (-n, v)) AS top, true AS unique_near
+  FROM (SELECT {e} AS v, count(*) AS n FROM lineitem GROUP BY ALL))""" for c, e in _TEXT_COLUMNS.items()))
+def profile_text_sketch(spark, sf):
+    """Text columns by sketches: few values, one value in sixty, and all values different (which goes the exact way)."""
+    lines = Tables(spark, sf).given("lineitem")
+    df = lines.select("l_returnflag", "l_linestatus", F.concat(F.lit("p"), F.col("l_partkey") % 60).alias("part"),
+                      F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"))
+    exact = df.agg(*[F.count_distinct(c).alias(c) for c in df.columns]).first().asDict()
+    near = spark.createDataFrame(list(exact.items()), "column_name string, exact bigint")
+    return profile.profile_text_sketch(df).join(near, "column_name").select(
+        "column_name", "count", "freq", "top", (F.abs(F.col("approx_unique") - F.col("exact")) <= 0.04 * F.col("exact")).alias("unique_near"))
