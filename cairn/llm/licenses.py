@@ -16,7 +16,7 @@ and a unit has a template's licence if dice >= ``least``.  Then, with m bigrams
 
 Texts without a dense run of the templates' bigrams are passed over by array operations on
 hashes, then units by the share bound over all templates together; the size bound picks
-the templates, and the dice itself is computed on the words.  Of several templates the greatest dice counts, of equals the first name.
+the templates, and the dice itself is computed on the words.  Time and memory go linearly with the length of a text.  Of several templates the greatest dice counts, of equals the first name.
 A window counts if no other unit with its licence and as great a dice overlaps it.
 
 Templates are the usual notices and the whole texts (of AGPL-3.0 and the CC-BY licences notices only).  Licences that differ in few words have *marks* (name, kind, version,
@@ -31,7 +31,9 @@ rows are scanned one by one.  An empty table gives an empty result.  Extra colum
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect_left, insort
+from collections import Counter, defaultdict
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -265,46 +267,80 @@ class Matcher:
                 continue
             used, times = np.unique(ids[a:b], return_counts=True)
             there = np.minimum(times[:, None], self.counts[used]).sum(axis=0)
+            order = np.argsort(ids[a:b], kind="stable")
             for k in np.flatnonzero(there >= self.sizes * self.bound - 1e-9).tolist():
-                todo = [(a, b)]
-                while todo:
-                    x, y = todo.pop()
-                    if found := self.best_window(ids[x:y], k):
-                        f, t = x + found[0], x + found[1]
-                        out.append((-found[2], f, t + 1))
-                        todo += [(x, f), (t, y)]
-        # Templates that are much alike find the same place: there the greatest dice counts.
-        kept: list[tuple[int, int]] = []
+                out += [(-value, a + f, a + t + 1) for f, t, value in self.best_windows(ids[a:b], order, k)]
+        # Templates that are much alike find the same place: there the greatest dice counts.  Windows that share more
+        # than half of the longer one hold each other's middle, so only those with their middle inside are compared.
+        kept: list[tuple[int, int, int]] = []
         for _, a, b in sorted(set(out), key=lambda x: (x[0], x[1] - x[2], x[1])):
-            if all(2 * (min(b, y) - max(a, x)) <= max(b - a, y - x) for x, y in kept):
-                kept.append((a, b))
-        return sorted((a, whole_version(words, b)) for a, b in kept)
-
-    def best_window(self, ids: np.ndarray, k: int) -> tuple[int, int, float] | None:
-        """The run of bigrams (first, end, dice) with the greatest dice with template k, if that reaches ``least``."""
-        count, m = self.counts[ids, k], int(self.sizes[k])
-        match, longest = count > 0, int(m / self.bound + 1e-9)
-        used, times = np.unique(ids, return_counts=True)
-        if np.minimum(times, self.counts[used, k]).sum() < m * self.bound - 1e-9:
-            return None
+            near = kept[bisect_left(kept, (a + a,)):bisect_left(kept, (b + b + 1,))]
+            if all(2 * (min(b, y) - max(a, x)) <= max(b - a, y - x) for _, x, y in near):
+                insort(kept, (a + b, a, b))
+        return sorted((a, whole_version(words, b)) for _, a, b in kept)
+
+    def best_windows(self, ids: np.ndarray, order: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        """(first, end, dice) of the run of bigrams with the greatest dice with template k, then of those on both
+        sides of it, and so on, as long as they reach ``least``; of equal ones the first start, then the shortest.
+
+        ``order`` sorts ``ids`` stably.  Bounds for all starts come from array operations, the run itself is searched
+        from starts in the order of their bounds only, at most ``m / bound`` bigrams far: time goes linearly with the
+        text, however many runs it holds."""
+        n, m = len(ids), int(self.sizes[k])
+        fewest, longest = m * self.bound - 1e-9, min(n, int(m / self.bound + 1e-9))
+        count = self.counts[ids, k]
+        match = count > 0
+        sums = np.concatenate([[0], np.cumsum(match)])
+        if (sums[np.minimum(np.arange(n) + longest, n)] - sums[:-1]).max() < fewest:
+            return []
         # The place from which on a window's start leaves this occurrence within the template's count.
-        order = np.argsort(ids, kind="stable")
-        grouped, rank = ids[order], np.arange(len(ids))
-        back = rank - count[order]
+        grouped = ids[order]
+        back = np.arange(n) - count[order]
         same = (back >= 0) & (grouped[np.maximum(back, 0)] == grouped)
-        free = np.empty(len(ids), np.int64)
+        free = np.empty(n, np.int64)
         free[order] = np.where(same, order[np.maximum(back, 0)] + 1, 0)
-        # Starts that can reach it: the matches that a window of any length would need, repeats counted too.
-        gain = np.concatenate([[0.0], np.cumsum(2 * match - self.least)])
-        best, at = 0.0, None
-        ahead = np.maximum.accumulate(gain[::-1])[::-1]
-        for a in np.flatnonzero(match & (ahead[1:] - gain[:-1] >= self.least * m - 1e-6)).tolist():
-            held = np.cumsum(match[a:a + longest] & (free[a:a + longest] <= a))
+        at = np.flatnonzero(match)
+        since = free[at]
+        # Greatest dice of a window from each start: what the longest window of each class of lengths holds, over the
+        # shortest size that it can have then.
+        bound, below = np.zeros(n), int(np.ceil(fewest)) - 1
+        for length in self.lengths(m):
+            first = np.maximum(since, at - length + 1)
+            held = np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(at + 1, minlength=n + 1))[:n]
+            bound = np.maximum(bound, np.where(held >= fewest, 2 * held / (np.maximum(held, below + 1) + m), 0))
+            below = length
+        starts = np.flatnonzero(match & (bound >= self.least - 1e-9))
+        queue = iter(starts[np.lexsort((starts, -bound[starts]))].tolist())
+        gone = np.zeros(n, bool)
+        seen: list[tuple[float, int, int, int]] = []
+        firsts, out = [], []
+        ahead = next(queue, None)
+        while ahead is not None or seen:
+            if ahead is not None and (not seen or bound[ahead] >= -seen[0][0]):
+                a, limit, ahead = ahead, n + 1, next(queue, None)
+            else:
+                value, a, end, limit = heappop(seen)
+            if gone[a]:
+                continue
+            here = bisect_left(firsts, a)
+            here = firsts[here] if here < len(firsts) else n
+            if limit <= n and (limit == here or end <= here):
+                out.append((a, end, -value))
+                gone[a:end] = True
+                insort(firsts, a)
+                continue
+            stop = min(a + longest, here)
+            held = np.cumsum(match[a:stop] & (free[a:stop] <= a))
             values = 2 * held / (np.arange(1, len(held) + 1) + m)
-            b = int(values.argmax())
-            if values[b] > best:
-                best, at = float(values[b]), (a, a + b + 1, float(values[b]))
-        return at if best >= self.least else None
+            best = int(values.argmax())
+            if values[best] >= self.least:
+                heappush(seen, (-float(values[best]), a, a + best + 1, here))
+        return out
+
+    def lengths(self, m: int) -> list[int]:
+        """Classes of window lengths for a template of m bigrams: their greatest lengths, m among them."""
+        ends = {int(round(m * self.bound ** (1 - i / 4))) for i in range(1, 5)} | {int(round(m / self.bound ** (i / 4))) for i in range(1, 4)}
+        return sorted(x for x in ends if x > 0) + [int(m / self.bound + 1e-9) + 1]
 
     def known_pairs(self) -> np.ndarray:
         """Sorted hashes of all templates' bigrams, with each spelling of a word."""
@@ -364,15 +400,18 @@ class Scanner:
     def scan(self, raw: bytes) -> list[tuple[str, int, str, float]]:
         """(scope, first line, licence, dice) of each unit with a licence."""
         m = self.matcher
-        out, where = [], []
+        out = []
+        # By licence, the greatest dice of the units that hold each line.
+        where = defaultdict(lambda: np.zeros(raw.count(b"\n") + 1))
         for scope, (line, last), words in spans(raw, m):
             known = sum(p in m.known for p in zip(words, words[1:]))
             if known >= (len(words) - 1) * m.bound - 1e-9:
                 if found := m.match(words):
-                    if scope == "window" and any(n == found[0] and d >= found[1] and a <= last and line <= b for n, d, a, b in where):
+                    place = where[found[0]][line:last + 1]
+                    if scope == "window" and place.max() >= found[1]:
                         continue
                     out.append((scope, line, *found))
-                    where.append((*found, line, last))
+                    np.maximum(place, found[1], out=place)
         return out
 
 

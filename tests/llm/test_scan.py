@@ -1,6 +1,7 @@
 """Operators 8 and 9."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -151,3 +152,53 @@ def test_whole_texts_and_near_neighbours():
     assert licences_of("This work is licensed under the GNU General Public License, version 2.") == {"GPL-2.0"}
     assert not licences_of("This work is licensed under the GNU General Public License, version 4.")
     assert not licences_of("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.")
+
+
+def all_windows(m, words, k=0):
+    """Best window of all, then of both sides of it, by counting."""
+    name, bag, size, _ = m.bags[k]
+    pairs = list(zip(words, words[1:]))
+
+    def best(x, y):
+        found = [(-2 * sum((lic.Counter(pairs[a:b]) & bag).values()) / (b - a + size), a, b)
+                 for a in range(x, y) for b in range(a + 1, y + 1)]
+        value, a, b = min(found, default=(0, 0, 0))
+        return [] if -value < m.least else [*best(x, a), (a, b), *best(b, y)]
+    return best(0, len(pairs))
+
+
+def test_windows_go_on_to_both_sides():
+    rnd = random.Random(5)
+    several = 0
+    for text in ("a b c a b d e f a b", "a a a a b a a", "a b c d e f g"):
+        m = lic.Matcher({"A": [text]}, 0.85)
+        for _ in range(60):
+            words = []
+            for _ in range(rnd.randint(1, 4)):
+                words += text.split()
+                if rnd.random() < 0.5:
+                    words[rnd.randrange(len(words))] = rnd.choice("abx")
+                words += [rnd.choice("abx") for _ in range(rnd.randint(0, 2))]
+            words = [w.encode() for w in words]
+            ids = np.array([m.number.get(x, -1) for x in zip(words, words[1:])])
+            got = [(a, b) for a, b, _ in m.best_windows(ids, np.argsort(ids, kind="stable"), 0)]
+            assert sorted(got) == all_windows(m, words)
+            several += len(got) > 1
+    assert several > 50
+
+
+def test_time_goes_linearly_with_the_text():
+    scanner = lic.Scanner(lic.Matcher(lic.TEMPLATES, 0.85))
+
+    def seconds(text):
+        begin = time.process_time()
+        found = scanner.scan(text.encode())
+        return time.process_time() - begin, found
+    notice = max(lic.TEMPLATES["MIT"], key=len)
+    for separator, times in (("\n\n", 640), (" ", 640)):
+        few, _ = seconds(separator.join([notice] * (times // 8)))
+        many, found = seconds(separator.join([notice] * times))
+        assert {x[2] for x in found} == {"MIT"} and many < 10 and many < 16 * max(few, 0.1)
+    whole = max(lic.TEMPLATES["GPL-3.0"], key=len)
+    spent, found = seconds("\n\n".join([whole] * 8))
+    assert spent < 10 and sum(x[2] == "GPL-3.0" for x in found) >= 8
