@@ -161,7 +161,9 @@ def common_ngrams(docs: DataFrame, total: int) -> np.ndarray:
 
 
 def shared_ngrams(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
-    """Per set-key bucket, blobs of (set key, n, n-gram, number of sets) of the shared n-grams."""
+    """Per set-key bucket, blobs of (set key, n-gram, number of sets) of the shared n-grams.
+
+    A blob holds each of its set keys once, in order and as differences; sizes don't travel here."""
     spark = docs.sparkSession
     common_ = spark.sparkContext.broadcast(common)
     shift = np.uint64(64 - TOKEN_BITS)
@@ -169,12 +171,12 @@ def shared_ngrams(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFram
     def deal(batches):
         shingler = Shingler()
         often = common_.value
-        tokens, owners, keys, sizes, seen, held = [], [], [], [], {}, 0
+        tokens, owners, keys, seen, held = [], [], [], {}, 0
 
         def flush():
             t = np.concatenate(tokens)
-            o = np.repeat(np.arange(len(owners)), np.array(owners))
-            k, n = np.array(keys, np.uint64), np.array(sizes, np.int64)
+            k, place = np.unique(np.array(keys, np.uint64), return_inverse=True)
+            o = np.repeat(place, np.array(owners))
             at = bucket_of(t, buckets)
             if len(often):
                 where = np.minimum(np.searchsorted(often, t), len(often) - 1)
@@ -188,11 +190,10 @@ def shared_ngrams(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFram
             out = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 used, local = np.unique(o[a:b], return_inverse=True)
-                out.append((int(at[a]), bool(hot[a]), pack_sorted(t[a:b] >> shift), pack(local),
-                            pack(k[used]), pack(n[used])))
+                out.append((int(at[a]), bool(hot[a]), pack_sorted(t[a:b] >> shift), pack(local), pack_sorted(k[used])))
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), pa.bool_(), *[pa.binary()] * 4))],
-                names=["bucket", "hot", "t", "o", "k", "n"])
+                [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), pa.bool_(), *[pa.binary()] * 3))],
+                names=["bucket", "hot", "t", "o", "k"])
 
         for batch in batches:
             for s in shingler.sets(batch.column("content")):
@@ -203,11 +204,10 @@ def shared_ngrams(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFram
                 tokens.append(s)
                 owners.append(len(s))
                 keys.append(key)
-                sizes.append(len(s))
                 held += len(s)
                 if held >= FLUSH_ENTRIES:
                     yield flush()
-                    tokens, owners, keys, sizes, seen, held = [], [], [], [], {}, 0
+                    tokens, owners, keys, seen, held = [], [], [], {}, 0
         if held:
             yield flush()
 
@@ -219,63 +219,93 @@ def shared_ngrams(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFram
             if plain:
                 found.append(shared(*entries(plain)))
             if hot:
-                t, k, n = entries(hot)
+                t, k = entries(hot)
                 order = np.lexsort((t, k))
-                t, k, n = t[order], k[order], n[order]
+                t, k = t[order], k[order]
                 once = np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
                 # The true number of sets isn't known here; as all sorted last, hash order does.
-                found.append((t[once], k[once], n[once], np.full(int(once.sum()), 0xFFFF)))
-            t, k, n, df = (np.concatenate(x) for x in zip(*found))
+                found.append((t[once], k[once], np.full(int(once.sum()), 0xFFFF)))
+            t, k, df = (np.concatenate(x) for x in zip(*found))
             if not len(t):
                 continue
             order = np.argsort(k, kind="stable")
-            t, k, n, df = t[order], k[order], n[order], df[order]
+            t, k, df = t[order], k[order], df[order]
             at = bucket_of(k, buckets)
             edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
             key = (np.minimum(df, 0xFFFF).astype(np.uint64) << np.uint64(TOKEN_BITS)) | t
             out = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 used, local = np.unique(k[a:b], return_inverse=True)
-                first = np.searchsorted(k[a:b], used)
-                out.append((int(at[a]), pack(key[a:b]), pack(local), pack(used), pack(n[a:b][first])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))],
-                names=["bucket", "t", "o", "k", "n"])
+                out.append((int(at[a]), pack(key[a:b]), pack(local), pack_sorted(used)))
+            yield found_batch(out)
+
+    dealt = docs.mapInArrow(deal, "bucket int, hot boolean, t binary, o binary, k binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(find, FOUND)
+
+
+FOUND = "bucket int, t binary, o binary, k binary"
+
+
+def found_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 3))],
+                                      names=["bucket", "t", "o", "k"])
+
+
+def set_sizes(sets: DataFrame, buckets: int) -> DataFrame:
+    """Per set-key bucket, blobs of set keys (``k``) and their sizes (``o``); ``t`` is null.  ``sets``: n, set_key."""
+    def rows(batches):
+        held, count = [], 0
+
+        def flush():
+            k = np.concatenate([np.asarray(b.column("set_key")).view(np.uint64) for b in held])
+            n = np.concatenate([np.asarray(b.column("n")) for b in held])
+            k, first = np.unique(k, return_index=True)
+            n, at = n[first], bucket_of(k, buckets)
+            edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
+            return found_batch([(int(at[a]), None, pack(n[a:b]), pack_sorted(k[a:b]))
+                                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                count += batch.num_rows
+            if count >= FLUSH_ENTRIES:
+                yield flush()
+                held, count = [], 0
+        if held:
+            yield flush()
 
-    dealt = docs.mapInArrow(deal, "bucket int, hot boolean, t binary, o binary, k binary, n binary")
-    return (dealt.repartition("bucket").sortWithinPartitions("bucket")
-                 .mapInArrow(find, "bucket int, t binary, o binary, k binary, n binary"))
+    return sets.where("n > 0").select("n", "set_key").mapInArrow(rows, FOUND)
 
 
-def entries(parts: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """N-grams, set keys and set sizes of dealt blobs (which are used up)."""
-    t, k, n = [], [], []
+def entries(parts: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams and set keys of dealt blobs (which are used up)."""
+    t, k = [], []
     for p in parts:
         o = unpack(p["o"]).astype(np.int32)
         t.append(unpack_sorted(p["t"]))
-        k.append(unpack(p["k"])[o])
-        n.append(unpack(p["n"]).astype(np.int32)[o])
+        k.append(unpack_sorted(p["k"])[o])
         p.clear()
-    return np.concatenate(t), np.concatenate(k), np.concatenate(n)
+    return np.concatenate(t), np.concatenate(k)
 
 
-def shared(t: np.ndarray, k: np.ndarray, n: np.ndarray):
+def shared(t: np.ndarray, k: np.ndarray):
     """The entries whose n-gram is in two or more sets, once per set, with that number."""
     order = np.argsort(t, kind="stable")  # merges the blobs' sorted runs
     t = t[order]
     same = t[1:] == t[:-1]
     twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
     t, order = t[twice], order[twice]
-    k, n = k[order], n[order]
+    k = k[order]
     order = np.lexsort((k, t))
-    t, k, n = t[order], k[order], n[order]
+    t, k = t[order], k[order]
     once = np.ones(len(t), bool)
     once[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-    t, k, n = t[once], k[once], n[once]
+    t, k = t[once], k[once]
     _, inverse, counts = np.unique(t, return_inverse=True, return_counts=True)
     df = counts[inverse] if len(t) else np.empty(0, np.int64)
     many = df > 1
-    return t[many], k[many], n[many], df[many]
+    return t[many], k[many], df[many]
 
 
 def groups(batches, *cols: str):
@@ -293,16 +323,21 @@ def groups(batches, *cols: str):
         yield key, rows
 
 
-def survivors(found: DataFrame) -> DataFrame:
+def survivors(found: DataFrame, sizes: DataFrame) -> DataFrame:
     """``set_key, n, ngrams``: sets with enough shared n-grams, in the global order."""
     def rows(batches):
         for _, parts in groups(batches, "bucket"):
-            o = [unpack(p["o"]).astype(np.int64) for p in parts]
+            known = [p for p in parts if p["t"] is None]
+            parts = [p for p in parts if p["t"] is not None]
+            if not parts:
+                continue
             t = np.concatenate([unpack(p["t"]) for p in parts])
-            k = np.concatenate([unpack(p["k"])[x] for p, x in zip(parts, o)])
-            n = np.concatenate([unpack(p["n"])[x] for p, x in zip(parts, o)]).astype(np.int64)
+            k = np.concatenate([unpack_sorted(p["k"])[unpack(p["o"]).astype(np.int64)] for p in parts])
             order = np.lexsort((t, k))
-            t, k, n = t[order], k[order], n[order]
+            t, k = t[order], k[order]
+            keys, first = np.unique(np.concatenate([unpack_sorted(p["k"]) for p in known]), return_index=True)
+            size = np.concatenate([unpack(p["o"]) for p in known])[first]
+            n = size[np.searchsorted(keys, k)].astype(np.int64)
             edges = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
             kept = [(int(k[a]), int(n[a]), t[a:b].astype("<u8").tobytes())
                     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()) if b - a >= need(int(n[a]))]
@@ -311,7 +346,7 @@ def survivors(found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([signed(np.array(keys, np.uint64)), pa.array(sizes, pa.int64()),
                                                   pa.array(sets, pa.binary())], names=["set_key", "n", "ngrams"])
 
-    return (found.repartition("bucket").sortWithinPartitions("bucket")
+    return (found.unionByName(sizes).repartition("bucket").sortWithinPartitions("bucket")
                  .mapInArrow(rows, "set_key bigint, n bigint, ngrams binary"))
 
 
@@ -319,10 +354,14 @@ def prefixes(sets: DataFrame) -> DataFrame:
     """``g, set_key`` for each n-gram of each set's prefix."""
     def rows(batches):
         for batch in batches:
-            for key, n, raw in zip(batch.column("set_key").to_pylist(), batch.column("n").to_pylist(), batch.column("ngrams")):
+            if not batch.num_rows:
+                continue
+            parts = []
+            for n, raw in zip(batch.column("n").to_pylist(), batch.column("ngrams")):
                 t = np.frombuffer(raw.as_py(), "<u8")
-                t = t[:len(t) - need(n) + 1]
-                yield pa.RecordBatch.from_arrays([signed(t), pa.array(np.full(len(t), key))], names=["g", "set_key"])
+                parts.append(t[:len(t) - need(n) + 1])
+            keys = np.repeat(np.asarray(batch.column("set_key")), [len(t) for t in parts])
+            yield pa.RecordBatch.from_arrays([signed(np.concatenate(parts)), pa.array(keys)], names=["g", "set_key"])
 
     return sets.mapInArrow(rows, "g bigint, set_key bigint")
 
@@ -505,7 +544,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total, rows = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_ENTRIES))
     found = shared_ngrams(base, common_ngrams(base, rows), buckets)
-    links = similar_pairs(written(survivors(found), "ngram_survivors"), chunk)
+    links = similar_pairs(written(survivors(found, set_sizes(sets, buckets)), "ngram_survivors"), chunk)
     parts = components(links)
     labelled = sets.where("n > 0").select("id", "set_key").join(
         parts.withColumnRenamed("node", "set_key"), "set_key", "left").select("id", F.coalesce("comp", "set_key").alias("label"))
