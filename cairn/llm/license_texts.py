@@ -1,4 +1,4 @@
-"""Whole texts of licences, without their copyright lines: data of operator 8."""
+"""Whole texts of public licences, without their copyright lines (templates of operator 8)."""
 
 TEXTS: dict[str, str] = {
     'Apache-2.0': (
