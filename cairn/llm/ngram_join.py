@@ -19,9 +19,11 @@ sequence).  Documents link if 100 * |x n y| >= 75 * |x u y|, that is |x n y| >=
    subtree is left when overlap + the fewer of both sides' remaining n-grams can't reach 3/7 (|x| + least
    size below), or when all sets below are already connected with the walker (links within a component
    add nothing to it).
+   Below the root a set enters only the subtrees that hold a set with one of its prefix n-grams.
 6. *Large groups* (more than ``CHUNK`` sets) are cut into chunks by hash.  First each chunk is joined
    by itself, and a few hub sets walk all chunks, which connects what is much alike.
-   Then only the sets outside of the group's largest component walk the other chunks.
+   Then the sets outside of the group's largest component walk those other chunks that hold a set with one of
+   their prefix n-grams, so their visits grow with the candidates and not with the group.
 7. The components of all links, mapped back to documents, are the result.
 
 All 64-bit hashes are taken as exact.  Sharing uses their top 48 bits: a false match
@@ -350,6 +352,11 @@ def survivors(found: DataFrame, sizes: DataFrame) -> DataFrame:
                  .mapInArrow(rows, "set_key bigint, n bigint, ngrams binary"))
 
 
+def prefix_of(tokens: np.ndarray, n: int) -> np.ndarray:
+    """The shared n-grams of a set of ``n`` that are in its prefix: partners have one of them in common."""
+    return tokens[:len(tokens) - need(n) + 1]
+
+
 def prefixes(sets: DataFrame) -> DataFrame:
     """``g, set_key`` for each n-gram of each set's prefix."""
     def rows(batches):
@@ -358,8 +365,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
                 continue
             parts = []
             for n, raw in zip(batch.column("n").to_pylist(), batch.column("ngrams")):
-                t = np.frombuffer(raw.as_py(), "<u8")
-                parts.append(t[:len(t) - need(n) + 1])
+                parts.append(prefix_of(np.frombuffer(raw.as_py(), "<u8"), n))
             keys = np.repeat(np.asarray(batch.column("set_key")), [len(t) for t in parts])
             yield pa.RecordBatch.from_arrays([signed(np.concatenate(parts)), pa.array(keys)], names=["g", "set_key"])
 
@@ -386,6 +392,7 @@ class Trie:
         self.sizes: list[int] = []
         self.parent: list[int] = []
         self.links: list[tuple[int, int]] = []
+        self.below: dict[int, set[int]] = {}  # prefix n-gram: the root's children whose sets have it in their prefix
 
     def add(self, size: int) -> int:
         self.sizes.append(size)
@@ -404,6 +411,9 @@ class Trie:
     def insert(self, doc: int, tokens: np.ndarray) -> None:
         node, rest = self.root, tokens
         size = self.sizes[doc]
+        first = int(tokens[0])
+        for t in prefix_of(tokens, size).tolist():
+            self.below.setdefault(t, set()).add(first)
         while True:
             node.least = min(node.least, size)
             node.deepest = max(node.deepest, len(rest))
@@ -464,8 +474,13 @@ class Trie:
                     self.join(doc, other)
             if overlap + min(len(tokens) - at, node.deepest) < least and node.children:
                 continue
-            stack.append((node, 0, 0, True))
-            stack.extend((c, at, overlap, False) for c in node.children.values())
+            below = node.children.values()
+            if node is self.root:
+                firsts = set().union(*(self.below.get(t, ()) for t in prefix_of(tokens, size).tolist()))
+                below = [node.children[t] for t in firsts]
+            if 2 * len(below) >= len(node.children):
+                stack.append((node, 0, 0, True))
+            stack.extend((c, at, overlap, False) for c in below)
 
 
 def trie_links(rows: DataFrame) -> DataFrame:
@@ -523,18 +538,29 @@ def similar_pairs(sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
                     .withColumn("own", F.lit(False)).select(placed.columns))
 
     first = written(trie_links(placed.unionByName(visiting(large.join(hub_keys, ["comp", "set_key"], "left_semi").select(placed.columns)))), "ngram_links")
-    # What is not connected with its group's largest part yet visits the other chunks.
+    # What is not connected with its group's largest part yet visits the chunks that may hold a partner.
     parts = components(first)
     known = large.drop("label").join(parts.select("node", F.col("comp").alias("part")), F.col("set_key") == F.col("node"), "left")
     known = known.withColumn("label", F.coalesce("part", "set_key")).drop("node", "part")
     counts = known.groupBy("comp", "label").count()
     largest = counts.groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     known = written(known.join(largest, "comp").select(*placed.columns, "main"), "ngram_known")
-    guests = visiting(known.where("label <> main").select(placed.columns))
+    guests = hosted(known.where("label <> main").select(placed.columns), known, prefix)
     second = written(trie_links(known.select(placed.columns).unionByName(guests)), "ngram_links")
     return first.unionByName(second)
 
 
+def hosted(guests: DataFrame, known: DataFrame, prefix: DataFrame) -> DataFrame:
+    """``guests`` once for each other chunk of their group that holds a set with one of their prefix n-grams.
+
+    Only narrow rows meet: an n-gram that a third of a group has is in at most all of its chunks."""
+    hosts = prefix.join(known.select("set_key", "comp", "chunk"), "set_key").select("comp", "g", "chunk").distinct()
+    wanted = prefix.join(guests.select("set_key", "comp", F.col("chunk").alias("home")), "set_key")
+    visits = (wanted.join(hosts, ["comp", "g"]).where("chunk <> home").select("comp", "set_key", "chunk").distinct())
+    return (guests.drop("chunk").join(visits, ["comp", "set_key"]).withColumn("own", F.lit(False))
+                  .select(guests.columns))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """``id, n_shingles, component_id`` per row of ``docs``."""
     spark = docs.sparkSession

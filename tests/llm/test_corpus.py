@@ -90,6 +90,28 @@ def test_components_match_all_pairs(spark, seed, chunk):
     assert got == brute_components(rows)
 
 
+def from_stock(seed, n, sentences, per_text=12):
+    """Texts put together from a common stock of sentences, some of them near copies of another."""
+    rnd = random.Random(seed)
+    stock = [prose(rnd, 12) for _ in range(sentences)]
+    texts = [rnd.sample(stock, per_text) for _ in range(n)]
+    for i in range(0, n, 20):
+        texts[i] = texts[rnd.randrange(n)][:]
+        texts[i][-1] = prose(rnd, 12)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_sets_of_a_large_group_visit_only_chunks_with_candidates(spark):
+    rows = from_stock(4, 500, 60)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs, chunk=40).collect()}
+    assert got == brute_components(rows) and len({x[2] for x in got}) < 500
+    prefix = spark.createDataFrame([(1, 10), (1, 20), (2, 20), (2, 30), (3, 40)], "g bigint, set_key bigint")
+    known = spark.createDataFrame([(1, c, k) for k, c in ((10, 0), (20, 1), (30, 2), (40, 3))], "comp int, chunk int, set_key bigint").withColumn("own", F.lit(True))
+    visits = ngram_join.hosted(known, known, prefix).collect()
+    assert {(r.set_key, r.chunk) for r in visits} == {(10, 1), (20, 0), (20, 2), (30, 1)} and not any(r.own for r in visits)
+
+
 def test_exactly_three_quarters_links(spark):
     words = [f"w{i}" for i in range(16)]
     a = " ".join(words[:11])       # 7 shingles
