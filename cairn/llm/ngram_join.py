@@ -51,7 +51,7 @@ from cairn.llm.components import components
 
 SHINGLE = 5
 #: Entries per bucket that are aimed at, and entries that a task gathers before it deals them out.
-BUCKET_ENTRIES = 2_000_000
+BUCKET_ENTRIES = 4_000_000
 FLUSH_ENTRIES = 1_000_000
 CHUNK = 1000
 HUBS = 8
@@ -568,7 +568,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("id"), text_bytes(text_col).alias("content"))
     sets = written(document_sets(base), "ngram_sets")
     total, rows = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_ENTRIES))
+    # As few buckets as memory allows, since each holds the keys of its sets; but one for each core.
+    buckets = max(spark.sparkContext.defaultParallelism, math.ceil(total / BUCKET_ENTRIES))
     found = shared_ngrams(base, common_ngrams(base, rows), buckets)
     links = similar_pairs(written(survivors(found, set_sizes(sets, buckets)), "ngram_survivors"), chunk)
     parts = components(links)
