@@ -33,16 +33,21 @@ def stream_incremental(spark: SparkSession, source_dir: str, schema: StructType
     mark and the batch id: a batch replayed after a failure is a job that is done, a batch that
     was killed half-way has no log entry and is invisible.  A target that another checkpoint has
     written is refused, since its batch ids start again and its files may have been taken already."""
-    mark = "c" + hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
-    replica = Replica(spark, target)
-    if others := [e["job_id"] for e in replica.snapshot().done if e["strategy"] == "stream" and not e["job_id"].startswith(f"{mark}-")]:
-        raise ValueError(f"{target} holds batches of another checkpoint ({others[0]}); use that checkpoint or a new target")
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     else:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
-    src = reader.parquet(source_dir)
+    stream_into(reader.parquet(source_dir), target, checkpoint)
+
+
+def stream_into(src: DataFrame, target: str, checkpoint: str) -> None:
+    """Append what a stream has now to the replica at ``target``, each micro-batch as a job of it (see W1)."""
+    spark = src.sparkSession
+    mark = "c" + hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+    replica = Replica(spark, target)
+    if others := [e["job_id"] for e in replica.snapshot().done if e["strategy"] == "stream" and not e["job_id"].startswith(f"{mark}-")]:
+        raise ValueError(f"{target} holds batches of another checkpoint ({others[0]}); use that checkpoint or a new target")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         replica.run(f"{mark}-{batch_id:012d}", lambda _: Batch(batch, "stream"))
