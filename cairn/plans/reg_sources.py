@@ -126,7 +126,7 @@ WHERE l_returnflag IN ('A', 'R') AND l_linenumber <= 5 AND l_quantity > 10""")
 def paged_scan(spark, sf):
     """lineitem read in key ranges by the paged source; two of the filters go to the client."""
     lines = paged.scan(spark, paged.ParquetPages(f"{sf}/lineitem.parquet"), "lineitem",
-                       "l_orderkey bigint, l_linenumber int, l_quantity double, l_shipdate date, l_returnflag string",
+                       "l_orderkey bigint, l_linenumber int, l_quantity double, l_shipdate timestamp_ntz, l_returnflag string",
                        key="l_orderkey", parts=16)
     return lines.where("l_returnflag IN ('A', 'R') AND l_linenumber <= 5 AND l_quantity > 10")
 
