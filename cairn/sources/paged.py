@@ -22,6 +22,7 @@ range, so a range holds all rows of its keys however many; they still travel pag
 from __future__ import annotations
 
 import datetime
+import functools
 import sys
 from collections.abc import Callable, Iterator
 from typing import NamedTuple, Protocol
@@ -113,7 +114,8 @@ class ParquetPages:
     def __init__(self, path: str, page_rows: int = 10_000):
         self.path, self.page_rows = path, page_rows
 
-    def _scanner(self, columns: list[str], where: list[Condition]):
+    def _plan(self, where: list[Condition]):
+        """The table's schema, and per file the row groups that may hold rows that satisfy ``where``."""
         import pyarrow.compute as pc
         import pyarrow.dataset as files
         data, test = files.dataset(self.path), None
@@ -123,24 +125,71 @@ class ParquetPages:
                    ">=": lambda: f >= value, "in": lambda: f.isin([v for v in value if v is not None]),
                    "is null": f.is_null, "is not null": f.is_valid}[op]()
             test = one if test is None else test & one
-        return data.scanner(columns=columns, filter=test, batch_size=self.page_rows, batch_readahead=1, fragment_readahead=1)
+        parts = [(p, [g.id for g in (p if test is None else p.subset(test, schema=data.schema)).row_groups]) for p in data.get_fragments(test)]
+        return data.schema, parts
+
+    def _read(self, schema: pa.Schema, part, groups: list[int], columns: list[str], where: list[Condition]) -> Iterator[pa.RecordBatch]:
+        """Row groups of a file, decoded a page of rows at a time by this thread: nothing is read ahead or queued, so what is
+        held doesn't grow with the table (a dataset's scanner queues up to 1 GB for a slow reader)."""
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+        if not groups:
+            return
+        needed = [schema.field(c) for c in dict.fromkeys([*columns, *(c for c, _, _ in where)])]
+        with part.open() as source, pq.ParquetFile(source, buffer_size=1 << 20, pre_buffer=False) as file:
+            there = set(file.schema_arrow.names)
+            for batch in file.iter_batches(self.page_rows, groups, [f.name for f in needed if f.name in there], use_threads=False):
+                # A file may lack a column of the table, or have it in another type.
+                rows = {f.name: batch.column(f.name).cast(f.type) if f.name in there else pa.nulls(batch.num_rows, f.type) for f in needed}
+                page = pa.RecordBatch.from_arrays([rows[c] for c in columns], names=columns)
+                passed = [self._holds(rows[column], op, value) for column, op, value in where]
+                yield page.filter(functools.reduce(pc.and_kleene, passed)) if passed else page
+
+    @staticmethod
+    def _holds(values: pa.Array, op: str, value) -> pa.Array:
+        """Which values satisfy a condition; null counts as no."""
+        import pyarrow.compute as pc
+        if op == "in":
+            some = [pc.equal(values, v) for v in value if v is not None]
+            return functools.reduce(pc.or_kleene, some) if some else pa.repeat(False, len(values))
+        if op in ("is null", "is not null"):
+            return pc.is_null(values) if op == "is null" else pc.is_valid(values)
+        compare = {"=": pc.equal, "<": pc.less, "<=": pc.less_equal, ">": pc.greater, ">=": pc.greater_equal}[op]
+        return compare(values, value)
 
     def bounds(self, key, where):
         import pyarrow.compute as pc
+        schema, parts = self._plan(where)
+        groups = [(p, g, self._statistics(p, g, key)) for p, some in parts for g in some]
+        # The outermost row groups first; most of the others lie between their keys and aren't read.
+        known = [x for x in groups if x[2] is not None]
+        first = [min(known, key=lambda x: x[2].min), max(known, key=lambda x: x[2].max)] if known else []
         low = high = None
         null = False
-        for batch in self._scanner([key], where).to_batches():
-            if not batch.num_rows:
+        for part, group, held in [*first, *groups]:
+            if held is not None and low is not None and low <= held.min and held.max <= high and (null or held.null_count == 0):
                 continue
-            ends = pc.min_max(batch.column(0)).as_py()
-            null = null or batch.column(0).null_count > 0
-            if ends["min"] is not None:
-                low = ends["min"] if low is None else min(low, ends["min"])
-                high = ends["max"] if high is None else max(high, ends["max"])
+            for batch in self._read(schema, part, [group], [key], where):
+                if not batch.num_rows:
+                    continue
+                ends = pc.min_max(batch.column(0)).as_py()
+                null = null or batch.column(0).null_count > 0
+                if ends["min"] is not None:
+                    low = ends["min"] if low is None else min(low, ends["min"])
+                    high = ends["max"] if high is None else max(high, ends["max"])
         return low, high, null
 
+    @staticmethod
+    def _statistics(part, group: int, key: str):
+        """Least and greatest key and number of nulls of a row group, if its file tells them."""
+        meta = part.metadata.row_group(group)
+        held = next((c.statistics for c in map(meta.column, range(meta.num_columns)) if c.path_in_schema == key), None)
+        return held if held is not None and held.has_min_max and held.has_null_count else None
+
     def pages(self, columns, where):
-        yield from (b for b in self._scanner(columns, where).to_batches() if b.num_rows)
+        schema, parts = self._plan(where)
+        for part, groups in parts:
+            yield from (b for b in self._read(schema, part, groups, columns, where) if b.num_rows)
 
 
 class Range(ds.InputPartition):

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -58,6 +59,33 @@ def test_columns_and_filters_reach_the_client(spark, tmp_path):
     assert low > 400 and high < 500 and not null
 
 
+def test_a_slow_reader_holds_no_more_than_a_few_pages(tmp_path):
+    path = str(tmp_path / "t.parquet")
+    rng = random.Random(3)
+    column = pa.array([rng.random() for _ in range(1_000_000)])
+    with pq.ParquetWriter(path, pa.schema([("k", pa.int64()), ("x", pa.float64())])) as out:
+        for i in range(4):
+            out.write_table(pa.table({"k": pa.array(range(i * 1_000_000, (i + 1) * 1_000_000)), "x": column}))
+    pages = paged.ParquetPages(path).pages(["k", "x"], paged.KeyRange(5, None).conditions("k"))
+    before, rows, most = pa.total_allocated_bytes(), 0, 0
+    for page in pages:
+        rows += page.num_rows
+        if rows < 200_000:
+            time.sleep(0.02)
+        most = max(most, pa.total_allocated_bytes() - before)
+    # 64 MB of values; the data set's scanner held all of a million rows and more.
+    assert rows == 3_999_995 and most < 12 << 20
+
+
+def test_files_of_other_columns_and_types(spark, tmp_path):
+    pq.write_table(pa.table({"k": pa.array([1, 2, None], pa.int64()), "s": ["a", "b", None]}), str(tmp_path / "a.parquet"))
+    pq.write_table(pa.table({"k": pa.array([3, 4], pa.int32())}), str(tmp_path / "b.parquet"))
+    client = paged.ParquetPages(str(tmp_path))
+    got = [tuple(r.values()) for p in client.pages(["s", "k"], [("k", ">", 1)]) for r in p.to_pylist()]
+    assert sorted(got, key=lambda r: r[1]) == [("b", 2), (None, 3), (None, 4)]
+    assert client.bounds("k", []) == (1, 4, True) and sum(p.num_rows for p in client.pages(["s"], [("s", "is null", None)])) == 3
+
+
 def test_empty_and_keyless_tables(spark, tmp_path):
     for name, rows in (("none", []), ("nulls", [(None, "a", 1.0)] * 5)):
         path = str(tmp_path / f"{name}.parquet")
