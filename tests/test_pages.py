@@ -35,6 +35,20 @@ def test_a_deep_page_opens_few_parts(spark):
     assert len(index.after([8999], 100).inputFiles()) <= 2
 
 
+def test_small_parts_need_no_more_tasks(spark):
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("t-tasks", "")
+    try:
+        index = PageIndex.build(spark.range(20000, numPartitions=4), ["id"], work_dir(spark, "t-tasks"), part_rows=50)
+        stages = {s for j in tracker.getJobIdsForGroup("t-tasks") for s in tracker.getJobInfo(j).stageIds}
+        tasks = [i.numTasks for i in map(tracker.getStageInfo, stages) if i]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(index.parts) == 400 and all(n == 50 for _, n in index.parts)
+    assert max(tasks) < 50, tasks
+    assert [r.id for r in index.page(3, 12345).collect()] == [12345, 12346, 12347]
+
+
 def test_empty_table_and_order(spark):
     index = PageIndex.build(spark.range(0), ["id"], work_dir(spark, "t-none"))
     assert index.page(5).count() == 0 and index.after(None, 5).count() == 0
