@@ -29,8 +29,9 @@ def register_allowed(spark: SparkSession, tables: Mapping[str, DataFrame]) -> li
     return list(tables)
 
 
-def allowed_session(spark: SparkSession, paths: Mapping[str, str], catalog: DataFrame | None = None) -> SparkSession:
-    """A session for query jobs: its own temp views, one per allowed parquet table.
+def allowed_session(spark: SparkSession, paths: Mapping[str, str], catalog: DataFrame | None = None,
+                    settings: Mapping[str, str] | None = None) -> SparkSession:
+    """A session for query jobs: its own temp views, one per allowed parquet table, and Spark ``settings`` of its own.
 
     With a ``catalog`` (table_name, status) only tables with an active entry
     are exposed.  The matching names come to the driver, no data does."""
@@ -38,6 +39,8 @@ def allowed_session(spark: SparkSession, paths: Mapping[str, str], catalog: Data
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     # Reads by path (parquet.`/path`) are off.
     own.conf.set("spark.sql.runSQLOnFiles", "false")
+    for key, value in (settings or {}).items():
+        own.conf.set(key, value)
     names = sorted(paths)
     if catalog is not None:
         active = catalog.where((F.col("status") == "active") & F.col("table_name").isin(names))
