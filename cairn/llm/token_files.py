@@ -32,12 +32,14 @@ empty result.  Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,8 +54,12 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60)
 ESCAPE = 14
 BLOCK = 128
 FRAME_IDS = 1 << 16
+#: Runs whose ids are put together at once (one text at least).
+RUNS_AT_ONCE = 1 << 18
 #: Marks that are a piece of their own behind a word (any other piece goes to the library as it is).
-MARKS = frozenset(".,;:!?")
+MARKS = ".,;:!?"
+#: A word of Latin-1 letters, perhaps with a mark.
+PLAIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,;:!?]?$"
 MAGIC = b"S8B1"
 HEAD = struct.Struct("<4s6I")
 _BITS16 = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
@@ -200,7 +206,7 @@ class Recent:
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a bounded cache of runs and words.
+    """The tokenizers library behind bounded caches of words and of other runs.
 
     Words that the cache lacks go to the library many at a time, with blanks
     between: a blank ends a word, and the last token of a word carries the end mark, which
@@ -221,7 +227,7 @@ class LibraryEncoder:
         """Pairs of word and ids; ``words`` are letters only."""
         for at in range(0, len(words), self.together):
             some = words[at:at + self.together]
-            ids = self._ids(" ".join(some))
+            ids = self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
             ends = [i + 1 for i, x in enumerate(ids) if x in self.ends]
             if len(ends) == len(some):
                 packed = array("I", ids).tobytes()
@@ -229,37 +235,79 @@ class LibraryEncoder:
             else:
                 yield from ((w, self._packed(w)) for w in some)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = self.runs.missing(set().union(*split))
-        runs = self.runs.young
-        parts, long = [], []
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        fresh = self.words.missing(set(words))
+        self.words.young.update(self._words(fresh))
+        return list(map(self.words.young.__getitem__, words))
+
+    def _of_others(self, runs: list[str]) -> list[bytes]:
+        missing, known = self.runs.missing(set(runs)), self.runs.young
+        known.update((run, self._packed(run)) for run in missing)
+        out = list(map(known.__getitem__, runs))
         for run in missing:
-            # Latin-1 letters, perhaps with one mark at the end: the word in lower case, and that mark.
-            word = run[:-1] if run[-1:] in MARKS else run
-            if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
-                parts.append((run, word.lower(), run[len(word):]))
-            else:
-                runs[run] = self._packed(run)
             if len(run) > 64:  # hardly comes again
-                long.append(run)
-        fresh = self.words.missing({w for _, w, _ in parts} | {m for _, _, m in parts})
-        words = self.words.young
-        words.update(self._words([w for w in fresh if w.isalpha()]))
-        words.update((m, self._packed(m)) for m in fresh if not m.isalpha())
-        for run, word, mark in parts:
-            runs[run] = words[word] + words[mark]
-        out = [b"".join(map(runs.__getitem__, some)) for some in split]
-        for run in long:
-            del runs[run]
+                del known[run]
+        return out
+
+    def _distinct(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct runs, one after the other, and their numbers.
+
+        Latin-1 letters, perhaps with one mark at the end, are the word in lower case and that mark."""
+        plain = pc.match_substring_regex(runs, PLAIN)
+        where = plain.to_numpy(zero_copy_only=False)
+        marked = runs.filter(plain)
+        words = pc.utf8_lower(pc.utf8_rtrim(marked, MARKS)).dictionary_encode()
+        pieces = [b"", *map(self._packed, MARKS), *self._of_words(words.dictionary.to_pylist()),
+                  *self._of_others(runs.filter(pc.invert(plain)).to_pylist())]
+        # Two pieces a run: its word and its mark, or the run as it is and nothing.
+        of = np.zeros((len(runs), 2), np.int64)
+        of[where, 0] = words.indices.to_numpy() + 1 + len(MARKS)
+        of[~where, 0] = np.arange(1 + len(MARKS) + len(words.dictionary), len(pieces))
+        ends = np.zeros(len(marked), np.int64)
+        for i, mark in enumerate(MARKS):
+            ends[pc.ends_with(marked, mark).to_numpy(zero_copy_only=False)] = i + 1
+        of[where, 1] = ends
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        ids, stops = put_together(of.reshape(-1), np.frombuffer(b"".join(pieces), "<u4"), sizes)
+        return ids, np.diff(stops[::2])
+
+    def encode(self, texts) -> list[bytes]:
+        """Ids of each text (a list of them, or an Arrow column).
+
+        Each distinct run of the batch is looked up once; the ids of all runs are then put together by array operations."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.split_pattern(pc.replace_substring(column.cast(pa.string()), "\n", " "), " ")
+        first = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        ids, sizes = self._distinct(coded.dictionary)
+        codes = coded.indices.to_numpy()
+        out, at, first = [], 0, first - first[0]
+        while at < len(column):  # some texts at a time, so that their places take little memory
+            stop = max(at + 1, int(np.searchsorted(first, first[at] + RUNS_AT_ONCE, "right")) - 1)
+            found, ends = put_together(codes[first[at]:first[stop]], ids, sizes)
+            raw, cuts = found.tobytes(), (4 * ends[first[at:stop + 1] - first[at]]).tolist()
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+            at = stop
         return out
 
 
+def put_together(codes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of pieces ``codes``, one after the other, and where each ends (after a 0); ``ids`` has
+    the pieces in order, of ``sizes``."""
+    length = sizes[codes]
+    ends = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(length, out=ends[1:])
+    place = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], length)
+    place += np.arange(ends[-1])
+    return ids[place], ends
+
+
 _ENCODERS: dict[str, LibraryEncoder] = {}
 
 
 def encoder(path: str) -> LibraryEncoder:
     if path not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _ENCODERS[path] = LibraryEncoder(path)
     return _ENCODERS[path]
 
@@ -274,8 +322,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col:
         enc = encoder(tokenizer)
         ids, parts, size = [], [], 0
         for batch in batches:
-            texts = [t.as_py().decode() for t in batch.column("content")]
-            for doc_id, part in zip(batch.column("id").to_pylist(), enc.encode(texts)):
+            for doc_id, part in zip(batch.column("id").to_pylist(), enc.encode(batch.column("content"))):
                 part += end
                 ids.append(doc_id)
                 parts.append(part)

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -218,3 +219,27 @@ def test_token_counts_by_line_and_field(spark, awkward, empty):
     assert token_counts.count_tokens(empty, BYTES).count() == 0
     none = token_counts.count_tokens(awkward.limit(5), BYTES, sections=F.lit(None).cast("array<struct<section:bigint,start:bigint,stop:bigint>>"))
     assert {r.section for r in none.collect()} <= {-1}
+
+
+def test_each_distinct_run_of_a_batch_is_looked_up_once(library):
+    class Counting(dict):
+        looked_up = 0
+
+        def __getitem__(self, key):
+            Counting.looked_up += 1
+            return super().__getitem__(key)
+
+    enc = token_files.LibraryEncoder(PATH)
+    enc.runs.young, enc.words.young = Counting(), Counting()
+    texts = ["the quick  brown\nfox, " * 500] * 3 + [""]
+    assert [ids_of(x) for x in enc.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert Counting.looked_up <= 10
+
+
+def test_columns_and_portions_give_the_same_ids(library, monkeypatch):
+    monkeypatch.setattr(token_files, "RUNS_AT_ONCE", 5)
+    texts = [*random_texts(300, 7), *[t or "" for t in TEXTS], "\n \n"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    column = pa.array([t.encode() for t in ["x y", *texts, "z"]], pa.binary()).slice(1, len(texts))
+    assert [ids_of(x) for x in token_files.LibraryEncoder(PATH).encode(column)] == want
+    assert token_files.LibraryEncoder(PATH).encode([]) == []
