@@ -53,6 +53,8 @@ SHINGLE = 5
 #: Entries per bucket that are aimed at, and entries that a task gathers before it deals them out.
 BUCKET_ENTRIES = 4_000_000
 FLUSH_ENTRIES = 1_000_000
+#: Entries of a bucket that are sorted at once.
+PIECE_ENTRIES = 250_000
 CHUNK = 1000
 HUBS = 8
 #: The sample that finds n-grams common enough to be salted: its size, and the share that makes one common.
@@ -177,9 +179,10 @@ def shared_ngrams(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFram
 
         def flush():
             t = np.concatenate(tokens)
+            tokens.clear()
             k, place = np.unique(np.array(keys, np.uint64), return_inverse=True)
-            o = np.repeat(place, np.array(owners))
-            at = bucket_of(t, buckets)
+            o = np.repeat(place.astype(np.int32), np.array(owners))
+            at = bucket_of(t, buckets).astype(np.int32)
             if len(often):
                 where = np.minimum(np.searchsorted(often, t), len(often) - 1)
                 hot = often[where] == t
@@ -217,24 +220,22 @@ def shared_ngrams(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFram
         for _, parts in groups(batches, "bucket"):
             plain = [p for p in parts if not p["hot"]]
             hot = [p for p in parts if p["hot"]]
-            found = []
-            if plain:
-                found.append(shared(*entries(plain)))
-            if hot:
-                t, k = entries(hot)
+            found = [shared(t, k) for t, k in entries(plain)]
+            for t, k in entries(hot):
                 order = np.lexsort((t, k))
                 t, k = t[order], k[order]
                 once = np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
                 # The true number of sets isn't known here; as all sorted last, hash order does.
-                found.append((t[once], k[once], np.full(int(once.sum()), 0xFFFF)))
+                found.append((t[once], k[once], np.full(int(once.sum()), 0xFFFF, np.uint16)))
             t, k, df = (np.concatenate(x) for x in zip(*found))
+            del found
             if not len(t):
                 continue
             order = np.argsort(k, kind="stable")
             t, k, df = t[order], k[order], df[order]
             at = bucket_of(k, buckets)
             edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
-            key = (np.minimum(df, 0xFFFF).astype(np.uint64) << np.uint64(TOKEN_BITS)) | t
+            key = (df.astype(np.uint64) << np.uint64(TOKEN_BITS)) | t
             out = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 used, local = np.unique(k[a:b], return_inverse=True)
@@ -280,19 +281,31 @@ def set_sizes(sets: DataFrame, buckets: int) -> DataFrame:
     return sets.where("n > 0").select("n", "set_key").mapInArrow(rows, FOUND)
 
 
-def entries(parts: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams and set keys of dealt blobs (which are used up)."""
-    t, k = [], []
+def entries(parts: list[dict]):
+    """N-grams and set keys of dealt blobs (which are used up), a range of n-grams at a time.
+
+    Whole are only the n-grams and their sets' places; what is sorted has about ``PIECE_ENTRIES`` entries."""
+    runs = []
     for p in parts:
-        o = unpack(p["o"]).astype(np.int32)
-        t.append(unpack_sorted(p["t"]))
-        k.append(unpack_sorted(p["k"])[o])
+        runs.append((unpack_sorted(p["t"]), unpack(p["o"]).astype(np.int32), unpack_sorted(p["k"])))
         p.clear()
-    return np.concatenate(t), np.concatenate(k)
+    total = sum(len(t) for t, _, _ in runs)
+    if not total:
+        return
+    # A bucket is a range of hashes, so equal steps hold about as many entries each.
+    pieces = -(-total // PIECE_ENTRIES)
+    least, most = min(int(t[0]) for t, _, _ in runs), max(int(t[-1]) for t, _, _ in runs)
+    limits = np.array([least + (most - least) * i // pieces for i in range(1, pieces)], np.uint64)
+    cuts = [[0, *np.searchsorted(t, limits).tolist(), len(t)] for t, _, _ in runs]
+    for i in range(pieces):
+        some = [(t[c[i]:c[i + 1]], k[o[c[i]:c[i + 1]]]) for (t, o, k), c in zip(runs, cuts) if c[i] < c[i + 1]]
+        if some:
+            t, k = (np.concatenate(x) for x in zip(*some))
+            yield t, k
 
 
 def shared(t: np.ndarray, k: np.ndarray):
-    """The entries whose n-gram is in two or more sets, once per set, with that number."""
+    """The entries whose n-gram is in two or more sets, once per set, with that number (0xFFFF at most)."""
     order = np.argsort(t, kind="stable")  # merges the blobs' sorted runs
     t = t[order]
     same = t[1:] == t[:-1]
@@ -305,7 +318,7 @@ def shared(t: np.ndarray, k: np.ndarray):
     once[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
     t, k = t[once], k[once]
     _, inverse, counts = np.unique(t, return_inverse=True, return_counts=True)
-    df = counts[inverse] if len(t) else np.empty(0, np.int64)
+    df = np.minimum(counts, 0xFFFF).astype(np.uint16)[inverse] if len(t) else np.empty(0, np.uint16)
     many = df > 1
     return t[many], k[many], df[many]
 

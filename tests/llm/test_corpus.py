@@ -167,6 +167,23 @@ def test_common_ngrams_are_salted_without_changing_the_result(spark, monkeypatch
     assert got == brute_components(rows)
 
 
+def test_a_bucket_is_sorted_in_pieces_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(ngram_join, "PIECE_ENTRIES", 500, raising=False)
+    rng = np.random.default_rng(5)
+    parts, held = [], defaultdict(set)
+    for _ in range(30):
+        t = np.sort(np.concatenate([rng.integers(0, 1 << 40, 200), rng.integers(0, 40, 60) << 34]).astype(np.uint64))
+        keys = np.unique(rng.integers(0, 1 << 62, 20).astype(np.uint64))
+        o = rng.integers(0, len(keys), len(t))
+        for g, key in zip(t.tolist(), keys[o].tolist()):
+            held[g].add(key)
+        parts.append({"t": ngram_join.pack_sorted(t), "o": ngram_join.pack(o), "k": ngram_join.pack_sorted(keys)})
+    pieces = list(ngram_join.entries(parts))
+    assert sum(len(t) for t, _ in pieces) == 30 * 260 and max(len(t) for t, _ in pieces) <= 1500
+    got = [row for t, k in pieces for row in zip(*(x.tolist() for x in ngram_join.shared(t, k)))]
+    assert sorted(got) == sorted((g, key, len(keys)) for g, keys in held.items() if len(keys) > 1 for key in keys)
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(200, 260)] + [(7, 7)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")
