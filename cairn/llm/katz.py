@@ -14,11 +14,11 @@ pairs would leave less than 1 / (c(h) + 1), as after a word whose pairs are all
 **Tables.**  Word counts are one row per word.  The most frequent words (``NAMED`` at most) have numbers, and their
 c, s and a lie in broadcast arrays; that is only a faster way to the same numbers.
 All other words are *outside* of the arrays and go by their 64-bit hash.
-Pairs of numbered words are dealt into buckets of their hash.  Pairs with a word outside go to the bucket
-of that word (of w if it is outside, else of h), where the word's count is joined; no word outside is
-frequent in training text.  Buckets are stored as rows that each hold a range of pairs with their counts, and
-all their occurrences in documents, so estimating and scoring read them row by row.
-The masses of contexts outside, and the occurrences that need their s and a, are dealt by context.
+Texts are read in batches of ``FLUSH_TOKENS`` tokens.  A batch asks for each distinct pair once: pairs of numbered words
+of the bucket of their hash, pairs with a word outside of the bucket of that word (of w if it is outside, else of h), where the
+word's count is joined.  A question carries the pair's training count in the batch; the bucket adds these up and answers each
+batch with the sums, in the order asked, so no document or position travels.  The s and a of contexts outside are asked for and
+answered alike.  A batch's events are written once and meet its answers in one task, which scores its texts.
 Pairs of the ``HOT`` most frequent events never travel: each task counts them in an array
 of fixed size and scores them where it reads the text.  A pair that makes up a third of all tokens is
 such a pair.  Broadcast are arrays of ``NAMED`` and ``HOT**2`` numbers (a few MB), whatever the input.
@@ -42,6 +42,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +53,9 @@ from cairn.llm.ngram_join import groups, pack, pack_sorted, signed, unpack, unpa
 NAMED = 1 << 17
 HOT = 512
 KATZ_K = 5
-FLUSH_TOKENS = 1_500_000
-COUNT_TOKENS = 3_000_000
-BUCKET_ENTRIES = 2_000_000
+FLUSH_TOKENS = 400_000
+COUNT_TOKENS = 1_500_000
+BUCKET_TOKENS = 2_000_000
 ROW_ENTRIES = 500_000
 END, START, RARE = 0, 1, 2
 FIRST = 3  # number of the most frequent word
@@ -91,32 +92,26 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.sorted_hashes, h), len(self.sorted_hashes) - 1)
         return np.where(self.sorted_hashes[at] == h, self.number[at], self.outside)
 
-    def pairs(self, h: np.ndarray, first: np.ndarray):
-        """Contexts and events of all tokens (with the ends), and each text's first."""
+    def stream(self, h: np.ndarray, first: np.ndarray):
+        """Events of all tokens (with the ends), each text's length, and the hashes of words without a number."""
         n, texts = len(h), len(first) - 1
-        stop = first[1:] + np.arange(1, texts + 1)  # past each text's end event
         event = np.full(n + texts, END)
         word = np.ones(n + texts, bool)
-        word[stop - 1] = False
-        event[word] = self.events(h)
+        word[first[1:] + np.arange(texts)] = False
+        event[word] = own = self.events(h)
+        return event, np.diff(first) + 1, h[own == self.outside]
+
+    def contexts(self, event: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         context = np.empty_like(event)
         context[1:] = event[:-1]
-        begin = np.concatenate([[0], stop])
-        context[begin[:-1]] = START
-        return context, event, begin
+        context[np.cumsum(lengths) - lengths] = START
+        return context
 
-    def codes(self, h: np.ndarray, event: np.ndarray, begin: np.ndarray):
+    def codes(self, event: np.ndarray, lengths: np.ndarray, far: np.ndarray):
         """Contexts and events as 64 bits: the number, or outside of the numbers the word's hash."""
         code = event.astype(np.uint64)
-        word = np.ones(len(event), bool)
-        word[begin[1:] - 1] = False
-        far = event == self.outside
-        code[far] = h[far[word]]
-        code[far] += np.where(code[far] < self.size, np.uint64(self.size), np.uint64(0))
-        context = np.empty_like(code)
-        context[1:] = code[:-1]
-        context[begin[:-1]] = START
-        return context, code
+        code[event == self.outside] = far + np.where(far < self.size, np.uint64(self.size), np.uint64(0))
+        return self.contexts(code, lengths), code
 
 
 def backoff(context: np.ndarray, seen: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,178 +199,170 @@ def vocabulary_of(counts: DataFrame, docs: int, named: int, hot: int, classed: b
     return Vocabulary(hashes, top.column("c").to_numpy(), sum(r["c"] for r in bins), sum(r["n"] for r in bins), docs, hot, classed), least
 
 
-DEALT = "kind int, bucket int, pairs binary, other binary, o binary, docs binary, held binary"
+#: Kinds of rows.  Asked by a batch, of a bucket: pairs of numbered events, pairs of (rare) words outside, pairs of numbered
+#: events after words outside, contexts outside.  A batch's events; a task's hot pairs; words with their counts.
+PAIR, OUTSIDE, AFTER, CONTEXT, STREAM, HOTS, WORD = range(7)
+DEALT = "kind int, bucket int, batch bigint, keys binary, other binary, n binary, events binary, far binary, docs binary"
+ASKS = "kind int, bucket int, batch bigint, keys binary, other binary, n binary"
+
+
+def distinct(key: np.ndarray, other: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where the distinct keys (with their other events) are, in order, and the place of each among them."""
+    order = np.argsort(key, kind="stable") if other is None else np.lexsort((other, key))
+    key = key[order]
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    if other is not None:
+        other = other[order]
+        new[1:] |= other[1:] != other[:-1]
+    place = np.empty(len(key), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
+
+
+def questions(v: Vocabulary, event: np.ndarray, lengths: np.ndarray, far: np.ndarray):
+    """What a batch asks the buckets: kind, where its occurrences are, distinct keys and other events in order of
+    bucket and key, and each occurrence's place among them.  Made alike when it asks and when it gets the answers."""
+    context, size, hot = v.contexts(event, lengths), v.size, v.hot
+    at = np.flatnonzero((context < size) & (event < size) & ~((context < hot) & (event < hot)))
+    yield PAIR, at, (context[at] * size + event[at]).astype(np.uint64), None
+    if v.classed:
+        yield OUTSIDE, np.flatnonzero(event == RARE), far, None
+        return
+    before, code = v.codes(event, lengths, far)
+    at = np.flatnonzero(event == v.outside)
+    yield OUTSIDE, at, code[at], before[at]
+    after = context == v.outside
+    at = np.flatnonzero(after & (event != v.outside))
+    yield AFTER, at, before[at], code[at]
+    at = np.flatnonzero(after)
+    yield CONTEXT, at, before[at], None
+
+
+def asked(v: Vocabulary, event: np.ndarray, lengths: np.ndarray, far: np.ndarray, buckets: int):
+    for kind, at, key, other in questions(v, event, lengths, far):
+        if len(at):
+            first, place = distinct(key, other)
+            bucket = bucket_of(key[first], buckets)
+            order = np.argsort(bucket, kind="stable")
+            moved = np.empty_like(order)
+            moved[order] = np.arange(len(order))
+            first = first[order]
+            yield kind, at, bucket[order], key[first], None if other is None else other[first], moved[place]
 
 
 def deal(docs: DataFrame, vocabulary, buckets: int) -> DataFrame:
-    """Blobs by bucket, with their documents: pairs of numbered events (kind 0), rare words or events outside with their
-    contexts (kind 1), and contexts outside with their numbered events (kind 3); hot pairs' training counts (kind 2).
-    ``docs``: doc, held, content."""
+    """Batches of texts as events, with their questions by bucket: distinct pairs with their training counts in the batch,
+    and contexts outside; hot pairs' training counts.  ``docs``: id, held, content.
+
+    A batch has a number of its own (the task's, and its place in the task); as the rows are written before they are used,
+    the questions and events of a number are of one and the same batch."""
     def rows(batches):
         v: Vocabulary = vocabulary.value
         words = hashing.Words(hashing.word_classes())
         hot = v.hot
         counts = np.zeros(hot * hot, np.int64)
-        kinds = (0, 1) if v.classed else (0, 1, 3)
-        parts: dict[int, list] = {k: [] for k in kinds}
-        others: dict[int, list] = {k: [] for k in kinds}
-        owners: dict[int, list] = {k: [] for k in kinds}
-        docs_, held_, base, size = [], [], 0, 0
-
-        def flush(kind, docs_, held_):
-            key, own = np.concatenate(parts[kind]), np.concatenate(owners[kind])
-            other = np.concatenate(others[kind]) if others[kind] else None
-            at = bucket_of(key, buckets)
-            order = np.lexsort((key, at))
-            key, own, at = key[order], own[order], at[order]
-            other = other if other is None else other[order]
-            edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
-            out = []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                used, local = np.unique(own[a:b], return_inverse=True)
-                out.append((kind, int(at[a]), pack_sorted(key[a:b]), b"" if other is None else pack(other[a:b]), pack(local),
-                            pack(docs_[used]), pack(held_[used])))
-            return batch_of(out)
+        number = TaskContext.get().partitionId() << 32
+        held_back, size = [], 0
 
-        def flush_all():
-            d, h = np.concatenate(docs_), np.concatenate(held_)
-            for kind in kinds:
-                if parts[kind] and sum(map(len, parts[kind])):
-                    yield flush(kind, d, h)
-                for held_back in (parts, others, owners):
-                    held_back[kind].clear()
+        def flush():
+            event, lengths, far, ids, flags = (np.concatenate(x) for x in zip(*held_back))
+            held_back.clear()
+            train = np.repeat(flags & 1 == 0, lengths)
+            context = v.contexts(event, lengths)
+            near = (context < hot) & (event < hot) & train
+            np.add(counts, np.bincount(context[near] * hot + event[near], minlength=hot * hot), out=counts)
+            out = [(STREAM, 0, number, b"", b"", b"", pack(event), pack(far), pack(np.concatenate([lengths.view(np.uint64), ids, flags])))]
+            for kind, at, bucket, key, other, place in asked(v, event, lengths, far, buckets):
+                n = np.bincount(place[train[at]], minlength=len(key))
+                for a, b in spans(bucket):
+                    out.append((kind, int(bucket[a]), number, pack_sorted(key[a:b]), b"" if other is None else pack(other[a:b]),
+                                pack(n[a:b]) if kind == PAIR or other is not None else b"", b"", b"", b""))
+            return batch_of(out)
 
         for batch in batches:
-            ids = batch.column("doc").to_numpy(zero_copy_only=False).view(np.uint64)
-            out_of = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
+            ids = batch.column("id").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            flags = (batch.column("held").to_numpy(zero_copy_only=False).astype(bool).astype(np.uint64)
+                     + 2 * batch.column("id").is_null().to_numpy(zero_copy_only=False).astype(np.uint64))
             for row, n, data, offsets in hashing.runs(batch.column("content")):
-                h, first = words.tokens(data, offsets)
-                context, event, begin = v.pairs(h, first)
-                own = np.repeat(np.arange(n), np.diff(begin))
-                near = (context < hot) & (event < hot)
-                train = ~out_of[row:row + n][own]
-                counts += np.bincount((context * hot + event)[near & train], minlength=hot * hot)
-                far = ~near & (context < v.size) & (event < v.size)
-                parts[0].append((context * v.size + event)[far].astype(np.uint64))
-                owners[0].append(own[far] + base)
-                if v.classed:
-                    rare = event[event != END] == RARE
-                    parts[1].append(h[rare])
-                    owners[1].append(np.repeat(np.arange(n), np.diff(first))[rare] + base)
-                else:
-                    before, code = v.codes(h, event, begin)
-                    out = event == v.outside
-                    for kind, at, key, other in ((1, out, code, before), (3, (context == v.outside) & ~out, before, code)):
-                        parts[kind].append(key[at])
-                        others[kind].append(other[at])
-                        owners[kind].append(own[at] + base)
-                docs_.append(ids[row:row + n])
-                held_.append(out_of[row:row + n].astype(np.uint64))
-                base += n
-                size += len(event)
+                held_back.append((*v.stream(*words.tokens(data, offsets)), ids[row:row + n], flags[row:row + n]))
+                size += len(held_back[-1][0])
                 if size >= FLUSH_TOKENS:
-                    yield from flush_all()
-                    docs_, held_, base, size = [], [], 0, 0
+                    yield flush()
+                    size, number = 0, number + 1
         if size:
-            yield from flush_all()
+            yield flush()
         if counts.any():
-            yield batch_of([(2, 0, counts.tobytes(), b"", b"", b"", b"")])
+            yield batch_of([(HOTS, 0, number, counts.tobytes(), *[b""] * 5)])
 
     return docs.mapInArrow(rows, DEALT)
 
 
-def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                      names=["kind", "bucket", "pairs", "other", "o", "docs", "held"])
+def batch_of(rows: list[tuple], names: str = DEALT) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashing.mix(key) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def gather(parts: list[dict]):
-    """Keys, documents and held-out flags of dealt blobs (which are used up), by key."""
-    key, doc, held = [], [], []
-    for p in parts:
-        own = unpack(p["o"]).astype(np.int32)
-        key.append(unpack_sorted(p["pairs"]))
-        doc.append(unpack(p["docs"])[own])
-        held.append(unpack(p["held"])[own].astype(bool))
-        p.clear()
-    key, doc, held = np.concatenate(key), np.concatenate(doc), np.concatenate(held)
-    order = np.argsort(key, kind="stable")
-    return key[order], doc[order], held[order]
-
-
-def gather_open(parts: list[dict]):
-    """As ``gather``, with the other event of each pair, by key and other event."""
-    other = np.concatenate([unpack(p["other"]) for p in parts])
-    key = np.concatenate([unpack_sorted(p["pairs"]) for p in parts])
-    doc, held = [], []
-    for p in parts:
-        own = unpack(p["o"]).astype(np.int32)
-        doc.append(unpack(p["docs"])[own])
-        held.append(unpack(p["held"])[own].astype(bool))
-        p.clear()
-    order = np.lexsort((other, key))
-    return key[order], other[order], np.concatenate(doc)[order], np.concatenate(held)[order]
-
-
-PAIRS = "pairs binary, counts binary, n binary, o binary, docs binary"
-OPEN = "h binary, w binary, c binary, counts binary, n binary, o binary, docs binary"
-
-
-def count_pairs(dealt: DataFrame) -> DataFrame:
-    """Rows of pair ranges: pairs, training counts, number of occurrences, and the occurrences' documents."""
-    def rows(batches):
-        for _, parts in groups(batches, "bucket"):
-            key, doc, held = gather(parts)
-            edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            pairs, n = key[edges[:-1]], np.diff(edges)
-            counts = n - np.add.reduceat(held.astype(np.int32), edges[:-1])
-            cut = np.flatnonzero(np.diff(edges[:-1] // ROW_ENTRIES, prepend=-1))
-            out = []
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(pairs)]):
-                used, local = np.unique(doc[edges[a]:edges[b]], return_inverse=True)
-                out.append((pack_sorted(pairs[a:b]), pack(counts[a:b]), pack(n[a:b]), pack(local), pack(used)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)],
-                                             names=["pairs", "counts", "n", "o", "docs"])
+def spans(at: np.ndarray) -> list[tuple[int, int]]:
+    """First and past the last of each run of equal values."""
+    edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)] if len(at) else []
+    return [*zip(edges[:-1], edges[1:])]
+
 
-    return (dealt.where("kind = 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, PAIRS))
+#: Answers (kind of the question; a: training counts, b: counts of words outside), and without a batch the pairs seen in
+#: training: in ``keys`` pairs of numbered events, or the contexts of pairs with a word outside; training counts in a, the events' counts in b.
+COUNTED = "kind int, bucket int, batch bigint, keys binary, a binary, b binary"
 
 
-def count_open(dealt: DataFrame, counts: DataFrame, least: int, vocabulary, buckets: int) -> DataFrame:
-    """As ``count_pairs``, of pairs with a word outside: contexts, events, the events' counts, and the rest."""
+def count(dealt: DataFrame, counts: DataFrame, least: int, vocabulary, buckets: int) -> DataFrame:
+    """The pairs seen in training with their counts, and the answers to all questions but those for contexts."""
     def rows(batches):
         v: Vocabulary = vocabulary.value
-        for _, parts in groups(batches, "bucket"):
-            words = [p for p in parts if p["kind"] == 0]
-            for kind in (1, 3):
-                uses = [p for p in parts if p.get("kind") == kind]
+        for (bucket,), parts in groups(batches, "bucket"):
+            words = [p for p in parts if p["kind"] == WORD]
+            for kind in (PAIR, OUTSIDE, AFTER):
+                uses = [p for p in parts if p["kind"] == kind]
                 if not uses:
                     continue
-                key, other, doc, held = gather_open(uses)
-                edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (other[1:] != other[:-1]), [True]]))
-                key, other, n = key[edges[:-1]], other[edges[:-1]], np.diff(edges)
-                r = n - np.add.reduceat(held.astype(np.int32), edges[:-1])
-                h, w = (other, key) if kind == 1 else (key, other)
-                c = look_up(words, key) if kind == 1 else v.counts[w.astype(np.int64)]
-                cut = np.flatnonzero(np.diff(edges[:-1] // ROW_ENTRIES, prepend=-1))
-                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)]):
-                    used, local = np.unique(doc[edges[a]:edges[b]], return_inverse=True)
-                    out = (h[a:b], w[a:b], c[a:b], r[a:b], n[a:b], local, used)
-                    yield pa.RecordBatch.from_arrays([pa.array([pack(x)], pa.binary()) for x in out],
-                                                     names=["h", "w", "c", "counts", "n", "o", "docs"])
-
-    both = word_blobs(counts, least, buckets).unionByName(dealt.where("kind in (1, 3)"))
-    return both.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, OPEN)
-
-
-def open_pairs(row) -> tuple[np.ndarray, ...]:
-    """Contexts, events, the events' counts and the training counts of a row of ``count_open``."""
-    h, w, c, counts = (unpack(x.as_py()) for x in row)
-    return h, w, c.astype(float), counts.astype(np.int64)
+                keys = [unpack_sorted(p["keys"]) for p in uses]
+                key, other = np.concatenate(keys), None
+                if kind == OUTSIDE and v.classed:
+                    c = look_up(words, key)
+                    yield answers(uses, kind, bucket, keys, None, c)
+                    continue
+                if kind != PAIR:
+                    other = np.concatenate([unpack(p["other"]) for p in uses])
+                n = np.concatenate([unpack(p["n"]) for p in uses]).astype(np.int64)
+                for p in uses:
+                    p["keys"] = p["other"] = p["n"] = None
+                first, place = distinct(key, other)
+                r = np.bincount(place, n, len(first)).astype(np.int64)
+                key, other = key[first], None if other is None else other[first]
+                c = look_up(words, key) if kind == OUTSIDE else v.counts[other.astype(np.int64)] if kind == AFTER else None
+                seen = r > 0
+                h, times, of = (other if kind == OUTSIDE else key)[seen], r[seen], None if c is None else c[seen]
+                if kind == OUTSIDE:
+                    order = np.argsort(h, kind="stable")
+                    h, times, of = h[order], times[order], of[order]
+                for a in range(0, len(h), ROW_ENTRIES):
+                    b = a + ROW_ENTRIES
+                    yield batch_of([(kind, bucket, None, pack_sorted(h[a:b]), pack(times[a:b]), b"" if of is None else pack(of[a:b]))], COUNTED)
+                yield answers(uses, kind, bucket, keys, r[place], c[place] if kind == OUTSIDE else None)
+
+    questions = dealt.where(F.col("kind").isin(PAIR, OUTSIDE, AFTER)).select("kind", "bucket", "batch", "keys", "other", "n")
+    both = word_blobs(counts, least, buckets).unionByName(questions)
+    return both.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, COUNTED)
+
+
+def answers(uses: list[dict], kind: int, bucket: int, keys: list[np.ndarray], r: np.ndarray | None, c: np.ndarray | None) -> pa.RecordBatch:
+    stops = np.cumsum([len(k) for k in keys]).tolist()
+    return batch_of([(kind, bucket, p["batch"], b"", *(b"" if x is None else pack(x[a:b]) for x in (r, c)))
+                     for p, a, b in zip(uses, [0, *stops[:-1]], stops)], COUNTED)
 
 
 def per_partition(df: DataFrame, size: int, of, slices: int = 16) -> np.ndarray:
@@ -424,42 +411,34 @@ def discounts_of(n: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], d, [1.0]])
 
 
-def estimate(pairs: DataFrame, opened: DataFrame | None, vocabulary: Vocabulary, hot: np.ndarray) -> Model:
+def estimate(pairs: DataFrame, vocabulary: Vocabulary, hot: np.ndarray) -> Model:
+    """``pairs``: those seen in training, as ``count`` gives them."""
     spark = pairs.sparkSession
     most = KATZ_K + 2
 
     def numbers(batch, total):
-        for cell in batch.column("counts"):
+        for cell in batch.column("a"):
             c = unpack(cell.as_py()).astype(np.int64)
             total += np.bincount(np.minimum(c, most), minlength=most + 1)[:most + 1]
 
-    every = pairs.select("counts") if opened is None else pairs.select("counts").union(opened.select("counts"))
-    n = per_partition(every, most + 1, numbers)
+    n = per_partition(pairs.select("a"), most + 1, numbers)
     n += np.bincount(np.minimum(hot.reshape(-1), most), minlength=most + 1)[:most + 1]
     d = discounts_of(n)
-    size, p = vocabulary.size, spark.sparkContext.broadcast(vocabulary.p)
+    size, mass, p = vocabulary.size, vocabulary.mass, spark.sparkContext.broadcast(vocabulary.p)
 
     def masses(batch, total):
-        for raw, cell in zip(batch.column("pairs"), batch.column("counts")):
-            c = unpack(cell.as_py()).astype(np.int64)
-            pair = unpack_sorted(raw.as_py())[c > 0].astype(np.int64)
-            c = c[c > 0]
-            total[:size] += np.bincount(pair // size, d[np.minimum(c, KATZ_K + 1)] * c, size)
-            total[size:] += np.bincount(pair // size, p.value[pair % size], size)
-
-    mass = vocabulary.mass
-
-    def open_masses(batch, total):
-        for row in zip(*(batch.column(x) for x in ("h", "w", "c", "counts"))):
-            h, _, c, r = open_pairs(row)
-            at = (h < size) & (r > 0)
-            h, c, r = h[at].astype(np.int64), c[at], r[at]
+        for kind, *row in zip(batch.column("kind").to_pylist(), *(batch.column(x) for x in ("keys", "a", "b"))):
+            key, r = unpack_sorted(row[0].as_py()), unpack(row[1].as_py()).astype(np.int64)
+            if kind == PAIR:
+                h, own = np.divmod(key.astype(np.int64), size)
+                own = p.value[own]
+            else:
+                near = key < size
+                h, r, own = key[near].astype(np.int64), r[near], (unpack(row[2].as_py())[near].astype(float) + 1) / mass
             total[:size] += np.bincount(h, d[np.minimum(r, KATZ_K + 1)] * r, size)
-            total[size:] += np.bincount(h, (c + 1) / mass, size)
+            total[size:] += np.bincount(h, own, size)
 
-    sums = per_partition(pairs.select("pairs", "counts"), 2 * size, masses)
-    if opened is not None:
-        sums = sums + per_partition(opened.select("h", "w", "c", "counts"), 2 * size, open_masses)
+    sums = per_partition(pairs.where(F.col("kind").isin(PAIR, OUTSIDE)).select("kind", "keys", "a", "b"), 2 * size, masses)
     k = hot.shape[0]
     seen, covered = sums[:size], sums[size:]
     seen[:k] += (d[np.minimum(hot, KATZ_K + 1)] * hot).sum(axis=1)
@@ -467,145 +446,120 @@ def estimate(pairs: DataFrame, opened: DataFrame | None, vocabulary: Vocabulary,
     return Model(vocabulary, d, seen, covered, hot)
 
 
-SUMS = "bucket int, docs binary, a binary, b binary, c binary"
-
-
-def add_up(blobs: DataFrame) -> DataFrame:
-    """``doc, a, b, c``: blobs of per-document sums (documents, three numbers) added up by document."""
-    def rows(batches):
-        for _, parts in groups(batches, "bucket"):
-            doc = np.concatenate([unpack(p["docs"]) for p in parts])
-            used, at = np.unique(doc, return_inverse=True)
-            sums = [np.bincount(at, np.concatenate([np.frombuffer(p[c], "<f8") for p in parts]), len(used)) for c in "abc"]
-            yield pa.RecordBatch.from_arrays([signed(used), *map(pa.array, sums)], names=["doc", *"abc"])
-
-    return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, "doc bigint, a double, b double, c double")
-
-
-def sum_blobs(doc: np.ndarray, sums: tuple, buckets: int) -> pa.RecordBatch | None:
-    """Per-document sums of score, base score and known words, cut by bucket of the document."""
-    if not len(doc):
-        return None
-    used, at = np.unique(doc, return_inverse=True)
-    sums = [np.bincount(at, x, len(used)).astype("<f8") for x in sums]
-    where = ((used >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    edges = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]]))
-    out = [(int(where[x]), pack(used[x:y]), *(z[x:y].tobytes() for z in sums))
-           for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))],
-                                      names=["bucket", "docs", *"abc"])
-
-
-def score_pairs(pairs: DataFrame, model, buckets: int) -> DataFrame:
-    """Blobs of the sum of log10 p of each document's pairs of numbered events that aren't hot."""
-    def rows(batches):
-        m: Model = model.value
-        size = m.vocabulary.size
-        for batch in batches:
-            docs, sums = [], []
-            for raw, counts, n, o, d in zip(*(batch.column(c) for c in ("pairs", "counts", "n", "o", "docs"))):
-                pair = unpack_sorted(raw.as_py()).astype(np.int64)
-                logs = m.log_pairs(pair // size, pair % size, unpack(counts.as_py()).astype(np.int64))
-                own = unpack(o.as_py()).astype(np.int64)
-                used = unpack(d.as_py())
-                docs.append(used)
-                sums.append(np.bincount(own, np.repeat(logs, unpack(n.as_py()).astype(np.int64)), len(used)))
-            if docs:
-                doc, a = np.concatenate(docs), np.concatenate(sums)
-                if (out := sum_blobs(doc, (a, np.zeros(len(doc)), np.zeros(len(doc))), buckets)) is not None:
-                    yield out
-
-    return pairs.mapInArrow(rows, SUMS)
-
-
-def score_open(opened: DataFrame, model, buckets: int) -> DataFrame:
-    """Blobs of each document's pairs with a word outside: log10 p but for what contexts outside add to it,
-    and log10(c + 1) and the known ones of the words outside."""
-    def rows(batches):
-        m: Model = model.value
-        v = m.vocabulary
-        with np.errstate(divide="ignore"):
-            log_seen = np.log10(m.scale) - np.log10(np.maximum(v.context, 1))
-        for batch in batches:
-            for *row, n, o, d in zip(*(batch.column(x) for x in ("h", "w", "c", "counts", "n", "o", "docs"))):
-                h, w, c, r = open_pairs(row)
-                log_c = np.log10(c + 1)
-                logs = log_c - math.log10(v.mass)
-                found, near = r > 0, h < v.size
-                logs[found] = np.log10(m.discounted(r[found]))
-                at = h[near].astype(np.int64)
-                logs[near] += np.where(found[near], log_seen[at], m.log_alpha[at])
-                out = w >= v.size
-                each = (logs, np.where(out, log_c, 0.0), (out & (c > 0)).astype(float))
-                own, times, used = unpack(o.as_py()).astype(np.int64), unpack(n.as_py()).astype(np.int64), unpack(d.as_py())
-                sums = tuple(np.bincount(own, np.repeat(x, times), len(used)) for x in each)
-                if (blob := sum_blobs(used, sums, buckets)) is not None:
-                    yield blob
-
-    return opened.mapInArrow(rows, SUMS)
-
-
-CONTEXTS = "bucket int, h binary, sums binary, uses binary, o binary, docs binary"
-
-
-def score_contexts(opened: DataFrame, discounts: np.ndarray, vocabulary, buckets: int) -> DataFrame:
-    """Blobs of what contexts outside add to each document's score: log10 s / c for seen pairs, log10 a for others."""
+def context_answers(dealt: DataFrame, pairs: DataFrame, discounts: np.ndarray, vocabulary, buckets: int) -> DataFrame:
+    """Answers to the questions for contexts outside: log10 a (a) and log10 s / c (b)."""
     def deal_out(batches):
         size, mass = vocabulary.value.size, vocabulary.value.mass
         for batch in batches:
-            for *row, n, o, d in zip(*(batch.column(x) for x in ("h", "w", "c", "counts", "n", "o", "docs"))):
-                h, _, c, r = open_pairs(row)
+            out = []
+            for row in zip(*(batch.column(x) for x in ("keys", "a", "b"))):
+                h, r, c = unpack_sorted(row[0].as_py()), unpack(row[1].as_py()).astype(np.int64), unpack(row[2].as_py()).astype(float)
                 far = h >= size
-                if not far.any():
-                    continue
-                own, times, docs = unpack(o.as_py()).astype(np.int64), unpack(n.as_py()).astype(np.int64), unpack(d.as_py())
-                own, times, h, c, r = own[np.repeat(far, times)], times[far], h[far], c[far], r[far]
+                h, r, c = h[far], r[far], c[far]
                 contexts, of = np.unique(h, return_inverse=True)
-                sums = [np.bincount(of, x, len(contexts)) for x in
-                        (r, discounts[np.minimum(r, KATZ_K + 1)] * r, np.where(r > 0, (c + 1) / mass, 0.0))]
+                sums = np.stack([np.bincount(of, x, len(contexts)) for x in (r, discounts[np.minimum(r, KATZ_K + 1)] * r, (c + 1) / mass)])
                 at = bucket_of(contexts, buckets)
-                order = np.argsort(at, kind="stable")  # by hash within a bucket
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                use, seen = np.repeat(place[of], times), np.repeat(r > 0, times)
-                by_use = np.argsort(use, kind="stable")
-                use, seen, own = use[by_use], seen[by_use], own[by_use]
-                contexts, at, sums = contexts[order], at[order], [x[order].astype("<f8") for x in sums]
-                edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
-                stops, out = np.searchsorted(use, edges), []
-                for a, b, x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), stops[:-1].tolist(), stops[1:].tolist()):
-                    used, local = np.unique(own[x:y], return_inverse=True)
-                    out.append((int(at[a]), pack_sorted(contexts[a:b]), b"".join(z[a:b].tobytes() for z in sums),
-                                pack((use[x:y] - a) * 2 + seen[x:y]), pack(local), pack(docs[used])))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int32(), *[pa.binary()] * 5))],
-                                                 names=["bucket", "h", "sums", "uses", "o", "docs"])
+                order = np.argsort(at, kind="stable")
+                contexts, sums, at = contexts[order], sums[:, order], at[order]
+                out += [(OUTSIDE, int(at[x]), None, pack_sorted(contexts[x:y]), sums[:, x:y].astype("<f8").tobytes(), b"") for x, y in spans(at)]
+            if out:
+                yield batch_of(out, COUNTED)
 
     def rows(batches):
-        for _, parts in groups(batches, "bucket"):
-            keys = [unpack_sorted(p["h"]) for p in parts]
-            contexts, of = np.unique(np.concatenate(keys), return_inverse=True)
-            each = np.concatenate([np.frombuffer(p["sums"], "<f8").reshape(3, -1) for p in parts], axis=1)
-            count, seen, covered = (np.bincount(of, x, len(contexts)) for x in each)
-            scale, log_alpha = backoff(count, seen, covered)
+        for (bucket,), parts in groups(batches, "bucket"):
+            uses = [p for p in parts if p["kind"] == CONTEXT]
+            known = [p for p in parts if p["kind"] != CONTEXT]
+            if not uses:
+                continue
+            contexts, of = np.unique(np.concatenate([np.empty(0, np.uint64), *(unpack_sorted(p["keys"]) for p in known)]), return_inverse=True)
+            each = np.concatenate([np.empty((3, 0)), *(np.frombuffer(p["a"], "<f8").reshape(3, -1) for p in known)], axis=1)
+            scale, log_alpha = backoff(*(np.bincount(of, x, len(contexts)) for x in each))
             with np.errstate(divide="ignore"):
-                logs = np.stack([log_alpha, np.log10(scale) - np.log10(np.maximum(count, 1))], axis=1)
-            begin, docs, values = 0, [], []
-            for p, k in zip(parts, keys):
-                uses = unpack(p["uses"]).astype(np.int64)
-                used = unpack(p["docs"])
-                docs.append(used)
-                values.append(np.bincount(unpack(p["o"]).astype(np.int64), logs[of[begin + (uses >> 1)], uses & 1], len(used)))
-                begin += len(k)
-            doc, a = np.concatenate(docs), np.concatenate(values)
-            if (out := sum_blobs(doc, (a, np.zeros(len(doc)), np.zeros(len(doc))), buckets)) is not None:
-                yield out
-
-    dealt = opened.mapInArrow(deal_out, CONTEXTS)
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, SUMS)
+                log_seen = np.log10(scale) - np.log10(np.maximum(np.bincount(of, each[0], len(contexts)), 1))
+            # The place past all contexts is for those never seen.
+            log_alpha, log_seen = np.append(log_alpha, 0.0), np.append(log_seen, 0.0)
+            out = []
+            for p in uses:
+                key = unpack_sorted(p["keys"])
+                at = np.searchsorted(contexts, key)
+                at[np.append(contexts, np.uint64(0))[at] != key] = len(contexts)
+                out.append((CONTEXT, bucket, p["batch"], b"", log_alpha[at].astype("<f8").tobytes(), log_seen[at].astype("<f8").tobytes()))
+            yield batch_of(out, COUNTED)
+
+    asks = dealt.where(F.col("kind") == CONTEXT).select("kind", "bucket", "batch", "keys", F.lit(b"").alias("a"), F.lit(b"").alias("b"))
+    known = pairs.where(F.col("kind").isin(OUTSIDE, AFTER)).mapInArrow(deal_out, COUNTED)
+    return asks.unionByName(known).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, COUNTED)
+
+
+SCORED = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def score(dealt: DataFrame, answered: DataFrame, model, buckets: int) -> DataFrame:
+    """Batches with the answers to their questions, scored text by text."""
+    # Questions and their answers are in order of bucket, so the answers of a kind only need to be put together.
+    def answer(parts, kind, column, as_doubles=False):
+        cells = [p[column] for p in parts if p["kind"] == kind]  # by bucket
+        return np.concatenate([np.frombuffer(x, "<f8") if as_doubles else unpack(x) for x in cells])
+
+    def rows(batches):
+        m: Model = model.value
+        v = m.vocabulary
+        hot = v.hot
+        log_count = np.append(np.log10(v.counts + 1), 0.0)
+        known_event = np.append(v.counts > 0, False).astype(float)
+        log_count[v.outside] = known_event[v.outside] = 0.0
+        log_size = math.log10(v.tokens + v.words + 1)
+        log_mass = math.log10(v.mass)
+        log_class = math.log10(v.rare_tokens + v.rare_words + 1) if v.classed else 0.0
+        with np.errstate(divide="ignore"):
+            log_seen = np.append(np.log10(m.scale) - np.log10(np.maximum(v.context, 1)), 0.0)
+        log_alpha = np.append(m.log_alpha, 0.0)
+        for _, parts in groups(batches, "batch"):
+            stream = next(p for p in parts if p["kind"] == STREAM)
+            event, far = unpack(stream["keys"]).astype(np.int64), unpack(stream["a"])
+            lengths, ids, flags = unpack(stream["b"]).reshape(3, -1)
+            lengths = lengths.astype(np.int64)
+            context = v.contexts(event, lengths)
+            near = (context < hot) & (event < hot)
+            logs = np.where(near, m.hot[np.where(near, context * hot + event, 0)], 0.0)
+            base, known = log_count[event], known_event[event]
+            if not v.classed:
+                # What a context gives to a pair that was seen after it, and to one that was not.
+                after_seen, after_other = log_seen[context], log_alpha[context]
+            for kind, at, _, _, _, place in sorted(asked(v, event, lengths, far, buckets), key=lambda x: x[0] != CONTEXT):
+                if kind == CONTEXT:
+                    after_other[at], after_seen[at] = (answer(parts, kind, x, True)[place] for x in "ab")
+                    continue
+                if kind == OUTSIDE:
+                    c = answer(parts, kind, "b").astype(float)[place]
+                    base[at], known[at] = np.log10(c + 1), c > 0
+                    if v.classed:
+                        logs[at] += base[at] - log_class
+                        continue
+                r = answer(parts, kind, "a").astype(np.int64)[place]
+                if kind == PAIR:
+                    logs[at] = m.log_pairs(context[at], event[at], r)
+                else:
+                    log_c = base[at] if kind == OUTSIDE else log_count[event[at]]
+                    found = r > 0
+                    each = log_c - log_mass + after_other[at]
+                    each[found] = np.log10(m.discounted(r[found])) + after_seen[at[found]]
+                    logs[at] = each
+            begin = np.cumsum(lengths) - lengths
+            known, base, logs = (np.add.reduceat(x, begin) for x in (known, base, logs))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids.view(np.int64), mask=flags & 2 > 0), pa.array(flags & 1 > 0), pa.array(lengths),
+                 pa.array(np.round(known).astype(np.int64)), pa.array(base - lengths * log_size), pa.array(logs)],
+                names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    streams = dealt.where(F.col("kind") == STREAM).select("kind", "bucket", "batch", F.col("events").alias("keys"),
+                                                          F.col("far").alias("a"), F.col("docs").alias("b"))
+    both = streams.unionByName(answered)
+    return both.repartition("batch").sortWithinPartitions("batch", "bucket").mapInArrow(rows, SCORED)
 
 
 def word_blobs(counts: DataFrame, least: int, buckets: int) -> DataFrame:
-    """The counts of words without a number, dealt by word (kind 0; ``o`` has the counts)."""
+    """The counts of words without a number, dealt by word."""
     def blobs(batches):
         for batch in batches:
             word = batch.column("word").to_numpy().view(np.uint64)
@@ -613,71 +567,26 @@ def word_blobs(counts: DataFrame, least: int, buckets: int) -> DataFrame:
             at = bucket_of(word, buckets)
             order = np.lexsort((word, at))
             word, c, at = word[order], c[order], at[order]
-            edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
-            yield batch_of([(0, int(at[x]), pack_sorted(word[x:y]), b"", pack(c[x:y]), b"", b"")
-                            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())])
+            out = [(WORD, int(at[x]), None, pack_sorted(word[x:y]), b"", pack(c[x:y])) for x, y in spans(at)]
+            if out:
+                yield batch_of(out, ASKS)
 
     # Words come in larger batches than texts: sorted by word, a task's rows make few blobs.
-    return counts.where(F.col("c") < least).mapInArrow(blobs, DEALT)
+    return counts.where(F.col("c") < least).mapInArrow(blobs, ASKS)
 
 
 def look_up(words: list[dict], key: np.ndarray) -> np.ndarray:
     """The counts of these words in blobs of ``word_blobs``; 0 for words never seen."""
     if not words:
         return np.zeros(len(key))
-    word = np.concatenate([unpack_sorted(p["pairs"]) for p in words])
-    c = np.concatenate([unpack(p["o"]) for p in words]).astype(float)
+    word = np.concatenate([unpack_sorted(p["keys"]) for p in words])
+    c = np.concatenate([unpack(p["n"]) for p in words]).astype(float)
     order = np.argsort(word)
     word, c = word[order], c[order]
     at = np.minimum(np.searchsorted(word, key), len(word) - 1)
     return np.where(word[at] == key, c[at], 0.0)
 
 
-def rare_words(dealt: DataFrame, counts: DataFrame, least: int, buckets: int) -> DataFrame:
-    """Blobs of the sum of log10(c + 1) over each document's rare words (twice) and how many have c > 0."""
-    def rows(batches):
-        for _, parts in groups(batches, "bucket"):
-            words = [p for p in parts if p["kind"] == 0]
-            uses = [p for p in parts if p["kind"] == 1]
-            if not uses:
-                continue
-            key, doc, _ = gather(uses)
-            found = look_up(words, key)
-            logs = np.log10(found + 1)
-            if (out := sum_blobs(doc, (logs, logs, (found > 0).astype(float)), buckets)) is not None:
-                yield out
-
-    both = word_blobs(counts, least, buckets).unionByName(dealt.where("kind = 1"))
-    return both.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, SUMS)
-
-
-def score_documents(docs: DataFrame, model) -> DataFrame:
-    """Per row: tokens, the known ones among numbered words and ends, their log10(c + 1), rare words, hot pairs' log10 p."""
-    def rows(batches):
-        m: Model = model.value
-        v = m.vocabulary
-        words, hot = hashing.Words(hashing.word_classes()), v.hot
-        log_count = np.append(np.log10(v.counts + 1), 0.0)
-        known_event = np.append(v.counts > 0, False).astype(float)
-        log_count[v.outside] = known_event[v.outside] = 0.0
-        for batch in batches:
-            cols = [[], [], [], [], []]
-            for _, n, data, offsets in hashing.runs(batch.column("content")):
-                context, event, begin = v.pairs(*words.tokens(data, offsets))
-                near = (context < hot) & (event < hot)
-                logs = np.where(near, m.hot[np.where(near, context * hot + event, 0)], 0.0)
-                for col, values in zip(cols, (np.ones(len(event)), known_event[event], log_count[event], event == v.outside, logs)):
-                    total = np.concatenate([[0.0], np.cumsum(values)])
-                    col.append(total[begin[1:]] - total[begin[:-1]])
-            cols = [np.concatenate(c) if c else np.empty(0) for c in cols]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("doc"), batch.column("held"),
-                 *[pa.array(c.astype(np.int64) if i in (0, 1, 3) else c) for i, c in enumerate(cols)]],
-                names=["id", "doc", "held", "n_tokens", "known", "base", "rare", "hot"])
-
-    return docs.mapInArrow(rows, "id bigint, doc bigint, held boolean, n_tokens bigint, known bigint, base double, rare bigint, hot double")
-
-
 def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", named: int | None = None,
                 hot_events: int = HOT, held: Column | None = None, numbered: int = NAMED) -> DataFrame:
     """One row per row of ``docs``: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
@@ -688,45 +597,28 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sc = spark.sparkContext
     held = held_out(F.col(id_col)) if held is None else held
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), held.alias("held"), text_bytes(text_col).alias("content"))
-    base = base.select("id", "held", "content", F.xxhash64("id", "content").alias("doc"))
     train = base.where("not held")
     counts = written(word_counts(train.select("content")), "katz_words")
     vocabulary, least = vocabulary_of(counts, train.count(), numbered if named is None else named, hot_events, named is not None)
     voc = sc.broadcast(vocabulary)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(vocabulary.tokens / BUCKET_ENTRIES))
-    dealt = deal(base.select("doc", "held", "content"), voc, buckets)
-    # One pass deals both kinds; pairs are counted, rare words kept as they are.
-    dealt = written(dealt, "katz_dealt")
+    buckets = max(2 * sc.defaultParallelism, math.ceil(vocabulary.tokens / BUCKET_TOKENS))
+    dealt = written(deal(base, voc, buckets), "katz_dealt")
     n = vocabulary.hot
 
     def hot_counts(batch, total):
-        for cell in batch.column("pairs"):
+        for cell in batch.column("keys"):
             total += np.frombuffer(cell.as_py(), np.int64)
 
-    hot = per_partition(dealt.where("kind = 2").select("pairs"), n * n, hot_counts).astype(np.int64).reshape(n, n)
-    pairs = written(count_pairs(dealt), "katz_pairs")
-    opened = None if vocabulary.classed else written(count_open(dealt, counts, least, voc, buckets), "katz_open")
-    fitted = estimate(pairs, opened, vocabulary, hot)
+    hot = per_partition(dealt.where(F.col("kind") == HOTS).select("keys"), n * n, hot_counts).astype(np.int64).reshape(n, n)
+    counted = written(count(dealt, counts, least, voc, buckets), "katz_counted")
+    pairs, answered = counted.where("batch is null"), counted.where("batch is not null")
+    fitted = estimate(pairs, vocabulary, hot)
     model = sc.broadcast(fitted)
-    blobs = score_pairs(pairs, model, buckets)
-    if opened is None:
-        blobs = blobs.union(rare_words(dealt, counts, least, buckets))
-    else:
-        blobs = blobs.union(score_open(opened, model, buckets)).union(score_contexts(opened, fitted.discounts, voc, buckets))
-    sums = written(add_up(blobs), "katz_sums")
-    rows = written(score_documents(base, model), "katz_documents")
-    several = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("m"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0)) / F.col("m")
-    v = vocabulary
-    size = math.log10(v.tokens + v.words + 1)
-    in_class = math.log10(v.rare_tokens + v.rare_words + 1) if v.classed else 0.0
-    joined = rows.join(several, "doc").join(sums, "doc", "left")
-    return joined.select(
-        "id", F.col("held").alias("held_out"), "n_tokens",
-        (F.col("known") + F.round(zero(F.col("c")))).cast("bigint").alias("n_known"),
-        F.lit(v.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + zero(F.col("b")) - F.col("n_tokens") * F.lit(size)).alias("base_score"),
-        (F.col("hot") + zero(F.col("a")) - F.col("rare") * F.lit(in_class)).alias("score"))
+    if not vocabulary.classed:
+        answered = answered.unionByName(context_answers(dealt, pairs, fitted.discounts, voc, buckets))
+    scored = written(score(dealt, answered, model, buckets), "katz_documents")
+    return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("bigint").alias("train_tokens"),
+                         "base_score", "score")
 
 
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

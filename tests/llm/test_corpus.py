@@ -388,6 +388,16 @@ def test_held_out_text_is_predicted_better_than_by_the_base(spark):
     assert sum(r.score for r in got) > 0.5 * sum(r.base_score for r in got)
 
 
+def test_a_batch_asks_for_each_pair_once(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(i, i % 4 == 0, text.encode()) for i in range(40)], "id bigint, held boolean, content binary").coalesce(1)
+    counts = katz.word_counts(docs.where("not held").select("content"))
+    vocabulary, _ = katz.vocabulary_of(counts, 30, 1000, 0, False)
+    rows = katz.deal(docs, spark.sparkContext.broadcast(vocabulary), 7).where(F.col("kind") == katz.PAIR).collect()
+    assert sum(len(katz.unpack(r["keys"])) for r in rows) == 51
+    assert [n for r in rows for n in katz.unpack(r["n"]).tolist()] == [30] * 51
+
+
 def test_scores_of_awkward_rows(spark, awkward, empty):
     rows = [(r.doc_id, r.text) for r in awkward.collect()]
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
